@@ -10,8 +10,8 @@ WITH RECURSIVE d AS (SELECT doc_id, {FOLDED} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS sh
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 85 * (a.n + b.n - both)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)),
 g AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, g.y FROM r JOIN g ON g.x = r.u)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id,
@@ -20,4 +20,18 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(u) AS component_id FROM r
 LEFT JOIN (SELECT doc_id, count(*) OVER (PARTITION BY fp) AS n_copies FROM (SELECT doc_id, string_agg(sh, chr(10) ORDER BY sh) AS fp FROM s GROUP BY doc_id)) c USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op7_ngram_jaccard_join": OP7}
+OP8 = r"""
+WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS src, ('0x' || substr(md5('mix/' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS key,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT src, source_size, (row_number() OVER (ORDER BY src) - 1) % 3 + 1.0::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap
+      FROM (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src)),
+l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY cap / weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (SELECT src, source_size, least(cap, weight * max(CASE WHEN level * weight <= cap THEN level END) OVER ()) AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
+p AS (SELECT d.*, sum(size) OVER (PARTITION BY src ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d),
+c AS (SELECT doc_id, size, source_size, target, epochs, greatest(0, least(size, floor(target + 0.5)::BIGINT - epochs * source_size - before))::BIGINT AS cut FROM p JOIN g USING (src))
+SELECT doc_id, size, source_size, target, (epochs * size + cut)::BIGINT AS taken, epochs::BIGINT AS epochs, cut FROM c
+"""
+
+SQL: dict[str, str] = {"op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8}

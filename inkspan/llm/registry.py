@@ -8,15 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkspan.llm import oracles
 from inkspan.llm.common import table
+from inkspan.llm.hash_tree import shards
+from inkspan.llm.mixing import takes
 from inkspan.llm.ngram_jaccard import jaccard_classes
 
 
+def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards (two regions of two racks of two), and where rows go with a ninth."""
+    return shards(table(spark, sf_dir, "documents"), n_shards=8)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of 0.85 or more on 4-word shingles; the component of every document."""
     return jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 1, 2, 3 over the sources, none repeated more than three times."""
+    return takes(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_epochs=3.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_hash_tree_shards": op6_hash_tree_shards,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_source_mix": op8_source_mix,
 }
 ORACLES: dict[str, str] = oracles.SQL

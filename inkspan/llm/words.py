@@ -92,11 +92,9 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     if len(h) < k:
         return np.zeros(0, np.uint64)
     n = len(h) - k + 1
-    out = np.full(n, np.uint64(k) * _Q, dtype=np.uint64)
-    q = np.uint64(1)
+    out = np.full(n, np.uint64(k * int(_Q) % 2**64), dtype=np.uint64)
     for j in range(k):
-        q = q * _Q
-        out = out + h[j : j + n] * q
+        out = out + h[j : j + n] * np.uint64(pow(int(_Q), j + 1, 2**64))
     return mix(out)
 
 
