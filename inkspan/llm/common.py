@@ -73,6 +73,15 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def without(docs: DataFrame, key: Column, gone: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone`` (a stored table of one column, ``_gone``).
+
+    Up to ``max_rows`` keys (16 bytes each) are broadcast; more are joined by a shuffle.
+    """
+    gone = F.broadcast(gone) if small_enough(gone, max_rows) else gone
+    return docs.join(gone, key == gone["_gone"], "left_anti")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b") -> DataFrame:
     """(v, root): the smallest vertex reachable from each vertex that has an edge.
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Scratch, components, small_enough
+from inkspan.llm.common import Scratch, components, small_enough, without
 from inkspan.llm.words import flat, lists, runs, words
 
 #: Sets in one block of a tile.
@@ -272,4 +272,4 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     classes = jaccard_classes(docs, k, percent, id_col, text_col)
     gone = classes.where(f"{id_col} <> component_id").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without(docs, docs[id_col], Scratch(docs.sparkSession).save(gone, "gone"))

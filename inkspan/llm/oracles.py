@@ -34,4 +34,36 @@ c AS (SELECT doc_id, size, source_size, target, epochs, greatest(0, least(size,
 SELECT doc_id, size, source_size, target, (epochs * size + cut)::BIGINT AS taken, epochs::BIGINT AS epochs, cut FROM c
 """
 
-SQL: dict[str, str] = {"op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8}
+OP9 = r"""
+WITH d AS (SELECT doc_id, coalesce('0' || lang, '1') AS lang, coalesce('0' || source, '1') AS src, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM p) WHERE n > 1),
+h AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT doc_id, lang, src, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n.dup, 0)::BIGINT AS n_dup_lines,
+             coalesce(h.n, 0)::BIGINT AS n_repeat_words, coalesce(n.n_lines, 0)::BIGINT AS n_lines FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length, CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbols,
+             CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats FROM c),
+l AS (SELECT lang, src, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS ratio, unnest([word_length, symbols, dup_lines, repeats])::BIGINT AS x FROM m WHERE NOT base_failed),
+s AS (SELECT lang, src, ratio, greatest(length(bin(x)) - 6, 0)::INT AS shift, x FROM l),
+v AS (SELECT lang, src, ratio, (((x >> shift) + 1) << shift) - 1 AS x, count(*) AS n FROM s GROUP BY ALL),
+g AS (SELECT 0 AS level, lang, src, ratio, x, sum(n) AS n FROM v GROUP BY ALL UNION ALL SELECT 1, lang, '', ratio, x, sum(n) FROM v GROUP BY ALL UNION ALL SELECT 2, '', '', ratio, x, sum(n) FROM v GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, src, ratio ORDER BY x) AS upto, sum(n) OVER (PARTITION BY level, lang, src, ratio) AS total FROM g),
+q AS (SELECT level, lang, src, ratio, max(total) AS docs, min(CASE WHEN 4 * upto >= total THEN x END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN x END) AS q3 FROM u GROUP BY ALL),
+k(ratio, slack) AS (VALUES ('word_length', 100), ('symbols', 100), ('dup_lines', 300), ('repeats', 200)),
+f AS (SELECT a.lang, a.src, ratio, slack, CASE WHEN a.docs >= 200 THEN a.q1 WHEN b.docs >= 200 THEN b.q1 ELSE z.q1 END AS q1,
+             CASE WHEN a.docs >= 200 THEN a.q3 WHEN b.docs >= 200 THEN b.q3 ELSE z.q3 END AS q3
+      FROM q a JOIN q b USING (ratio) JOIN q z USING (ratio) JOIN k USING (ratio) WHERE a.level = 0 AND b.level = 1 AND b.lang = a.lang AND z.level = 2),
+o AS (SELECT lang, src, max(CASE WHEN ratio = 'word_length' THEN q3 + 3 * (q3 - q1) + slack END) AS wh, max(CASE WHEN ratio = 'word_length' THEN q1 - 3 * (q3 - q1) - slack END) AS wl,
+             max(CASE WHEN ratio = 'symbols' THEN q3 + 3 * (q3 - q1) + slack END) AS sh, max(CASE WHEN ratio = 'dup_lines' THEN q3 + 3 * (q3 - q1) + slack END) AS dh,
+             max(CASE WHEN ratio = 'repeats' THEN q3 + 3 * (q3 - q1) + slack END) AS rh FROM f GROUP BY ALL),
+j AS (SELECT m.*, concat_ws(',', CASE WHEN word_length > wh OR word_length < wl THEN 'word_length' END, CASE WHEN symbols > sh THEN 'symbols' END,
+             CASE WHEN dup_lines > dh THEN 'dup_lines' END, CASE WHEN repeats > rh THEN 'repeats' END) AS outside FROM m LEFT JOIN o USING (lang, src))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside = '' AS kept, outside FROM j
+"""
+
+SQL: dict[str, str] = {"op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8, "op9_adaptive_quality_rules": OP9}

@@ -11,6 +11,7 @@ from inkspan.llm.common import table
 from inkspan.llm.hash_tree import shards
 from inkspan.llm.mixing import takes
 from inkspan.llm.ngram_jaccard import jaccard_classes
+from inkspan.llm.quality_rules import judge
 
 
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +29,15 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return takes(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_epochs=3.0)
 
 
+def op9_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every text, and the verdict of thresholds per language and source."""
+    return judge(table(spark, sf_dir, "documents"), min_docs=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_source_mix": op8_source_mix,
+    "op9_adaptive_quality_rules": op9_adaptive_quality_rules,
 }
 ORACLES: dict[str, str] = oracles.SQL
