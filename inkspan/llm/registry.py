@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkspan.llm import oracles
 from inkspan.llm.common import table
+from inkspan.llm.decontamination import overlaps
 from inkspan.llm.hash_tree import shards
 from inkspan.llm.mixing import takes
 from inkspan.llm.ngram_jaccard import jaccard_classes
 from inkspan.llm.quality_rules import judge
+from inkspan.llm.secret_scan import scan
+
+
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold text of a benchmark item, by document and item."""
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +41,17 @@ def op9_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), min_docs=200)
 
 
+def op10_automaton_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of all rules in every document."""
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_source_mix": op8_source_mix,
     "op9_adaptive_quality_rules": op9_adaptive_quality_rules,
+    "op10_automaton_secret_scan": op10_automaton_secret_scan,
 }
 ORACLES: dict[str, str] = oracles.SQL
