@@ -14,6 +14,13 @@ from inkspan.llm.mixing import takes
 from inkspan.llm.ngram_jaccard import jaccard_classes
 from inkspan.llm.quality_rules import judge
 from inkspan.llm.secret_scan import scan
+from inkspan.llm.substring_dedup import dedup
+from inkspan.llm.suffix_tree import score
+
+
+def op1_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences of repeated runs of two or more sentences."""
+    return dedup(table(spark, sf_dir, "documents"), run=2, min_words=10)
 
 
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +28,11 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a tree that learns from four fifths of them."""
+    return score(table(spark, sf_dir, "documents"), depth=2, p_min=1e-5)
+
+
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards (two regions of two racks of two), and where rows go with a ninth."""
     return shards(table(spark, sf_dir, "documents"), n_shards=8)
@@ -47,7 +59,9 @@ def op10_automaton_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_span_dedup": op1_sentence_span_dedup,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
+    "op3_suffix_tree_scores": op3_suffix_tree_scores,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_source_mix": op8_source_mix,

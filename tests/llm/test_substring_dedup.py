@@ -1,0 +1,84 @@
+import collections
+import random
+import re
+
+from inkspan.llm import substring_dedup as sd
+
+SENTENCE = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def split(text):
+    """[(words, start)] of each sentence."""
+    out, now, start, prev = [], [], None, 0
+    for m in SENTENCE.finditer(text):
+        if now and "\n" in text[prev : m.start()]:
+            out.append((tuple(now), start))
+            now = []
+        if not now:
+            start = m.start()
+        now.append(re.sub("[A-Z]", lambda x: x[0].lower(), m[0]))
+        prev = m.end()
+        if m[0][-1] in ".!?":
+            out.append((tuple(now), start))
+            now = []
+    if now:
+        out.append((tuple(now), start))
+    return out
+
+
+def brute(rows, run, min_words):
+    firsts = {}
+    parts = [split(t or "") for _, t in rows]
+    key = lambda d: sd.LAST if d is None else d
+    for (doc, _), p in zip(rows, parts, strict=True):
+        for i in range(len(p) - run + 1):
+            r = tuple(w for w, _ in p[i : i + run])
+            if sum(map(len, r)) >= min_words:
+                firsts[r] = min(firsts.get(r, (key(doc), i)), (key(doc), i))
+    out = []
+    for (doc, text), p in zip(rows, parts, strict=True):
+        gone = set()
+        for i in range(len(p) - run + 1):
+            r = tuple(w for w, _ in p[i : i + run])
+            if sum(map(len, r)) >= min_words and firsts[r] != (key(doc), i):
+                gone |= set(range(i, i + run))
+        if gone:
+            edge = [s for _, s in p] + [len(text)]
+            text = "".join(text[edge[i] : edge[i + 1]] for i in range(len(p)) if i not in gone)
+        out.append((doc, text, len(p), len(gone)))
+    return out
+
+
+def run(spark, rows, n=2, least=10):
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, block int, code long")
+    return [tuple(r)[:4] for r in sd.dedup(docs, n, least).collect()]
+
+
+def same(got, want):
+    assert collections.Counter(got) == collections.Counter(want)
+
+
+def test_documents(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 200_000)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for n, least in ((2, 10), (3, 8)):
+        same(run(spark, rows, n, least), brute(rows, n, least))
+
+
+def test_passages_over_fifty_words(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**5)}"
+    say = lambda n: " ".join(" ".join(word() for _ in range(rng.randrange(4, 12))) + "." for _ in range(n))
+    passage = say(12)
+    rows = [(i, f"{say(9)} {passage} {say(9)}" if i % 3 == 0 else say(20)) for i in range(30)]
+    got = {r[0]: r for r in run(spark, rows)}
+    assert passage in got[0][1]
+    assert all(passage not in got[i][1] and got[i][3] >= 11 for i in range(3, 30, 3))
+    assert all(got[i][1] == t for i, t in rows if i % 3)
+
+
+def test_edges(spark):
+    a, b = "One two three four five six. ", "Seven eight nine ten eleven twelve!\n"
+    rows = [(1, None), (2, ""), (3, " \n "), (4, a + b), (4, a + b), (5, "é. " + a.upper() + b + "end"), (None, a + b), (None, a + b + a + b), (6, a + b + "x. " + a + b), (7, "w " * 200_000)]
+    same(run(spark, rows), brute(rows, 2, 10))
+    assert run(spark, []) == []
