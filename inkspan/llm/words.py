@@ -50,6 +50,17 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
+def portions(batches, column: int, limit: int = 4 << 20):
+    """The batches cut into rows of about ``limit`` bytes of text, so that arrays beside it stay small."""
+    for b in batches:
+        _, ends = flat(b.column(column))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, side="right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
+
+
 def words(data: np.ndarray, ends: np.ndarray, lower: bool, chunk: int = 1 << 20):
     """(hash, start, end) of every word, and the index of each text's first word.
 
