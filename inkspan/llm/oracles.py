@@ -66,4 +66,19 @@ j AS (SELECT m.*, concat_ws(',', CASE WHEN word_length > wh OR word_length < wl
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside = '' AS kept, outside FROM j
 """
 
-SQL: dict[str, str] = {"op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8, "op9_adaptive_quality_rules": OP9}
+OP5 = r"""
+WITH e AS (SELECT conv_id, turn, coalesce(role, '') AS speaker, replace(replace(coalesce(text, ''), '<|', '<\|'), '|>', '|\>') AS body,
+                  replace(replace(coalesce(role, ''), '<|', '<\|'), '|>', '|\>') AS shown,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS seq FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM e WHERE speaker <> 'system'),
+r AS (SELECT e.*, p.perspective, speaker = p.perspective AS mine,
+             CASE WHEN speaker = p.perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user name=' || shown || '|>' END || chr(10) AS head
+      FROM e JOIN p ON e.conv_id IS NOT DISTINCT FROM p.conv_id),
+t AS (SELECT *, head || body || '<|end|>' || chr(10) AS rendered FROM r),
+l AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM t)
+SELECT conv_id, perspective, seq, turn, CASE WHEN mine THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+       CASE WHEN NOT mine AND speaker <> 'system' THEN speaker END AS name, rendered, first AS start, (first + length(rendered))::BIGINT AS "end",
+       CASE WHEN mine THEN (first + length(head))::BIGINT END AS loss_start, CASE WHEN mine THEN (first + length(rendered) - 1)::BIGINT END AS loss_end, mine::INT AS mask FROM l
+"""
+
+SQL: dict[str, str] = {"op5_perspective_rotation": OP5, "op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8, "op9_adaptive_quality_rules": OP9}

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkspan.llm import oracles
+from inkspan.llm import oracles, ordinal
+from inkspan.llm.chat import rotate
 from inkspan.llm.common import table
 from inkspan.llm.decontamination import overlaps
 from inkspan.llm.hash_tree import shards
@@ -33,6 +35,18 @@ def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), depth=2, p_min=1e-5)
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of all documents; grades: toxic 0, poor 1, good 2."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return ordinal.score(docs, ordinal.train(docs, labels, grade, grades=3), top=2, least=0.5)
+
+
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from the side of every participant, a row for each turn."""
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards (two regions of two racks of two), and where rows go with a ninth."""
     return shards(table(spark, sf_dir, "documents"), n_shards=8)
@@ -62,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_span_dedup": op1_sentence_span_dedup,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_suffix_tree_scores": op3_suffix_tree_scores,
+    "op4_ordinal_quality": op4_ordinal_quality,
+    "op5_perspective_rotation": op5_perspective_rotation,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_source_mix": op8_source_mix,
