@@ -6,7 +6,8 @@ Shape of the job, for a threshold t and sets of n shingles:
    Texts with the same set share a fingerprint, so groups of copies are one set from here on.
 2. A set that links with any other shares ceil(t*n) shingles, so it has at most n - ceil(t*n) that
    occur nowhere else. Counting these in the region (one aggregation: min and max fingerprint a
-   shingle) rules most sets out; the region shrinks with n and is wide enough to tell.
+   shingle) rules most sets out; the region shrinks with n and is wide enough to tell. Sets that are out no
+   longer share anything, so the count is repeated among the rest while that rules out many more.
 3. What is left is counted over whole sets. Shingles are ordered rare first; the first
    n - ceil(t*n) + 1 of them (those that occur elsewhere) are the set's tile keys.
 4. Each set is compared with the least altered set among its tiles; links become components.
@@ -179,14 +180,23 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     every = listed.select("id", "n", "fp")
     sets = listed.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.min("judged").alias("judged"))
 
-    # 2. sets with too many shingles of their own in the region
-    token = F.explode("listed")
-    seen = listed.where("n > 0").select(token.alias("token"), "fp", "judged").groupBy("token").agg(F.min("fp").alias("fp"), F.max("fp").alias("most"), F.min("judged").alias("judged"))
-    # tokens sort as unsigned numbers: token xor the sign bit compares as such
-    own = seen.where((F.col("fp") == F.col("most")) & (F.col("token").bitwiseXOR(F.lit(-(2**63))) < F.col("judged"))).groupBy("fp").agg(F.count("*").alias("own"))
-    slack = F.col("n") - F.expr(f"({percent} * n + 99) div 100")
-    left = sets.join(own, "fp", "left").where(F.coalesce("own", F.lit(0)) <= slack)
-    left = scratch.save(left.select("fp", "n", "rep"), "left")
+    # 2. sets with too many shingles of their own in the region; what is ruled out counts no more for the rest
+    left, part = scratch.save(sets, "left-0"), listed.where("n > 0").select("fp", "judged", "listed")
+    n_left = left.count()
+    for i in range(1, 9):
+        seen = part.select(F.explode("listed").alias("token"), "fp", "judged").groupBy("token").agg(F.min("fp").alias("fp"), F.max("fp").alias("most"), F.min("judged").alias("judged"))
+        # tokens are unsigned; with the sign bit turned they compare as such
+        own = seen.where((F.col("fp") == F.col("most")) & (F.col("token").bitwiseXOR(F.lit(-(2**63))) < F.col("judged"))).groupBy("fp").agg(F.count("*").alias("own"))
+        left = left.join(own, "fp", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - F.expr(f"({percent} * n + 99) div 100"))
+        left = scratch.save(left.select("fp", "n", "rep", "judged"), f"left-{i}")
+        before, n_left = n_left, left.count()
+        if n_left > 0.9 * before:
+            break
+        few = left.select("fp")
+        few = F.broadcast(few) if n_left <= BROADCAST_ROWS else few
+        part = scratch.save(part.join(few, "fp", "left_semi"), f"part-{i}")
+        scratch.drop(f"left-{i - 1}", f"part-{i - 1}")
+    left = left.select("fp", "n", "rep")
 
     # 3. whole sets of the rest, each from the text of its smallest id
     ids = left.where("rep is not null").select(F.col("rep").alias("id")).distinct()
