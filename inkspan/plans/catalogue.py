@@ -1,5 +1,516 @@
-"""Queries over the driver's tables and the SQL that each must agree with."""
+"""Queries over the driver's tables and the SQL that each must agree with.
+
+Every query reads its whole tables and whole texts; scenario.py says how the tables become pages, words,
+points and payloads.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkspan.functions import geometry, text
+from inkspan.functions.render import seconds_text
+from inkspan.operators import compare, convert, layout, pointers, raster, sets, spatial, spelling
+from inkspan.plans import scenario
+from inkspan.plans.explore import explore
+from inkspan.plans.scenario import PROVIDERS, table
+from inkspan.sources import markup
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 FLAGSHIP = "metric_matrix_long"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- the scenario in SQL -------------------------------------------------------------------------------
+
+LINES = "ls AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, i - 1 AS line_ix, len(ls) AS n, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM ls))"
+TRUTH = f"{LINES}, t AS (SELECT doc_id, line_ix AS page, doc_id || '-' || lpad(line_ix::VARCHAR, length((n - 1)::VARCHAR)::INT, '0') AS ptr, line AS truth FROM l)"
+_READ = {"aws": ("replace(truth, 'rn', 'm')", 37, "NOT contains(truth, '@')"), "azu": ("translate(truth, 'lo', '10')", 53, "NOT contains(truth, '#')"), "azuR": ("replace(truth, ' the ', ' tbe ')", 71, "NOT contains(truth, '$')"), "gcp": ("replace(truth, 'ee', 'e')", 97, "truth <> ''")}
+PAGES = f"{TRUTH}, p AS (" + " UNION ALL ".join(f"SELECT ptr, '{p}' AS provider, truth, {txt} AS txt, (doc_id * {f} + page * 101 + length(truth)) % 12000 AS millis FROM t WHERE {works}" for p, (txt, f, works) in _READ.items()) + ")"
+WIDE = f"{PAGES}, w AS (SELECT ptr, any_value(truth) AS truth, " + ", ".join(f"max(CASE WHEN provider = '{p}' THEN txt END) AS {p}, max(CASE WHEN provider = '{p}' THEN millis END) AS {p}_ms" for p in PROVIDERS) + " FROM p GROUP BY ptr HAVING count(*) = 4)"
+WORDS = f"{LINES}, ws AS (SELECT doc_id, line_ix, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM l), wx AS (SELECT doc_id, line_ix, j - 1 AS word_ix, ws[j] AS word FROM (SELECT doc_id, line_ix, ws, unnest(range(1, len(ws) + 1)) AS j FROM ws)), words AS (SELECT *, word_ix * 60 AS x, line_ix * 24 + length(word) % 5 AS y, 9 * length(word) AS w, 10 + length(word) % 7 AS h FROM wx)"
+_PAIRS = compare.ring(PROVIDERS)
+_LEV = "CASE WHEN {a} = {b} THEN 0 ELSE levenshtein({a}, {b}) END"
+FIELDS = r"len(regexp_extract_all({}, '[^\x09-\x0D\x20\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'))"
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that all providers have, with their texts and the files' own."""
+    cells = scenario.page_text(table(spark, sf_dir, "documents"), with_truth=True)
+    own = F.max("truth").alias("truth")
+    both = [F.max(F.when(F.col("provider") == p, F.struct("millis", "txt"))).alias(p) for p in PROVIDERS]
+    out = cells.groupBy("ptr").agg(own, *both)
+    for p in PROVIDERS:
+        out = out.where(F.col(p).isNotNull())
+    return out
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenario.page_text(table(spark, sf_dir, "documents"))
+
+
+# -- distances, seconds, counts ------------------------------------------------------------------------
+
+
+@query(f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT ptr, '{a.upper()} vs {b.upper()}' AS metric, {_LEV.format(a=a, b=b)} AS dist FROM w" for a, b in _PAIRS))
+def lev_ring(spark, sf_dir):
+    """Distances of each page around the ring of providers."""
+    return compare.pair_distances(wide(spark, sf_dir), PROVIDERS).select("ptr", "metric", "dist")
+
+
+@query(f"WITH {WIDE}, d AS (" + " UNION ALL ".join(f"SELECT ptr, '{a.upper()} vs {b.upper()}' AS metric, {_LEV.format(a=a, b=b)} AS dist, strlen({b}) AS n FROM w" for a, b in _PAIRS) + ") SELECT ptr, metric, CASE WHEN dist = 0 THEN 0 WHEN n = 0 THEN 1 ELSE dist::DOUBLE / n END AS cer FROM d")
+def cer_ring(spark, sf_dir):
+    """Error rates of each page around the ring."""
+    return compare.pair_distances(wide(spark, sf_dir), PROVIDERS).select("ptr", "metric", "cer")
+
+
+@query(f"WITH {WIDE} SELECT ptr, {_LEV.format(a='aws', b='truth')} AS dist, strlen(truth) AS truth_bytes FROM w")
+def lev_pdf(spark, sf_dir):
+    """The first provider against the file's own text."""
+    rows = compare.pair_distances(wide(spark, sf_dir), PROVIDERS[:1], "truth")
+    return rows.select("ptr", "dist", "truth_bytes")
+
+
+@query(f"WITH {WIDE} SELECT min(d) AS lowest, max(d) AS highest FROM (" + " UNION ALL ".join(f"SELECT {_LEV.format(a=a, b=b)} AS d FROM w" for a, b in [*_PAIRS, ('aws', 'truth')]) + ")")
+def lev_limits(spark, sf_dir):
+    return compare.limits(compare.pair_distances(wide(spark, sf_dir), PROVIDERS, "truth"), "dist", empty=0)
+
+
+@query(f"WITH {WIDE} SELECT min(s) AS lowest, max(s) AS highest FROM (" + " UNION ALL ".join(f"SELECT {p}_ms / 1000.0::DOUBLE AS s FROM w" for p in PROVIDERS) + ")")
+def seconds_limits(spark, sf_dir):
+    return compare.limits(compare.seconds(wide(spark, sf_dir), PROVIDERS), "value")
+
+
+@query(f"WITH {WIDE} SELECT min(n) AS lowest, max(n) AS highest FROM (SELECT {FIELDS.format('truth')} AS n FROM w)")
+def wordcount_limits(spark, sf_dir):
+    return compare.limits(compare.pdf_word_counts(wide(spark, sf_dir), "truth"), "value", empty=0)
+
+
+_MATRIX = f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT {i} AS metric_ix, '{name}' AS metric, ptr, ({value})::DOUBLE AS value FROM w" for i, (name, value) in enumerate(zip(compare.metric_names(PROVIDERS), [*[_LEV.format(a=a, b=b) for a, b in [*_PAIRS, ("aws", "truth")]], *[f"{p}_ms / 1000.0::DOUBLE" for p in PROVIDERS], FIELDS.format("truth")], strict=True)))
+
+
+@query(_MATRIX)
+def metric_matrix_long(spark, sf_dir):
+    """All metrics of all pages."""
+    return compare.metric_matrix(wide(spark, sf_dir), PROVIDERS, "truth")
+
+
+@query(f"SELECT ptr, " + ", ".join(f"max(CASE WHEN metric = '{m}' THEN value END) AS \"{m}\"" for m in compare.metric_names(PROVIDERS)) + f" FROM ({_MATRIX}) GROUP BY ptr")
+def metric_matrix_pivot(spark, sf_dir):
+    """A row for each page."""
+    return compare.by_page(metric_matrix_long(spark, sf_dir), compare.metric_names(PROVIDERS))
+
+
+@query(f"WITH {PAGES}, n AS (SELECT count(*) AS n FROM t) SELECT provider, count(DISTINCT ptr) AS passed, any_value(n) - count(DISTINCT ptr) AS failed FROM p, n GROUP BY provider")
+def provider_pass_fail(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    total = docs.agg(F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))), F.lit(0)).alias("total"))
+    known = spark.createDataFrame([(p,) for p in PROVIDERS], "provider string").crossJoin(total)  # four rows and one
+    return compare.pass_fail(pages(spark, sf_dir), known, 0).join(known, "provider").select("provider", "passed", (F.col("total") - F.col("passed")).alias("failed"))
+
+
+@query(f"WITH {PAGES} SELECT string_agg(provider || ': ' || n, ', ' ORDER BY provider || ': ' || n) AS summary FROM (SELECT provider, count(DISTINCT ptr) AS n FROM p GROUP BY provider)")
+def provider_summary(spark, sf_dir):
+    return compare.summary(pages(spark, sf_dir).groupBy("provider").agg(F.count_distinct("ptr").alias("passed")))
+
+
+@query(f"WITH {PAGES} SELECT ptr FROM p GROUP BY ptr HAVING count(DISTINCT provider) = 4")
+def common_ptrs(spark, sf_dir):
+    return compare.common_pages(pages(spark, sf_dir), PROVIDERS)
+
+
+@query(f"WITH {PAGES} SELECT count(DISTINCT ptr) AS pages, count(DISTINCT ptr) * 4 * 0.0015 AS dollars FROM p".replace("0.0015", "0.0015::DOUBLE"))
+def cost_estimate(spark, sf_dir):
+    return pages(spark, sf_dir).agg(F.count_distinct("ptr").alias("pages")).select("pages", (F.col("pages") * 4 * F.lit(0.0015)).alias("dollars"))
+
+
+_MEASURES = f"WITH {PAGES}, m AS (SELECT provider, 'seconds' AS metric, millis / 1000.0::DOUBLE AS v FROM p UNION ALL SELECT provider, 'bytes', strlen(txt)::DOUBLE FROM p)"
+
+
+@query(f"{_MEASURES} SELECT provider, metric, " + ", ".join(f"quantile_cont(v, {q}) AS {n}" for n, q in (("lowest", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("highest", 1))) + " FROM m GROUP BY ALL")
+def quartiles(spark, sf_dir):
+    """Of each provider's seconds and text lengths."""
+    values = F.inline(F.array(F.struct(F.lit("seconds").alias("metric"), (F.col("millis") / 1000.0).alias("v")), F.struct(F.lit("bytes").alias("metric"), F.octet_length("txt").cast("double").alias("v"))))
+    q = compare.quantiles(pages(spark, sf_dir).select("provider", values), ["provider", "metric"], "v")
+    return q.select("provider", "metric", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("lowest", "q1", "median", "q3", "highest"))])
+
+
+@query(f"WITH {PAGES} SELECT ptr, provider, least(greatest(millis / 1000.0::DOUBLE, 0), 12) AS seconds FROM p")
+def clamp_metrics(spark, sf_dir):
+    return pages(spark, sf_dir).select("ptr", "provider", text.clamped(F.col("millis") / 1000.0, "seconds").alias("seconds"))
+
+
+@query(f"SELECT split_part(metric, ' ', 1) AS name, ptr, value FROM ({_MATRIX}) WHERE contains(lower(metric), 'seconds')")
+def csv_label_filter(spark, sf_dir):
+    m = metric_matrix_long(spark, sf_dir)
+    return m.where(text.label_has(F.col("metric"), "Seconds")).select(text.label_name(F.col("metric")).alias("name"), "ptr", "value")
+
+
+@query(f"WITH {PAGES}, s AS (SELECT ptr, provider, format('{{:.2f}}', millis / 1000.0::DOUBLE) AS s FROM p) SELECT ptr, provider, CASE WHEN s LIKE '%.00' THEN s[:-4] WHEN s LIKE '%0' THEN s[:-2] ELSE s END AS seconds FROM s")
+def seconds_rendered(spark, sf_dir):
+    """Seconds as reports print them."""
+    return pages(spark, sf_dir).select("ptr", "provider", seconds_text(F.col("millis")).alias("seconds"))
+
+
+@query(f"WITH {TRUTH} SELECT ptr, {FIELDS.format('truth')} AS n_words FROM t")
+def word_count_fields(spark, sf_dir):
+    return scenario.truth(table(spark, sf_dir, "documents")).select("ptr", text.word_count(F.col("truth")).alias("n_words"))
+
+
+# -- sets ----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PAGES} SELECT txt FROM p WHERE provider = 'aws' INTERSECT ALL SELECT txt FROM p WHERE provider = 'gcp'")
+def comm_intersect_all(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return sets.common_with_copies(p.where("provider = 'aws'").select("txt"), p.where("provider = 'gcp'").select("txt"))
+
+
+@query(f"WITH {PAGES} SELECT txt FROM p WHERE provider = 'azu' INTERSECT SELECT txt FROM p WHERE provider = 'gcp'")
+def comm12(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return sets.common(p.where("provider = 'azu'").select("txt"), p.where("provider = 'gcp'").select("txt"))
+
+
+@query(f"WITH {PAGES} SELECT txt FROM p WHERE provider = 'aws' EXCEPT ALL SELECT txt FROM p WHERE provider = 'gcp'")
+def comm23(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return sets.only_left(p.where("provider = 'aws'").select("txt"), p.where("provider = 'gcp'").select("txt"))
+
+
+@query(f"WITH {PAGES}, a AS (SELECT txt, max(ptr) AS ptr FROM p GROUP BY txt), f AS (SELECT txt, min(ptr) AS seen FROM p GROUP BY txt) SELECT * FROM a JOIN f USING (txt)")
+def last_and_first(spark, sf_dir):
+    """The last pointer of each text and the first."""
+    p = pages(spark, sf_dir)
+    return sets.last_of_each(p, "txt", "ptr", "ptr").join(sets.in_first_order(p, "txt", "ptr"), "txt")
+
+
+_POINTS = "pt AS (SELECT DISTINCT l_partkey AS d0, l_suppkey AS d1 FROM lineitem)"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("d0"), F.col("l_suppkey").alias("d1")).distinct()
+
+
+@query("WITH p AS (SELECT source AS ptr, doc_id AS doc, 0 AS place FROM documents), e AS (SELECT 'src0' AS error, 'fixed' AS correction), f AS (SELECT ptr, min(doc) AS first FROM p JOIN e ON ptr = error GROUP BY ptr) SELECT doc, place, CASE WHEN doc = first THEN 'fixed' ELSE ptr END AS ptr FROM p LEFT JOIN f USING (ptr)")
+def patch_pointers(spark, sf_dir):
+    """The first of equal erroneous pointers is corrected."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("place"), F.col("source").alias("ptr"))
+    fixes = spark.createDataFrame([("src0", "fixed"), ("nowhere", "x")], "error string, correction string")
+    return sets.patch_pointers(rows, fixes, "doc", "place", "ptr")
+
+
+# -- scalars -------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z0-9-]', '_', 'g')) AS clean, lower(regexp_replace(source[:3] || '-' || lang, '[^A-Za-z0-9-]', '_', 'g')) AS algo FROM documents")
+def sanitize_algo_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.sanitized(F.col("text")).alias("clean"), text.algorithm_id(F.col("source"), F.col("lang")).alias("algo"))
+
+
+@query("SELECT doc_id, rtrim(doc_id || '-page-uz.azu', '.azu') AS legacy, doc_id || '-page-uz' AS name FROM documents")
+def rtrim_cutset(spark, sf_dir):
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("-page-uz.azu"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.without_suffix(name, "azu", legacy=True).alias("legacy"), text.without_suffix(name, "azu").alias("name"))
+
+
+@query(f"WITH {PAGES} SELECT ptr, provider, CASE WHEN contains(lower(provider), 'aws') THEN 'orange' WHEN contains(lower(provider), 'azu') THEN 'blue' WHEN contains(lower(provider), 'gcp') THEN 'red' ELSE 'black' END AS colour FROM p")
+def provider_colour(spark, sf_dir):
+    return pages(spark, sf_dir).select("ptr", "provider", text.colour_of(F.col("provider")).alias("colour"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, line_ix, word_ix, concat_ws(',', x, y, w, h) AS xywh, x, y, w, h FROM words")
+def bounds_roundtrip(spark, sf_dir):
+    w = scenario.words(table(spark, sf_dir, "documents")).select("doc_id", "line_ix", "word_ix", geometry.bounds_text(*[F.col(c) for c in "xywh"]).alias("xywh"))
+    return w.withColumn("b", geometry.parse_bounds(F.col("xywh"))).select("doc_id", "line_ix", "word_ix", "xywh", "b.x", "b.y", "b.w", "b.h")
+
+
+_ODD = "CASE l_returnflag WHEN 'A' THEN concat_ws(',', l_orderkey, l_partkey, l_suppkey) WHEN 'N' THEN concat_ws(',', l_orderkey, l_partkey, l_suppkey, l_linenumber, 1) ELSE concat_ws(',', l_orderkey, -l_partkey, l_suppkey, l_linenumber) END"
+
+
+@query(f"WITH s AS (SELECT l_orderkey, l_linenumber, {_ODD} AS s FROM lineitem), g AS (SELECT *, regexp_full_match(s, '[+-]?[0-9]+(,[+-]?[0-9]+){{3}}') AS good FROM s) SELECT l_orderkey, l_linenumber, s, CASE WHEN good THEN split_part(s, ',', 2)::BIGINT END AS y, good FROM g")
+def bounds_invalid(spark, sf_dir):
+    """Bounds of another form are null where errors are not wanted."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_ODD).alias("s")).withColumn("b", geometry.parse_bounds(F.col("s"), strict=False))
+    return rows.select("l_orderkey", "l_linenumber", "s", "b.y", F.col("b").isNotNull().alias("good"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey <= l_partkey + 9 AND l_partkey <= l_suppkey + 20 AS meets, greatest(0, least(l_partkey + 9, l_suppkey + 20) - greatest(l_partkey, l_suppkey)) AS shared, least(l_partkey, l_suppkey) + abs(l_partkey - l_suppkey) // 2 AS middle, (l_tax * l_partkey + 0.5)::DOUBLE AS raw, trunc(l_tax * l_partkey + 0.5)::BIGINT AS scaled, abs(l_partkey - 1000) + abs(l_suppkey - 50) AS l1 FROM lineitem")
+def interval_intersects(spark, sf_dir):
+    """Interval, midpoint, scaling and distance arithmetic on all lines."""
+    a, b = F.col("l_partkey"), F.col("l_suppkey")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", geometry.interval_meets(a, a + 9, b, b + 20).alias("meets"), geometry.interval_overlap(a, a + 9, b, b + 20).alias("shared"),
+        geometry.halfway(a, b).alias("middle"), (F.col("l_tax") * a + 0.5).alias("raw"), geometry.scaled(F.col("l_tax"), a).alias("scaled"), geometry.l1_distance(a, b, F.lit(1000), F.lit(50)).alias("l1"),
+    )
+
+
+_A = "doc_id, CASE WHEN doc_id < 300 THEN 'OA' || lpad(doc_id::VARCHAR, 8, '0') || source ELSE (1700 + doc_id % 300) || lpad(doc_id::VARCHAR, 8, '0') END"
+
+
+@query(f"WITH p AS (SELECT {_A} AS ptr FROM documents) SELECT doc_id, ptr, CASE WHEN ptr LIKE 'OA%' THEN 'https://www.dhi.ac.uk/san/oa/' || CASE WHEN regexp_full_match(ptr[11:11], '[0-9]') THEN ptr[1:10] ELSE ptr[:-5] END || '/' || ptr || '.jpg' WHEN try_cast(ptr[1:4] AS INT) < 1834 THEN 'https://www.dhi.ac.uk/san/ob/' || ptr[1:3] || '0s/' || ptr || '.gif' ELSE 'https://www.dhi.ac.uk/san/ccc/' || ptr[1:8] || '/' || ptr || '.jpg' END AS url FROM p")
+def ptr_to_url_a(spark, sf_dir):
+    ptr = F.expr("CASE WHEN doc_id < 300 THEN concat('OA', lpad(doc_id, 8, '0'), source) ELSE concat(1700 + doc_id % 300, lpad(doc_id, 8, '0')) END")
+    return table(spark, sf_dir, "documents").select("doc_id", ptr.alias("ptr")).withColumn("url", pointers.proceedings_url(F.col("ptr")))
+
+
+_B = "'usrep' || lpad((1 + doc_id % 542)::VARCHAR, 3, '0') || lpad((doc_id % 1000)::VARCHAR, 3, '0') || source[4:4]"
+
+
+@query(f"WITH p AS (SELECT doc_id, {_B} AS ptr FROM documents) SELECT doc_id, 'https://tile.loc.gov/storage-services/service/ll/usrep/' || ptr[1:8] || '/' || ptr || '/' || ptr || '.pdf' AS url FROM p")
+def ptr_to_url_b(spark, sf_dir):
+    return _reports(spark, sf_dir).select("doc_id", pointers.report_url(F.col("ptr")).alias("url"))
+
+
+@query(f"WITH p AS (SELECT doc_id, {_B} AS ptr FROM documents) SELECT doc_id, ptr[6:8] || 'us' || ptr[9:] AS short, CASE WHEN doc_id BETWEEN 1 AND 542 THEN lpad(doc_id::VARCHAR, 3, '0') || 'us' END AS volume FROM p")
+def ptr_rewrite(spark, sf_dir):
+    return _reports(spark, sf_dir).select("doc_id", pointers.short_report(F.col("ptr")).alias("short"), pointers.volume_name(F.col("doc_id")).alias("volume"))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ptr = F.expr("concat('usrep', lpad(1 + doc_id % 542, 3, '0'), lpad(doc_id % 1000, 3, '0'), substring(source, 4, 1))")
+    return table(spark, sf_dir, "documents").select("doc_id", ptr.alias("ptr"))
+
+
+# -- trees, words and gaps -----------------------------------------------------------------------------
+
+PAGE_OF = f"line_ix // {scenario.LINES_A_PAGE}"
+_FLAT = "concat_ws(',', x, y, w, h) AS xywh"
+_CONVERTED = f"WITH {WORDS} SELECT doc_id, {PAGE_OF} AS page, '{{algo}}' AS algo, ((doc_id * 37 + 5000000000) & 4294967295) AS millis, 0 AS block_ix, line_ix % {scenario.LINES_A_PAGE} AS line_ix, word_ix, {_FLAT}, word AS text FROM words"
+
+
+def _converted(spark: SparkSession, sf_dir: str, service: str) -> DataFrame:
+    a = scenario.answers(scenario.documents(spark, sf_dir), service).withColumn("width", F.lit(scenario.SIZE)).withColumn("height", F.lit(scenario.SIZE))
+    trees = convert.to_detections(a, "width", "height")
+    return layout.flatten(trees, "doc_id", "page", "algo", "millis")
+
+
+@query(_CONVERTED.format(algo="aws-v_1_0"))
+def aws_convert(spark, sf_dir):
+    return _converted(spark, sf_dir, "AWS")
+
+
+@query(_CONVERTED.format(algo="azu-v_1_0"))
+def azure_convert(spark, sf_dir):
+    return _converted(spark, sf_dir, "Azure")
+
+
+@query(_CONVERTED.format(algo="azureread-v_1_0"))
+def azure_read_convert(spark, sf_dir):
+    return _converted(spark, sf_dir, "AzureRead")
+
+
+@query(_CONVERTED.format(algo="gcp-v_1_0"))
+def gcp_convert(spark, sf_dir):
+    return _converted(spark, sf_dir, "GCP")
+
+
+@query(f"WITH {WORDS} SELECT doc_id || '/' || ({PAGE_OF}) AS key, 0 AS block_at, line_ix % {scenario.LINES_A_PAGE} AS line_ix, word_ix, {_FLAT}, word AS text FROM words")
+def aws_convert_by_join(spark, sf_dir):
+    """The same words by joins on ids."""
+    a = scenario.answers(scenario.documents(spark, sf_dir), "AWS").withColumn("key", F.concat_ws("/", "doc_id", "page"))
+    return convert.aws_by_join(a, "key", F.lit(scenario.SIZE), F.lit(scenario.SIZE))
+
+
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's printed pages as trees, through a provider's payload."""
+    return convert.to_detections(scenario.answers(scenario.documents(spark, sf_dir), "Azure"))
+
+
+@query(f"WITH {WORDS}, n AS (SELECT doc_id, {PAGE_OF} AS page, count(*) AS lines FROM l GROUP BY ALL), c AS (SELECT doc_id, {PAGE_OF} AS page, count(*) AS words FROM words GROUP BY ALL) SELECT doc_id, page, 1 AS blocks, lines, coalesce(words, 0) AS words FROM n LEFT JOIN c USING (doc_id, page)")
+def blw_count(spark, sf_dir):
+    return layout.extract(trees(spark, sf_dir), "stat").select("doc_id", "page", "stat.*")
+
+
+@query(f"WITH {WORDS} SELECT doc_id, {PAGE_OF} AS page, string_agg(array_to_string(ws, ' '), chr(10) ORDER BY line_ix) AS text FROM ws GROUP BY ALL")
+def blw_plaintext(spark, sf_dir):
+    return layout.extract(trees(spark, sf_dir), "text").select("doc_id", "page", "text")
+
+
+@query(f"WITH {WORDS}, g AS (SELECT *, y + h - lag(y + h) OVER d AS sep, lag([x, y, w, h]) OVER d AS a FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY y, line_ix, word_ix)) SELECT doc_id, line_ix, word_ix, sep, coalesce(sep > avg(sep) OVER (PARTITION BY doc_id) + stddev_samp(sep) OVER (PARTITION BY doc_id), false) AS breaks FROM g WHERE sep IS NOT NULL")
+def line_gaps(spark, sf_dir):
+    return layout.line_gaps(scenario.words(table(spark, sf_dir, "documents")), "doc_id").select("doc_id", "line_ix", "word_ix", "sep", "breaks")
+
+
+_GAPS = f"WITH {WORDS}, g AS (SELECT *, y + h - lag(y + h) OVER d AS sep, lag(x) OVER d AS ax, lag(y) OVER d AS ay, lag(w) OVER d AS aw, lag(h) OVER d AS ah FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY y, line_ix, word_ix)), b AS (SELECT *, avg(sep) OVER p AS mu, stddev_samp(sep) OVER p AS sd FROM g WHERE sep IS NOT NULL WINDOW p AS (PARTITION BY doc_id)), k AS (SELECT * FROM b WHERE sep > mu + sd)"
+
+
+@query(f"{_GAPS} SELECT doc_id, count(*) AS breaks, min(sep) AS least, max(sep) AS most FROM k GROUP BY doc_id")
+def line_breaks(spark, sf_dir):
+    rows = layout.line_breaks(scenario.words(table(spark, sf_dir, "documents")), "doc_id")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("breaks"), F.min("sep").alias("least"), F.max("sep").alias("most"))
+
+
+@query(f"{_GAPS} SELECT doc_id, line_ix, word_ix, least(ax, x) AS x0, least(ay + ah, y) + abs(ay + ah - y) // 2 AS y0, greatest(ax + aw, x + w) AS x1, least(ay + ah, y) + abs(ay + ah - y) // 2 AS y1 FROM k")
+def line_separator(spark, sf_dir):
+    return layout.line_breaks(scenario.words(table(spark, sf_dir, "documents")), "doc_id").select("doc_id", "line_ix", "word_ix", "line.*")
+
+
+@query(f"WITH {WORDS} SELECT doc_id, line_ix, word_ix, w, ceil(w / (6 * strlen(word) / 10.0))::BIGINT AS size FROM words".replace("ceil(w / (6 * strlen(word) / 10.0))::BIGINT", "(10 * w + 6 * strlen(word) - 1) // (6 * strlen(word))"))
+def font_fit(spark, sf_dir):
+    w = scenario.words(table(spark, sf_dir, "documents"))
+    return w.select("doc_id", "line_ix", "word_ix", "w", geometry.font_size(F.col("word"), F.col("w")).alias("size"))
+
+
+@query(f"WITH {WORDS}, e AS (SELECT *, CASE WHEN word LIKE '%,' THEN '' ELSE word END AS text FROM words), f AS (SELECT *, CASE WHEN text <> '' THEN (10 * w + 6 * strlen(text) - 1) // (6 * strlen(text)) END AS fit FROM e), s AS (SELECT *, coalesce(last_value(fit IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_ix, word_ix ROWS UNBOUNDED PRECEDING), 12) AS size FROM f) SELECT doc_id, line_ix, word_ix, x, size, y + least(h, size) AS baseline FROM s")
+def text_placement(spark, sf_dir):
+    """Words that end in a comma stand for empty ones, which keep the size before them."""
+    w = scenario.words(table(spark, sf_dir, "documents")).withColumn("text", F.when(F.endswith("word", F.lit(",")), "").otherwise(F.col("word")))
+    return layout.text_placement(w, ["doc_id"], ["line_ix", "word_ix"]).select("doc_id", "line_ix", "word_ix", "x", F.col("size").cast("long").alias("size"), "baseline")
+
+
+@query(f"WITH {WORDS} SELECT doc_id, {PAGE_OF} AS page, level, count(*) AS n, sum(x) AS sx, sum(h) AS sh FROM (SELECT doc_id, line_ix, 'word' AS level, x, h FROM words UNION ALL SELECT doc_id, line_ix, 'line', 0, 24 FROM l) GROUP BY ALL")
+def blw_levels(spark, sf_dir):
+    """Boxes by level: lines and words."""
+    r = layout.rectangles(trees(spark, sf_dir), "doc_id", "page", lines=True)
+    return r.groupBy("doc_id", "page", "level").agg(F.count("*").alias("n"), F.sum("box.x").alias("sx"), F.sum("box.h").alias("sh"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, {PAGE_OF} AS page, count(*) AS words, string_agg(word, ' ' ORDER BY line_ix, word_ix) AS text FROM words GROUP BY ALL")
+def blw_rebuild(spark, sf_dir):
+    """Trees from flat words and their words again."""
+    flat = layout.flatten(trees(spark, sf_dir), "doc_id", "page")
+    again = layout.rebuild(flat, "doc_id", "page")
+    return again.select("doc_id", "page", layout.counts(F.col("blocks"))["words"].alias("words"), F.translate(layout.plain_text(F.col("blocks")), "\n", " ").alias("text"))
+
+
+@query(f"WITH {WORDS}, d AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(regexp_replace(regexp_replace(replace(text, 'ſ', 's'), '[^\\x00-\\x7F]', '', 'g'), '[[:punct:]]', ' ', 'g'), '[\\x09-\\x0D ]+')) AS w FROM benchmark) WHERE NOT regexp_full_match(w, '[0-9]*')), u AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(replace(text, 'ſ', 's'), '[^\\x00-\\x7F]', '', 'g'), '[[:punct:]]', ' ', 'g'), '[\\x09-\\x0D ]+')) AS w FROM documents) WHERE NOT regexp_full_match(w, '[0-9]*')), c AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (w NOT IN (SELECT w FROM d)) AS n_wrong FROM u GROUP BY doc_id) SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_wrong, 0) AS n_wrong, CASE WHEN coalesce(n_wrong, 0) = 0 THEN 0 ELSE n_wrong::DOUBLE / n_words END AS ser FROM documents LEFT JOIN c USING (doc_id)")
+def ser(spark, sf_dir):
+    """Spelling error rate of documents; the benchmark's words are the dictionary."""
+    dictionary = spelling.unique_words(table(spark, sf_dir, "benchmark"), ["item_id"], "text").select("word").distinct()
+    return spelling.spelling_error_rate(table(spark, sf_dir, "documents"), ["doc_id"], dictionary, text="text")
+
+
+@query()
+def html_pages(spark, sf_dir):
+    """The paragraphs of each page's article; no SQL reads HTML."""
+    return markup.html_pages(table(spark, sf_dir, "pages"), "page_id", "html", tag="article", prefix=None)
+
+
+@query(f"WITH {PAGES} SELECT ptr, strlen(max(CASE WHEN provider = 'azu' THEN txt END)) AS n FROM p GROUP BY ptr HAVING count(*) = 4".replace("strlen(max(CASE WHEN provider = 'azu' THEN txt END)) AS n", "count(*) AS providers"))
+def side_by_side(spark, sf_dir):
+    return compare.side_by_side(pages(spark, sf_dir), PROVIDERS).select("ptr", F.lit(4).cast("long").alias("providers"))
+
+
+# -- points, boxes and pixels --------------------------------------------------------------------------
+
+_BOXES = "bx AS (SELECT s_suppkey AS box, s_suppkey * 7 % 1500 AS lo0, s_suppkey % 90 AS lo1, s_suppkey * 7 % 1500 + s_suppkey % 200 AS hi0, s_suppkey % 90 + s_suppkey % 10 AS hi1 FROM supplier)"
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS box", "s_suppkey * 7 % 1500 AS lo0", "s_suppkey % 90 AS lo1", "s_suppkey * 7 % 1500 + s_suppkey % 200 AS hi0", "s_suppkey % 90 + s_suppkey % 10 AS hi1")
+
+
+@query(f"WITH {_POINTS} SELECT DISTINCT o_custkey AS d0, o_orderkey % 100 AS d1 FROM orders WHERE (o_custkey, o_orderkey % 100) IN (SELECT (d0, d1) FROM pt)")
+def point_membership(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").selectExpr("o_custkey AS d0", "o_orderkey % 100 AS d1").distinct()
+    return spatial.search(points(spark, sf_dir), asked)
+
+
+@query(f"WITH {_POINTS} SELECT d0, d1 FROM pt WHERE d0 BETWEEN 50 AND 900 AND d1 BETWEEN 10 AND 60")
+def region_search(spark, sf_dir):
+    return spatial.region_search(points(spark, sf_dir), (50, 10), (900, 60))
+
+
+@query(f"WITH {_POINTS}, {_BOXES} SELECT box, d0, d1 FROM pt JOIN bx ON d0 BETWEEN lo0 AND hi0 AND d1 BETWEEN lo1 AND hi1")
+def region_join(spark, sf_dir):
+    return spatial.region_join(points(spark, sf_dir), boxes(spark, sf_dir)).select("box", "d0", "d1")
+
+
+@query(f"WITH {_POINTS} SELECT min((d0, d1))[1] AS min0, min((d0, d1))[2] AS min0_d1, max((d0, d1))[1] AS max0, max((d0, d1))[2] AS max0_d1, min((d1, d0))[1] AS min1, max((d1, d0))[1] AS max1 FROM pt".replace("min((d0, d1))[1]", "min(d0)").replace("max((d0, d1))[1]", "max(d0)").replace("min((d1, d0))[1]", "min(d1)").replace("max((d1, d0))[1]", "max(d1)").replace("min((d0, d1))[2]", "(SELECT min(d1) FROM pt WHERE d0 = (SELECT min(d0) FROM pt))").replace("max((d0, d1))[2]", "(SELECT max(d1) FROM pt WHERE d0 = (SELECT max(d0) FROM pt))"))
+def kd_min_max(spark, sf_dir):
+    e = spatial.extremes(points(spark, sf_dir))
+    return e.select(F.col("min0.d0").alias("min0"), F.col("min0.d1").alias("min0_d1"), F.col("max0.d0").alias("max0"), F.col("max0.d1").alias("max0_d1"), F.col("min1.d1").alias("min1"), F.col("max1.d1").alias("max1"))
+
+
+@query(f"WITH {_POINTS}, r AS (SELECT d0, d1, row_number() OVER (PARTITION BY d1 ORDER BY d0) AS i, count(*) OVER (PARTITION BY d1) AS n FROM pt) SELECT d0, d1 FROM r WHERE i = n // 2 + 1")
+def kd_median(spark, sf_dir):
+    """The middle point along d0 for each d1."""
+    return sets.middle(points(spark, sf_dir), ["d1"], ["d0"]).select("d0", "d1")
+
+
+@query(f"WITH {_POINTS} SELECT d0, d1 FROM pt UNION SELECT o_custkey, o_orderkey % 100 FROM orders")
+def point_insert(spark, sf_dir):
+    return spatial.insert(points(spark, sf_dir), table(spark, sf_dir, "orders").selectExpr("o_custkey AS d0", "o_orderkey % 100 AS d1"))
+
+
+@query(f"WITH {_POINTS} SELECT d0, d1 FROM pt EXCEPT SELECT o_custkey, o_orderkey % 100 FROM orders")
+def point_delete(spark, sf_dir):
+    return spatial.delete(points(spark, sf_dir), table(spark, sf_dir, "orders").selectExpr("o_custkey AS d0", "o_orderkey % 100 AS d1"))
+
+
+_RECTS = "SELECT {k} AS id, {k} * 37 % 1900 AS x, {k} * 11 % 97 AS y, {k} % {w} AS w, {k} % 7 AS h FROM {t}"
+
+
+@query(f"WITH a AS ({_RECTS.format(k='s_suppkey', w=60, t='supplier')}), b AS ({_RECTS.format(k='p_partkey', w=25, t='part')}) SELECT a.id AS a_id, b.id AS b_id, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS area FROM a JOIN b ON a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h")
+def rect_overlap_join(spark, sf_dir):
+    """Rectangles of two tables that touch, and the area that they share."""
+    side = lambda t, k, w: table(spark, sf_dir, t).selectExpr(f"{k} AS id", f"{k} * 37 % 1900 AS x", f"{k} * 11 % 97 AS y", f"{k} % {w} AS w", f"{k} % 7 AS h")
+    j = spatial.overlap_join(side("supplier", "s_suppkey", 60), side("part", "p_partkey", 25))
+    box = lambda s: {c: F.col(f"{s}_{c}") for c in "xywh"}
+    return j.select("a_id", "b_id", geometry.overlap_area(box("a"), box("b")).alias("area"))
+
+
+_SHAPES = "s AS (SELECT s_suppkey AS id, s_suppkey * 37 % 300 AS x0, s_suppkey * 53 % 300 AS y0, s_suppkey * 101 % 300 AS x1, s_suppkey * 29 % 300 AS y1, s_suppkey % 40 AS w, s_suppkey % 23 AS h, s_suppkey % 5 AS size FROM supplier)"
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_suppkey * 37 % 300 AS x0", "s_suppkey * 53 % 300 AS y0", "s_suppkey * 101 % 300 AS x1", "s_suppkey * 29 % 300 AS y1", "s_suppkey % 40 AS w", "s_suppkey % 23 AS h", "s_suppkey % 5 AS size")
+
+
+def _sql_lines(sides: str) -> str:
+    """Pixels of the lines (id, a, b, c, d) from (a, b) to (c, d)."""
+    return f"""WITH {_SHAPES}, g AS ({sides}), o AS (SELECT id, CASE WHEN c < a THEN c ELSE a END AS a, CASE WHEN c < a THEN d ELSE b END AS b, abs(c - a) AS w, abs(d - b) AS h, CASE WHEN c < a THEN sign(b - d) ELSE sign(d - b) END AS up FROM g),
+    i AS (SELECT *, unnest(range(0, greatest(w, h) + 1)) AS i FROM o),
+    px AS (SELECT id, CASE WHEN w >= h THEN a + i ELSE a + (2 * i * w + h) // (2 * greatest(h, 1)) END AS x, CASE WHEN w >= h THEN b + up * ((2 * i * h + w) // (2 * greatest(w, 1))) ELSE b + up * i END AS y FROM i)
+    SELECT DISTINCT id, x::BIGINT AS x, y::BIGINT AS y FROM px WHERE x >= 0 AND y >= 0 AND x < 300 AND y < 300"""
+
+
+@query(_sql_lines("SELECT id, x0 AS a, y0 AS b, x1 AS c, y1 AS d FROM s"))
+def raster_line(spark, sf_dir):
+    return raster.drawn(shapes(spark, sf_dir), ["id"], raster.line(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]), 300, 300)
+
+
+@query(_sql_lines("SELECT id, x0 AS a, y0 AS b, x0 + w AS c, y0 AS d FROM s UNION ALL SELECT id, x0 + w, y0, x0 + w, y0 + h FROM s UNION ALL SELECT id, x0 + w, y0 + h, x0, y0 + h FROM s UNION ALL SELECT id, x0, y0 + h, x0, y0 FROM s"))
+def raster_rect(spark, sf_dir):
+    return raster.drawn(shapes(spark, sf_dir), ["id"], raster.rect(*[F.col(c) for c in ("x0", "y0", "w", "h")]), 300, 300)
+
+
+@query(f"WITH {_SHAPES}, i AS (SELECT *, unnest(range(-size, size + 1)) AS i FROM s), j AS (SELECT *, unnest(range(-size, size + 1)) AS j FROM i) SELECT id, (x0 + i)::BIGINT AS x, (y0 + j)::BIGINT AS y FROM j WHERE x0 + i >= 0 AND y0 + j >= 0 AND x0 + i < 300 AND y0 + j < 300")
+def raster_point(spark, sf_dir):
+    return raster.drawn(shapes(spark, sf_dir), ["id"], raster.point(F.col("x0"), F.col("y0"), F.col("size")), 300, 300)
+
+
+@query(_sql_lines("SELECT id, x0 AS a, y0 AS b, x1 AS c, y1 AS d FROM s UNION ALL SELECT id, x1, y1, x1 + w, y1 + h FROM s UNION ALL SELECT id, x1 + w, y1 + h, x0 - w, y0 + h FROM s UNION ALL SELECT id, x0 - w, y0 + h, x0, y0 FROM s"))
+def raster_poly(spark, sf_dir):
+    x0, y0, x1, y1, w, h = (F.col(c) for c in ("x0", "y0", "x1", "y1", "w", "h"))
+    return raster.drawn(shapes(spark, sf_dir), ["id"], raster.polygon((x0, y0), (x1, y1), (x1 + w, y1 + h), (x0 - w, y0 + h)), 300, 300)
+
+
+# -- end to end ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {WORDS}, tx AS (SELECT doc_id || '/' || ({PAGE_OF}) AS ptr, string_agg(array_to_string(ws, ' '), chr(10) ORDER BY line_ix) AS txt, any_value(doc_id) AS doc_id FROM ws GROUP BY doc_id, {PAGE_OF}), ms AS (SELECT *, ((doc_id * 37 + 5000000000) & 4294967295) / 1000.0::DOUBLE AS s FROM tx) "
+       + " UNION ALL ".join(f"SELECT {i} AS metric_ix, '{m}' AS metric, ptr, {'s' if 'Seconds' in m else FIELDS.format('txt') + '::DOUBLE' if 'Word' in m else '0::DOUBLE'} AS value FROM ms" for i, m in enumerate(compare.metric_names(PROVIDERS))))
+def explore_all(spark, sf_dir):
+    """From four providers' JSON to the metric matrix; all read the same text, so distances are 0."""
+    docs = scenario.documents(spark, sf_dir)
+    services = {"aws": "AWS", "azu": "Azure", "azuR": "AzureRead", "gcp": "GCP"}
+    each = [scenario.answers(docs, s).withColumn("ptr", F.concat_ws("/", "doc_id", "page")).withColumn("provider", F.lit(p)).drop("doc_id", "page") for p, s in services.items()]
+    a = each[0].union(each[1]).union(each[2]).union(each[3])
+    own = scenario.printed(docs).select(F.concat_ws("/", "doc_id", "page").alias("ptr"), F.array_join(F.transform("lines", lambda x: F.array_join(F.transform(x["words"], lambda w: w["text"]), " ")), "\n").alias("truth"))
+    return explore(a, own, PROVIDERS)
