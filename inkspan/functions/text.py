@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Widths tried before the whole edit matrix; most readings of a page differ in few bytes.
-BANDS = (16, 128)
+BANDS = (16, 128, 1024)
 
 
 def latin1(text: Column) -> Column:
@@ -17,14 +17,14 @@ def latin1(text: Column) -> Column:
 def byte_levenshtein(a: Column, b: Column, bands: tuple[int, ...] = BANDS) -> Column:
     """Edit distance in bytes, unit costs; null if either side is.
 
-    Equal texts cost nothing, and a narrow band of the matrix is tried before a wider one; a distance within
-    the band is exact, so the result is that of the whole matrix.
+    Equal texts cost nothing, and where a band of the matrix is a small part of it, the band is tried first; a
+    distance within a band is exact, so the result is that of the whole matrix.
     """
     x, y = latin1(a), latin1(b)
     out = F.levenshtein(x, y)
     for k in reversed(bands):
         within = F.get(F.array_remove(F.array(F.levenshtein(x, y, k)), -1), F.lit(0))
-        out = F.coalesce(within, out)
+        out = F.coalesce(F.when(F.octet_length(a) > 8 * k, within), out)
     return F.when(a == b, F.lit(0)).otherwise(out)
 
 

@@ -22,11 +22,22 @@ def chosen(pages: DataFrame, providers: list[str]) -> DataFrame:
     return pages.where(F.col("provider").isin(providers))
 
 
+def dealt(pages: DataFrame) -> DataFrame:
+    """Rows by page over a fixed number of partitions, the one shuffle of a comparison.
+
+    Distances cost time by the square of a text's length, so partitions that are small in bytes must not be
+    put together; pages are unique, so there is nothing to add up before the shuffle.
+    """
+    spark = pages.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return pages.repartition(n, "ptr")
+
+
 def side_by_side(pages: DataFrame, providers: list[str], complete: bool = True) -> DataFrame:
     """ptr and, for each provider, struct(txt, millis); of several rows of a page and provider the slowest
     counts. complete: only pages that all providers have."""
     cell = lambda p: F.max(F.when(F.col("provider") == p, F.struct("millis", "txt"))).alias(p)
-    wide = chosen(pages, providers).groupBy("ptr").agg(*[cell(p) for p in providers])
+    wide = dealt(chosen(pages, providers)).groupBy("ptr").agg(*[cell(p) for p in providers])
     return wide.where(reduce(lambda a, b: a & b, [F.col(p).isNotNull() for p in providers])) if complete else wide
 
 

@@ -52,7 +52,7 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = scenario.page_text(table(spark, sf_dir, "documents"), with_truth=True)
     own = F.max("truth").alias("truth")
     both = [F.max(F.when(F.col("provider") == p, F.struct("millis", "txt"))).alias(p) for p in PROVIDERS]
-    out = cells.groupBy("ptr").agg(own, *both)
+    out = compare.dealt(cells).groupBy("ptr").agg(own, *both)
     for p in PROVIDERS:
         out = out.where(F.col(p).isNotNull())
     return out
@@ -155,7 +155,7 @@ def clamp_metrics(spark, sf_dir):
 
 @query(f"SELECT split_part(metric, ' ', 1) AS name, ptr, value FROM ({_MATRIX}) WHERE contains(lower(metric), 'seconds')")
 def csv_label_filter(spark, sf_dir):
-    m = metric_matrix_long(spark, sf_dir)
+    m = compare.seconds(wide(spark, sf_dir), PROVIDERS)
     return m.where(text.label_has(F.col("metric"), "Seconds")).select(text.label_name(F.col("metric")).alias("name"), "ptr", "value")
 
 
