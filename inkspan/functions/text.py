@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Widths tried before the whole edit matrix; most readings of a page differ in few bytes.
-BANDS = (16, 128, 1024)
+#: Bands tried before the whole edit matrix, as parts of the text's bytes; most readings differ in few.
+BANDS = (1 / 64, 1 / 8)
 
 
 def latin1(text: Column) -> Column:
@@ -14,17 +14,18 @@ def latin1(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def byte_levenshtein(a: Column, b: Column, bands: tuple[int, ...] = BANDS) -> Column:
+def byte_levenshtein(a: Column, b: Column, bands: tuple[float, ...] = BANDS) -> Column:
     """Edit distance in bytes, unit costs; null if either side is.
 
-    Equal texts cost nothing, and where a band of the matrix is a small part of it, the band is tried first; a
-    distance within a band is exact, so the result is that of the whole matrix.
+    Equal texts cost nothing, and bands of the matrix are tried before the whole; a distance within a band is
+    exact, so the result is that of the whole matrix.
     """
     x, y = latin1(a), latin1(b)
     out = F.levenshtein(x, y)
-    for k in reversed(bands):
-        within = F.get(F.array_remove(F.array(F.levenshtein(x, y, k)), -1), F.lit(0))
-        out = F.coalesce(F.when(F.octet_length(a) > 8 * k, within), out)
+    for part in reversed(bands):
+        width = F.greatest(F.octet_length(a) * part, F.lit(8)).cast("int")
+        within = F.get(F.array_remove(F.array(F.call_function("levenshtein", x, y, width)), -1), F.lit(0))
+        out = F.coalesce(within, out)
     return F.when(a == b, F.lit(0)).otherwise(out)
 
 
