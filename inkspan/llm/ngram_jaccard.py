@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import Scratch, components, small_enough, without
-from inkspan.llm.words import flat, lists, runs, words
+from inkspan.llm.words import flat, lists, portions, runs, words
 
 #: Sets in one block of a tile.
 BLOCK = 512
@@ -71,7 +71,7 @@ def region(n: int, percent: int) -> float:
 
 def _listed(k: int, percent: int):
     def make(batches):
-        for b in batches:
+        for b in portions(batches, 1):
             n, fp, listed, judged = [], [], [], []
             for s in shingle_sets(b.column(1), k):
                 n.append(len(s))
@@ -88,7 +88,7 @@ def _listed(k: int, percent: int):
 
 def _sets(k: int):
     def make(batches):
-        for b in batches:
+        for b in portions(batches, 1):
             sets = [s for s in shingle_sets(b.column(1), k) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array(map(fingerprint, sets), pa.int64()), lists(sets)], names=["fp", "tokens"])
 
