@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import Scratch, without
-from inkspan.llm.words import flat, runs, words
+from inkspan.llm.words import flat, portions, runs, words
 
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -37,7 +37,7 @@ _BLANK = b" \t\n\x0b\x0c\r"
 
 
 def _count(batches):
-    for b in batches:
+    for b in portions(batches, 3):
         data, ends = flat(b.column(3))
         h, start, stop, at = words(data, ends, lower=False)
         three = runs(h, 3)
