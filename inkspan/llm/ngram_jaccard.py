@@ -55,7 +55,8 @@ def shingle_sets(texts, k: int) -> Iterator[np.ndarray]:
 
 
 def fingerprint(tokens: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), len(tokens))).astype(np.int64))
+    """63 bits of a hash; the lowest is left free."""
+    return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), len(tokens)) & ~1).astype(np.int64))
 
 
 def least(n: int, percent: int) -> int:
@@ -184,9 +185,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     left, part = scratch.save(sets, "left-0"), listed.where("n > 0").select("fp", "judged", "listed")
     n_left = left.count()
     for i in range(1, 9):
-        seen = part.select(F.explode("listed").alias("token"), "fp", "judged").groupBy("token").agg(F.min("fp").alias("fp"), F.max("fp").alias("most"), F.min("judged").alias("judged"))
-        # tokens are unsigned; with the sign bit turned they compare as such
-        own = seen.where((F.col("fp") == F.col("most")) & (F.col("token").bitwiseXOR(F.lit(-(2**63))) < F.col("judged"))).groupBy("fp").agg(F.count("*").alias("own"))
+        # a token's place inside its set's own region takes the fingerprint's free bit; tokens
+        # are unsigned, and with the sign bit turned they compare as such
+        judged = F.col("token").bitwiseXOR(F.lit(-(2**63))) < F.col("judged")
+        marked = F.col("fp") + F.when(judged, 1).otherwise(0)
+        seen = part.select(F.explode("listed").alias("token"), "fp", "judged").select("token", marked.alias("fp"))
+        seen = seen.groupBy("token").agg(F.min("fp").alias("fp"), F.max("fp").alias("most"))
+        own = seen.where((F.col("fp") == F.col("most")) & (F.col("fp") % 2 != 0)).groupBy((F.col("fp").bitwiseAND(F.lit(-2))).alias("fp")).agg(F.count("*").alias("own"))
         left = left.join(own, "fp", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - F.expr(f"({percent} * n + 99) div 100"))
         left = scratch.save(left.select("fp", "n", "rep", "judged"), f"left-{i}")
         before, n_left = n_left, left.count()
@@ -210,9 +215,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         scratch.drop("texts")
     rows = tokens.select("fp", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
     rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
-    shared = rows.groupBy("fp").agg(F.first("n").alias("n"), F.count("*").alias("s"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    # how common a token is (by doublings) before the token, in one number: rare ones first. Tokens that agree
+    # in all but seven bits share a tile, which costs a comparison and no link.
+    rank = (F.shiftleft(F.length(F.bin("df")).cast("long"), 57) + F.shiftrightunsigned("token", 7)).alias("rank")
+    shared = rows.select("fp", "n", rank).groupBy("fp").agg(F.first("n").alias("n"), F.count("*").alias("s"), F.array_sort(F.collect_list("rank")).alias("shared"))
     take = F.expr(f"greatest(0L, s - ({percent} * n + 99) div 100 + 1)").cast("int")
-    shared = shared.where(f"s >= ({percent} * n + 99) div 100").select("fp", "n", "s", F.transform(F.slice("shared", F.lit(1), take), lambda x: x["token"]).alias("keys"))
+    shared = shared.where(f"s >= ({percent} * n + 99) div 100").select("fp", "n", "s", F.slice("shared", F.lit(1), take).alias("keys"))
     shared = scratch.save(shared, "shared")
     tiles = shared.select(F.explode("keys").alias("key"), "fp", "n", "s")
 
@@ -220,7 +228,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pivot = F.min(F.struct(F.expr("n - s").alias("own"), "n", "fp", "s")).over(Window.partitionBy("key"))
     star = tiles.withColumn("p", pivot).where("p.fp <> fp").where(_may_link("n", "s", "p.n", "p.s", percent))
     star = star.groupBy("fp", F.col("p.fp").alias("pivot")).agg(F.count("*").alias("hits")).groupBy("fp").agg(F.max(F.struct("hits", "pivot")).alias("best"))
-    links = scratch.save(_verify(star.select(F.col("best.pivot").alias("a"), F.col("fp").alias("b")), tokens, percent), "star")
+    star = scratch.save(star.select(F.col("best.pivot").alias("a"), F.col("fp").alias("b")), "star-pairs")
+    links = scratch.save(_verify(star, tokens, percent), "star")
     roots = components(links, scratch, "star-cc")
 
     # 5. tiles with several components: bands and blocks, bit counts, then exact intersections
@@ -245,9 +254,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     down = F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda o: F.struct((F.col("band") - 1).alias("lo"), o.alias("i"), F.col("band").alias("hi"), F.col("block").alias("j"), F.lit(1).alias("side"), F.lit(False).alias("one")))
     none = F.expr("array()").cast("array<struct<lo:int,i:int,hi:int,j:int,side:int,one:boolean>>")
     placed = placed.select("key", "fp", "n", "s", "root", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))).alias("t"))
-    bits = scratch.save(tokens.join(banded.select("fp").distinct(), "fp", "left_semi").mapInArrow(_bitmaps(), "fp long, bits binary"), "bits")
+    bits = scratch.save(_asked(tokens, scratch.save(banded.select("fp").distinct(), "asked")).mapInArrow(_bitmaps(), "fp long, bits binary"), "bits")
     placed = placed.join(bits, "fp").select("key", "fp", "n", "s", "root", "t.*", "bits")
-    found = placed.groupBy("key", "lo", "i", "hi", "j").applyInArrow(_tile(percent), "a long, b long").distinct()
+    found = scratch.save(placed.groupBy("key", "lo", "i", "hi", "j").applyInArrow(_tile(percent), "a long, b long").distinct(), "found")
     more = scratch.save(_verify(found, tokens, percent), "more")
     roots = components(links.union(more), scratch, "all-cc")
 
@@ -268,10 +277,17 @@ def _may_link(n: str, s: str, pn: str, ps: str, percent: int, sizes: bool = True
     return fits & F.expr(f"100 * least({n}, {pn}) >= {percent} * greatest({n}, {pn})") if sizes else fits
 
 
+def _asked(tokens: DataFrame, fps: DataFrame) -> DataFrame:
+    """The sets whose fingerprints a stored table (fp) has; it is broadcast if it is small, so that sets stay
+    where they are."""
+    fps = fps.distinct()
+    return tokens.join(F.broadcast(fps) if small_enough(fps, BROADCAST_ROWS) else fps, "fp", "left_semi")
+
+
 def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by intersecting sorted arrays."""
-    x = tokens.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
-    y = tokens.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
+    """The pairs (a, b) of a stored table whose sets link, by intersecting sorted arrays."""
+    x = _asked(tokens, pairs.select(F.col("a").alias("fp"))).select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
+    y = _asked(tokens, pairs.select(F.col("b").alias("fp"))).select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_intersect(percent), "a long, b long")
 
 
