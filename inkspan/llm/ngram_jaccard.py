@@ -178,11 +178,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     # 1. sets, fingerprints and regions
     listed = scratch.save(pairs_of.mapInArrow(_listed(k, percent), "id long, n long, fp long, judged long, listed array<long>"), "listed")
-    every = listed.select("id", "n", "fp")
+    every = scratch.save(listed.select("id", "n", "fp"), "every")
     sets = listed.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.min("judged").alias("judged"))
+    sets = scratch.save(sets, "sets")
 
     # 2. sets with too many shingles of their own in the region; what is ruled out counts no more for the rest
-    left, part = scratch.save(sets, "left-0"), listed.where("n > 0").select("fp", "judged", "listed")
+    left, part = sets, listed.where("n > 0").select("fp", "judged", "listed")
     n_left = left.count()
     for i in range(1, 9):
         # a token's place inside its set's own region takes the fingerprint's free bit; tokens
@@ -200,7 +201,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         few = left.select("fp")
         few = F.broadcast(few) if n_left <= BROADCAST_ROWS else few
         part = scratch.save(part.join(few, "fp", "left_semi"), f"part-{i}")
-        scratch.drop(f"left-{i - 1}", f"part-{i - 1}")
+        scratch.drop(f"left-{i - 1}", f"part-{i - 1}", "listed")
+    scratch.drop("listed", *[f"part-{i}" for i in range(1, 9)])
     left = left.select("fp", "n", "rep")
 
     # 3. whole sets of the rest, each from the text of its smallest id
