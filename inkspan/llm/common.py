@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: One regular expression for a word, the same in Java and in DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that Spark hands to Python at once while a scratch table is written: texts and lists of hashes are
+#: long, and both sides hold a batch in memory.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,7 +46,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(BATCH_CONF)
+        self.spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(before))))
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_CONF, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

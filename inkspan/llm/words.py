@@ -50,7 +50,7 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def portions(batches, column: int, limit: int = 4 << 20):
+def portions(batches, column: int, limit: int = 1 << 20):
     """The batches cut into rows of about ``limit`` bytes of text, so that arrays beside it stay small."""
     for b in batches:
         _, ends = flat(b.column(column))
@@ -61,7 +61,7 @@ def portions(batches, column: int, limit: int = 4 << 20):
             i = j
 
 
-def words(data: np.ndarray, ends: np.ndarray, lower: bool, chunk: int = 1 << 20):
+def words(data: np.ndarray, ends: np.ndarray, lower: bool, chunk: int = 1 << 18):
     """(hash, start, end) of every word, and the index of each text's first word.
 
     Works in slices of about ``chunk`` bytes, cut before a word, so memory doesn't follow the longest text.
