@@ -6,19 +6,20 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def fixed(value: Column, places: int) -> Column:
     """printf's %.<places>f; null stays null."""
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def make(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if pd.isna(v) else f"{v:.{places}f}")
 
     return make(value.cast("double"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def seconds_text(millis: pd.Series) -> pd.Series:
     """Milliseconds as seconds with up to two decimals: .00, or else one 0 at the end, goes."""
 
