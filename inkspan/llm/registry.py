@@ -32,7 +32,7 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a tree that learns from four fifths of them."""
-    return score(table(spark, sf_dir, "documents"), depth=2, p_min=1e-5)
+    return score(table(spark, sf_dir, "documents"), depth=2, min_count=5)
 
 
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

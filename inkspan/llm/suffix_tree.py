@@ -1,17 +1,19 @@
 """Probabilistic suffix tree over words: variable-length contexts, smoothed, scored by the longest one.
 
 Tokens are a text's words and one end; a text is read as if an end stood before it. The root gives the
-smoothed frequency of a token. A context of d words is a candidate if it, with one more token, makes up at
-least ``p_min`` of the training tokens; levels grow from the frequent grams of the level below, so each has at
-most 1 / p_min grams however large the corpus is, and that bound is what is sent to the tasks. A context is
-kept if its next-token distribution diverges from that of its longest kept suffix by ``divergence`` nats or
-more (tokens without a frequent gram count as one symbol, so the estimate is a lower bound).
+smoothed frequency of a token. A context of d words is a candidate if it, with one more token, is seen at least
+``min_count`` times in the training texts (``p_min`` asks for that share of all tokens besides; 0 asks for
+none). A context is kept if its next-token distribution diverges from that of its longest kept suffix by
+``divergence`` nats or more (tokens without a frequent gram count as one symbol, so the estimate is a lower
+bound).
 
 In a kept context a frequent gram has (n + smooth * q) / (N + smooth), where q is what the suffix says; all
 other tokens share what is left in the proportions of the suffix, so the probabilities add up to 1.
 
-Word counts know no such bound. They stay in a table, and each block of documents is joined with the counts
-of its own words.
+Words, grams and contexts grow with the corpus and stay in tables: a level is joined with the level below
+by context and by suffix, and each block of documents with what it holds of words, grams and contexts. A filter
+of fixed size goes to every task, so that grams with an infrequent part aren't counted and grams that the tree
+lacks aren't asked for; a full filter costs time, not results.
 
 Defined cases: null and empty texts are one end; a null id is held out or not by the checksum of the empty
 text; rows that repeat are counted and scored each; without training rows every token has the same
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import Scratch, block_of, n_blocks
-from inkspan.llm.words import flat, portions, words
+from inkspan.llm.words import flat, mix, portions, words
 
 #: Text in a block, about.
 BLOCK_BYTES = 8 << 20
 #: Stands for the end of a text among the words' hashes.
 END = np.uint64(0x243F6A8885A308D3)
+#: Chunks of the filter and bits in a chunk, as powers of 2: 8 MB, whatever the tree's size.
+CHUNKS, CHUNK_BITS = 10, 16
 
 
 def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -83,19 +87,109 @@ def _word_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
-def _gram_counts(names: np.ndarray, levels: list[np.ndarray]):
+def gram_key(context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The key of a context followed by a token; a single token is its own key."""
+    return mix(mix(context + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F) + last)
+
+
+def outside_key(context: np.ndarray) -> np.ndarray:
+    """The key under which a kept context is stored beside its grams."""
+    return mix(context ^ np.uint64(0xA4093822299F31D0))
+
+
+def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each key: its chunk of the filter and two bits in it."""
+    low = np.uint64(2**CHUNK_BITS - 1)
+    x = mix(key)
+    return (x >> np.uint64(64 - CHUNKS)).astype(np.int64), (x & low).astype(np.int64), ((x >> np.uint64(CHUNK_BITS)) & low).astype(np.int64)
+
+
+def _chunks(batches):
+    for b in batches:
+        key = b.column(0).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(_places(key.view(np.uint64))[0].astype(np.int32)), pa.array(key)], names=["chunk", "key"])
+
+
+def _chunk_bits(t: pa.Table) -> pa.Table:
+    _, one, two = _places(t.column("key").to_numpy().view(np.uint64))
+    bits = np.zeros(2**CHUNK_BITS, dtype=np.uint8)
+    bits[one] = bits[two] = 1
+    return pa.table({"chunk": t.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def make_filter(keys: DataFrame) -> bytes:
+    """The filter of one column of keys; of whatever size these are, 2**CHUNKS rows reach the driver at most."""
+    found = keys.mapInArrow(_chunks, "chunk int, key long").groupBy("chunk").applyInArrow(_chunk_bits, "chunk int, bits binary")
+    empty = bytes(2**CHUNK_BITS // 8)
+    parts = dict(tuple(r) for r in found.toLocalIterator())
+    return b"".join(parts.get(c, empty) for c in range(2**CHUNKS))
+
+
+def has(shared: bytes, key: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each key."""
+    bits = np.frombuffer(shared, np.uint8)
+    chunk, one, two = _places(key)
+    out = np.ones(len(key), dtype=bool)
+    for bit in (one, two):
+        out &= (bits[(chunk << (CHUNK_BITS - 3)) + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def keys_at(token: np.ndarray, at: np.ndarray, depth: int):
+    """For each depth: (context's key, key of the context and the token, whether the text has that context) at each token."""
+    context = np.empty_like(token)
+    context[1:] = token[:-1]
+    context[at[:-1]] = END
+    place = np.arange(len(token)) - np.repeat(at[:-1], np.diff(at))
+    out = []
+    for d in range(depth):
+        gram = gram_key(context, token)
+        out.append((context, gram, place >= d))  # the end before a text is one token
+        context = np.empty_like(gram)
+        context[1:] = gram[:-1]
+        context[:1] = END
+    return out
+
+
+def _gram_counts(level: int, shared: bytes):
+    """Counts of grams of ``level`` + 1 tokens whose first and last ``level`` tokens may both be frequent."""
+
     def make(batches):
+        end = bool(has(shared, np.array([END]))[0])
         for b in portions(batches, 0):
             token, at = tokens(b.column(0))
-            key = contexts(names, levels, token, at)[-1][1]
-            key, n = np.unique(key[key >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["gram", "n"])
+            levels = keys_at(token, at, level)
+            context, gram, ok = levels[-1]
+            last = has(shared, token if level == 1 else levels[-2][1])
+            first = np.empty_like(last)
+            first[1:] = last[:-1]
+            if level == 1:
+                first[at[:-1]] = end
+            i = np.flatnonzero(ok & first & last)
+            _, j, n = np.unique(gram[i], return_index=True, return_counts=True)
+            i = i[j]
+            yield pa.RecordBatch.from_arrays([pa.array(context[i].view(np.int64)), pa.array(token[i].view(np.int64)), pa.array(n)], names=["context", "last", "n"])
 
     return make
 
 
+def _with_keys(batches):
+    """Adds each gram's key and that of its last tokens, from its context's last tokens (null: none, at a word)."""
+    for b in batches:
+        context, last = (b.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+        tail = last
+        if b.num_rows and b.column(4)[0].is_valid:
+            tail = gram_key(b.column(4).to_numpy().view(np.uint64), last)
+        yield pa.RecordBatch.from_arrays([pa.array(gram_key(context, last).view(np.int64)), b.column(0), pa.array(tail.view(np.int64)), b.column(2), b.column(3)], names=["gram", "context", "tail", "n", "whole"])
+
+
+def _outside(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(outside_key(b.column(0).to_numpy().view(np.uint64)).view(np.int64)), b.column(1)], names=["key", "value"])
+
+
 class Tree:
-    """The kept contexts and their distributions, as sorted arrays of bounded size."""
+    """The kept contexts and their distributions as sorted arrays, for texts that fit into memory."""
 
     def __init__(self, total: int, vocabulary: int, names: np.ndarray, name_counts: np.ndarray, smooth: float, divergence: float):
         self.total, self.vocabulary, self.names, self.smooth, self.divergence = total, vocabulary, names, smooth, divergence
@@ -145,49 +239,86 @@ class Tree:
         return out
 
 
-def _block_words(t: pa.Table) -> pa.Table:
-    token, _ = tokens(t.column("text"))
-    w = np.unique(token)
-    return pa.table({"block": pa.array(np.full(len(w), t.column("block")[0].as_py()), pa.int32()), "word": w.view(np.int64)})
+def _block_keys(depth: int, shared: bytes):
+    def make(t: pa.Table) -> pa.Table:
+        token, at = tokens(t.column("text"))
+        asked = [np.unique(token)]
+        for context, gram, ok in keys_at(token, at, depth):
+            out = outside_key(context)
+            i = np.flatnonzero(ok)
+            i = i[has(shared, out[i])]
+            asked += [np.unique(out[i]), np.unique(gram[i][has(shared, gram[i])])]
+        key = np.concatenate(asked)
+        return pa.table({"block": pa.array(np.full(len(key), t.column("block")[0].as_py()), pa.int32()), "key": key.view(np.int64)})
+
+    return make
 
 
-def _scores(tree: Tree):
-    def make(docs: pa.Table, counts: pa.Table) -> pa.Table:
+def _scores(depth: int, shared: bytes, total: int, vocabulary: int):
+    def make(docs: pa.Table, found: pa.Table) -> pa.Table:
         token, at = tokens(docs.column("text"))
-        word = counts.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        n = counts.column("n").to_numpy()[order]
-        i = look(word[order], token)
-        c = np.where(i >= 0, n[i] if len(n) else 0, 0)
-        log_root = np.log10(tree.root(c))
+        key = found.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        key, value = key[order], found.column("value").to_numpy()[order]
+
+        def of(asked):
+            i = look(key, asked)
+            return np.where(i >= 0, value[i], np.nan) if len(value) else np.full(len(asked), np.nan)
+
+        n = np.nan_to_num(of(token))
+        log_root = np.log10((n + 0.5) / (total + 0.5 * (vocabulary + 1)))
+        best = log_root.copy()
+        for context, gram, ok in keys_at(token, at, depth):
+            i = np.flatnonzero(ok)
+            out = outside_key(context[i])
+            may = has(shared, out)
+            i, shift = i[may], of(out[may])
+            i, shift = i[~np.isnan(shift)], shift[~np.isnan(shift)]
+            inside = np.full(len(i), np.nan)
+            may = has(shared, gram[i])
+            inside[may] = of(gram[i][may])
+            best[i] = np.where(np.isnan(inside), shift + best[i], inside)
         add = lambda x: np.add.reduceat(x, at[:-1]) if len(token) else np.zeros(0)
         return pa.table({
-            "id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": np.diff(at).astype(np.int64), "n_known": add((c > 0).astype(np.int64)).astype(np.int64),
-            "base_score": add(log_root), "score": add(tree.score(token, at, log_root)),
+            "id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": np.diff(at).astype(np.int64), "n_known": add((n > 0).astype(np.int64)).astype(np.int64),
+            "base_score": add(log_root), "score": add(best),
         })
 
     return make
 
 
-def train(texts: DataFrame, scratch: Scratch, depth: int, p_min: float, min_count: int, smooth: float, divergence: float) -> tuple[Tree, DataFrame]:
-    """The tree of the texts (one column), and the table (word, n) of all their tokens."""
+def train(texts: DataFrame, scratch: Scratch, depth: int, p_min: float, min_count: int, smooth: float, divergence: float) -> tuple[DataFrame, DataFrame, int, int, int]:
+    """The tree of the texts (one column) and the counts of all their tokens as tables (key, value); tokens, distinct tokens and kept contexts."""
     counts = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "words")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(min_count, int(np.ceil(p_min * total)))
-    frequent = counts.where(F.col("n") >= least).toPandas()  # at most 1 / p_min rows
-    names, order = np.unique(frequent["word"].to_numpy(np.int64).view(np.uint64), return_index=True)
-    tree = Tree(total, vocabulary, names, frequent["n"].to_numpy(np.int64)[order], smooth, divergence)
-    for level in range(depth):
-        grams = texts.mapInArrow(_gram_counts(names, tree.levels), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        grams = grams.where(F.col("n") >= least).toPandas().sort_values("gram")  # at most 1 / p_min rows
-        tree.grow(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
-        if not len(grams) and level:
-            break
-    return tree, counts
-
-
-def score(docs: DataFrame, depth: int = 2, p_min: float = 1e-5, min_count: int = 5, smooth: float = 2.0, divergence: float = 0.01, folds: int = 5, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    root = (F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))
+    below = counts.where(F.col("n") >= least).select(F.col("word").alias("gram"), F.lit(None).cast("long").alias("tail"), "n", root.alias("chain"))
+    tree, n_kept = None, 0
+    for level in range(1, depth + 1):
+        grams = texts.mapInArrow(_gram_counts(level, make_filter(below.select("gram"))), "context long, last long, n long")
+        grams = grams.groupBy("context", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        # a frequent gram's context and its last tokens are frequent, so neither join loses a row
+        grams = grams.join(below.select(F.col("gram").alias("context"), F.col("n").alias("whole"), F.col("tail").alias("short")), "context")
+        grams = grams.select("context", "last", "n", "whole", "short").mapInArrow(_with_keys, "gram long, context long, tail long, n long, whole long")
+        grams = grams.join(below.select(F.col("gram").alias("tail"), F.col("chain").alias("q")), "tail")
+        seen = F.col("n") / F.col("whole")
+        p = (F.col("n") + smooth * F.col("q")) / (F.col("whole") + smooth)
+        grams = scratch.save(grams.select("gram", "context", "tail", "n", "q", seen.alias("seen"), p.alias("p")), f"grams-{level}")
+        sums = grams.groupBy("context").agg(F.sum(F.col("seen") * F.log(F.col("seen") / F.col("q"))).alias("gain"), F.greatest(1 - F.sum("seen"), F.lit(0.0)).alias("rest"), F.greatest(1 - F.sum("q"), F.lit(1e-12)).alias("rest_q"), F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("rest_p"))
+        gain = F.col("gain") + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / F.col("rest_q"))).otherwise(0.0)
+        kept = scratch.save(sums.where(gain >= divergence).select("context", F.log10(F.col("rest_p") / F.col("rest_q")).alias("outside")), f"kept-{level}")
+        n_kept += kept.count()
+        inside = grams.join(kept, "context", "left")
+        part = kept.mapInArrow(_outside, "key long, value double").union(inside.where("outside is not null").select("gram", F.log10("p")))
+        tree = part if tree is None else tree.union(part)
+        if level < depth:
+            below = scratch.save(inside.select("gram", "tail", "n", F.when(F.col("outside").isNull(), F.col("q")).otherwise(F.col("p")).alias("chain")), f"level-{level}")
+    return scratch.save(tree, "tree"), counts.select(F.col("word").alias("key"), F.col("n").cast("double").alias("value")), total, vocabulary, n_kept
+
+
+def score(docs: DataFrame, depth: int = 2, p_min: float = 0.0, min_count: int = 5, smooth: float = 2.0, divergence: float = 0.01, folds: int = 5, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_contexts.
 
     Held out: the rows whose crc32 of the id, as text, leaves ``held_fold`` on division by ``folds``; the rest train.
@@ -196,11 +327,11 @@ def score(docs: DataFrame, depth: int = 2, p_min: float = 1e-5, min_count: int =
     scratch = Scratch(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold == held_fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    tree, counts = train(rows.where("not held_out").select("text"), scratch, depth, p_min, min_count, smooth, divergence)
+    tree, counts, total, vocabulary, contexts_kept = train(rows.where("not held_out").select("text"), scratch, depth, p_min, min_count, smooth, divergence)
+    shared = make_filter(tree.select("key"))
     blocks = n_blocks(rows, "text", BLOCK_BYTES)
     rows = rows.withColumn("block", block_of(F.coalesce("id", F.xxhash64("text")), blocks))
-    asked = rows.groupBy("block").applyInArrow(_block_words, "block int, word long")
-    found = asked.join(counts, "word").select("block", "word", "n")
-    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scores(tree), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    contexts_kept = int(sum((~np.isnan(x)).sum() for x in tree.outside))
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(contexts_kept).alias("n_contexts"))
+    asked = rows.groupBy("block").applyInArrow(_block_keys(depth, shared), "block int, key long")
+    found = asked.join(counts.union(tree), "key").select("block", "key", "value")
+    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scores(depth, shared, total, vocabulary), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(contexts_kept).alias("n_contexts"))

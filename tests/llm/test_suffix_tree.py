@@ -113,3 +113,16 @@ def test_edges(spark):
     only = docs.where("doc_id = 5")
     assert len(pst.score(only).collect()) == 1
     assert pst.score(docs.limit(0)).collect() == []
+
+
+def test_grams_grow_with_the_corpus(spark):
+    rng = random.Random(3)
+    pairs = [(f"a{i}", f"b{i}") for i in range(300)]
+    rows = [(d, " ".join(" ".join(rng.choice(pairs)) for _ in range(2500))) for d in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rare = [(1000 + i, " ".join(f"r{i} s{i} t{i}" for i in range(8))) for i in range(8)]
+    got = pst.score(docs.union(spark.createDataFrame(rare, "doc_id long, text string"))).collect()
+    assert got[0].train_tokens > 900_000  # 1e-5 of them is more than the rare words' counts
+    want, kept = brute(rows + rare, 2, 0, 5, 2.0, 0.01)
+    compare([tuple(r)[:7] for r in got], want)
+    assert got[0].n_contexts == kept
