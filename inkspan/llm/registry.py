@@ -21,8 +21,8 @@ from inkspan.llm.suffix_tree import score
 
 
 def op1_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the sentences of repeated runs of two or more sentences."""
-    return dedup(table(spark, sf_dir, "documents"), run=2, min_words=10)
+    """Every document without the sentences of repeated runs of two or more sentences and ten or more words."""
+    return dedup(table(spark, sf_dir, "documents"), run=2, min_words=10, whole=True)
 
 
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ of ``run`` consecutive sentences with at least ``min_words`` words is hashed (wo
 ignored). Runs are joined over all documents; the first one, by document id and position, stays, and
 the sentences that any other covers are removed.
 
+With ``whole`` a run takes as many more sentences as it needs for ``min_words`` words, so that short ones make
+longer runs, and sentences above ``LONG`` words are cut after the word with the smallest hash in each ``WINDOW``
+words, so that a long one makes several spans that count as sentences. Spans have ``LONG`` words at most, so 50
+words that two documents share, with equal line ends, hold a whole run of ``run`` = 2 and ``min_words`` = 10.
+
 Documents are dealt into blocks by a hash of their id. A block gives each of its runs once, with the first
 place and how often, so a run in a third of all documents is a few rows; what repeats goes back to the
 blocks that have it.
@@ -22,16 +27,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import block_of, n_blocks
-from inkspan.llm.words import flat, mix, runs, words
+from inkspan.llm.words import flat, mix, words
 
 #: Text in a block, about.
 BLOCK_BYTES = 4 << 20
 LAST = 2**63 - 1
+#: With ``whole``: words of a sentence that isn't cut, and of the windows that place the cuts.
+LONG, WINDOW = 12, 8
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?")] = True
 
 
-def sentences(texts):
+def _cuts(h, last):
+    """The words inside long sentences after which these are cut, by the words around alone."""
+    n = len(h) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    part = np.cumsum(last) - last
+    size = np.bincount(part)
+    ok = np.flatnonzero((part[:n] == part[WINDOW - 1 :]) & (size[part[:n]] > LONG))
+    x = mix(h)
+    best, at = x[ok], ok.copy()
+    for o in range(1, WINDOW):
+        less = x[ok + o] <= best
+        best[less], at[less] = x[ok[less] + o], ok[less] + o
+    return at
+
+
+def sentences(texts, whole: bool = False):
     """(hash, words, first byte, index of each text's first sentence, bytes, ends of texts)."""
     data, ends = flat(texts)
     h, start, stop, at = words(data, ends, lower=True)
@@ -42,6 +65,8 @@ def sentences(texts):
     breaks = np.flatnonzero(data == 0x0A)
     last[:-1] |= np.searchsorted(breaks, start[1:]) > np.searchsorted(breaks, stop[:-1])
     last[at[1:][np.diff(at) > 0] - 1] = True
+    if whole:
+        last[_cuts(h, last)] = True
     first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
     n = np.diff(np.append(first, len(h)))
     place = (np.arange(len(h)) - np.repeat(first, n)).astype(np.uint64)
@@ -49,21 +74,28 @@ def sentences(texts):
     return mix(code), n, start[first], np.searchsorted(first, at), data, ends
 
 
-def _spans(texts, run: int, min_words: int):
-    """Sentences as above, and (hash, first sentence, text) of each run inside a text."""
-    h, n, byte, at, data, ends = sentences(texts)
-    code = runs(h, run)
-    if not len(code):
-        return (h, n, byte, at, data, ends), code, np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _spans(texts, run: int, min_words: int, whole: bool):
+    """Sentences as above, and (hash, first sentence, number of sentences, text) of each run inside a text."""
+    h, n, byte, at, data, ends = sentences(texts, whole)
     total = np.concatenate([[0], np.cumsum(n)])
-    doc = np.searchsorted(at, np.arange(len(h)), side="right") - 1
-    ok = np.flatnonzero((doc[: len(code)] == doc[run - 1 :]) & (total[run:] - total[:-run] >= min_words))
-    return (h, n, byte, at, data, ends), code[ok], ok, doc[ok]
-
-
-def _keys(run: int, min_words: int):
+    first = np.arange(len(h))
+    doc = np.searchsorted(at, first, side="right") - 1
+    size = np.full(len(h), run)
+    if whole:
+        size = np.maximum(run, np.searchsorted(total, total[:-1] + min_words) - first)
+    ok = np.flatnonzero(first + size <= at[doc + 1])
+    ok = ok[total[ok + size[ok]] - total[ok] >= min_words]
+    first, size, doc = first[ok], size[ok], doc[ok]
+    code = size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for o in range(int(size.max(initial=0))):
+        i = np.flatnonzero(size > o)
+        code[i] += h[first[i] + o] * np.uint64(pow(0xC2B2AE3D27D4EB4F, o + 1, 2**64))
+    return (h, n, byte, at, data, ends), mix(code), first, size, doc
+
+
+def _keys(run: int, min_words: int, whole: bool):
     def make(t: pa.Table) -> pa.Table:
-        (_, _, _, at, _, _), code, first, doc = _spans(t.column("text"), run, min_words)
+        (_, _, _, at, _, _), code, first, _, doc = _spans(t.column("text"), run, min_words, whole)
         ids = t.column("order").to_numpy()
         where = first - at[doc]
         order = np.lexsort((where, ids[doc], code))
@@ -80,9 +112,9 @@ def _keys(run: int, min_words: int):
     return make
 
 
-def _cut(run: int, min_words: int):
+def _cut(run: int, min_words: int, whole: bool):
     def make(docs: pa.Table, found: pa.Table) -> pa.Table:
-        (_, n, byte, at, data, ends), code, first, doc = _spans(docs.column("text"), run, min_words)
+        (_, n, byte, at, data, ends), code, first, size, doc = _spans(docs.column("text"), run, min_words, whole)
         ids = docs.column("order").to_numpy()
         known = found.column("code").to_numpy().view(np.uint64)
         order = np.argsort(known)
@@ -91,8 +123,9 @@ def _cut(run: int, min_words: int):
         if len(known) and len(code):
             i = np.minimum(np.searchsorted(known, code), len(known) - 1)
             hit = (known[i] == code) & ~((owner[i] == ids[doc]) & (place[i] == first - at[doc]))
-            for o in range(run):
-                gone[first[hit] + o] = True
+            first, size = first[hit], size[hit]
+            for o in range(int(size.max(initial=0))):
+                gone[first[size > o] + o] = True
         texts, total, removed, lost = [], np.diff(at), [], []
         for d in range(len(ends) - 1):
             i, j = at[d], at[d + 1]
@@ -109,16 +142,16 @@ def _cut(run: int, min_words: int):
     return make
 
 
-def dedup(docs: DataFrame, run: int = 2, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, run: int = 2, min_words: int = 10, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, text without repeats, n_sentences, n_removed, words_removed, changed."""
     blocks = n_blocks(docs, text_col, BLOCK_BYTES)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("order"), text.alias("text"))
     # equal ids must meet in one block only if they are equal rows; texts spread null ids over blocks
     rows = rows.withColumn("block", F.when(F.col("id").isNull(), block_of(F.col("text"), blocks)).otherwise(block_of(F.col("id"), blocks)))
-    keys = rows.groupBy("block").applyInArrow(_keys(run, min_words), "block int, code long, owner long, place long, n long")
+    keys = rows.groupBy("block").applyInArrow(_keys(run, min_words, whole), "block int, code long, owner long, place long, n long")
     same = Window.partitionBy("code")
     keys = keys.select("block", "code", F.min(F.struct("owner", "place")).over(same).alias("first"), F.sum("n").over(same).alias("n"))
     found = keys.where("n > 1").select("block", "code", "first.owner", "first.place")
-    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(run, min_words), "id long, text string, n_sentences long, n_removed long, words_removed long")
+    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(run, min_words, whole), "id long, text string, n_sentences long, n_removed long, words_removed long")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_sentences", "n_removed", "words_removed", (F.col("n_removed") > 0).alias("changed"))

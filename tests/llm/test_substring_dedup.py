@@ -82,3 +82,39 @@ def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, a + b), (4, a + b), (5, "é. " + a.upper() + b + "end"), (None, a + b), (None, a + b + a + b), (6, a + b + "x. " + a + b), (7, "w " * 200_000)]
     same(run(spark, rows), brute(rows, 2, 10))
     assert run(spark, []) == []
+
+
+def windows(text):
+    w = [x.lower() for x in SENTENCE.findall(text or "")]
+    return {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
+
+
+def test_short_and_long_sentences(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 4_000)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**5)}"
+    say = lambda n: " ".join(word() for _ in range(n)) + ".\n"
+    menu, long = "\n".join(word() for _ in range(50)) + "\n", " ".join(word() for _ in range(50))
+    mixed = "".join(say(n) for n in (3, 13, 2, 12, 1, 19))
+    rows = []
+    for i in range(60):
+        part = (menu, f"{word()} {long} {say(5)}", mixed)[i % 3]
+        rows.append((i, say(rng.randrange(1, 20)) + part + say(rng.randrange(1, 20))))
+    got = sd.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()
+    text = {r.doc_id: r.text for r in got}
+    assert [text[i] for i in range(3)] == [t for _, t in rows[:3]]
+    for i in range(3, 60):
+        assert not windows(text[i]) & windows(rows[i % 3][1])
+        assert text[i].startswith(rows[i][1].split("\n")[0].split()[0]) and text[i].endswith(rows[i][1].split("\n")[-2] + "\n")
+
+
+def test_no_fifty_words_twice(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = sd.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()
+    seen, again = set(), []
+    before = dict(rows)
+    for r in sorted(got, key=lambda r: r.doc_id):
+        now = windows(r.text)
+        again += [r.doc_id] * bool(now & seen)
+        seen |= windows(before[r.doc_id])
+    assert again == []
