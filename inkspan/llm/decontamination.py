@@ -5,9 +5,12 @@ windows meet in a join on the hash. Around each hit the words are compared along
 with the best score (1 for an equal word, -2 for another) counts if it has enough equal words.
 
 A filter of fixed size with the benchmark's hashes goes to every task, so that only windows that may
-match leave it, with the words around them; a full filter costs time, not results. Of the benchmark windows
-with one hash the smallest (item, position) stands for all: a passage that items share is reported for the
-first of them, and what sets items apart for each.
+match leave it, with the words around them; a full filter costs time, not results.
+
+With ``whole`` every item that has a passage is reported: items with the same words are one class, as are
+surroundings with the same words, each pair of classes is compared once and stands for all members. Without it
+the smallest (item, position) stands for all benchmark windows with one hash: a passage that items share is
+reported for the first of them, and what sets items apart for each.
 
 Defined cases: null and empty texts match nothing; items of fewer than eight words are not searched; rows
 that repeat a doc_id or an item_id are searched alone, and their findings merge; null ids are kept;
@@ -131,10 +134,10 @@ def _verified(batches):
             if enough(equal, len(y)):
                 out.append((r, equal, z - i, starts[r] + shifts[r] + i, i))
         rows = pa.array([o[0] for o in out], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), *(pa.array([o[c] for o in out], pa.int64()) for c in range(1, 5))], names=["doc", "item", "n_equal", "n_words", "doc_start", "item_start"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), *(pa.array([o[c] for o in out], pa.int64()) for c in range(1, 5))], names=["region", "row", "n_equal", "n_words", "doc_start", "item_start"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", whole: bool = False) -> DataFrame:
     """(id, item, n_equal, n_words, doc_start, item_start): the longest overlap of each document and item.
 
     n_words: words of the overlap, n_equal: those that are equal; starts count words from 0.
@@ -143,10 +146,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     scratch = Scratch(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     items = items.mapInArrow(_items, "item long, words array<long>, hash array<long>, pos array<long>")
-    items = scratch.save(items.withColumn("row", F.xxhash64("item", "words")), "items")
+    items = scratch.save(items.withColumn("row", F.xxhash64("words") if whole else F.xxhash64("item", "words")), "items")
     each = F.inline(F.arrays_zip("hash", "pos"))
-    stand = items.select("row", "item", each).groupBy("hash").agg(F.min(F.struct("item", "row", "pos")).alias("by"))
-    stand = scratch.save(stand.select("hash", "by.row", "by.pos"), "seeds")
+    if whole:
+        stand = items.dropDuplicates(["row"]).select("row", each).select("hash", "row", "pos")
+    else:
+        stand = items.select("row", "item", each).groupBy("hash").agg(F.min(F.struct("item", "row", "pos")).alias("by")).select("hash", "by.row", "by.pos")
+    stand = scratch.save(stand, "seeds")
 
     # the filter: at most 2**FILTER_BITS / 8 bytes reach the driver, however large the benchmark is
     low = F.lit(2**FILTER_BITS - 1)
@@ -159,14 +165,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_regions(shared), "doc long, start long, words array<long>, hash array<long>, pos array<long>")
-    found = scratch.save(found.withColumn("region", F.xxhash64("doc", "start", "words")), "regions")
-    hits = found.select("region", each).withColumnRenamed("pos", "at").join(stand, "hash")
+    found = scratch.save(found.withColumn("region", F.xxhash64("words")), "regions")
+    regions = found.dropDuplicates(["region"])
+    hits = regions.select("region", each).withColumnRenamed("pos", "at").join(stand, "hash")
     hits = hits.select("region", "row", (F.col("at") - F.col("pos")).alias("shift")).distinct()
-    texts = items.select("row", "item", F.col("words").alias("item_words")).dropDuplicates(["row"])
-    regions = found.select("region", "doc", "start", "words").dropDuplicates(["region"])
-    pairs = hits.join(texts, "row").join(regions, "region").select("doc", "start", "item", "shift", "words", "item_words")
-    best = pairs.mapInArrow(_verified, "doc long, item long, n_equal long, n_words long, doc_start long, item_start long")
-    best = best.groupBy("doc", "item").agg(F.max(F.struct("n_equal", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"), "n_words")).alias("b"))
+    texts = items.select("row", F.col("words").alias("item_words")).dropDuplicates(["row"])
+    pairs = hits.join(texts, "row").join(regions.select("region", "words"), "region").select("region", F.lit(0).cast("long").alias("start"), "row", "shift", "words", "item_words")
+    best = pairs.mapInArrow(_verified, "region long, row long, n_equal long, n_words long, doc_start long, item_start long")
+    longest = F.max(F.struct("n_equal", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"), "n_words")).alias("b")
+    best = best.groupBy("region", "row").agg(longest).select("region", "row", "b.n_equal", "b.n_words", (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"))
+    best = best.join(found.select("region", "doc", "start").distinct(), "region").join(items.select("row", "item").distinct(), "row")
+    best = best.select("doc", "item", "n_equal", "n_words", (F.col("start") + F.col("doc_start")).alias("doc_start"), "item_start")
+    best = best.groupBy("doc", "item").agg(longest)
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_equal", "b.n_words", (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"))
 
 

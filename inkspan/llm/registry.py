@@ -27,7 +27,7 @@ def op1_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold text of a benchmark item, by document and item."""
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,19 @@ def test_edges(spark):
     assert run(spark, docs, []) == [] and run(spark, [], items) == []
     left = dc.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(r.doc_id for r in left.collect()) == [1, 2, 9]
+
+
+def found(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    return sorted(tuple(r) for r in dc.overlaps(d, spark.createDataFrame(items, "item_id long, text string"), whole=True).collect())
+
+
+def test_every_item_of_a_passage(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    shared = words(30)
+    items = [(1, shared + " p q r"), (2, "x y z " + shared), (3, shared), (4, shared), (4, words(30)), (5, words(40))]
+    docs = [(d, f"{words(20)} {shared if d % 2 else words(30)} {words(20)}") for d in range(6)] + [(7, shared), (8, shared)]
+    got = found(spark, docs, items)
+    assert got == brute(docs, items)
+    assert {r[:2] for r in got} == {(d, i) for d in (1, 3, 5, 7, 8) for i in (1, 2, 3, 4)}
