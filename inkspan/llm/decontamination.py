@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds: masks over word windows that skip some positions.
 
 A mask hashes the words at its ones; words under its zeros may differ. Benchmark windows and training
-windows meet in a join on the hash. Around each hit the words are compared along its diagonal, and the run
-with the best score (1 for an equal word, -2 for another) counts if it has enough equal words.
+windows meet in a join on the hash. Around each hit the words are compared along its diagonal; of the runs with
+a positive score (1 for an equal word, -2 for another) the one with the most equal words counts if it has enough.
+With ``whole`` short items have short masks besides, which find every overlap that has enough equal words.
 
 A filter of fixed size with the benchmark's hashes goes to every task, so that only windows that may
 match leave it, with the words around them; a full filter costs time, not results.
@@ -28,6 +29,8 @@ from inkspan.llm.common import Scratch, without
 from inkspan.llm.words import flat, lists, mix, portions, words
 
 MASKS = ("111010010111", "110110110110", "111011101110", "11111111")
+#: For items of up to SHORT words: one of them fits into 8 to SHORT words wherever the words replaced stand.
+SHORT_MASKS, SHORT = ("110111", "11010011", "11100101"), 16
 #: Equal words that make an overlap; an item too short for that needs 80 per cent of its words.
 MIN_EQUAL = 13
 #: Words on each side of a hit within which an overlap is measured.
@@ -36,16 +39,16 @@ REACH = 120
 FILTER_BITS = 24
 
 
-def seeds(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def seeds(h: np.ndarray, at: np.ndarray, masks: tuple = MASKS) -> tuple[np.ndarray, np.ndarray]:
     """(hash, word index) of every window of every mask that stays inside its text."""
     hashes, where = [], []
     stop = np.repeat(at[1:], np.diff(at))
-    for m, mask in enumerate(MASKS):
+    for mask in masks:
         n = len(h) - len(mask) + 1
         if n <= 0:
             continue
         ok = np.flatnonzero(np.arange(n) + len(mask) <= stop[:n])
-        x = np.full(n, np.uint64(m + 1), dtype=np.uint64)
+        x = np.full(n, np.uint64((MASKS + SHORT_MASKS).index(mask) + 1), dtype=np.uint64)
         for o, bit in enumerate(mask):
             if bit == "1":
                 x += h[o : o + n] * np.uint64(pow(0x9E3779B97F4A7C15, o + 1, 2**64))
@@ -61,20 +64,32 @@ def _slots(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x & low).astype(np.int64), ((x >> np.uint64(FILTER_BITS)) & low).astype(np.int64)
 
 
-def _items(batches):
-    for b in batches:
-        data, ends = flat(b.column(1))
-        h, _, _, at = words(data, ends, lower=True)
-        x, pos = seeds(h, at)
-        doc = np.searchsorted(at, pos, side="right") - 1
-        order = np.argsort(doc, kind="stable")
-        cut = np.searchsorted(doc[order], np.arange(len(ends)))
-        parts = [order[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        tokens = [h[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), lists(tokens), lists([x[p] for p in parts]), lists([pos[p] - at[i] for i, p in enumerate(parts)])], names=["item", "words", "hash", "pos"])
-
-
-def _regions(filter_bytes: bytes):
+def _items(whole: bool):
+    def make(batches):
+        for b in batches:
+            yield _seeded(b, whole)
+
+    return make
+
+
+def _seeded(b: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
+    data, ends = flat(b.column(1))
+    h, _, _, at = words(data, ends, lower=True)
+    x, pos = seeds(h, at)
+    doc = np.searchsorted(at, pos, side="right") - 1
+    if whole:
+        more, where = seeds(h, at, SHORT_MASKS)
+        owner = np.searchsorted(at, where, side="right") - 1
+        ok = (np.diff(at)[owner] <= SHORT) & (np.diff(at)[owner] >= 8)
+        x, pos, doc = np.append(x, more[ok]), np.append(pos, where[ok]), np.append(doc, owner[ok])
+    order = np.argsort(doc, kind="stable")
+    cut = np.searchsorted(doc[order], np.arange(len(ends)))
+    parts = [order[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    tokens = [h[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([b.column(0), lists(tokens), lists([x[p] for p in parts]), lists([pos[p] - at[i] for i, p in enumerate(parts)])], names=["item", "words", "hash", "pos"])
+
+
+def _regions(filter_bytes: bytes, masks: tuple):
     """Windows that the filter lets through, with the words around them; overlapping surroundings merge."""
     bits = np.frombuffer(filter_bytes, np.uint8)
 
@@ -85,7 +100,7 @@ def _regions(filter_bytes: bytes):
         for b in portions(batches, 1):
             data, ends = flat(b.column(1))
             h, _, _, at = words(data, ends, lower=True)
-            x, pos = seeds(h, at)
+            x, pos = seeds(h, at, masks)
             one, two = _slots(x)
             keep = has(one)
             keep[keep] = has(two[keep])
@@ -106,16 +121,24 @@ def _regions(filter_bytes: bytes):
 
 
 def best_run(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(equal, start, end) of the best run of ``b`` compared with ``a`` at j + shift; positions in ``b``."""
+    """(equal, start, end) of the run of positive score with the most equal words, of ``b`` compared with ``a`` at j + shift; positions in ``b``."""
     j0, j1 = max(0, -shift), min(len(b), len(a) - shift)
     if j1 <= j0:
         return 0, 0, 0
     same = a[j0 + shift : j1 + shift] == b[j0:j1]
+    if not same.any():
+        return 0, 0, 0
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    gain = total - np.minimum.accumulate(total)
-    z = int(gain.argmax())
-    i = int(np.flatnonzero(total[: z + 1] == total[: z + 1].min())[-1])
-    return int(same[i:z].sum()), j0 + i, j0 + z
+    count = np.concatenate([[0], np.cumsum(same)])
+    z = np.arange(len(total))
+    i = np.searchsorted(-np.minimum.accumulate(total), 1 - total)  # the first start that leaves a positive score
+    z = z[i < z]
+    i = i[z]
+    most = count[z] - count[i]
+    at = np.flatnonzero(same)
+    i, z = at[count[i]], at[count[z] - 1] + 1  # without other words at its ends
+    best = np.lexsort((i, total[i] - total[z], -most))[0]
+    return int(most[best]), j0 + int(i[best]), j0 + int(z[best])
 
 
 def enough(equal: int, n_item: int) -> bool:
@@ -145,7 +168,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     scratch = Scratch(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    items = items.mapInArrow(_items, "item long, words array<long>, hash array<long>, pos array<long>")
+    items = items.mapInArrow(_items(whole), "item long, words array<long>, hash array<long>, pos array<long>")
     items = scratch.save(items.withColumn("row", F.xxhash64("words") if whole else F.xxhash64("item", "words")), "items")
     each = F.inline(F.arrays_zip("hash", "pos"))
     if whole:
@@ -164,7 +187,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     shared = bits.tobytes()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_regions(shared), "doc long, start long, words array<long>, hash array<long>, pos array<long>")
+    found = rows.mapInArrow(_regions(shared, MASKS + SHORT_MASKS if whole else MASKS), "doc long, start long, words array<long>, hash array<long>, pos array<long>")
     found = scratch.save(found.withColumn("region", F.xxhash64("words")), "regions")
     regions = found.dropDuplicates(["region"])
     hits = regions.select("region", each).withColumnRenamed("pos", "at").join(stand, "hash")

@@ -90,3 +90,33 @@ def test_every_item_of_a_passage(spark):
     got = found(spark, docs, items)
     assert got == brute(docs, items)
     assert {r[:2] for r in got} == {(d, i) for d in (1, 3, 5, 7, 8) for i in (1, 2, 3, 4)}
+
+
+def most_equal(x, y, shift):
+    """The most equal words of any stretch of a diagonal in which over two thirds are equal."""
+    same = [x[j + shift] == y[j] for j in range(len(y)) if 0 <= j + shift < len(x)]
+    return max((sum(same[i:z]) for i in range(len(same)) for z in range(i + 1, len(same) + 1) if 3 * sum(same[i:z]) > 2 * (z - i)), default=0)
+
+
+def test_run_with_most_equal_words():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        y = np.arange(rng.integers(1, 50))
+        x = np.where(rng.random(len(y)) < rng.choice([0.1, 0.3, 0.5]), -1, y)
+        shift = int(rng.integers(-3, 4))
+        x = x[-shift:] if shift < 0 else np.append(np.full(shift, -2), x)
+        equal, i, z = dc.best_run(x, y, shift)
+        assert equal == most_equal(x, y, shift)
+        assert equal == sum(x[j + shift] == y[j] for j in range(i, z))
+
+
+def test_short_and_split_overlaps(spark):
+    rng = random.Random(6)
+    items = [(i, [f"i{i}w{j}" for j in range(32 if i < 2 else 6 + i)]) for i in range(11)]
+    docs = [(0, [w if j < 12 or j > 18 and j != 25 else "x" for j, w in enumerate(items[0][1])])]
+    for i, w in items[2:]:
+        for d in range(6):
+            gone = rng.sample(range(len(w)), len(w) - min(13, -(-8 * len(w) // 10)))
+            docs.append((10 * i + d, ["before"] * 9 + ["x" if j in gone else v for j, v in enumerate(w)] + ["after"] * 9))
+    got = found(spark, [(d, " ".join(w)) for d, w in docs], [(i, " ".join(w)) for i, w in items])
+    assert [r[:2] for r in got] == [(d, d // 10) for d, _ in docs]
