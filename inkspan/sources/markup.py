@@ -1,196 +1,219 @@
-"""Page texts out of marked-up opinions and proceedings: table functions over whole files.
+"""Page texts out of marked-up opinions and proceedings.
 
-Spark's XML reader loses the order of mixed content, and HTML has no reader, so each file goes through a
-parser of the standard library inside a task; files are rows, and what a file yields are rows again.
+A parser of the standard library, which is all that runs in Python, turns each file into a flat list of events:
+tags opened and closed, and the text between them. What these mean is derived by DataFrame expressions: open
+elements, records, pages and footnotes are running sums and last values over a file's events in order, so a file's
+events are one window and no file is larger than what it was on disk.
 """
 
 from __future__ import annotations
 
 import string
-import xml.etree.ElementTree as ElementTree
 from html.parser import HTMLParser
+from xml.etree.ElementTree import XMLPullParser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Nesting that is followed, and the mark of a new page.
+#: Nesting that is followed, and the mark of a new page, in proceedings.
 DEPTH = 50
 FACSIMILE = "pageFacsimile"
+#: Fixed values of opinions: tags that count, tags that may stay open, tags that are passed over, tags that are text,
+#: and how a tag begins that is a slip of the pen.
+COUNTED = ("div", "strong", "p", "em", "h2", "h3", "a", "b")
+SLOPPY = ("p", "a", "b")
+PASSED = ("span", "br", "ul", "font", "symbol", "s")
+LITERAL = ("ra", "k", "h")
+SLIP = "l=|"
+#: The class of an anchor that turns the page, and the marks before a page's number in its text.
+PAGE_ANCHOR = "page-number"
+NUMBER_MARKS = ("U.S.", ",")
+
+_HTML = "array<struct<kind:string,tag:string,id:string,class:string,name:string,text:string>>"
+_XML = "array<struct<kind:string,tag:string,type:string,doc:string,parent:string,depth:int,text:string>>"
+#: White space as Python's split() sees it.
+_BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+class _Tags(HTMLParser):
+    """The events of a file in order."""
 
+    def __init__(self):
+        super().__init__()
+        self.events: list[tuple] = []
 
-def facsimiles(xml: str) -> list[str]:
-    """The pages' pointers of a file in document order."""
+    def handle_starttag(self, tag, attrs):
+        first = dict(reversed(attrs))
+        name = (first["name"] or "") if "name" in first else None
+        self.events.append(("start", tag, first.get("id"), first.get("class"), name, None))
 
-    def below(node, depth):
-        for child in node if depth else ():
-            if child.tag == "xptr" and child.get("type") == FACSIMILE:
-                yield child.get("doc")
-            yield from below(child, depth - 1)
+    def handle_endtag(self, tag):
+        self.events.append(("end", tag, None, None, None, None))
 
-    return list(below(ElementTree.fromstring(xml), DEPTH))
+    def handle_data(self, data):
+        self.events.append(("text", None, None, None, None, data))
 
 
-class _Pages:
-    """Text by page; the page that was opened last takes what is written."""
+def _html_events(html):
+    parser = _Tags()
+    parser.feed(html or "")
+    parser.close()
+    return parser.events
 
-    def __init__(self):
-        self.text: dict[str, str] = {}
-        self.page = ""
-
-    def open(self, page: str) -> None:
-        self.page = page
-        self.text[page] = ""
-
-    def write(self, piece: str) -> None:
-        self.text[self.page] = self.text.get(self.page, "") + piece
-
-    def words(self, text: str) -> None:
-        self.write(" ".join(text.split()) + " ")
-
-    def trim(self) -> None:
-        self.text[self.page] = self.text.get(self.page, "").strip()
-
-
-def xml_page_texts(xml: str) -> list[tuple[str, str]]:
-    """(page, text): white space collapsed, a line for each paragraph. Text before the first page is dropped."""
-    pages = _Pages()
-
-    def read(node, depth):
-        for child in node if depth else ():
-            if child.tag == "xptr" and child.get("type") == FACSIMILE:
-                pages.open(child.get("doc"))
-            if child.tag == "p":
-                pages.write("\n")
-            if child.text is not None:
-                pages.write(" ")
-                pages.words(child.text)
-            read(child, depth - 1)
-            if child.tail:
-                # in a paragraph, what follows a mark-up joins on if it begins with punctuation
-                begins = child.tail.strip()[:1]
-                if node.tag != "p" or (pages.text.get(pages.page, "").strip() and begins and begins not in string.punctuation):
-                    pages.write(" ")
-                pages.words(child.tail)
-            pages.trim()
-
-    read(ElementTree.fromstring(xml), DEPTH)
-    return [(page, text) for page, text in pages.text.items() if page]
-
-
-class _Records(HTMLParser):
-    """Collects the texts of paragraphs inside the wanted elements, by page.
-
-    An element of ``tag`` whose id begins with ``prefix`` opens a record and its end closes it. Anchors of
-    class page-number turn the page: by their name, or else by the number in their text. After a list has
-    ended footnotes follow, in which what stands in brackets is left out up to the closing one.
-    """
 
-    def __init__(self, tag: str, prefix: str | None, first_page: str):
-        super().__init__()
-        self.tag, self.prefix, self.first_page = tag, prefix, first_page
-        self.records: list[dict[str, str]] = []
-        self.depth = 0  # of open elements of ``tag`` inside the record; 0: outside
-        self.page = first_page
-        self.paragraph = self.fresh = self.anchor = self.number = self.notes = self.bracket = False
+def _xml_events(xml):
+    parser, open_tags, out = XMLPullParser(["start", "end"]), [], []
+    parser.feed(xml)
+    parser.close()
+    # an element's own text and what follows its end are known once all is read
+    for kind, e in list(parser.read_events()):
+        if kind == "start":
+            out.append(("start", e.tag, e.get("type"), e.get("doc"), open_tags[-1] if open_tags else None, len(open_tags), e.text))
+            open_tags.append(e.tag)
+        else:
+            open_tags.pop()
+            out.append(("end", e.tag, None, None, open_tags[-1] if open_tags else None, len(open_tags), e.tail))
+    return out
 
-    def handle_starttag(self, tag, attrs):
-        at = dict(attrs)
-        if self.depth:
-            self.depth += tag == self.tag
-        elif tag == self.tag and (self.prefix is None or (at.get("id") or "").startswith(self.prefix)):
-            self.depth, self.page, self.notes, self.bracket = 1, self.first_page, False, False
-            self.records.append({self.page: ""})
-        if not self.depth:
-            return
-        if tag == "p":
-            self.paragraph = self.fresh = True
-        elif tag == "a" and at.get("class") == "page-number":
-            self.anchor, self.number = True, "name" not in at
-            if "name" in at:
-                self.turn(at["name"])
 
-    def handle_endtag(self, tag):
-        if not self.depth:
-            return
-        if tag == "ul":
-            self.notes = True
-        elif tag == "a":
-            self.anchor = False
-        elif tag == "p":
-            self.paragraph = False
-        if tag == self.tag:
-            self.depth -= 1
-            if not self.depth:
-                self.paragraph = self.anchor = self.number = False
-
-    def turn(self, page: str) -> None:
-        self.page = page
-        self.records[-1][page] = ""
+def _events(files: DataFrame, key: str, text: str, read, schema: str) -> DataFrame:
+    """(_file, at, event's fields) of each file; _file is the key."""
+    make = F.udf(lambda x: read(x) if x else [], schema, useArrow=True)
+    return files.select(F.col(key).alias("_file"), F.posexplode(make(F.col(text))).alias("at", "e")).select("_file", "at", "e.*")
 
-    def handle_data(self, data):
-        if not self.depth:
-            return
-        if self.number:
-            bare = data.replace(" ", "")
-            _, mark, number = bare.partition("U.S." if "U.S." in bare else ",")
-            if mark:
-                self.turn(number)
-                self.number = False
-        elif self.paragraph and not self.anchor:
-            self.add(data.replace("\r", ""))
-
-    def add(self, text: str) -> None:
-        if not text:
-            return
-        if self.fresh and self.records[-1][self.page]:
-            self.records[-1][self.page] += "\n"
-        self.fresh = False
-        if self.notes and (self.bracket or text[0] == "["):
-            before, end, after = text.partition("]")
-            self.bracket = not end
-            text = end + after
-        self.records[-1][self.page] += text
-
-
-def html_page_texts(html: str, tag: str = "div", prefix: str | None = "tab-opinion-", first_page: str = "1") -> list[tuple[int, str, str]]:
-    """(record, page, text) of each wanted element."""
-    parser = _Records(tag, prefix, first_page)
-    parser.feed(html)
-    parser.close()
-    return [(i, page, text) for i, record in enumerate(parser.records) for page, text in record.items()]
+
+def html_events(files: DataFrame, key: str = "name", text: str = "html") -> DataFrame:
+    """(_file, at, kind, tag, id, class, name, text): tags opened (start) and closed (end) and text, in order."""
+    return _events(files, key, text, _html_events, _HTML)
 
 
-def _rows(df: DataFrame, key: str, text: str, read, schema: str) -> DataFrame:
-    """Each row's list of results as rows; one Python pass over the batches."""
-    make = F.udf(lambda x: read(x) if x else [], f"array<struct<{schema}>>", useArrow=True)
-    return df.select(F.col(key), F.explode(make(F.col(text))).alias("_row")).select(key, "_row.*")
+def xml_events(files: DataFrame, key: str = "name", text: str = "text") -> DataFrame:
+    """(_file, at, kind, tag, type, doc, parent, depth, text): at an element's start its first text, at its end what follows
+    it; depth 0 is the root. XML that can't be read is an error."""
+    return _events(files, key, text, _xml_events, _XML)
 
 
 def xml_pointers(files: DataFrame, key: str = "name", text: str = "text") -> DataFrame:
-    """(key, at, ptr): the pages' pointers of each file and their places."""
-    return _rows(files, key, text, lambda x: list(enumerate(facsimiles(x))), "at:int,ptr:string")
+    """(key, at, ptr): the pages' pointers of each file and their order."""
+    rows = xml_events(files, key, text).where((F.col("kind") == "start") & _turns())
+    return rows.select(F.col("_file").alias(key), (F.row_number().over(Window.partitionBy("_file").orderBy("at")) - 1).alias("at"), F.col("doc").alias("ptr"))
+
+
+def _turns() -> Column:
+    return (F.col("tag") == "xptr") & F.coalesce(F.col("type") == FACSIMILE, F.lit(False)) & F.col("depth").between(1, DEPTH)
 
 
 def xml_pages(files: DataFrame, key: str = "name", text: str = "text") -> DataFrame:
-    """(doc, text); a page that several files hold is taken from the last by name."""
-    rows = _rows(files, key, text, xml_page_texts, "doc:string,text:string")
-    return rows.groupBy("doc").agg(F.max_by("text", key).alias("text"))
+    """(doc, text): white space collapsed, a line for each paragraph. Text before the first page is dropped; of pages
+    that are opened again, or that several files hold, the last one counts.
+
+    A page's text is a fold of its pieces: what an element's start adds, and at its end what follows it and the
+    cut of white space at both ends. Inside a paragraph, what follows a mark-up joins on if it begins with punctuation.
+    """
+    line = Window.partitionBy("_file").orderBy("at")
+    rows = xml_events(files, key, text).where(F.col("depth").between(1, DEPTH))
+    rows = rows.withColumn("visit", F.sum(F.when((F.col("kind") == "start") & _turns(), 1).otherwise(0)).over(line))
+    rows = rows.withColumn("page", F.last(F.when((F.col("kind") == "start") & _turns(), F.col("doc")), ignorenulls=True).over(line))
+    flatly = F.trim(F.regexp_replace("text", _BLANKS, " "))
+    head = F.when((F.col("kind") == "start") & (F.col("tag") == "p"), "\n").otherwise("")
+    first = F.when((F.col("kind") == "start") & F.col("text").isNotNull(), F.concat(F.lit(" "), flatly, F.lit(" "))).otherwise("")
+    tail = F.when((F.col("kind") == "end") & (F.col("text") != ""), flatly)
+    piece = F.struct("at", F.concat(head, first).alias("add"), tail.alias("tail"), F.coalesce(F.col("parent") == "p", F.lit(False)).alias("inside"), (F.col("kind") == "end").alias("ends"))
+    pages = rows.where("page is not null").groupBy("_file", "visit", "page").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+
+    def grow(acc: Column, p: Column) -> Column:
+        joins = p["inside"] & ((F.trim(acc, F.lit(" \n")) == "") | (p["tail"] == "") | F.contains(F.lit(string.punctuation), F.left(p["tail"], F.lit(1))))
+        space = F.when(p["tail"].isNotNull() & ~joins, " ").otherwise("")
+        added = F.concat(acc, p["add"], space, F.coalesce(F.concat(p["tail"], F.lit(" ")), F.lit("")))
+        return F.when(p["ends"], F.trim(added, F.lit(" \n"))).otherwise(added)
+
+    pages = pages.select(F.col("page").alias("doc"), F.struct("_file", "visit").alias("order"), F.aggregate("pieces", F.lit(""), grow).alias("text"))
+    return pages.groupBy("doc").agg(F.max_by("text", "order").alias("text"))
+
+
+def _in_records(events: DataFrame, tag: str, prefix: str | None) -> DataFrame:
+    """The events inside records, with record_ix. An element of ``tag`` whose id begins with ``prefix`` (None: any) that lies
+    in no other such element is a record; its end belongs to it."""
+    line = Window.partitionBy("_file").orderBy("at")
+    start, end = (F.col("kind") == "start") & (F.col("tag") == tag), (F.col("kind") == "end") & (F.col("tag") == tag)
+    wanted = start & (F.lit(True) if prefix is None else F.coalesce(F.startswith("id", F.lit(prefix)), F.lit(False)))
+    rows = events.withColumn("step", F.when(start, 1).when(end, -1).otherwise(0))
+    # at one level starts and ends take turns, so an end closes the start before it on its level
+    rows = rows.withColumn("level", F.sum("step").over(line) + F.when(end, 1).otherwise(0))
+    level = Window.partitionBy("_file", "level", F.col("step") != 0).orderBy("at")
+    rows = rows.withColumn("wanted", wanted).withColumn("closes", end & F.coalesce(F.lag("wanted").over(level), F.lit(False)))
+    opened = F.sum(F.when(F.col("wanted"), 1).when(F.col("closes"), -1).otherwise(0)).over(line)
+    rows = rows.withColumn("open", opened)
+    begins = F.col("wanted") & (F.col("open") == 1)
+    rows = rows.withColumn("record_ix", F.sum(F.when(begins, 1).otherwise(0)).over(line) - 1)
+    return rows.where("open > 0 or closes").drop("step", "level", "wanted", "closes", "open")
+
+
+def tag_balance(files: DataFrame, key: str = "name", text: str = "html", tag: str = "div", prefix: str | None = "tab-opinion-") -> DataFrame:
+    """(key, tag, open): of each counted tag in a file's records, how many more are opened than closed, where that isn't 0."""
+    rows = _in_records(html_events(files, key, text), tag, prefix).where(F.col("tag").isin(*COUNTED))
+    open_ = F.sum(F.when(F.col("kind") == "start", 1).otherwise(-1))
+    return rows.groupBy(F.col("_file").alias(key), "tag").agg(open_.alias("open")).where("open <> 0")
+
+
+def html_errors(files: DataFrame, key: str = "name", text: str = "html", tag: str = "div", prefix: str | None = "tab-opinion-") -> DataFrame:
+    """(key, error): tags in records that are neither known nor passed over, and tags that must be closed and aren't."""
+    rows = _in_records(html_events(files, key, text), tag, prefix)
+    known = F.col("tag").isin(*COUNTED, *PASSED) | F.startswith("tag", F.lit(SLIP)) | ((F.col("kind") == "start") & F.col("tag").isin(*LITERAL))
+    strange = rows.where((F.col("kind") != "text") & ~known).select(F.col("_file").alias(key), F.concat(F.lit("a tag that is not known: "), "tag").alias("error")).distinct()
+    left = tag_balance(files, key, text, tag, prefix).where(~F.col("tag").isin(*SLOPPY))
+    return strange.union(left.select(key, F.concat_ws(" ", F.lit("a tag that is not balanced:"), "tag", F.col("open").cast("string")).alias("error")))
 
 
 def html_pages(files: DataFrame, key: str = "name", text: str = "html", tag: str = "div", prefix: str | None = "tab-opinion-", first_page: Column | None = None, records: int | None = None) -> DataFrame:
-    """(key, record_ix, page, text); with ``records``, a file must have that many and its last one counts.
+    """(key, record_ix, page, text): the paragraphs of each record, by page; with ``records``, a file must have that many
+    and its last one counts. Keys are the files' own.
 
-    ``first_page``: the page on which a file's records begin, by default 1.
+    first_page: the page on which a file's records begin, by default 1. Anchors of class page-number turn the page: by
+    their name, or else by what stands behind the mark in the text that follows; until such a text comes, text is left out,
+    as is the anchor's own. A page that is opened again starts anew. After a list has ended footnotes follow, in which a text that
+    begins with a bracket counts from the closing one. Tags of ``LITERAL`` were meant as text.
     """
-    schema = "array<struct<record_ix:int,page:string,text:string>>"
-    make = F.udf(lambda x, page: html_page_texts(x, tag, prefix, page) if x else [], schema, useArrow=True)
-    rows = files.select(F.col(key), F.explode(make(F.col(text), F.lit("1") if first_page is None else first_page)).alias("_row")).select(key, "_row.*")
+    page_of = files.select(F.col(key).alias("_key"), (F.lit("1") if first_page is None else first_page).cast("string").alias("_first"))
+    rows = _in_records(html_events(files, key, text), tag, prefix)
+    record = Window.partitionBy("_file", "record_ix")
+    line = record.orderBy("at")
+    is_start, is_end, is_text = (F.col("kind") == k for k in ("start", "end", "text"))
+    turner = is_start & (F.col("tag") == "a") & F.coalesce(F.col("class") == PAGE_ANCHOR, F.lit(False))
+    state = lambda on, off: F.coalesce(F.last(F.when(on, True).when(off, False), ignorenulls=True).over(line), F.lit(False))
+    flag = lambda c: F.when(c, 1).otherwise(0)
+
+    # page turns: by name at the anchor, by number at the first text that has a mark
+    bare = F.replace("text", F.lit(" "), F.lit(""))
+    mark = F.when(F.contains(bare, F.lit(NUMBER_MARKS[0])), NUMBER_MARKS[0]).when(F.contains(bare, F.lit(NUMBER_MARKS[1])), NUMBER_MARKS[1])
+    number = F.when(is_text, F.get(F.split(bare, F.concat(F.lit(r"\Q"), mark, F.lit(r"\E")), -1), F.lit(1)))
+    rows = rows.withColumn("asked", F.sum(flag(turner & F.col("name").isNull())).over(line)).withColumn("number", number)
+    group = Window.partitionBy("_file", "record_ix", "asked")
+    found = F.min(F.when((F.col("asked") > 0) & F.col("number").isNotNull(), F.col("at"))).over(group)
+    rows = rows.withColumn("found", found)
+    rows = rows.withColumn("turn", F.when(turner & F.col("name").isNotNull(), F.col("name")).when(F.col("at") == F.col("found"), F.col("number")))
+    rows = rows.withColumns({"visit": F.sum(flag(F.col("turn").isNotNull())).over(line), "page": F.last("turn", ignorenulls=True).over(line)})
+
+    waits = (F.col("asked") > 0) & (F.col("found").isNull() | (F.col("at") <= F.col("found")))
+    rows = rows.withColumns({"paragraph": F.sum(flag(is_start & (F.col("tag") == "p"))).over(line), "in_p": state(is_start & (F.col("tag") == "p"), is_end & (F.col("tag") == "p")), "in_a": state(turner, is_end & (F.col("tag") == "a")), "notes": state(is_end & (F.col("tag") == "ul"), F.lit(False))})
+    plain = F.replace("text", F.lit("\r"), F.lit(""))
+    written = is_text & F.col("in_p") & ~F.col("in_a") & ~waits & (plain != "")
+    kept = F.when(F.col("notes") & F.startswith(plain, F.lit("[")), F.when(F.contains(plain, F.lit("]")), F.substr(plain, F.position(F.lit("]"), plain))).otherwise("")).otherwise(plain)
+    rows = rows.withColumn("written", written)
+    rows = rows.withColumn("piece", F.when(F.col("written"), kept).when(is_start & F.col("tag").isin(*LITERAL), F.concat(F.lit("<"), "tag", F.lit(">"))).otherwise(""))
+    visit = Window.partitionBy("_file", "record_ix", "visit").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.row_number().over(Window.partitionBy("_file", "record_ix", "paragraph", "written").orderBy("at")) == 1
+    breaks = F.col("written") & fresh & (F.coalesce(F.max(flag(F.col("piece") != "")).over(visit), F.lit(0)) == 1)
+    rows = rows.withColumn("piece", F.concat(F.when(breaks, "\n").otherwise(""), "piece"))
+    pages = rows.groupBy("_file", "record_ix", "visit").agg(F.first("page", ignorenulls=True).alias("page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    pages = pages.join(page_of, F.col("_file").eqNullSafe(F.col("_key"))).withColumn("page", F.coalesce("page", "_first"))
+    # the first page exists also where the record turns at once
+    pages = pages.groupBy("_file", "record_ix", "page").agg(F.max_by("text", "visit").alias("text"))
     if records is None:
-        return rows
-    last = Window.partitionBy(key)
-    rows = rows.withColumn("_last", F.max("record_ix").over(last))
-    right = F.when(F.col("_last") == records - 1, F.col("_last")).otherwise(F.raise_error(F.concat(F.lit("unexpected number of records in "), F.col(key).cast("string"))))
-    return rows.where(F.col("record_ix") == right).drop("_last")
+        return pages.withColumnRenamed("_file", key)
+    rows = pages.withColumn("_last", F.max("record_ix").over(Window.partitionBy("_file")))
+    right = F.when(F.col("_last") == records - 1, F.col("_last")).otherwise(F.raise_error(F.concat(F.lit("unexpected number of records in "), F.col("_file").cast("string"))))
+    return rows.where(F.col("record_ix") == right).drop("_last").withColumnRenamed("_file", key)
 
 
 def page_file_name(key: str = "name", page: str = "page") -> Column:

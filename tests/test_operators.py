@@ -3,6 +3,8 @@
 import itertools
 import json
 import random
+import re
+from html import unescape
 
 import numpy as np
 import pytest
@@ -156,16 +158,54 @@ HTML = """<div id="tab-opinion-1"><p>a</p></div><div id="tab-opinion-2"><div><p>
 
 
 def test_markup(spark):
-    assert markup.facsimiles(XML) == ["d1", "d2"]
-    assert markup.xml_page_texts(XML) == [("d1", "One  two , three x  y\n Next "), ("d2", "page")]
-    assert markup.html_page_texts(HTML, first_page="6") == [(0, "6", "a"), (1, "6", "x y\nz"), (1, "7", "seven"), (1, "8", "eight\n] kept")]
+    xml = spark.createDataFrame([("f", XML)], "name string, text string")
+    assert sorted((r.at, r.ptr) for r in markup.xml_pointers(xml).collect()) == [(0, "d1"), (1, "d2")]
+    assert sorted(map(tuple, markup.xml_pages(xml).collect())) == [("d1", "One  two , three x  y\n Next "), ("d2", "page")]
     files = spark.createDataFrame([("001us006", HTML)], "name string, html string")
+    got = sorted(tuple(r)[1:] for r in markup.html_pages(files, first_page=F.lit("6")).collect())
+    assert got == [(0, "6", "a"), (1, "6", "x y\nz"), (1, "7", "seven"), (1, "8", "eight\n] kept")]
     got = markup.html_pages(files, first_page=F.lit("6"), records=2).select("page", markup.page_file_name().alias("f")).collect()
-    assert [(r.page, r.f) for r in got] == [("6", "001us006-000"), ("7", "001us006-001"), ("8", "001us006-002")]
+    assert sorted((r.page, r.f) for r in got) == [("6", "001us006-000"), ("7", "001us006-001"), ("8", "001us006-002")]
     with pytest.raises(Exception, match="unexpected number of records"):
         markup.html_pages(files, records=3).collect()
 
 
+def test_markup_errors(spark):
+    rows = [("good", HTML), ("odd", '<div id="tab-opinion-1"><p>a <table>b</table> <l=|x>c<br></p></div><table>'), ("open", '<div id="tab-opinion-1"><em>a<p>b</div>'), ("text", '<div id="tab-opinion-1"><p>mark <h> here</p></div>'), ("none", None)]
+    files = spark.createDataFrame(rows, "name string, html string")
+    assert sorted(map(tuple, markup.html_errors(files).collect())) == [("odd", "a tag that is not known: table"), ("open", "a tag that is not balanced: em 1")]
+    assert sorted(map(tuple, markup.tag_balance(files).collect())) == [("open", "em", 1), ("open", "p", 1)]
+    assert markup.html_pages(files.where("name = 'text'")).first().text == "mark <h> here"
+
+
+def articles(html):
+    """The paragraphs of the articles, by cutting the page at its tags."""
+    html = re.sub(r"(?s)<!--.*?-->", "", html)
+    html = re.sub(r"(?s)(<(script|style)\b[^>]*>).*?</\2>", r"\1", html)
+    out, depth, inside, fresh = [], 0, False, False
+    for piece in re.split(r"(<[^>]*>)", html):
+        if m := re.match(r"<(/?)(\w+)", piece):
+            end, tag = m[1] == "/", m[2].lower()
+            if tag == "article":
+                if not end and not depth:
+                    out.append("")
+                    inside = False
+                depth += -1 if end else 1
+            elif tag == "p" and depth:
+                inside, fresh = not end, not end
+        elif depth and inside and piece and not piece.startswith("<"):
+            out[-1] += ("\n" if fresh and out[-1] else "") + unescape(piece).replace("\r", "")
+            fresh = False
+    return out
+
+
+def test_html_pages_of_the_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = sorted((r.page_id, i, "1", t) for r in pages.collect() for i, t in enumerate(articles(r.html)) )
+    got = sorted(tuple(r) for r in markup.html_pages(pages, "page_id", "html", tag="article", prefix=None).collect())
+    assert len(got) > 100 and got == want
+
+
 def test_readers_sinks_and_stream(spark, tmp_path):
     a = answer(spark, "Azure", {"regions": [{"boundingBox": "", "lines": [{"boundingBox": "", "words": [{"text": "hi"}]}]}]}).withColumn("provider", F.lit("azu"))
     sinks.results(a, f"{tmp_path}/out")
