@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that Spark hands to Python at once while a scratch table is written: texts and lists of hashes are
 #: long, and both sides hold a batch in memory.
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+#: Shuffle files go when the action that made them has ended: what it wrote is all that is read later.
+CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +48,14 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(BATCH_CONF)
-        self.spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(before))))
+        before = {c: self.spark.conf.get(c) for c in (BATCH_CONF, CLEAN_CONF)}
+        self.spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(before[BATCH_CONF]))))
+        self.spark.conf.set(CLEAN_CONF, "true")
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(BATCH_CONF, before)
+            for c, value in before.items():
+                self.spark.conf.set(c, value)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -66,10 +70,14 @@ class Scratch:
             pass
 
 
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """The bytes of a column of texts (one pass over it)."""
+    return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+
+
 def n_blocks(docs: DataFrame, text: str, block_bytes: int) -> int:
-    """How many blocks of about ``block_bytes`` of text the table has (one pass over one column)."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(1, math.ceil(total / block_bytes))
+    """How many blocks of about ``block_bytes`` of text the table has."""
+    return max(1, math.ceil(text_bytes(docs, text) / block_bytes))
 
 
 def block_of(key: Column, n: int, seed: int = 11) -> Column:
@@ -82,13 +90,34 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def without(docs: DataFrame, key: Column, gone: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """``docs`` without the rows whose key is in ``gone`` (a stored table of one column, ``_gone``).
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_key(*columns: Column) -> tuple[Column, Column]:
+    """128 bits that tell apart rows that differ in a column, also in which of them are null."""
+    null = [c.isNull() for c in columns]
+    return F.xxhash64(*columns, *null), F.xxhash64(F.lit(1), *columns, *null)
+
+
+def without(docs: DataFrame, key: tuple[Column, Column], gone: DataFrame, max_rows: int = 2_000_000, how: str = "left_anti") -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone`` (a stored table of k0 and k1); left_semi: only these.
 
     Up to ``max_rows`` keys (16 bytes each) are broadcast; more are joined by a shuffle.
     """
+    gone = gone.select(F.col("k0").alias(fresh(docs, "k0")), F.col("k1").alias(fresh(docs, "k1")))
     gone = F.broadcast(gone) if small_enough(gone, max_rows) else gone
-    return docs.join(gone, key == gone["_gone"], "left_anti")
+    return docs.join(gone, (key[0] == gone[gone.columns[0]]) & (key[1] == gone[gone.columns[1]]), how)
+
+
+def once(docs: DataFrame, key: tuple[Column, Column]) -> DataFrame:
+    """One row of each key; copies are put together before the shuffle."""
+    k0, k1 = fresh(docs, "once0"), fresh(docs, "once1")
+    return docs.withColumns({k0: key[0], k1: key[1]}).dropDuplicates([k0, k1]).drop(k0, k1)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b") -> DataFrame:

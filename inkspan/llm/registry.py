@@ -21,18 +21,18 @@ from inkspan.llm.suffix_tree import score
 
 
 def op1_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the sentences of repeated runs of two or more sentences and ten or more words."""
-    return dedup(table(spark, sf_dir, "documents"), run=2, min_words=10, whole=True)
+    """Every document without the sentences of repeated runs of three or more sentences and twenty or more words."""
+    return dedup(table(spark, sf_dir, "documents"), run=3, min_words=20, whole=True)
 
 
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold text of a benchmark item, by document and item."""
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a tree that learns from four fifths of them."""
-    return score(table(spark, sf_dir, "documents"), depth=2, min_count=5)
+    return score(table(spark, sf_dir, "documents"), depth=3, min_count=5)
 
 
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every text, and the verdict of thresholds per language and source."""
-    return judge(table(spark, sf_dir, "documents"), min_docs=200)
+    return judge(table(spark, sf_dir, "documents"), prior_docs=50)
 
 
 def op10_automaton_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
