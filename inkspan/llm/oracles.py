@@ -51,18 +51,16 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 l AS (SELECT lang, src, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS ratio, unnest([word_length, symbols, dup_lines, repeats])::BIGINT AS x FROM m WHERE NOT base_failed),
 s AS (SELECT lang, src, ratio, greatest(length(bin(x)) - 6, 0)::INT AS shift, x FROM l),
 v AS (SELECT lang, src, ratio, (((x >> shift) + 1) << shift) - 1 AS x, count(*) AS n FROM s GROUP BY ALL),
-g AS (SELECT 0 AS level, lang, src, ratio, x, sum(n) AS n FROM v GROUP BY ALL UNION ALL SELECT 1, lang, '', ratio, x, sum(n) FROM v GROUP BY ALL UNION ALL SELECT 2, '', '', ratio, x, sum(n) FROM v GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, src, ratio ORDER BY x) AS upto, sum(n) OVER (PARTITION BY level, lang, src, ratio) AS total FROM g),
-q AS (SELECT level, lang, src, ratio, max(total) AS docs, min(CASE WHEN 4 * upto >= total THEN x END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN x END) AS q3 FROM u GROUP BY ALL),
-k(ratio, slack) AS (VALUES ('word_length', 100), ('symbols', 100), ('dup_lines', 300), ('repeats', 200)),
-f AS (SELECT a.lang, a.src, ratio, slack, CASE WHEN a.docs >= 200 THEN a.q1 WHEN b.docs >= 200 THEN b.q1 ELSE z.q1 END AS q1,
-             CASE WHEN a.docs >= 200 THEN a.q3 WHEN b.docs >= 200 THEN b.q3 ELSE z.q3 END AS q3
-      FROM q a JOIN q b USING (ratio) JOIN q z USING (ratio) JOIN k USING (ratio) WHERE a.level = 0 AND b.level = 1 AND b.lang = a.lang AND z.level = 2),
-o AS (SELECT lang, src, max(CASE WHEN ratio = 'word_length' THEN q3 + 3 * (q3 - q1) + slack END) AS wh, max(CASE WHEN ratio = 'word_length' THEN q1 - 3 * (q3 - q1) - slack END) AS wl,
-             max(CASE WHEN ratio = 'symbols' THEN q3 + 3 * (q3 - q1) + slack END) AS sh, max(CASE WHEN ratio = 'dup_lines' THEN q3 + 3 * (q3 - q1) + slack END) AS dh,
-             max(CASE WHEN ratio = 'repeats' THEN q3 + 3 * (q3 - q1) + slack END) AS rh FROM f GROUP BY ALL),
-j AS (SELECT m.*, concat_ws(',', CASE WHEN word_length > wh OR word_length < wl THEN 'word_length' END, CASE WHEN symbols > sh THEN 'symbols' END,
-             CASE WHEN dup_lines > dh THEN 'dup_lines' END, CASE WHEN repeats > rh THEN 'repeats' END) AS outside FROM m LEFT JOIN o USING (lang, src))
+k AS (SELECT lang, ratio, x, sum(n) AS n FROM v GROUP BY ALL), z AS (SELECT lang, ratio, sum(n) AS total FROM k GROUP BY ALL),
+g AS (SELECT lang, src, ratio, x, sum(w) AS w FROM (SELECT lang, src, ratio, x, 1000 * n AS w FROM v
+      UNION ALL SELECT a.lang, a.src, ratio, x, n * 50000 // total FROM (SELECT DISTINCT lang, src FROM v) a JOIN k USING (lang) JOIN z USING (lang, ratio)) GROUP BY ALL),
+u AS (SELECT *, sum(w) OVER (PARTITION BY lang, src, ratio ORDER BY x) AS upto, sum(w) OVER (PARTITION BY lang, src, ratio) AS total FROM g),
+o AS (SELECT lang, src, min(CASE WHEN ratio = 'word_length' AND 100 * upto >= 95 * total THEN x END) * 115 // 100 AS wh, min(CASE WHEN ratio = 'word_length' AND 100 * upto >= 5 * total THEN x END) * 85 // 100 AS wl,
+             min(CASE WHEN ratio = 'symbols' AND 100 * upto >= 75 * total THEN x END) * 2 AS sh, min(CASE WHEN ratio = 'dup_lines' AND 100 * upto >= 95 * total THEN x END) * 2 AS dh,
+             min(CASE WHEN ratio = 'repeats' AND 100 * upto >= 95 * total THEN x END) * 2 AS rh FROM u GROUP BY ALL),
+e AS (SELECT m.*, wh, wl, (sh * n_words)::DOUBLE / 1000::DOUBLE AS se, (dh * n_lines)::DOUBLE / 1000::DOUBLE AS de, (rh * n_words)::DOUBLE / 1000::DOUBLE AS re FROM m LEFT JOIN o USING (lang, src)),
+j AS (SELECT *, concat_ws(',', CASE WHEN word_length > wh OR word_length < wl THEN 'word_length' END, CASE WHEN n_symbols > se + 3::DOUBLE * sqrt(se + 1::DOUBLE) THEN 'symbols' END,
+             CASE WHEN n_dup_lines > de + 3::DOUBLE * sqrt(de + 1::DOUBLE) THEN 'dup_lines' END, CASE WHEN n_repeat_words > re + 3::DOUBLE * sqrt(re + 1::DOUBLE) THEN 'repeats' END) AS outside FROM e)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside = '' AS kept, outside FROM j
 """
 

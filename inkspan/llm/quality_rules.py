@@ -2,12 +2,14 @@
 
 One Arrow pass counts what the rules need. Four ratios, as whole numbers, go into log-linear histograms
 (32 buckets to a doubling, so a value is known to about 3 per cent). Histograms merge by adding counts:
-groups of language and source roll up to the language and to the corpus, which stand in for groups of fewer
-than ``min_docs`` documents. A document is outside when a ratio lies beyond the quartiles by three times
-their distance and a fixed slack, which keeps a group of near-constant values from rejecting itself.
+each group of language and source is joined with its language's histogram, scaled to ``prior_docs`` documents,
+so a small group leans on its language and a large one speaks for itself. A group's bound is a quantile of that
+histogram, widened by a part of itself. A count is outside when it is above what the bound allows for the
+text's length by more than ``NOISE`` of its own standard deviations (Poisson), so short texts aren't
+rejected for a single event; a mean length of words is outside when it is beyond a bound.
 
 Defined cases: null and empty texts have zero counts and fail the base; null languages and sources are
-groups of their own; rows that repeat count each time; an empty table gives an empty result.
+groups of their own; rows that repeat count each time; an empty table gives an empty result. Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -17,28 +19,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Scratch, without
+from inkspan.llm.common import Scratch, row_key, without
 from inkspan.llm.words import flat, portions, runs, words
 
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
-#: Ratio: (numerator, factor, denominator, slack, whether a low value is outside too).
+#: Ratio: (numerator, factor, denominator, per cent below the lower bound's quantile or None, the same for
+#: the upper bound, per cent by which bounds are widened). The quantile must lie inside the good part of a
+#: group; symbols mark a kind of junk that may make up a fifth of a group, so theirs is the lowest.
 RATIOS = {
-    "word_length": ("word_chars", 100, "n_words", 100, True),
-    "symbols": ("n_symbols", 1000, "n_words", 100, False),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", 300, False),
-    "repeats": ("n_repeat_words", 1000, "n_words", 200, False),
+    "word_length": ("word_chars", 100, "n_words", 5, 95, 15),
+    "symbols": ("n_symbols", 1000, "n_words", None, 75, 100),
+    "dup_lines": ("n_dup_lines", 1000, "n_lines", None, 95, 100),
+    "repeats": ("n_repeat_words", 1000, "n_words", None, 95, 100),
 }
-FENCE = 3
+NOISE = 3.0
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS)] = True
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
 def _count(batches):
-    for b in portions(batches, 3):
-        data, ends = flat(b.column(3))
+    for b in portions(batches, 0):
+        data, ends = flat(b.column(0))
         h, start, stop, at = words(data, ends, lower=False)
         three = runs(h, 3)
         lead = (data & 0xC0) != 0x80
@@ -58,17 +62,19 @@ def _count(batches):
                     hit[o : o + len(twice)] |= twice
                 repeat = int(hit.sum())
             rows[:, d] = q - p, np.count_nonzero(lead[i:j]), np.count_nonzero(symbol[i:j]), len(lines) - len(set(lines)), repeat, len(lines)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *map(pa.array, rows)], names=["id", "lang", "src", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
+        names = [*b.schema.names[1:], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], *map(pa.array, rows)], names=names)
 
 
 def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """The counts of every text, its ratios and whether it fails the base."""
+    """The counts of every text, its ratios, whether it fails the base, and the row's key (k0, k1)."""
     group = lambda c: F.coalesce(F.concat(F.lit("0"), F.col(c).cast("string")), F.lit("1"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), group(lang_col).alias("lang"), group(source_col).alias("src"), F.col(text_col).alias("text"))
+    key = row_key(*(F.col(c) for c in (id_col, text_col, lang_col, source_col)))
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), group(lang_col).alias("lang"), group(source_col).alias("src"), key[0].alias("k0"), key[1].alias("k1"))
     names = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"
-    rows = rows.mapInArrow(_count, "id long, lang string, src string, " + ", ".join(f"{x} long" for x in names))
+    rows = rows.mapInArrow(_count, "id long, lang string, src string, k0 long, k1 long, " + ", ".join(f"{x} long" for x in names))
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    ratio = {m: F.when(F.col(below) > 0, F.expr(f"{times} * {above} div {below}")).otherwise(F.lit(0)).cast("long") for m, (above, times, below, _, _) in RATIOS.items()}
+    ratio = {m: F.when(F.col(below) > 0, F.expr(f"{times} * {above} div {below}")).otherwise(F.lit(0)).cast("long") for m, (above, times, below, *_) in RATIOS.items()}
     return rows.withColumns(ratio)
 
 
@@ -90,43 +96,61 @@ def sketch(rows: DataFrame) -> DataFrame:
     return rows.where("not base_failed").select("lang", "src", each).groupBy("lang", "src", "ratio", "bucket").agg(F.count("*").alias("n"))
 
 
-def fences(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """The bounds of each group of ``keys``, from merged histograms; docs: how many it has."""
-    merged = hist.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "ratio")
-    line = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
-    quartile = lambda m, q: F.min(F.when((F.col("ratio") == m) & (4 * F.col("upto") >= q * F.col("all")), value(F.col("bucket"))))
+def blended(hist: DataFrame, prior_docs: int) -> DataFrame:
+    """(lang, src, ratio, bucket, weight): each group's histogram in thousandths of a document, with its
+    language's scaled to ``prior_docs`` documents."""
+    langs = hist.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    sizes = langs.groupBy("lang", "ratio").agg(F.sum("n").alias("all"))
+    prior = langs.join(sizes, ["lang", "ratio"]).select("lang", "ratio", "bucket", F.expr(f"n * {1000 * prior_docs}L div all").alias("weight"))
+    groups = hist.select("lang", "src").distinct()
+    rows = hist.select("lang", "src", "ratio", "bucket", (1000 * F.col("n")).alias("weight")).unionByName(groups.join(prior, "lang"))
+    return rows.groupBy("lang", "src", "ratio", "bucket").agg(F.sum("weight").alias("weight"))
+
+
+def fences(hist: DataFrame) -> DataFrame:
+    """(lang, src, <ratio>_hi, <ratio>_lo) of each group from a blended histogram."""
+    group = Window.partitionBy("lang", "src", "ratio")
+    line = hist.withColumn("upto", F.sum("weight").over(group.orderBy("bucket"))).withColumn("all", F.sum("weight").over(group))
+    at = lambda m, percent: F.min(F.when((F.col("ratio") == m) & (100 * F.col("upto") >= percent * F.col("all")), value(F.col("bucket"))))
+    wide = lambda q, percent: F.floor(q * percent / 100).cast("long")
     cols = []
-    for m, (_, _, _, slack, low) in RATIOS.items():
-        q1, q3 = quartile(m, 1), quartile(m, 3)
-        cols.append((q3 + FENCE * (q3 - q1) + slack).alias(f"{m}_hi"))
-        if low:
-            cols.append((q1 - FENCE * (q3 - q1) - slack).alias(f"{m}_lo"))
-    return line.groupBy(*keys).agg(F.max("all").alias("docs"), *cols)
+    for m, (*_, low, high, margin) in RATIOS.items():
+        cols.append(wide(at(m, high), 100 + margin).alias(f"{m}_hi"))
+        if low is not None:
+            cols.append(wide(at(m, low), 100 - margin).alias(f"{m}_lo"))
+    return line.groupBy("lang", "src").agg(*cols)
 
 
-def judge(docs: DataFrame, min_docs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: id, counts, base_failed, kept, and the ratios that lie outside."""
+def _outside(m: str) -> Column:
+    """Whether a row is beyond its group's bounds; false where it has none."""
+    above, times, below, low, *_ = RATIOS[m]
+    if low is not None:
+        beyond = (F.col(m) > F.col(f"{m}_hi")) | (F.col(m) < F.col(f"{m}_lo"))
+    else:
+        allowed = (F.col(f"{m}_hi") * F.col(below)).cast("double") / F.lit(float(times))
+        beyond = F.col(above) > allowed + NOISE * F.sqrt(allowed + 1.0)
+    return F.coalesce(beyond, F.lit(False))
+
+
+def _judged(docs: DataFrame, prior_docs: int, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(counts(docs, id_col, text_col, lang_col, source_col), "counts")
     hist = scratch.save(sketch(rows), "hist")
-    bounds = [f"{m}_hi" for m in RATIOS] + [f"{m}_lo" for m, r in RATIOS.items() if r[4]]
-    groups, langs, corpus = (scratch.save(fences(hist, k), "-".join(["fences", *k])) for k in (["lang", "src"], ["lang"], []))
-    one = corpus.select(F.lit(1).alias("one"), *[F.col(c).alias(f"c_{c}") for c in bounds])
-    some = langs.select("lang", F.col("docs").alias("l_docs"), *[F.col(c).alias(f"l_{c}") for c in bounds])
-    wide = groups.withColumn("one", F.lit(1)).join(some, "lang").join(one, "one")
-    pick = lambda c: F.when(F.col("docs") >= min_docs, F.col(c)).when(F.col("l_docs") >= min_docs, F.col(f"l_{c}")).otherwise(F.col(f"c_{c}"))
-    wide = scratch.save(wide.select("lang", "src", *[pick(c).alias(c) for c in bounds]), "bounds")
-    rows = rows.join(wide, ["lang", "src"], "left")
-    out = [F.when((F.col(m) > F.col(f"{m}_hi")) | ((F.col(m) < F.col(f"{m}_lo")) if r[4] else F.lit(False)), F.lit(m)) for m, r in RATIOS.items()]
-    rows = rows.withColumn("outside", F.concat_ws(",", *out)).withColumn("kept", ~F.col("base_failed") & (F.col("outside") == ""))
+    bounds = scratch.save(fences(blended(hist, prior_docs)), "bounds")
+    rows = rows.join(bounds, ["lang", "src"], "left")
+    rows = rows.withColumn("outside", F.concat_ws(",", *[F.when(_outside(m), F.lit(m)) for m in RATIOS]))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("outside") == ""))
+
+
+def judge(docs: DataFrame, prior_docs: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row for each row of ``docs``: id, counts, base_failed, kept, and the ratios that lie outside."""
+    rows = _judged(docs, prior_docs, id_col, text_col, lang_col, source_col)
     return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "outside")
 
 
-def keep_good(docs: DataFrame, min_docs: int = 200, **columns: str) -> DataFrame:
-    """``docs`` without the documents that the rules reject; rows that share an id share the verdict of the
-    worst, and rows with a null id are judged as one document."""
-    id_col = columns.get("id_col", "doc_id")
-    bad = judge(docs, min_docs, **columns).where("not kept").select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_gone")).distinct()
-    bad = Scratch(docs.sparkSession).save(bad, "rejected")
-    return without(docs, F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))), bad)
+def keep_good(docs: DataFrame, prior_docs: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``docs`` without the rows that the rules reject, each by its own text, language and source, whatever other
+    rows its id has."""
+    columns = id_col, text_col, lang_col, source_col
+    bad = _judged(docs, prior_docs, *columns).where("not kept").select("k0", "k1").distinct()
+    return without(docs, row_key(*(docs[c] for c in columns)), Scratch(docs.sparkSession).save(bad, "rejected"))

@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -58,3 +59,38 @@ def test_edges(spark):
     assert qr.judge(docs.limit(0)).collect() == []
     left = qr.keep_good(docs)
     assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [5]
+
+
+def test_bounds_follow_the_group(spark):
+    """Groups that differ in every ratio get bounds of their own; a small one leans on its language."""
+    rng = random.Random(3)
+
+    def text(length, marks, copies, again):
+        lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(length - 1, length + 2))) for _ in range(12)) for _ in range(10)]
+        for i in range(copies):
+            lines[i + 5] = lines[i]
+        return "\n".join(lines) + " " + " ".join(["#"] * marks) + " q r s t u v w" * again
+
+    def group(n, source, *levels, lang="en"):
+        return [(f"{source}", lang, text(*levels)) for _ in range(n)]
+
+    rows = group(600, "prose", 5, 0, 0, 0) + group(600, "code", 9, 40, 1, 2) + group(20, "few", 9, 40, 1, 2)
+    docs = spark.createDataFrame([(i, t, lang, s) for i, (s, lang, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    bounds = {r.src[1:]: r for r in qr.fences(qr.blended(qr.sketch(qr.counts(docs, "doc_id", "text", "lang", "source")), 50)).collect()}
+    for m in qr.RATIOS:
+        assert bounds["prose"][f"{m}_hi"] < bounds["code"][f"{m}_hi"], m
+    assert bounds["prose"].word_length_lo < bounds["code"].word_length_lo
+    assert all(r.kept for r in qr.judge(docs).collect())
+    # 40 marks are usual in code and junk in prose
+    odd = spark.createDataFrame([(9000, text(5, 40, 0, 0), "en", "prose"), (9001, text(9, 40, 0, 0), "en", "code"), (9002, text(5, 3, 0, 0), "en", "prose")], docs.schema)
+    got = {r.doc_id: r.outside for r in qr.judge(docs.union(odd)).where("doc_id >= 9000").collect()}
+    assert "symbols" in got[9000] and got[9001] == got[9002] == ""
+
+
+def test_each_row_by_itself(spark):
+    good = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(5)]
+    rows = [(None, good[0]), (None, "x y"), (7, good[1]), (7, "short"), (8, good[2]), (8, good[2]), (9, None), (None, "x y")]
+    docs = spark.createDataFrame([(*r, "en", "s", "k0", 1) for r in rows], "doc_id long, text string, lang string, source string, k0 string, _gone0 long")
+    left = qr.keep_good(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, good[0]), (7, good[1]), (8, good[2]), (8, good[2])], key=str)
