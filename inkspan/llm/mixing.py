@@ -9,6 +9,9 @@ Targets: weights share the whole size, no target is above ``max_epochs`` times i
 is above goes to the others by weight. That is min(cap, weight * level) with one level for all, found from
 the sources sorted by cap / weight.
 
+Rows whose ids repeat or are null share a hash-random key, as the key is the id's; a range with far more rows than
+others is cut by a hash of id, text and source, so that such rows fill no task.
+
 Defined cases: a null source is a source of its own, sorted last; a null text has size 0; documents of size
 0 are taken 0 words; rows that repeat are documents of their own; an empty table gives an empty result.
 """
@@ -20,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import WORD, Scratch, small_enough
+from inkspan.llm.common import WORD, Scratch, fresh, once, row_key, small_enough, without
 
 #: Documents in a key range, about.
 RANGE_ROWS = 2_000
@@ -47,44 +50,65 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs
     return s.select("src", "source_size", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
 
 
-def takes(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """One row for each row of ``docs``: id, size, source_size, target, taken, epochs and cut.
-
-    epochs: how often the whole document is taken; cut: the words taken once more from its start.
-    """
+def _taken(docs: DataFrame, weights: tuple[float, ...], max_epochs: float, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """What ``takes`` returns, with the id as _id and the row's key as k0 and k1."""
     scratch = Scratch(docs.sparkSession)
     key = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, BITS // 4), 16, 10).cast("long")
     source = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
-    sized = docs.select(F.col(id_col).alias("_id"), source.alias("src"), key.alias("key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    k0, k1 = row_key(*(F.col(c) for c in (id_col, text_col, source_col)))
+    sized = docs.select(F.col(id_col).alias("_id"), source.alias("src"), key.alias("key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), k0.alias("k0"), k1.alias("k1"))
     sized = scratch.save(sized, "sized")
     ranges = max(64, math.ceil(sized.count() / RANGE_ROWS))
-    sized = sized.withColumn("range", F.floor(F.col("key") * F.lit(ranges) / F.lit(2**BITS)).cast("int"))
+    sized = sized.withColumn("range", F.floor(F.col("key").cast("double") * float(ranges) / float(2**BITS)).cast("int"))
 
-    sums = scratch.save(sized.groupBy("src", "range").agg(F.sum("size").alias("words")), "sums")
+    full = sized.groupBy("src", "range").agg(F.count("*").alias("rows")).where(F.col("rows") > 8 * RANGE_ROWS)
+    full = scratch.save(full.select("src", "range", F.ceil(F.col("rows") / (8 * RANGE_ROWS)).alias("parts")), "full")
+    part = F.coalesce(F.pmod("k0", "parts"), F.lit(0)).cast("int")
+    sized = sized.join(F.broadcast(full) if small_enough(full, BROADCAST_ROWS) else full, ["src", "range"], "left").withColumn("part", part).drop("parts")
+
+    sums = scratch.save(sized.groupBy("src", "range", "part").agg(F.sum("size").alias("words")), "sums")
     goal = targets(sums.groupBy("src").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     goal = goal.withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
     goal = scratch.save(goal.withColumn("more", F.col("budget") - F.col("epochs") * F.col("source_size")), "goal")
-    first = F.sum("words").over(Window.partitionBy("src").orderBy("range")) - F.col("words")
-    starts = sums.select("src", "range", first.alias("first")).join(goal, "src")
+    first = F.sum("words").over(Window.partitionBy("src").orderBy("range", "part")) - F.col("words")
+    starts = sums.select("src", "range", "part", first.alias("first")).join(goal, "src")
     starts = scratch.save(starts, "starts")
 
-    inside = F.sum("size").over(Window.partitionBy("src", "range").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    placed = sized.withColumn("inside", inside).join(starts, ["src", "range"])
+    line = Window.partitionBy("src", "range", "part").orderBy("key", "_id", "size", "k0", "k1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sized.withColumn("inside", F.sum("size").over(line) - F.col("size")).join(starts, ["src", "range", "part"])
     cut = F.greatest(F.lit(0), F.least("size", F.col("more") - F.col("first") - F.col("inside")))
     placed = placed.withColumn("cut", cut.cast("long"))
-    return placed.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("cut")).cast("long").alias("taken"), F.col("epochs").cast("long").alias("epochs"), "cut")
+    return placed.select("_id", "k0", "k1", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("cut")).cast("long").alias("taken"), F.col("epochs").cast("long").alias("epochs"), "cut")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def takes(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """One row for each row of ``docs``: id, size, source_size, target, taken, epochs and cut.
+
+    epochs: how often the whole document is taken; cut: the words taken once more from its start.
+    """
+    return _taken(docs, weights, max_epochs, id_col, text_col, source_col, seed).withColumnRenamed("_id", id_col).drop("k0", "k1")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """The mix itself: whole documents, each as often as it is taken, with the columns of ``docs``.
 
     A document that the cut divides is taken whole, so texts stay whole and a source's words stay within
-    one document of its target. Rows that share an id share its largest count.
+    one document of its target. Rows with one id, text and source come together as often as all of them are
+    taken, with the other columns of one of them.
     """
-    often = takes(docs, weights, max_epochs, id_col, text_col, source_col)
-    often = often.groupBy(F.col(id_col).alias("_mix_id")).agg(F.max(F.col("epochs") + F.when(F.col("cut") > 0, 1).otherwise(0)).alias("_mix_n"))
-    often = Scratch(docs.sparkSession).save(often.where("_mix_n > 0"), "often")
+    scratch = Scratch(docs.sparkSession)
+    n = F.col("epochs") + F.when(F.col("cut") > 0, 1).otherwise(0)
+    often = _taken(docs, weights, max_epochs, id_col, text_col, source_col, seed).groupBy("k0", "k1").agg(F.sum(n).alias("n"), F.count("*").alias("rows"))
+    often = scratch.save(often.where("n > 0"), "often")
+    key = row_key(*(docs[c] for c in (id_col, text_col, source_col)))
+    copies = scratch.save(often.where("rows > 1").select("k0", "k1"), "copies")
+    if copies.limit(1).count():
+        one = once(without(docs, key, copies, how="left_semi"), row_key(*(F.col(c) for c in (id_col, text_col, source_col))))
+        docs = without(docs, key, copies).unionByName(one)
+        key = row_key(*(docs[c] for c in (id_col, text_col, source_col)))
+    names = {c: fresh(docs, c) for c in ("k0", "k1", "n")}
+    often = often.select(*[F.col(c).alias(name) for c, name in names.items()])
     often = F.broadcast(often) if small_enough(often, BROADCAST_ROWS) else often
-    repeat = F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))).alias("_mix_i")
-    return docs.join(often, docs[id_col].eqNullSafe(often["_mix_id"])).select("*", repeat).select([docs[c] for c in docs.columns])
+    mixed = docs.join(often, (key[0] == often[names["k0"]]) & (key[1] == often[names["k1"]]))
+    return mixed.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(names["n"]).cast("int"))).alias(fresh(docs, "i"))).select([F.col(f"`{c}`") for c in docs.columns])

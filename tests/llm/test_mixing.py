@@ -71,3 +71,24 @@ def test_edges(spark, monkeypatch):
 def test_one_source(spark):
     docs = spark.createDataFrame([(i, "w " * i, "s") for i in range(50)], "doc_id long, text string, source string")
     assert all(r.taken == r.size for r in mixing.takes(docs).collect())
+
+
+def test_many_ranges_and_repeated_ids(spark, monkeypatch):
+    """More ranges than 2**16, null and repeated ids that share a key, and names that clash."""
+    rows = [(None, f"a b c n{i}", "s") for i in range(40)] + [(7, f"d e m{i}", "t") for i in range(40)] + [(100 + i, "x y z", "u") for i in range(40)] + [(9, "same", "u")] * 5
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, source string, n long, k0 long, _mix_n long, i int")
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    source = {(i, len(t.split())): s for i, t, s in rows}
+    for size in (1e-4, 1, 2_000):
+        monkeypatch.setattr(mixing, "RANGE_ROWS", size)
+        got = mixing.takes(docs).collect()
+        assert len(got) == len(rows)
+        check(docs, [(r, source[r.doc_id, r.size]) for r in got], sizes)
+        mixed = mixing.mix(docs)
+        assert mixed.columns == docs.columns
+        words = collections.Counter()
+        for r in mixed.collect():
+            words[r.source] += len(r.text.split())
+        assert all(0 <= words[s] - goal < 5 for s, goal in goals(sizes, (1, 2, 3), 3).items())
