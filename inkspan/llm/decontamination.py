@@ -3,18 +3,16 @@
 A mask hashes the words at its ones; words under its zeros may differ. Benchmark windows and training
 windows meet in a join on the hash. Around each hit the words are compared along its diagonal; of the runs with
 a positive score (1 for an equal word, -2 for another) the one with the most equal words counts if it has enough.
-With ``whole`` short items have short masks besides, which find every overlap that has enough equal words.
+Items of up to ``SHORT`` words have short masks besides, which find every overlap that has enough equal words,
+and an item of under eight words is found where it is a whole text; its words inside other texts are chance.
 
 A filter of fixed size with the benchmark's hashes goes to every task, so that only windows that may
 match leave it, with the words around them; a full filter costs time, not results.
 
-With ``whole`` every item that has a passage is reported: items with the same words are one class, as are
-surroundings with the same words, each pair of classes is compared once and stands for all members. Without it
-the smallest (item, position) stands for all benchmark windows with one hash: a passage that items share is
-reported for the first of them, and what sets items apart for each.
+Every item that has a passage is reported: items with the same words are one class, as are surroundings with
+the same words, each pair of classes is compared once and stands for all members.
 
-Defined cases: null and empty texts match nothing; items of fewer than eight words are not searched; rows
-that repeat a doc_id or an item_id are searched alone, and their findings merge; null ids are kept;
+Defined cases: null and empty texts match nothing; ids are cast to long; rows that repeat a doc_id or an item_id are searched alone, and their findings merge; null ids are kept;
 empty tables give an empty result.
 """
 
@@ -25,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Scratch, without
+from inkspan.llm.common import Scratch, row_key, without
 from inkspan.llm.words import flat, lists, mix, portions, words
 
 MASKS = ("111010010111", "110110110110", "111011101110", "11111111")
@@ -59,29 +57,39 @@ def seeds(h: np.ndarray, at: np.ndarray, masks: tuple = MASKS) -> tuple[np.ndarr
     return np.concatenate(hashes), np.concatenate(where)
 
 
+def whole_texts(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word's index) of each text that is too short for a mask but not empty."""
+    hashes, where = [h[:0]], [at[:0]]
+    for n in range(1, 8):
+        first = at[:-1][np.diff(at) == n]
+        x = np.full(len(first), np.uint64(1000 + n), dtype=np.uint64)
+        for o in range(n):
+            x += h[first + o] * np.uint64(pow(0x9E3779B97F4A7C15, o + 1, 2**64))
+        hashes.append(mix(x))
+        where.append(first)
+    return np.concatenate(hashes), np.concatenate(where)
+
+
 def _slots(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint64(2**FILTER_BITS - 1)
     return (x & low).astype(np.int64), ((x >> np.uint64(FILTER_BITS)) & low).astype(np.int64)
 
 
-def _items(whole: bool):
-    def make(batches):
-        for b in batches:
-            yield _seeded(b, whole)
-
-    return make
+def _items(batches):
+    for b in portions(batches, 1):
+        yield _seeded(b)
 
 
-def _seeded(b: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
+def _seeded(b: pa.RecordBatch) -> pa.RecordBatch:
     data, ends = flat(b.column(1))
     h, _, _, at = words(data, ends, lower=True)
-    x, pos = seeds(h, at)
-    doc = np.searchsorted(at, pos, side="right") - 1
-    if whole:
-        more, where = seeds(h, at, SHORT_MASKS)
-        owner = np.searchsorted(at, where, side="right") - 1
-        ok = (np.diff(at)[owner] <= SHORT) & (np.diff(at)[owner] >= 8)
-        x, pos, doc = np.append(x, more[ok]), np.append(pos, where[ok]), np.append(doc, owner[ok])
+    owner = lambda pos: np.searchsorted(at, pos, side="right") - 1
+    short, where = seeds(h, at, SHORT_MASKS)
+    size = np.diff(at)[owner(where)]
+    ok = (size >= 8) & (size <= SHORT)
+    found = [seeds(h, at), (short[ok], where[ok]), whole_texts(h, at)]
+    x, pos = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    doc = owner(pos)
     order = np.argsort(doc, kind="stable")
     cut = np.searchsorted(doc[order], np.arange(len(ends)))
     parts = [order[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
@@ -89,7 +97,7 @@ def _seeded(b: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column(0), lists(tokens), lists([x[p] for p in parts]), lists([pos[p] - at[i] for i, p in enumerate(parts)])], names=["item", "words", "hash", "pos"])
 
 
-def _regions(filter_bytes: bytes, masks: tuple):
+def _regions(filter_bytes: bytes):
     """Windows that the filter lets through, with the words around them; overlapping surroundings merge."""
     bits = np.frombuffer(filter_bytes, np.uint8)
 
@@ -100,7 +108,8 @@ def _regions(filter_bytes: bytes, masks: tuple):
         for b in portions(batches, 1):
             data, ends = flat(b.column(1))
             h, _, _, at = words(data, ends, lower=True)
-            x, pos = seeds(h, at, masks)
+            found = seeds(h, at, MASKS + SHORT_MASKS), whole_texts(h, at)
+            x, pos = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             one, two = _slots(x)
             keep = has(one)
             keep[keep] = has(two[keep])
@@ -160,7 +169,7 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), *(pa.array([o[c] for o in out], pa.int64()) for c in range(1, 5))], names=["region", "row", "n_equal", "n_words", "doc_start", "item_start"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", whole: bool = False) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, n_equal, n_words, doc_start, item_start): the longest overlap of each document and item.
 
     n_words: words of the overlap, n_equal: those that are equal; starts count words from 0.
@@ -168,14 +177,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     scratch = Scratch(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    items = items.mapInArrow(_items(whole), "item long, words array<long>, hash array<long>, pos array<long>")
-    items = scratch.save(items.withColumn("row", F.xxhash64("words") if whole else F.xxhash64("item", "words")), "items")
+    items = items.mapInArrow(_items, "item long, words array<long>, hash array<long>, pos array<long>")
+    items = scratch.save(items.withColumn("row", F.xxhash64("words")), "items")
     each = F.inline(F.arrays_zip("hash", "pos"))
-    if whole:
-        stand = items.dropDuplicates(["row"]).select("row", each).select("hash", "row", "pos")
-    else:
-        stand = items.select("row", "item", each).groupBy("hash").agg(F.min(F.struct("item", "row", "pos")).alias("by")).select("hash", "by.row", "by.pos")
-    stand = scratch.save(stand, "seeds")
+    stand = scratch.save(items.dropDuplicates(["row"]).select("row", each).select("hash", "row", "pos"), "seeds")
 
     # the filter: at most 2**FILTER_BITS / 8 bytes reach the driver, however large the benchmark is
     low = F.lit(2**FILTER_BITS - 1)
@@ -187,7 +192,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     shared = bits.tobytes()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_regions(shared, MASKS + SHORT_MASKS if whole else MASKS), "doc long, start long, words array<long>, hash array<long>, pos array<long>")
+    found = rows.mapInArrow(_regions(shared), "doc long, start long, words array<long>, hash array<long>, pos array<long>")
     found = scratch.save(found.withColumn("region", F.xxhash64("words")), "regions")
     regions = found.dropDuplicates(["region"])
     hits = regions.select("region", each).withColumnRenamed("pos", "at").join(stand, "hash")
@@ -203,9 +208,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_equal", "b.n_words", (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
-    """``docs`` without those that overlap with an item; rows that share an id share their fate."""
-    id_col = columns.get("id_col", "doc_id")
-    gone = overlaps(docs, benchmark, **columns).select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_gone")).distinct()
-    gone = Scratch(docs.sparkSession).save(gone, "leaks")
-    return without(docs, F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))), gone)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text overlaps with an item, whatever other rows their ids have."""
+    key = row_key(docs[text_col])
+    texts = docs.select(key[0].alias("k0"), F.col(text_col).alias("text"))
+    gone = overlaps(texts, benchmark, "k0", "text", item_col, item_text_col).select("k0", F.lit(0).alias("k1")).distinct()
+    return without(docs, (key[0], F.lit(0)), Scratch(docs.sparkSession).save(gone, "leaks"))

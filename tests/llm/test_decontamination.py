@@ -11,13 +11,16 @@ def tokens(text):
 
 
 def brute(docs, items):
-    """Every mask at every position of every pair, and the best run on each diagonal that one hits."""
+    """Every mask at every position of every pair, and the best run on each diagonal that one hits; short masks
+    for short items, and equal texts for those under eight words."""
     out = {}
     split = [(i, tokens(t)) for i, t in items]
     for doc, text in docs:
         x = tokens(text)
         for item, y in split:
-            for m in dc.MASKS:
+            if x == y and 0 < len(y) < 8:
+                out[doc, item] = max(out.get((doc, item), (0,)), (len(y), 0, 0, len(y)))
+            for m in dc.MASKS + (dc.SHORT_MASKS if 8 <= len(y) <= dc.SHORT else ()):
                 ones = [o for o, c in enumerate(m) if c == "1"]
                 where = {}
                 for j in range(len(y) - len(m) + 1):
@@ -70,15 +73,15 @@ def test_edges(spark):
     items = [(1, text), (1, text), (2, None), (3, ""), (4, "too short"), (None, " ".join(f"n{i}" for i in range(20))), (6, shared + " p q r"), (7, shared + " x y z"), (8, "a b c d e f g h")]
     docs = [(1, None), (2, ""), (3, text.upper()), (3, text), (None, "é " + text), (5, " ".join(f"n{i}" for i in range(20))), (6, "z " * 100_000 + text), (7, shared), (8, "a b c d e f g h"), (9, "a b c d e f g i")]
     got = {(r[0], r[1]): r[2] for r in run(spark, docs, items)}
-    assert got == {(3, 1): 20, (None, 1): 20, (5, None): 20, (6, 1): 20, (7, 6): 30, (8, 8): 8}
+    assert got == {(3, 1): 20, (None, 1): 20, (5, None): 20, (6, 1): 20, (7, 6): 30, (7, 7): 30, (8, 8): 8, (9, 8): 7}
     assert run(spark, docs, []) == [] and run(spark, [], items) == []
     left = dc.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 9]
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2]
 
 
 def found(spark, docs, items):
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    return sorted(tuple(r) for r in dc.overlaps(d, spark.createDataFrame(items, "item_id long, text string"), whole=True).collect())
+    return sorted((tuple(r) for r in dc.overlaps(d, spark.createDataFrame(items, "item_id long, text string")).collect()), key=lambda r: (r[0] is None, r))
 
 
 def test_every_item_of_a_passage(spark):
@@ -120,3 +123,20 @@ def test_short_and_split_overlaps(spark):
             docs.append((10 * i + d, ["before"] * 9 + ["x" if j in gone else v for j, v in enumerate(w)] + ["after"] * 9))
     got = found(spark, [(d, " ".join(w)) for d, w in docs], [(i, " ".join(w)) for i, w in items])
     assert [r[:2] for r in got] == [(d, d // 10) for d, _ in docs]
+
+
+def test_whole_short_texts(spark):
+    items = [(1, "Yes"), (2, "one two three"), (3, None), (4, ""), (5, "one two three four five six seven"), (6, "a b c d e f g h")]
+    docs = [(1, "yes"), (2, "\none  TWO three"), (3, "one two three four five six seven"), (4, "one two three four"), (None, "yes"), (5, ""), (6, None), (7, "x a b c d e f g h y"), (8, "yes yes")]
+    got = found(spark, docs, items)
+    assert {r[:3] for r in got} == {(1, 1, 1), (2, 2, 3), (3, 5, 7), (None, 1, 1), (7, 6, 8)}
+    assert sorted(map(str, got)) == sorted(map(str, brute(docs[:4] + docs[5:], items) + [(None, 1, 1, 1, 0, 0)]))
+
+
+def test_clean_by_row(spark):
+    item = " ".join(f"v{i}" for i in range(20))
+    rows = [(1, item), (1, "other words of the same id"), (None, "x " + item), (None, "clean"), (None, None), (2, "clean"), (2, "clean")]
+    docs = spark.createDataFrame([(*r, "a", 3) for r in rows], "doc_id long, text string, k0 string, _k0 long")
+    left = dc.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns
+    assert sorted(map(str, (r.text for r in left.collect()))) == ["None", "clean", "clean", "clean", "other words of the same id"]
