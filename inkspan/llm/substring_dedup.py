@@ -8,25 +8,26 @@ the sentences that any other covers are removed.
 With ``whole`` a run takes as many more sentences as it needs for ``min_words`` words, so that short ones make
 longer runs, and sentences above ``LONG`` words are cut after the word with the smallest hash in each ``WINDOW``
 words, so that a long one makes several spans that count as sentences. Spans have ``LONG`` words at most, so 50
-words that two documents share, with equal line ends, hold a whole run of ``run`` = 2 and ``min_words`` = 10.
+words that two documents share, with equal line ends, hold a whole run of ``run`` = 3 and ``min_words`` = 20.
 
-Documents are dealt into blocks by a hash of their id. A block gives each of its runs once, with the first
-place and how often, so a run in a third of all documents is a few rows; what repeats goes back to the
-blocks that have it.
+Documents are dealt into blocks by a hash of id and text. A block gives each of its runs once, with the first
+place and how often, so a run in a third of all documents is a few rows; firsts are found by an aggregation that
+adds up before the shuffle, and what repeats goes back to the blocks that have it by a join that Spark can split.
 
 Defined cases: null texts stay null and empty ones empty; a text with nothing to remove stays as it is, byte
-for byte; a null id sorts last and null ids are one document; rows that repeat an id are one document,
-so that an exact repetition of a row is no repeat; an empty table gives an empty result.
+for byte; a null id sorts last; texts that share an id, or have none, are documents of their own in the order of
+their hashes; rows with one id and one text are one document, so that an exact repetition of a row is no repeat;
+ids are cast to long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import block_of, n_blocks
+from inkspan.llm.common import Scratch, block_of, n_blocks
 from inkspan.llm.words import flat, mix, words
 
 #: Text in a block, about.
@@ -96,18 +97,18 @@ def _spans(texts, run: int, min_words: int, whole: bool):
 def _keys(run: int, min_words: int, whole: bool):
     def make(t: pa.Table) -> pa.Table:
         (_, _, _, at, _, _), code, first, _, doc = _spans(t.column("text"), run, min_words, whole)
-        ids = t.column("order").to_numpy()
+        ids, ties = t.column("order").to_numpy(), t.column("tie").to_numpy()
         where = first - at[doc]
-        order = np.lexsort((where, ids[doc], code))
-        code, owner, where = code[order], ids[doc][order], where[order]
+        order = np.lexsort((where, ties[doc], ids[doc], code))
+        code, owner, tie, where = code[order], ids[doc][order], ties[doc][order], where[order]
         head = np.ones(len(code), dtype=bool)
         head[1:] = code[1:] != code[:-1]
         again = np.ones(len(code), dtype=bool)
-        again[1:] = head[1:] | (owner[1:] != owner[:-1]) | (where[1:] != where[:-1])
+        again[1:] = head[1:] | (owner[1:] != owner[:-1]) | (tie[1:] != tie[:-1]) | (where[1:] != where[:-1])
         i = np.flatnonzero(head)
         n = np.add.reduceat(again.astype(np.int64), i) if len(i) else i
         block = t.column("block")[0].as_py() if t.num_rows else 0
-        return pa.table({"block": pa.array(np.full(len(i), block), pa.int32()), "code": code[i].view(np.int64), "owner": owner[i].astype(np.int64), "place": where[i].astype(np.int64), "n": n.astype(np.int64)})
+        return pa.table({"block": pa.array(np.full(len(i), block), pa.int32()), "code": code[i].view(np.int64), "owner": owner[i].astype(np.int64), "tie": tie[i].astype(np.int64), "place": where[i].astype(np.int64), "n": n.astype(np.int64)})
 
     return make
 
@@ -115,14 +116,14 @@ def _keys(run: int, min_words: int, whole: bool):
 def _cut(run: int, min_words: int, whole: bool):
     def make(docs: pa.Table, found: pa.Table) -> pa.Table:
         (_, n, byte, at, data, ends), code, first, size, doc = _spans(docs.column("text"), run, min_words, whole)
-        ids = docs.column("order").to_numpy()
+        ids, ties = docs.column("order").to_numpy(), docs.column("tie").to_numpy()
         known = found.column("code").to_numpy().view(np.uint64)
         order = np.argsort(known)
-        known, owner, place = known[order], found.column("owner").to_numpy()[order], found.column("place").to_numpy()[order]
+        known, owner, tie, place = known[order], *(found.column(c).to_numpy()[order] for c in ("owner", "tie", "place"))
         gone = np.zeros(len(n), dtype=bool)
         if len(known) and len(code):
             i = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            hit = (known[i] == code) & ~((owner[i] == ids[doc]) & (place[i] == first - at[doc]))
+            hit = (known[i] == code) & ~((owner[i] == ids[doc]) & (tie[i] == ties[doc]) & (place[i] == first - at[doc]))
             first, size = first[hit], size[hit]
             for o in range(int(size.max(initial=0))):
                 gone[first[size > o] + o] = True
@@ -146,12 +147,12 @@ def dedup(docs: DataFrame, run: int = 2, min_words: int = 10, whole: bool = Fals
     """One row for each row of ``docs``: id, text without repeats, n_sentences, n_removed, words_removed, changed."""
     blocks = n_blocks(docs, text_col, BLOCK_BYTES)
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("order"), text.alias("text"))
-    # equal ids must meet in one block only if they are equal rows; texts spread null ids over blocks
-    rows = rows.withColumn("block", F.when(F.col("id").isNull(), block_of(F.col("text"), blocks)).otherwise(block_of(F.col("id"), blocks)))
-    keys = rows.groupBy("block").applyInArrow(_keys(run, min_words, whole), "block int, code long, owner long, place long, n long")
-    same = Window.partitionBy("code")
-    keys = keys.select("block", "code", F.min(F.struct("owner", "place")).over(same).alias("first"), F.sum("n").over(same).alias("n"))
-    found = keys.where("n > 1").select("block", "code", "first.owner", "first.place")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("order"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    # rows with one id and one text must meet in one block
+    rows = rows.withColumn("block", block_of(F.xxhash64("order", "tie"), blocks))
+    keys = rows.groupBy("block").applyInArrow(_keys(run, min_words, whole), "block int, code long, owner long, tie long, place long, n long")
+    keys = Scratch(docs.sparkSession).save(keys, "keys")
+    firsts = keys.groupBy("code").agg(F.min(F.struct("owner", "tie", "place")).alias("first"), F.sum("n").alias("n")).where("n > 1")
+    found = keys.select("block", "code").join(firsts.select("code", "first.*"), "code")
     out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(run, min_words, whole), "id long, text string, n_sentences long, n_removed long, words_removed long")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_sentences", "n_removed", "words_removed", (F.col("n_removed") > 0).alias("changed"))

@@ -2,6 +2,8 @@ import collections
 import random
 import re
 
+import xxhash
+
 from inkspan.llm import substring_dedup as sd
 
 SENTENCE = re.compile(r"[^\x20\x09-\x0d]+")
@@ -29,18 +31,18 @@ def split(text):
 def brute(rows, run, min_words):
     firsts = {}
     parts = [split(t or "") for _, t in rows]
-    key = lambda d: sd.LAST if d is None else d
-    for (doc, _), p in zip(rows, parts, strict=True):
+    keys = [(sd.LAST if d is None else d, (xxhash.xxh64_intdigest((t or "").encode(), 42) + 2**63) % 2**64) for d, t in rows]
+    for key, p in zip(keys, parts, strict=True):
         for i in range(len(p) - run + 1):
             r = tuple(w for w, _ in p[i : i + run])
             if sum(map(len, r)) >= min_words:
-                firsts[r] = min(firsts.get(r, (key(doc), i)), (key(doc), i))
+                firsts[r] = min(firsts.get(r, (key, i)), (key, i))
     out = []
-    for (doc, text), p in zip(rows, parts, strict=True):
+    for (doc, text), key, p in zip(rows, keys, parts, strict=True):
         gone = set()
         for i in range(len(p) - run + 1):
             r = tuple(w for w, _ in p[i : i + run])
-            if sum(map(len, r)) >= min_words and firsts[r] != (key(doc), i):
+            if sum(map(len, r)) >= min_words and firsts[r] != (key, i):
                 gone |= set(range(i, i + run))
         if gone:
             edge = [s for _, s in p] + [len(text)]
