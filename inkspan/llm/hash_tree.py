@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspan.llm.common import fresh
+
 #: Rows in a numbering bucket, about.
 BUCKET_ROWS = 2_000
 #: Bits of a hash draw.
@@ -57,7 +59,9 @@ def _winner(key: Column, children: list[tuple[str, float, object]]) -> Column:
 
 
 def with_shard(df: DataFrame, key: Column, leaves: list[Leaf], name: str) -> DataFrame:
-    """``df`` with a column of shard numbers; one narrow expression a level, no shuffle."""
+    """``df`` with a column of shard numbers, whose name must be free; one narrow expression a level, no shuffle."""
+    if fresh(df, name) != name:
+        raise ValueError(f"there is a column {name} already")
     if not leaves or any(not math.isfinite(x.weight) or x.weight <= 0 for x in leaves):
         raise ValueError("every shard needs a weight above 0")
     key = F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("null"))
@@ -65,7 +69,7 @@ def with_shard(df: DataFrame, key: Column, leaves: list[Leaf], name: str) -> Dat
     for x in leaves:
         regions.setdefault(x.region, {}).setdefault(x.rack, []).append(x)
     heavy = lambda part: sum(x.weight for x in part)
-    r, k = f"_{name}_region", f"_{name}_rack"
+    r, k = fresh(df, f"_{name}_region"), fresh(df, f"_{name}_rack")
     df = df.withColumn(r, _winner(key, [(f"{a}", heavy(x for p in racks.values() for x in p), a) for a, racks in sorted(regions.items())]))
     by_rack = F.coalesce(*[F.when(F.col(r) == a, _winner(key, [(f"{a}/{b}", heavy(part), b) for b, part in sorted(racks.items())])) for a, racks in sorted(regions.items())])
     df = df.withColumn(k, by_rack)

@@ -1,6 +1,7 @@
 import collections
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkspan.llm import hash_tree as ht
@@ -46,3 +47,11 @@ def test_edges(spark):
         mine = sorted(r.slot for r in out if r.shard == s)
         assert mine == list(range(len(mine)))
     assert ht.shards(docs.limit(0)).collect() == []
+
+
+def test_no_column_is_lost(spark):
+    docs = spark.createDataFrame([(i, "r", "k") for i in range(20)], "doc_id long, _shard_region string, _shard_rack string")
+    out = ht.with_shard(docs, F.col("doc_id"), ht.topology(8), "shard")
+    assert out.columns == [*docs.columns, "shard"] and {(r[1], r[2]) for r in out.collect()} == {("r", "k")}
+    with pytest.raises(ValueError):
+        ht.with_shard(out, F.col("doc_id"), ht.topology(8), "SHARD")
