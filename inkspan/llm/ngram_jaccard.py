@@ -28,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Scratch, components, small_enough, without
-from inkspan.llm.words import flat, lists, portions, runs, words
+from inkspan.llm.common import Scratch, components, once, row_key, small_enough, without
+from inkspan.llm.words import distinct, flat, lists, portions, runs, words
 
 #: Sets in one block of a tile.
 BLOCK = 512
@@ -47,7 +47,7 @@ def shingle_sets(texts, k: int) -> Iterator[np.ndarray]:
     every = runs(h, k)
     for i, j in zip(at[:-1], at[1:], strict=True):
         if j - i >= k:
-            yield np.unique(every[i : j - k + 1])
+            yield distinct(every[i : j - k + 1])
         elif j > i:
             yield runs(h[i:j], int(j - i))
         else:
@@ -82,7 +82,7 @@ def _listed(k: int, percent: int):
                 cut = len(s) if wide >= 1 else np.searchsorted(s, np.uint64(int(wide * 2**64)))
                 listed.append(s[:cut])
                 judged.append(2**63 - 1 if narrow >= 1 else int(narrow * 2**64) - 2**63)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(judged, pa.int64()), lists(listed)], names=["id", "n", "fp", "judged", "listed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(judged, pa.int64()), lists(listed)], names=["id", "k0", "k1", "n", "fp", "judged", "listed"])
 
     return make
 
@@ -172,13 +172,20 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     n_copies: rows with the same set. Links: 100 * intersection >= percent * union.
     """
+    return _classes(docs, k, percent, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_copies")
+
+
+def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, k0, k1, n, root, component_id, n_copies) of every row; k0 and k1: its key, root: null without words."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     pairs_of = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     # 1. sets, fingerprints and regions
-    listed = scratch.save(pairs_of.mapInArrow(_listed(k, percent), "id long, n long, fp long, judged long, listed array<long>"), "listed")
-    every = scratch.save(listed.select("id", "n", "fp"), "every")
+    k0, k1 = row_key(F.col("id"), F.col("text"))
+    keyed = pairs_of.select("id", "text", k0.alias("k0"), k1.alias("k1"))
+    listed = scratch.save(keyed.mapInArrow(_listed(k, percent), "id long, k0 long, k1 long, n long, fp long, judged long, listed array<long>"), "listed")
+    every = scratch.save(listed.select("id", "k0", "k1", "n", "fp"), "every")
     sets = listed.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.min("judged").alias("judged"))
     sets = scratch.save(sets, "sets")
 
@@ -215,8 +222,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if tokens.count() > left.count():  # repeated ids, or ids that are null
         tokens = scratch.save(tokens.join(left.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "tokens")
         scratch.drop("texts")
+    # a token in every set is counted before the shuffle, and the join with its count can be split
     rows = tokens.select("fp", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    common = scratch.save(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    rows = rows.join(common, "token")
     # how common a token is (by doublings) before the token, in one number: rare ones first. Tokens that agree
     # in all but seven bits share a tile, which costs a comparison and no link.
     rank = (F.shiftleft(F.length(F.bin("df")).cast("long"), 57) + F.shiftrightunsigned("token", 7)).alias("rank")
@@ -224,11 +233,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     take = F.expr(f"greatest(0L, s - ({percent} * n + 99) div 100 + 1)").cast("int")
     shared = shared.where(f"s >= ({percent} * n + 99) div 100").select("fp", "n", "s", F.slice("shared", F.lit(1), take).alias("keys"))
     shared = scratch.save(shared, "shared")
+    scratch.drop("common")
     tiles = shared.select(F.explode("keys").alias("key"), "fp", "n", "s")
 
     # 4. each set against the least altered set of its tiles
-    pivot = F.min(F.struct(F.expr("n - s").alias("own"), "n", "fp", "s")).over(Window.partitionBy("key"))
-    star = tiles.withColumn("p", pivot).where("p.fp <> fp").where(_may_link("n", "s", "p.n", "p.s", percent))
+    pivots = tiles.groupBy("key").agg(F.min(F.struct(F.expr("n - s").alias("own"), "n", "fp", "s")).alias("p"))
+    star = tiles.join(pivots, "key").where("p.fp <> fp").where(_may_link("n", "s", "p.n", "p.s", percent))
     star = star.groupBy("fp", F.col("p.fp").alias("pivot")).agg(F.count("*").alias("hits")).groupBy("fp").agg(F.max(F.struct("hits", "pivot")).alias("best"))
     star = scratch.save(star.select(F.col("best.pivot").alias("a"), F.col("fp").alias("b")), "star-pairs")
     links = scratch.save(_verify(star, tokens, percent), "star")
@@ -267,10 +277,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = scratch.save(classes, "classes")
     names = scratch.save(classes.groupBy("root").agg(F.min("rep").alias("component_id")), "names")
     copies = every.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n_copies"))
-    named = classes.join(names, "root").join(copies, "fp").select("fp", "component_id", "n_copies")
+    named = classes.join(names, "root").join(copies, "fp").select("fp", "root", "component_id", "n_copies")
     named = scratch.save(named, "named")
     out = every.join(named, "fp", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return out.select("id", "k0", "k1", "n", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def _may_link(n: str, s: str, pn: str, ps: str, percent: int, sizes: bool = True):
@@ -294,10 +304,17 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that a document with a smaller id stands for.
-
-    Rows with a null id, and components that no id names, stay.
-    """
-    classes = jaccard_classes(docs, k, percent, id_col, text_col)
-    gone = classes.where(f"{id_col} <> component_id").select(F.col(id_col).alias("_gone")).distinct()
-    return without(docs, docs[id_col], Scratch(docs.sparkSession).save(gone, "gone"))
+    """``docs`` with one row of each component: the one with the smallest id, null last, and of several texts under
+    that id the one with the smallest hash. Rows without words stay."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(_classes(docs, k, percent, id_col, text_col).where("root is not null").select("id", "k0", "k1", "root"), "rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k0", "k1")).alias("f"))
+    first = scratch.save(first.select("root", F.col("f.k0").alias("f0"), F.col("f.k1").alias("f1")), "first")
+    rows = rows.join(first, "root").withColumn("stays", F.expr("k0 = f0 and k1 = f1"))
+    gone = scratch.save(rows.where("not stays").select("k0", "k1").distinct(), "gone")
+    copies = scratch.save(rows.where("stays").groupBy("k0", "k1").agg(F.count("*").alias("n")).where("n > 1").select("k0", "k1"), "copies")
+    key = lambda df: row_key(df[id_col].cast("long"), df[text_col])
+    left = without(docs, key(docs), gone)
+    if copies.limit(1).count():
+        left = without(left, key(left), copies).unionByName(once(without(left, key(left), copies, how="left_semi"), row_key(F.col(id_col).cast("long"), F.col(text_col))))
+    return left
