@@ -7,13 +7,14 @@ Features: words (folded A-Z), word shapes (runs of upper case, lower case, digit
 they are), and words equal to the one before, hashed to ``DIMENSIONS``; a feature's value is the square root
 of its share of the text's words.
 
-Fitted on a bounded sample: the rated documents with the smallest hashes of their ids, ``sample`` at most.
+Fitted on a bounded sample: the rated documents with the smallest hashes of their ids and texts, ``sample`` at most.
 The fit sees their sparse vectors, not their texts, in one task; its result is DIMENSIONS weights and the
 thresholds. All documents are scored by their whole texts.
 
 Defined cases: null and empty texts have no features, so their grade follows from the thresholds; null
-ratings are left out; several ratings of a document count each; rows that repeat are scored alike; without any rating every
-grade is as likely as another; empty tables give an empty result.
+ratings are left out; different ratings of a document count each; of rows that repeat one is learnt from, and all are
+scored; texts that share an id are documents of their own; ids are cast to long; without any rating every grade is
+as likely as another; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Scratch, small_enough
+from inkspan.llm.common import Scratch, once, row_key
 from inkspan.llm.words import SPACE, flat, lists, portions, words
 
 DIMENSIONS = 1 << 16
@@ -69,7 +70,7 @@ def _vectors(batches):
         cut = np.searchsorted(owner, np.arange(b.num_rows + 1))
         parts = list(zip(cut[:-1], cut[1:], strict=True))
         values = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(value))
-        yield pa.RecordBatch.from_arrays([b.column(0), lists([dim[i:j] for i, j in parts]), values], names=["grade", "dims", "vals"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists([dim[i:j] for i, j in parts]), values], names=["grade", "key", "dims", "vals"])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -123,10 +124,10 @@ def fit(owner: np.ndarray, dim: np.ndarray, value: np.ndarray, grade: np.ndarray
 
 def _fit(grades: int):
     def make(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("grade", "ascending")]).combine_chunks()  # a refit gives the same bits
         dims, vals = t.column("dims").combine_chunks(), t.column("vals").combine_chunks()
         owner = np.repeat(np.arange(t.num_rows), np.diff(dims.offsets.to_numpy()))
-        order = np.arange(len(owner))
-        m = fit(owner, dims.flatten().to_numpy()[order], vals.flatten().to_numpy()[order], t.column("grade").to_numpy().astype(np.int64), grades)
+        m = fit(owner, dims.flatten().to_numpy(), vals.flatten().to_numpy(), t.column("grade").to_numpy().astype(np.int64), grades)
         return pa.table({"weights": pa.array([m.weights.tolist()], pa.list_(pa.float64())), "cuts": pa.array([m.cuts.tolist()], pa.list_(pa.float64()))})
 
     return make
@@ -136,12 +137,16 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, sampl
     """Fits on at most ``sample`` ratings; ``grade``: a column of ``ratings`` from 0 to grades - 1."""
     scratch = Scratch(docs.sparkSession)
     rated = ratings.select(F.col(id_col).cast("long").alias("_rated"), grade.cast("int").alias("_grade")).where(f"_rated is not null and _grade between 0 and {grades - 1}")
+    # as many ratings as the fit may see lead to as many texts at least, unless ids are missing; which of them is decided below
     rated = scratch.save(rated.orderBy(F.xxhash64("_rated", F.lit(3)), "_rated", "_grade").limit(sample), "rated")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(rated), F.col("_id") == F.col("_rated")).select(F.col("_grade").alias("grade"), "text")
-    vectors = scratch.save(texts.mapInArrow(_vectors, "grade int, dims array<long>, vals array<double>"), "vectors")
-    if not small_enough(vectors, 4 * sample):
-        raise ValueError("ids of rated documents repeat too often for a fit on a bounded sample")
+    k0, k1 = row_key(F.col("_id"), F.col("text"))
+    texts = texts.withColumns({"k0": k0, "k1": k1}).join(F.broadcast(rated), F.col("_id") == F.col("_rated"))
+    chosen = texts.select("_id", "k0", "k1", "_grade").distinct().orderBy(F.xxhash64("_id", F.lit(3)), "_id", "_grade", "k0").limit(sample)
+    chosen = F.broadcast(scratch.save(chosen, "chosen"))
+    picked = texts.join(chosen, ["_id", "k0", "k1", "_grade"], "left_semi").select(F.col("_grade").alias("grade"), "text", F.col("k0").alias("key"))
+    vectors = scratch.save(picked.mapInArrow(_vectors, "grade int, key long, dims array<long>, vals array<double>"), "vectors")
+    vectors = once(vectors, (F.col("key"), F.col("grade")))  # rows that repeat
     got = vectors.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit(grades), "weights array<double>, cuts array<double>").first()
     if got is None:
         share = np.arange(grades - 1, 0, -1) / grades

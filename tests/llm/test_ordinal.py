@@ -57,3 +57,54 @@ def test_edges(spark):
     none = o.train(docs, ratings.limit(0), F.col("grade"), 3)
     assert all(math.isclose(r.expected_grade, 1.0) for r in o.score(docs, none, 2).collect())
     assert o.score(docs.limit(0), none, 2).collect() == []
+
+
+def one_hash(word):
+    data, ends = o.flat(pa.array([word]))
+    return int(o.words(data, ends, lower=False)[0][0])
+
+
+def shape(word):
+    """Classes of the bytes, runs of one class once."""
+    out = b""
+    for c in word.encode():
+        k = b"a" if 97 <= c <= 122 else b"A" if 65 <= c <= 90 else b"0" if 48 <= c <= 57 else b"\x80" if c >= 128 else bytes([c])
+        out += k if out[-1:] != k else b""
+    return out
+
+
+def line(text, model):
+    w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in w]
+    n = {}
+    for x, y in zip(w, low, strict=True):
+        data = np.frombuffer(shape(x), np.uint8)
+        s = int(o.words(data, np.array([0, len(data)]), lower=False)[0][0])
+        for code in (one_hash(y), s ^ 0x5851F42D4C957F2D):
+            n[code % o.DIMENSIONS] = n.get(code % o.DIMENSIONS, 0) + 1
+    for a, b in zip(low, low[1:], strict=False):
+        if a == b:
+            n[77 % o.DIMENSIONS] = n.get(77 % o.DIMENSIONS, 0) + 1
+    return sum(model.weights[d] * math.sqrt(k / len(w)) for d, k in n.items())
+
+
+def test_scores_one_text_at_a_time(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = o.train(docs, labels, F.expr(GRADE), 3)
+    assert np.count_nonzero(model.weights) > 50
+    some = docs.orderBy("doc_id").limit(150).union(spark.createDataFrame([(-1, None, "", "", 0), (-2, "É é É 12ab", "", "", 0)], docs.schema))
+    texts = {r.doc_id: r.text for r in some.collect()}
+    for r in o.score(some, model, top=2).collect():
+        tails = [1 / (1 + math.exp(c - line(texts[r.doc_id], model))) for c in model.cuts]
+        assert r.expected_grade == pytest.approx(sum(tails), abs=1e-9) and r.tail_probability == pytest.approx(tails[1], abs=1e-9)
+        assert r.kept == (r.tail_probability >= 0.5)
+
+
+def test_repeated_rows_are_learnt_once(spark):
+    texts = [f"good words {i} here" if i % 2 else f"bad thing {i} there" for i in range(40)]
+    once = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, "another text of that id")], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(40)], "doc_id long, grade int")
+    many = once.union(spark.createDataFrame([(3, texts[3])] * 200, once.schema))
+    for sample in (8, 40):
+        a, b = (o.train(d, ratings, F.col("grade"), 3, sample=sample) for d in (once, many))
+        assert np.array_equal(a.weights, b.weights) and np.array_equal(a.cuts, b.cuts)
