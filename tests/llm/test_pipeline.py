@@ -75,3 +75,30 @@ def test_registry():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 11))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_edges(spark):
+    """Null and repeated ids, null columns, repeated rows, clashing names and an empty table through all stages."""
+    good = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(7)]
+    rows = [(None, good[0], "en", "a"), (None, good[0], "en", "a"), (None, good[1], None, None), (1, good[2], "en", "a"), (1, good[3], "en", None), (2, good[2], "en", "b"), (3, None, None, "a"), (4, "", "en", "a"), (5, good[4], "en", "b"), (5, good[4], "en", "b"), (6, " ".join(f"z{i}" for i in range(60_000)), "en", "a"), (7, good[5], "de", "")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 1, "x", 2, 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, shard int, _shard_region string, k0 int, n int")
+    columns = docs.columns
+    want = [{t for t in good[:6]} | {rows[10][1]}] * 4
+    for (_, stage), texts in zip(corpus_pipeline.STAGES[:4], want, strict=True):
+        docs = stage(spark, docs, DIR)
+        assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert {r.text for r in docs.collect()} <= texts
+    got = corpus_pipeline.STAGES[4][1](spark, docs, DIR)
+    assert got.columns == [*columns, "_shard"]
+    assert all(r.shard == 1 and 0 <= r["_shard"] < 8 for r in got.collect())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DIR).collect() == []
+
+
+def test_one_of_each_group(spark):
+    good = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(4)]
+    rows = [(None, good[0]), (None, good[0]), (1, good[1]), (1, good[1]), (1, good[2]), (2, good[2]), (3, good[1] + " end"), (None, good[3]), (4, good[3]), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
+    left = corpus_pipeline.near_copies(spark, docs, DIR).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, [(None, good[0]), (1, good[1]), (1, good[2]), (4, good[3]), (5, ""), (5, None)]))
