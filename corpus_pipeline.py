@@ -2,6 +2,10 @@
 
 Each stage works on all that the stage before it kept and is written as Parquet before the next one reads
 it, so a lost executor costs one stage's tasks at most.
+
+Defined cases of all stages: they decide by rows, so rows with null or repeated ids are documents of their own; null
+and empty texts fail the quality rules; null languages and sources are values of their own; extra columns pass
+through whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from inkspan.llm import decontamination, hash_tree, mixing, ngram_jaccard, quality_rules  # noqa: E402
-from inkspan.llm.common import Scratch, table  # noqa: E402
+from inkspan.llm.common import Scratch, fresh, table  # noqa: E402
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and the adaptive rules keep."""
-    return quality_rules.keep_good(docs, min_docs=200)
+    return quality_rules.keep_good(docs, prior_docs=50)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard of eight."""
-    return hash_tree.with_shard(docs, F.col("doc_id"), hash_tree.topology(8), "shard")
+    """The documents with their shard of eight, as column shard (_shard if there is one of that name)."""
+    return hash_tree.with_shard(docs, F.col("doc_id"), hash_tree.topology(8), fresh(docs, "shard"))
 
 
 STAGES = [
