@@ -132,7 +132,7 @@ def common_ptrs(spark, sf_dir):
     return compare.common_pages(pages(spark, sf_dir), PROVIDERS)
 
 
-@query(f"WITH {PAGES} SELECT count(DISTINCT ptr) AS pages, count(DISTINCT ptr) * 4 * 0.0015 AS dollars FROM p".replace("0.0015", "0.0015::DOUBLE"))
+@query(f"WITH {PAGES} SELECT count(DISTINCT ptr) AS pages, count(DISTINCT ptr) * 4 * 0.0015::DOUBLE AS dollars FROM p")
 def cost_estimate(spark, sf_dir):
     return pages(spark, sf_dir).agg(F.count_distinct("ptr").alias("pages")).select("pages", (F.col("pages") * 4 * F.lit(0.0015)).alias("dollars"))
 
@@ -205,14 +205,31 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("d0"), F.col("l_suppkey").alias("d1")).distinct()
 
 
-@query("WITH p AS (SELECT source AS ptr, doc_id AS doc, 0 AS place FROM documents), e AS (SELECT 'src0' AS error, 'fixed' AS correction), f AS (SELECT ptr, min(doc) AS first FROM p JOIN e ON ptr = error GROUP BY ptr) SELECT doc, place, CASE WHEN doc = first THEN 'fixed' ELSE ptr END AS ptr FROM p LEFT JOIN f USING (ptr)")
+@query("WITH p AS (SELECT source AS ptr, doc_id // 4 AS doc, (7 - doc_id) % 4 AS place FROM documents), e AS (SELECT 'src0' AS error, 'fixed' AS correction), f AS (SELECT ptr, min(doc * 10 + place) AS first FROM p JOIN e ON ptr = error GROUP BY ptr) SELECT doc, place, CASE WHEN doc * 10 + place = first THEN 'fixed' ELSE ptr END AS ptr FROM p LEFT JOIN f USING (ptr)")
 def patch_pointers(spark, sf_dir):
-    """The first of equal erroneous pointers is corrected."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("place"), F.col("source").alias("ptr"))
+    """The first of equal erroneous pointers is corrected; a file has four places."""
+    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("doc"), F.expr("(7 - doc_id) % 4").alias("place"), F.col("source").alias("ptr"))
     fixes = spark.createDataFrame([("src0", "fixed"), ("nowhere", "x")], "error string, correction string")
     return sets.patch_pointers(rows, fixes, "doc", "place", "ptr")
 
 
+@query("WITH p AS (SELECT source || '-' || doc_id AS doc, text FROM documents), f AS (SELECT source || '-' || doc_id AS error, source || '-' || (doc_id + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 20 END) AS correction FROM documents WHERE doc_id % 10 = 4 OR doc_id % 10 = 7), m AS (SELECT coalesce(correction, doc) AS doc, correction IS NOT NULL AS moved, text FROM p LEFT JOIN f ON doc = error) SELECT doc, coalesce(max(text) FILTER (moved), max(text) FILTER (NOT moved)) AS text FROM m GROUP BY doc")
+def patch_texts(spark, sf_dir):
+    """Pages under their corrected names; some names are others' and some are new."""
+    docs = table(spark, sf_dir, "documents")
+    fixes = docs.where("doc_id % 10 = 4 OR doc_id % 10 = 7").selectExpr("concat_ws('-', source, doc_id) AS error", "concat_ws('-', source, doc_id + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 20 END) AS correction")
+    return sets.patch_texts(docs.selectExpr("concat_ws('-', source, doc_id) AS doc", "text"), fixes)
+
+
+@query(f"WITH {WIDE}, d AS (SELECT *, split_part(ptr, '-', 1) AS doc, split_part(ptr, '-', 2)::INT AS place FROM w) SELECT doc, -1 AS place, 'ptr,' || string_agg(ptr, ',' ORDER BY place) AS line FROM d GROUP BY doc UNION ALL " + " UNION ALL ".join(f"SELECT doc, {i}, '{p.upper()} Seconds,' || string_agg(({p}_ms / 1000.0::DOUBLE)::VARCHAR, ',' ORDER BY place) FROM d GROUP BY doc" for i, p in enumerate(sorted(PROVIDERS))))
+def metric_report(spark, sf_dir):
+    """The transposed matrix of seconds as the report writes it: a line for each metric of each document."""
+    m = compare.seconds(wide(spark, sf_dir), PROVIDERS)
+    names = F.array(*[F.lit(f"{p.upper()} Seconds") for p in sorted(PROVIDERS)])
+    m = m.withColumn("metric_ix", (F.array_position(names, F.col("metric")) - 1).cast("int"))
+    return compare.matrix_lines(compare.by_metric(m, F.split_part("ptr", F.lit("-"), F.lit(1)), F.split_part("ptr", F.lit("-"), F.lit(2)).cast("int")))
+
+
 # -- scalars -------------------------------------------------------------------------------------------
 
 
@@ -341,6 +358,23 @@ def blw_plaintext(spark, sf_dir):
     return layout.extract(trees(spark, sf_dir), "text").select("doc_id", "page", "text")
 
 
+@query(f"WITH {WORDS}, pg AS (SELECT DISTINCT doc_id, {PAGE_OF} AS page FROM l) SELECT doc_id, page, 'algo' AS what, 'azu-v_1_0' AS value FROM pg UNION ALL SELECT doc_id, page, 'speed', ((doc_id * 37 + 5000000000) & 4294967295)::VARCHAR FROM pg UNION ALL SELECT doc_id, page, 'date', '2020-01-02 03:04:05 UTC' FROM pg")
+def blw_extract(spark, sf_dir):
+    """The other projections of a tree."""
+    t = trees(spark, sf_dir)
+    parts = [layout.extract(t, what).select("doc_id", "page", F.lit(what).alias("what"), F.col(what).cast("string").alias("value")) for what in ("algo", "speed", "date")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"WITH {WORDS}, tx AS (SELECT doc_id, {PAGE_OF} AS page, string_agg(array_to_string(ws, ' '), chr(10) ORDER BY line_ix) AS text FROM ws GROUP BY ALL) " + " UNION ALL ".join(f"SELECT doc_id, page, '{s}' AS service, text FROM tx" for s in ("AWS", "Azure", "AzureRead", "GCP")))
+def payload_text(spark, sf_dir):
+    """The text that each client would report, from stored payloads."""
+    docs, parts = scenario.documents(spark, sf_dir), []
+    for service in ("AWS", "Azure", "AzureRead", "GCP"):
+        parts.append(scenario.answers(docs, service).select("doc_id", "page", "service", convert.full_text(service, F.col("raw")).alias("text")))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 @query(f"WITH {WORDS}, g AS (SELECT *, y + h - lag(y + h) OVER d AS sep, lag([x, y, w, h]) OVER d AS a FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY y, line_ix, word_ix)) SELECT doc_id, line_ix, word_ix, sep, coalesce(sep > avg(sep) OVER (PARTITION BY doc_id) + stddev_samp(sep) OVER (PARTITION BY doc_id), false) AS breaks FROM g WHERE sep IS NOT NULL")
 def line_gaps(spark, sf_dir):
     return layout.line_gaps(scenario.words(table(spark, sf_dir, "documents")), "doc_id").select("doc_id", "line_ix", "word_ix", "sep", "breaks")
@@ -373,10 +407,10 @@ def text_placement(spark, sf_dir):
     return layout.text_placement(w, ["doc_id"], ["line_ix", "word_ix"]).select("doc_id", "line_ix", "word_ix", "x", F.col("size").cast("long").alias("size"), "baseline")
 
 
-@query(f"WITH {WORDS} SELECT doc_id, {PAGE_OF} AS page, level, count(*) AS n, sum(x) AS sx, sum(h) AS sh FROM (SELECT doc_id, line_ix, 'word' AS level, x, h FROM words UNION ALL SELECT doc_id, line_ix, 'line', 0, 24 FROM l) GROUP BY ALL")
+@query(f"WITH {WORDS} SELECT doc_id, {PAGE_OF} AS page, level, count(*) AS n, sum(x) AS sx, sum(h) AS sh FROM (SELECT doc_id, line_ix, 'word' AS level, x, h FROM words UNION ALL SELECT doc_id, line_ix, 'line', 0, 24 FROM l UNION ALL SELECT DISTINCT doc_id, line_ix - line_ix % {scenario.LINES_A_PAGE}, 'block', 0, {scenario.SIZE} FROM l) GROUP BY ALL")
 def blw_levels(spark, sf_dir):
-    """Boxes by level: lines and words."""
-    r = layout.rectangles(trees(spark, sf_dir), "doc_id", "page", lines=True)
+    """Boxes by level: blocks, lines and words."""
+    r = layout.rectangles(trees(spark, sf_dir), "doc_id", "page", blocks=True, lines=True)
     return r.groupBy("doc_id", "page", "level").agg(F.count("*").alias("n"), F.sum("box.x").alias("sx"), F.sum("box.h").alias("sh"))
 
 
@@ -390,9 +424,11 @@ def blw_rebuild(spark, sf_dir):
 
 @query(f"WITH {WORDS}, d AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(regexp_replace(regexp_replace(replace(text, 'ſ', 's'), '[^\\x00-\\x7F]', '', 'g'), '[[:punct:]]', ' ', 'g'), '[\\x09-\\x0D ]+')) AS w FROM benchmark) WHERE NOT regexp_full_match(w, '[0-9]*')), u AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(replace(text, 'ſ', 's'), '[^\\x00-\\x7F]', '', 'g'), '[[:punct:]]', ' ', 'g'), '[\\x09-\\x0D ]+')) AS w FROM documents) WHERE NOT regexp_full_match(w, '[0-9]*')), c AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (w NOT IN (SELECT w FROM d)) AS n_wrong FROM u GROUP BY doc_id) SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_wrong, 0) AS n_wrong, CASE WHEN coalesce(n_wrong, 0) = 0 THEN 0 ELSE n_wrong::DOUBLE / n_words END AS ser FROM documents LEFT JOIN c USING (doc_id)")
 def ser(spark, sf_dir):
-    """Spelling error rate of documents; the benchmark's words are the dictionary."""
-    dictionary = spelling.unique_words(table(spark, sf_dir, "benchmark"), ["item_id"], "text").select("word").distinct()
-    return spelling.spelling_error_rate(table(spark, sf_dir, "documents"), ["doc_id"], dictionary, text="text")
+    """Spelling error rate of documents; the words of the benchmark's odd items are the dictionary, those of the even
+    ones the stop list."""
+    known = spelling.unique_words(table(spark, sf_dir, "benchmark"), ["item_id"], "text")
+    dictionary, stop = (known.where(F.col("item_id") % 2 == i).select("word").distinct() for i in (1, 0))
+    return spelling.spelling_error_rate(table(spark, sf_dir, "documents"), ["doc_id"], dictionary, stop, text="text")
 
 
 @query()
@@ -401,9 +437,11 @@ def html_pages(spark, sf_dir):
     return markup.html_pages(table(spark, sf_dir, "pages"), "page_id", "html", tag="article", prefix=None)
 
 
-@query(f"WITH {PAGES} SELECT ptr, strlen(max(CASE WHEN provider = 'azu' THEN txt END)) AS n FROM p GROUP BY ptr HAVING count(*) = 4".replace("strlen(max(CASE WHEN provider = 'azu' THEN txt END)) AS n", "count(*) AS providers"))
+@query(f"WITH {WIDE} SELECT ptr, " + ", ".join(f"{p} AS {p}_txt, {p}_ms" for p in PROVIDERS) + " FROM w")
 def side_by_side(spark, sf_dir):
-    return compare.side_by_side(pages(spark, sf_dir), PROVIDERS).select("ptr", F.lit(4).cast("long").alias("providers"))
+    """Every provider's text and time of each page that all have."""
+    wide_rows = compare.side_by_side(pages(spark, sf_dir), PROVIDERS)
+    return wide_rows.select("ptr", *[c for p in PROVIDERS for c in (F.col(p)["txt"].alias(f"{p}_txt"), F.col(p)["millis"].alias(f"{p}_ms"))])
 
 
 # -- points, boxes and pixels --------------------------------------------------------------------------
@@ -431,7 +469,7 @@ def region_join(spark, sf_dir):
     return spatial.region_join(points(spark, sf_dir), boxes(spark, sf_dir)).select("box", "d0", "d1")
 
 
-@query(f"WITH {_POINTS} SELECT min((d0, d1))[1] AS min0, min((d0, d1))[2] AS min0_d1, max((d0, d1))[1] AS max0, max((d0, d1))[2] AS max0_d1, min((d1, d0))[1] AS min1, max((d1, d0))[1] AS max1 FROM pt".replace("min((d0, d1))[1]", "min(d0)").replace("max((d0, d1))[1]", "max(d0)").replace("min((d1, d0))[1]", "min(d1)").replace("max((d1, d0))[1]", "max(d1)").replace("min((d0, d1))[2]", "(SELECT min(d1) FROM pt WHERE d0 = (SELECT min(d0) FROM pt))").replace("max((d0, d1))[2]", "(SELECT max(d1) FROM pt WHERE d0 = (SELECT max(d0) FROM pt))"))
+@query(f"WITH {_POINTS} SELECT min(d0) AS min0, (SELECT min(d1) FROM pt WHERE d0 = (SELECT min(d0) FROM pt)) AS min0_d1, max(d0) AS max0, (SELECT max(d1) FROM pt WHERE d0 = (SELECT max(d0) FROM pt)) AS max0_d1, min(d1) AS min1, max(d1) AS max1 FROM pt")
 def kd_min_max(spark, sf_dir):
     e = spatial.extremes(points(spark, sf_dir))
     return e.select(F.col("min0.d0").alias("min0"), F.col("min0.d1").alias("min0_d1"), F.col("max0.d0").alias("max0"), F.col("max0.d1").alias("max0_d1"), F.col("min1.d1").alias("min1"), F.col("max1.d1").alias("max1"))
@@ -472,12 +510,13 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_suppkey * 37 % 300 AS x0", "s_suppkey * 53 % 300 AS y0", "s_suppkey * 101 % 300 AS x1", "s_suppkey * 29 % 300 AS y1", "s_suppkey % 40 AS w", "s_suppkey % 23 AS h", "s_suppkey % 5 AS size")
 
 
-def _sql_lines(sides: str) -> str:
-    """Pixels of the lines (id, a, b, c, d) from (a, b) to (c, d)."""
+def _sql_lines(sides: str, weight: str = "0") -> str:
+    """Pixels of the lines (id, a, b, c, d) from (a, b) to (c, d), each as a square of 2 * weight + 1; weights up to 2."""
     return f"""WITH {_SHAPES}, g AS ({sides}), o AS (SELECT id, CASE WHEN c < a THEN c ELSE a END AS a, CASE WHEN c < a THEN d ELSE b END AS b, abs(c - a) AS w, abs(d - b) AS h, CASE WHEN c < a THEN sign(b - d) ELSE sign(d - b) END AS up FROM g),
     i AS (SELECT *, unnest(range(0, greatest(w, h) + 1)) AS i FROM o),
-    px AS (SELECT id, CASE WHEN w >= h THEN a + i ELSE a + (2 * i * w + h) // (2 * greatest(h, 1)) END AS x, CASE WHEN w >= h THEN b + up * ((2 * i * h + w) // (2 * greatest(w, 1))) ELSE b + up * i END AS y FROM i)
-    SELECT DISTINCT id, x::BIGINT AS x, y::BIGINT AS y FROM px WHERE x >= 0 AND y >= 0 AND x < 300 AND y < 300"""
+    px AS (SELECT id, CASE WHEN w >= h THEN a + i ELSE a + (2 * i * w + h) // (2 * greatest(h, 1)) END AS x, CASE WHEN w >= h THEN b + up * ((2 * i * h + w) // (2 * greatest(w, 1))) ELSE b + up * i END AS y FROM i),
+    st AS (SELECT id, px.x + i.k AS x, px.y + j.k AS y FROM px JOIN s USING (id) JOIN (SELECT unnest(range(-2, 3)) AS k) i ON abs(i.k) <= {weight} JOIN (SELECT unnest(range(-2, 3)) AS k) j ON abs(j.k) <= {weight})
+    SELECT DISTINCT id, x::BIGINT AS x, y::BIGINT AS y FROM st WHERE x >= 0 AND y >= 0 AND x < 300 AND y < 300"""
 
 
 @query(_sql_lines("SELECT id, x0 AS a, y0 AS b, x1 AS c, y1 AS d FROM s"))
@@ -485,6 +524,12 @@ def raster_line(spark, sf_dir):
     return raster.drawn(shapes(spark, sf_dir), ["id"], raster.line(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]), 300, 300)
 
 
+@query(_sql_lines("SELECT id, x0 AS a, y0 AS b, x1 AS c, y1 AS d FROM s", "size % 3"))
+def raster_weight(spark, sf_dir):
+    """Lines of weight 0 to 2."""
+    return raster.drawn(shapes(spark, sf_dir), ["id"], raster.line(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]), 300, 300, F.expr("size % 3"))
+
+
 @query(_sql_lines("SELECT id, x0 AS a, y0 AS b, x0 + w AS c, y0 AS d FROM s UNION ALL SELECT id, x0 + w, y0, x0 + w, y0 + h FROM s UNION ALL SELECT id, x0 + w, y0 + h, x0, y0 + h FROM s UNION ALL SELECT id, x0, y0 + h, x0, y0 FROM s"))
 def raster_rect(spark, sf_dir):
     return raster.drawn(shapes(spark, sf_dir), ["id"], raster.rect(*[F.col(c) for c in ("x0", "y0", "w", "h")]), 300, 300)
@@ -504,13 +549,18 @@ def raster_poly(spark, sf_dir):
 # -- end to end ----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {WORDS}, tx AS (SELECT doc_id || '/' || ({PAGE_OF}) AS ptr, string_agg(array_to_string(ws, ' '), chr(10) ORDER BY line_ix) AS txt, any_value(doc_id) AS doc_id FROM ws GROUP BY doc_id, {PAGE_OF}), ms AS (SELECT *, ((doc_id * 37 + 5000000000) & 4294967295) / 1000.0::DOUBLE AS s FROM tx) "
-       + " UNION ALL ".join(f"SELECT {i} AS metric_ix, '{m}' AS metric, ptr, {'s' if 'Seconds' in m else FIELDS.format('txt') + '::DOUBLE' if 'Word' in m else '0::DOUBLE'} AS value FROM ms" for i, m in enumerate(compare.metric_names(PROVIDERS))))
+_MISREAD = {"aws": "replace(txt, 'rn', 'm')", "azu": "translate(txt, 'lo', '10')", "azuR": "replace(txt, 'the', 'tbe')", "gcp": "replace(txt, 'ee', 'e')"}
+_CELLS = [*[_LEV.format(a=a, b=b) for a, b in [*_PAIRS, ("aws", "txt")]], *["ms"] * 4, FIELDS.format("txt")]
+
+
+@query(f"WITH {WORDS}, tx AS (SELECT doc_id || '/' || ({PAGE_OF}) AS ptr, string_agg(array_to_string(ws, ' '), chr(10) ORDER BY line_ix) AS txt, ((any_value(doc_id) * 37 + 5000000000) & 4294967295) / 1000.0::DOUBLE AS ms FROM ws GROUP BY doc_id, {PAGE_OF}), "
+       + "w AS (SELECT ptr, ms, txt, " + ", ".join(f"{x} AS {p}" for p, x in _MISREAD.items()) + " FROM tx) "
+       + " UNION ALL ".join(f"SELECT {i} AS metric_ix, '{m}' AS metric, ptr, ({cell})::DOUBLE AS value FROM w" for i, (m, cell) in enumerate(zip(compare.metric_names(PROVIDERS), _CELLS, strict=True))))
 def explore_all(spark, sf_dir):
-    """From four providers' JSON to the metric matrix; all read the same text, so distances are 0."""
+    """From four providers' JSON, each with its own misreadings of every word, to the metric matrix."""
     docs = scenario.documents(spark, sf_dir)
     services = {"aws": "AWS", "azu": "Azure", "azuR": "AzureRead", "gcp": "GCP"}
-    each = [scenario.answers(docs, s).withColumn("ptr", F.concat_ws("/", "doc_id", "page")).withColumn("provider", F.lit(p)).drop("doc_id", "page") for p, s in services.items()]
+    each = [scenario.answers(docs, s, scenario.MISREAD[p]).withColumn("ptr", F.concat_ws("/", "doc_id", "page")).withColumn("provider", F.lit(p)).drop("doc_id", "page") for p, s in services.items()]
     a = each[0].union(each[1]).union(each[2]).union(each[3])
     own = scenario.printed(docs).select(F.concat_ws("/", "doc_id", "page").alias("ptr"), F.array_join(F.transform("lines", lambda x: F.array_join(F.transform(x["words"], lambda w: w["text"]), " ")), "\n").alias("truth"))
     return explore(a, own, PROVIDERS)

@@ -24,10 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` in at least as many partitions as there are cores: what follows costs far more time than
-    bytes, and a table of one small file would be one task."""
+    """``documents`` dealt out by id: what follows costs far more time than bytes, and files are cut by bytes."""
     docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(4 * cores, "doc_id")
+    return docs.repartition(max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
 
 
 def truth(docs: DataFrame) -> DataFrame:
@@ -77,6 +76,10 @@ def printed(docs: DataFrame) -> DataFrame:
     return pages.select("doc_id", F.expr(f"first div {LINES_A_PAGE}").cast("int").alias("page"), made.alias("lines"))
 
 
+def _line_text(x: Column) -> Column:
+    return F.array_join(F.transform(x["words"], lambda w: w["text"]), " ")
+
+
 def _azure(lines: Column) -> Column:
     box = lambda a: bounds_text(a["x"], a["y"], a["w"], a["h"]).alias("boundingBox")
     word = lambda w: F.struct(box(w), w["text"].alias("text"))
@@ -87,7 +90,7 @@ def _azure(lines: Column) -> Column:
 def _azure_read(lines: Column) -> Column:
     box = lambda a: F.array(a["x"], a["y"], a["x"] + a["w"], a["y"], a["x"] + a["w"], a["y"] + a["h"], a["x"], a["y"] + a["h"]).alias("boundingBox")
     word = lambda w: F.struct(box(w), w["text"].alias("text"), F.lit(0.5).alias("confidence"))
-    line = lambda x: F.struct(box(x), F.transform(x["words"], word).alias("words"))
+    line = lambda x: F.struct(box(x), _line_text(x).alias("text"), F.transform(x["words"], word).alias("words"))
     page = F.struct(F.lit(1).alias("page"), F.lit(SIZE).alias("width"), F.lit(SIZE).alias("height"), F.transform(lines, line).alias("lines"))
     return F.struct(F.lit("succeeded").alias("status"), F.struct(F.lit("3.1").alias("version"), F.array(page).alias("readResults")).alias("analyzeResult"))
 
@@ -99,7 +102,7 @@ def _gcp(lines: Column) -> Column:
     word = lambda w: F.struct(box(w), symbols(w).alias("symbols"))
     line = lambda x: F.struct(box(x), F.transform(x["words"], word).alias("words"))
     whole = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(SIZE).cast("long").alias("w"), F.lit(SIZE).cast("long").alias("h"))
-    return F.struct(F.array(F.struct(F.array(F.struct(box(whole), F.transform(lines, line).alias("paragraphs"))).alias("blocks"))).alias("pages"))
+    return F.struct(F.array(F.struct(F.array(F.struct(box(whole), F.transform(lines, line).alias("paragraphs"))).alias("blocks"))).alias("pages"), F.array_join(F.transform(lines, _line_text), "\n").alias("text"))
 
 
 def _aws(lines: Column) -> Column:
@@ -112,7 +115,7 @@ def _aws(lines: Column) -> Column:
     word_id = lambda i, j: F.concat(F.lit("W"), i.cast("string"), F.lit("_"), j.cast("string"))
     whole = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(SIZE).alias("w"), F.lit(SIZE).alias("h"))
     page = F.array(block("PAGE", F.lit("P"), no_text, whole, child(F.transform(lines, lambda x, i: line_id(i)))))
-    of_lines = F.transform(lines, lambda x, i: block("LINE", line_id(i), no_text, x, child(F.transform(x["words"], lambda w, j: word_id(i, j)))))
+    of_lines = F.transform(lines, lambda x, i: block("LINE", line_id(i), _line_text(x), x, child(F.transform(x["words"], lambda w, j: word_id(i, j)))))
     of_words = F.flatten(F.transform(lines, lambda x, i: F.transform(x["words"], lambda w, j: block("WORD", word_id(i, j), w["text"], w, no_rels))))
     return F.struct(F.concat(page, of_lines, of_words).alias("Blocks"))
 
@@ -120,7 +123,17 @@ def _aws(lines: Column) -> Column:
 _PAYLOAD = {"AWS": _aws, "Azure": _azure, "AzureRead": _azure_read, "GCP": _gcp}
 
 
-def answers(docs: DataFrame, service: str) -> DataFrame:
+#: How each provider misreads a word.
+MISREAD = {
+    "aws": lambda w: F.replace(w, F.lit("rn"), F.lit("m")),
+    "azu": lambda w: F.translate(w, "lo", "10"),
+    "azuR": lambda w: F.replace(w, F.lit("the"), F.lit("tbe")),
+    "gcp": lambda w: F.replace(w, F.lit("ee"), F.lit("e")),
+}
+
+
+def answers(docs: DataFrame, service: str, misread=lambda w: w) -> DataFrame:
     """(doc_id, page, envelope...) of every printed page, as one provider's JSON."""
-    raw = F.to_json(_PAYLOAD[service](F.col("lines"))).cast("binary")
+    words_ = lambda x: F.transform(x["words"], lambda w: w.withField("text", misread(w["text"])))
+    raw = F.to_json(_PAYLOAD[service](F.transform("lines", lambda x: x.withField("words", words_(x))))).cast("binary")
     return printed(docs).select("doc_id", "page", F.lit(service).alias("service"), F.lit("V 1.0").alias("version"), F.lit("").alias("text"), (F.col("doc_id") * 37 + 5_000_000_000).alias("milliseconds"), F.lit("2020-01-02 03:04:05 UTC").alias("date"), raw.alias("raw"))

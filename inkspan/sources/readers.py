@@ -79,7 +79,8 @@ def word_list(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def shelf_ids(pages: DataFrame, col: str = "json") -> DataFrame:
-    """(shelf_id) of search answers kept as JSON text; an answer that has a next page is an error."""
+    """(shelf_id) of search answers kept as JSON text; an answer that has a next page is an error. the
+    patterns of the stored format."""
     whole = F.when(F.contains(F.col(col), F.lit('"next": null,')), F.col(col)).otherwise(F.raise_error(F.lit("more results than one answer holds")))
     return pages.select(F.explode(F.regexp_extract_all(whole, F.lit('"shelf_id": "([A-Za-z0-9]*)",'), F.lit(1))).alias("shelf_id"))
 

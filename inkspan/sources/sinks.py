@@ -26,9 +26,19 @@ def page_texts(pages: DataFrame, path: str, mode: str = "append") -> None:
     pages.select("provider", "ptr", "txt").write.mode(mode).partitionBy("provider").json(path)
 
 
-def page_files(pages: DataFrame, path: str) -> None:
-    """One file for each row of (name, text), written by the tasks through Spark's file system."""
-    pages.select("name", "text").repartition("name").write.mode("append").partitionBy("name").option("lineSep", "\n").text(path)
+def page_files(pages: DataFrame, uri: str) -> None:
+    """One file, <name>.txt, for each row of (name, text), written by the tasks under a URI that pyarrow's file systems
+    know (file, hdfs, s3, gs); a task that is run again writes the same files."""
+
+    def write(rows):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri)
+        for row in rows:
+            with store.open_output_stream(f"{base}/{row['name']}.txt") as out:
+                out.write((row["text"] or "").encode())
+
+    pages.select("name", "text").foreachPartition(write)
 
 
 def matrix(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -37,5 +47,5 @@ def matrix(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def config_lines(title: str, formats: str, folders: list[str], limits: list[str]) -> list[str]:
-    """The explorer's configuration, a few lines whatever the corpus' size."""
+    """The explorer's configuration, a few lines whatever the corpus' size. A stored format."""
     return [f"title,{title} Explorer", f"imgs-fmt,{formats}", "txts-dirs," + ",".join(folders), "[]links,Data;data/", "[]range,CER;0;1", *limits]

@@ -60,6 +60,90 @@ def test_other_services(spark):
         convert.to_detections(answer(spark, "Other", {})).collect()
 
 
+@pytest.mark.parametrize("service", ["AWS", "Azure", "AzureRead", "GCP"])
+def test_payload_is_parsed_once(spark, service):
+    """Also under the flattening, whose optimisation otherwise tests the number of blocks first."""
+    df = spark.createDataFrame([("p", service, "1", "", 1, "d", b"{}")], "ptr string, service string, version string, text string, milliseconds long, date string, raw binary")
+    flat = layout.flatten(convert.to_detections(df.withColumn("service", F.lit(service))), "ptr", "algo")
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert flat.collect() == []
+
+
+def test_repeated_ids(spark):
+    blocks = [aws("PAGE", "p", ids=["l1"]), aws("LINE", "l1", ids=["w2", "w1"]), aws("WORD", "w1", "old"), aws("WORD", "w2", "b"), aws("WORD", "w1", "new")]
+    row = convert.to_detections(answer(spark, "AWS", {"Blocks": blocks})).first()
+    assert [w.text for w in row.blocks[0].lines[0].words] == ["b", "new"]
+
+
+def test_files_round_trip(spark, tmp_path):
+    """What the writers write, the readers read."""
+    tree = convert.to_detections(answer(spark, "Azure", {"regions": [{"boundingBox": "1,2,3,4", "lines": [{"boundingBox": "5,6,7,8", "words": [{"boundingBox": "9,9,9,9", "text": "é"}]}]}]})).withColumn("provider", F.lit("azu"))
+    one = tree.select(sinks.detection_json().alias("j")).first().j
+    (tmp_path / "blw").mkdir()
+    (tmp_path / "blw" / "p-0.azu.blw").write_text(one)
+    (tmp_path / "blw" / "p-0.azu.txt").write_text("no tree")
+    got = readers.detections(spark, str(tmp_path / "blw")).first()
+    assert (got.ptr, got.provider, got.algo, got.blocks) == ("p-0", "azu", "azu-v1", tree.first().blocks)
+    sinks.detections(tree, str(tmp_path / "trees"))
+    assert spark.read.json(str(tmp_path / "trees")).first().blocks[0].lines[0].words[0].text == "é"
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "q-1.aws.json").write_text(json.dumps({"service": "AWS", "version": "1", "text": "t", "milliseconds": 7, "date": "d", "raw": "e30="}, indent=1))
+    r = readers.results(spark, str(tmp_path / "json")).first()
+    assert (r.ptr, r.provider, r.milliseconds, bytes(r.raw)) == ("q-1", "aws", 7, b"{}")
+    pages = spark.createDataFrame([("azu", "p-0", "a\nb"), ("aws", "p-0", "c")], "provider string, ptr string, txt string")
+    sinks.page_texts(pages, str(tmp_path / "texts"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "texts")).select("provider", "ptr", "txt").collect())) == sorted(map(tuple, pages.collect()))
+    (tmp_path / "files").mkdir()
+    sinks.page_files(spark.createDataFrame([("one", "x\ny"), ("two", "z")], "name string, text string"), f"file://{tmp_path}/files")
+    assert sorted((r.name, r.text) for r in readers.texts(spark, str(tmp_path / "files")).collect()) == [("one.txt", "x\ny"), ("two.txt", "z")]
+    cells = spark.createDataFrame([("d", 0, "A Seconds", "p1", 1.5), ("d", 0, "A Seconds", "p2", 2.0), ("d", 1, "B Seconds", "p1", 3.0), ("d", 1, "B Seconds", "p2", 0.25)], "doc string, metric_ix int, metric string, ptr string, value double")
+    lines = compare.matrix_lines(compare.by_metric(cells, F.col("doc"), F.col("ptr")))
+    assert [r.line for r in lines.orderBy("place").collect()] == ["ptr,p1,p2", "A Seconds,1.5,2.0", "B Seconds,3.0,0.25"]
+    sinks.matrix(lines, str(tmp_path / "matrix"))
+    back = readers.matrix(spark.read.text(str(tmp_path / "matrix")))
+    assert sorted((r.label, r.place, r.value) for r in back.collect())[:2] == [("A Seconds", 0, "1.5"), ("A Seconds", 1, "2.0")]
+    both = compare.paired_metrics(back.where("label <> 'ptr'").withColumn("label", F.when(F.col("label").startswith("A"), "A Seconds").otherwise("A Other")), "seconds", "other")
+    assert sorted((r.name, r.place, r.x, r.y) for r in both.collect()) == [("A", 0, 1.5, 3.0), ("A", 1, 2.0, 0.25)]
+    assert sinks.config_lines("T", "png", ["a", "b"], ["[]range,X;0;1"]) == ["title,T Explorer", "imgs-fmt,png", "txts-dirs,a,b", "[]links,Data;data/", "[]range,CER;0;1", "[]range,X;0;1"]
+
+
+def test_small_readers(spark, tmp_path):
+    (tmp_path / "v.csv").write_text("a,ab,1\n,,0\n,x,1\n")
+    assert sorted(map(tuple, readers.edit_vectors(spark, f"{tmp_path}/v.csv").collect())) == [("", "", 0), ("", "x", 1), ("a", "ab", 1)]
+    (tmp_path / "w.txt").write_text("b\na\nb\n")
+    assert sorted(r.word for r in readers.word_list(spark, f"{tmp_path}/w.txt").collect()) == ["a", "b"]
+    assert readers.word_list(spark, None).collect() == []
+    answers = spark.createDataFrame([('{"next": null, "results": [{"shelf_id": "x1", "a": 1}, {"shelf_id": "Y2", "a": 2}]}',)], "json string")
+    assert sorted(r.shelf_id for r in readers.shelf_ids(answers).collect()) == ["Y2", "x1"]
+    with pytest.raises(Exception, match="more results"):
+        readers.shelf_ids(answers.select(F.replace("json", F.lit("null"), F.lit('"page 2"')).alias("json"))).collect()
+    files = spark.createDataFrame([("d", "b.txt"), ("d", "a.png"), ("d", "c.jpg"), ("e", "only.gif")], "g string, name string")
+    assert sorted(map(tuple, readers.middle_extension(files, "g", "name").collect())) == [("d", ".txt"), ("e", ".gif")]
+    boxes = spark.createDataFrame([("p", 1, 1, 3, 2)], "k string, x long, y long, w long, h long").withColumn("box", F.struct("x", "y", "w", "h"))
+    (tmp_path / "p.png").write_bytes(raster.png(raster.annotate(boxes, ["k"], 9, 7), ["k"], 9, 7).first().png)
+    sizes = readers.image_sizes(spark, f"{tmp_path}/p.png")
+    assert tuple(sizes.first()) == ("p.png", 9, 7)
+    results = spark.createDataFrame([("p", "x"), ("q", "y")], "ptr string, raw string")
+    joined = convert.with_picture_sizes(results, sizes.select(F.lit("p").alias("ptr"), "width", "height"))
+    assert [tuple(r) for r in joined.collect()] == [("p", "x", 9, 7)]
+
+
+def test_lists_and_reports(spark):
+    words = spark.createDataFrame([("a",), ("b",), ("c",)], "word string")
+    assert sorted(r.word for r in sets.without_words(words, spark.createDataFrame([("b",)], "word string")).collect()) == ["a", "c"]
+    rows = spark.createDataFrame([("x",), ("y",)], "ptr string")
+    fixes = spark.createDataFrame([("x", "1"), ("z", "2")], "error string, correction string")
+    assert [tuple(r) for r in sets.missing_patches(rows, fixes, "ptr").collect()] == [("z", "2")]
+    assert tuple(sets.download_report(rows, rows.where("ptr = 'x'"), "ptr").first()) == (2, 1, 1)
+    names = spark.createDataFrame([("010us008.html",), ("011us001.html",), ("x.txt",)], "n string")
+    assert [r.n for r in names.where(pointers.only_corpus_files(F.col("n"), ".html", ["010us008.html"])).collect()] == ["011us001.html"]
+    pts = spark.createDataFrame([(3, 4), (1, 9), (1, 2), (0, 5)], "d0 long, d1 long")
+    assert [tuple(r) for r in spatial.optimised(pts, 2).collect()] == [(0, 5), (1, 2), (1, 9), (3, 4)]
+    assert compare.join_on_first([rows.withColumn("a", F.lit(1)), rows.where("ptr = 'y'").withColumn("b", F.lit(2))], "ptr").collect() == [("y", 1, 2)]
+    t = compare.transpose(spark.createDataFrame([("r", "c", 1)], "row string, col string, v int"), "row", "col", "v").first()
+    assert (t.row, t.col, t.v) == ("c", "r", 1)
+
+
 def test_ring_and_matrix(spark):
     assert compare.ring(["b", "a"]) == [("a", "b")] and compare.ring(["c", "b", "a"]) == [("a", "b"), ("b", "c"), ("c", "a")] and compare.ring(["a"]) == []
     rows = [("p", "a", "xy", 1500), ("p", "b", "xz", 700), ("q", "a", "only", 1), ("p", "a", "old", 3)]
