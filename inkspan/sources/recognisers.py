@@ -38,6 +38,9 @@ def _call(url: str, key: str, data: bytes | None = None, timeout: float = 15):
     return urllib.request.urlopen(urllib.request.Request(url, data=data, headers=headers), timeout=timeout)  # noqa: S310
 
 
+# Fixed values in the clients: paths, headers and fields of the services' protocols.
+
+
 @dataclass(frozen=True)
 class AzureText:
     """One call; the answer comes with it."""
@@ -160,7 +163,10 @@ def _ran(*command: str) -> str:
 
 
 def pdf_pages(files: DataFrame, dpi: int = 300, gs: str = "gs", magick: str = "magick") -> DataFrame:
-    """(ptr, page, text, content): each page's text layer and its picture as PNG, of files (path, content)."""
+    """(ptr, page, text, content): each page's text layer and its picture as PNG, of files (path, content).
+
+    Fixed values: the tools' command lines.
+    """
 
     def pages(name: str, content: bytes):
         with tempfile.TemporaryDirectory() as d:
@@ -186,10 +192,11 @@ def pdf_pages(files: DataFrame, dpi: int = 300, gs: str = "gs", magick: str = "m
 
 
 def credentials(path: str) -> dict:
-    """A client's endpoint and key from a JSON file; both must be there."""
+    """A client's endpoint and key from a JSON file (fixed values: the fields' names); both must be there."""
     found = json.loads(Path(path).read_text())
-    if not found.get("endpoint") or not found.get("subscription_key"):
-        raise ValueError("missing 'subscription_key' or 'endpoint'")
+    empty = [field for field in ("endpoint", "subscription_key") if not found.get(field)]
+    if empty:
+        raise ValueError(f"{path} has no value for {' and '.join(empty)}")
     return {"endpoint": found["endpoint"], "subscription_key": found["subscription_key"]}
 
 

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import geometry, render, sql, text
+from inkspan.streaming import ingest
 
 #: Edit distances that must come out in both directions.
 VECTORS = [("", "", 0), ("a", "a", 0), ("ab", "abc", 1), ("potatoe", "tomatoe", 2), ("bonanza", "gonzaga", 4), ("alfalfa", "allfalf", 2), ("1234567", "ABCDEFG", 7), ("wrong", "bad", 5), ("one", "", 3), ("", "three", 5), ("hamlet", "omelet", 3)]
-#: l0, r0, l1, r1, whether they meet, shared length.
+#: l0, r0, l1, r1, whether they meet, shared length.
 INTERVALS = [(0, 0, 0, 0, True, 0), (-10, 10, 0, 0, True, 0), (-10, 10, 100, 100, False, 0), (0, 10, 0, 10, True, 10), (0, 10, 1, 9, True, 8), (1, 9, 0, 10, True, 8), (0, 10, -1, 1, True, 1), (0, 10, 9, 11, True, 1), (0, 10, -2, -1, False, 0), (0, 10, 11, 12, False, 0)]
 
 
@@ -77,3 +78,19 @@ def test_font_size(spark):
 def test_sql_names(spark):
     sql.register(spark)
     assert spark.sql("SELECT byte_levenshtein('é', 'e'), cer(2, 'ab'), sanitized('A b'), interval_overlap(0, 10, 9, 11)").first() == (2, 1.0, "a_b", 1)
+
+
+def test_dates_and_names(spark):
+    df = spark.createDataFrame([("/a/b/p-0.aws.json",), ("plain",)], "n string")
+    assert [r[0] for r in df.select(text.base_name(F.col("n"))).collect()] == ["p-0.aws.json", "plain"]
+    row = spark.range(1).select(F.lit("2020-01-02 03:04:05").cast("timestamp").alias("a"), F.lit("2020-01-02 03:04:06.25").cast("timestamp").alias("b"))
+    assert tuple(row.select(text.utc_text(F.col("a")), text.elapsed_millis(F.col("a"), F.col("b"))).first()) == ("2020-01-02 03:04:05 UTC", 1250)
+
+
+def test_running_passes(spark, tmp_path):
+    rows = [("azu", "2020-01-01 00:00:10"), ("azu", "2020-01-01 00:00:50"), ("aws", "2020-01-01 00:01:10")]
+    spark.createDataFrame(rows, "provider string, at string").select("provider", F.col("at").cast("timestamp").alias("arrived")).write.parquet(f"{tmp_path}/in")
+    stream = ingest.running_passes(spark.readStream.schema("provider string, arrived timestamp").parquet(f"{tmp_path}/in"))
+    query = stream.writeStream.format("memory").queryName("passes").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.provider, r.passed) for r in spark.table("passes").collect()) == [("aws", 1), ("azu", 2)]

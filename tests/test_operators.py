@@ -321,3 +321,12 @@ def test_recognise(spark):
     cloudpickle.register_pickle_by_value(__import__(__name__))
     got = {r.ptr: (r.milliseconds, r.error) for r in recognisers.recognise(pages, [Fake()]).collect()}
     assert got == {"p": (3, None), "q": (None, "no image")}
+
+
+def test_credentials_and_cost(tmp_path):
+    (tmp_path / "c.json").write_text('{"endpoint": "e", "subscription_key": "k", "more": 1}')
+    assert recognisers.credentials(f"{tmp_path}/c.json") == {"endpoint": "e", "subscription_key": "k"}
+    (tmp_path / "d.json").write_text('{"endpoint": ""}')
+    with pytest.raises(ValueError, match="endpoint and subscription_key"):
+        recognisers.credentials(f"{tmp_path}/d.json")
+    assert recognisers.cost(20, 4) == pytest.approx(0.12)
