@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one if driver and tasks are one process
+    (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="inkspan-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -48,15 +53,21 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        with self.tidy():
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @contextmanager
+    def tidy(self):
+        """Actions inside hand Python small batches and leave no shuffle files."""
         before = {c: self.spark.conf.get(c) for c in (BATCH_CONF, CLEAN_CONF)}
         self.spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(before[BATCH_CONF]))))
         self.spark.conf.set(CLEAN_CONF, "true")
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            yield
         finally:
             for c, value in before.items():
                 self.spark.conf.set(c, value)
-        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:

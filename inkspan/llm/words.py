@@ -68,12 +68,17 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
 def portions(batches, column: int, limit: int = 1 << 20):
     """The batches cut into rows of about ``limit`` bytes of text, so that arrays beside it stay small."""
     for b in batches:
-        _, ends = flat(b.column(column))
-        i = 0
-        while i < b.num_rows:
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, side="right")) - 1)
-            yield b.slice(i, j - i)
-            i = j
+        yield from slices(b, column, limit)
+
+
+def slices(rows, column, limit: int):
+    """A batch or table cut into rows of about ``limit`` bytes of text."""
+    _, ends = flat(rows.column(column))
+    i = 0
+    while i < rows.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, side="right")) - 1)
+        yield rows.slice(i, j - i)
+        i = j
 
 
 def gathered(batches, column: int, limit: int):
