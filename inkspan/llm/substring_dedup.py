@@ -151,8 +151,11 @@ def dedup(docs: DataFrame, run: int = 2, min_words: int = 10, whole: bool = Fals
     # rows with one id and one text must meet in one block
     rows = rows.withColumn("block", block_of(F.xxhash64("order", "tie"), blocks))
     keys = rows.groupBy("block").applyInArrow(_keys(run, min_words, whole), "block int, code long, owner long, tie long, place long, n long")
-    keys = Scratch(docs.sparkSession).save(keys, "keys")
+    scratch = Scratch(docs.sparkSession)
+    keys = scratch.save(keys, "keys")
     firsts = keys.groupBy("code").agg(F.min(F.struct("owner", "tie", "place")).alias("first"), F.sum("n").alias("n")).where("n > 1")
-    found = keys.select("block", "code").join(firsts.select("code", "first.*"), "code")
+    firsts = scratch.save(firsts.select("code", "first.*"), "firsts")
+    found = scratch.save(keys.select("block", "code").join(firsts, "code"), "found")
+    scratch.drop("keys", "firsts")
     out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(run, min_words, whole), "id long, text string, n_sentences long, n_removed long, words_removed long")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_sentences", "n_removed", "words_removed", (F.col("n_removed") > 0).alias("changed"))
