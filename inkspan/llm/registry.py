@@ -11,6 +11,7 @@ from inkspan.llm import oracles, ordinal
 from inkspan.llm.chat import rotate
 from inkspan.llm.common import table
 from inkspan.llm.decontamination import overlaps
+from inkspan.llm.fill_middle import fill_middle, restored
 from inkspan.llm.hash_tree import shards
 from inkspan.llm.mixing import takes
 from inkspan.llm.ngram_jaccard import jaccard_classes
@@ -72,6 +73,13 @@ def op10_automaton_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op13_split_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as prefix, suffix and middle, and the digests of the output and of the text rebuilt from it."""
+    made = fill_middle(table(spark, sf_dir, "documents"), percent=100, spm_percent=50)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_span_dedup": op1_sentence_span_dedup,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
@@ -83,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_adaptive_quality_rules": op9_adaptive_quality_rules,
     "op10_automaton_secret_scan": op10_automaton_secret_scan,
+    "op13_split_fill_middle": op13_split_fill_middle,
 }
 ORACLES: dict[str, str] = oracles.SQL

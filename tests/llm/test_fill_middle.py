@@ -1,0 +1,71 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkspan.llm import fill_middle as fm
+from inkspan.llm.registry import op13_split_fill_middle
+
+
+def brute(doc_id, text, percent=100, spm_percent=50):
+    """The contract, one text at a time."""
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    n = len(units)
+    a, z = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= percent:
+        return n, "plain", None, None, text
+    prefix, middle, suffix = "".join(units[:a]), "".join(units[a:z]), "".join(units[z:])
+    if h[3] % 100 < spm_percent:
+        return n, "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return n, "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def test_cuts():
+    splitter = fm.Split(fm.Regex(fm.UNIT), behavior="isolated")
+    alphabet = ["a", "\n", "é", "漢", "𝄞", "\r", " ", " ", "\x00", "\x85", "﻿", "é"]
+    pick = random.Random(3)
+    for _ in range(2000):
+        text = "".join(pick.choice(alphabet) for _ in range(pick.randrange(12)))
+        ends = [0]
+        for m in re.finditer(fm.UNIT, text):
+            ends.append(m.end())
+        assert fm.cuts(splitter, text).tolist() == ends
+
+
+@pytest.mark.parametrize("percent,spm", [(100, 50), (60, 100), (0, 50), (100, 0)])
+def test_same_as_contract(spark, percent, spm):
+    pick = random.Random(5)
+    pieces = ["one line\n", "\n", "ünïcode 漢字 𝄞\n", "last", "<P", ">", "<S>", "\r\n", " ", "x" * 50]
+    texts = ["".join(pick.choice(pieces) for _ in range(pick.randrange(9))) for _ in range(400)]
+    texts += [None, "", "\n", "\n\n\n", "a", "<M>", "long\n" * 30_000, "y" * 300_000 + "\n" + "z"]
+    rows = [(i % 390 if i % 50 else None, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, output string, n int").repartition(3)
+    got = fm.fill_middle(docs, percent, spm)
+    assert got.columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
+    key = lambda r: (r[0] is None, r[0], r[1:4] and repr(r[1:]))
+    assert sorted([tuple(r) for r in got.collect()], key=key) == sorted([(i, *brute(i, t, percent, spm)) for i, t in rows], key=key)
+    back = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).exceptAll(got.select("doc_id", fm.restored(F.col("output"), F.col("form")).alias("text")))
+    assert back.count() == 0
+
+
+def test_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op13_split_fill_middle(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(docs)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in rows:
+        n, form, prefix, middle, output = brute(r.doc_id, docs[r.doc_id])
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output_sha256, r.restored_sha256) == (n, form, prefix, middle, sha(output), sha(docs[r.doc_id] or ""))
+    assert {r.form for r in rows} >= {"psm", "spm"}
+
+
+def test_ids_and_empty(spark):
+    texts = spark.createDataFrame([("a-1", "x\ny\n"), ("b", None)], "name string, body string")
+    got = {r.name: r for r in fm.fill_middle(texts, id_col="name", text_col="body").collect()}
+    assert tuple(got["a-1"][1:]) == brute("a-1", "x\ny\n") and got["b"].form == "plain"
+    assert fm.fill_middle(texts.limit(0), id_col="name", text_col="body").collect() == []
