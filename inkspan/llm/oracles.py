@@ -79,6 +79,33 @@ SELECT conv_id, perspective, seq, turn, CASE WHEN mine THEN 'assistant' WHEN spe
        CASE WHEN mine THEN (first + length(head))::BIGINT END AS loss_start, CASE WHEN mine THEN (first + length(rendered) - 1)::BIGINT END AS loss_end, mine::INT AS mask FROM l
 """
 
+_FIELDS = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+#: The checksum of a string of ASCII characters, which DuckDB has no function for: eight shifts a byte.
+_CRC = "xor(list_reduce(list_transform(range(1, strlen({0}) + 1), lambda i: ascii({0}[i])::BIGINT), lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295)"
+_TEXT = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LOW = f"translate(text, '{UPPER}', '{LOWER}')"
+OP12 = f"""
+WITH RECURSIVE f AS (SELECT doc_id, source, sha256({_FIELDS} || {_TEXT.format("text")}) AS leaf,
+                            CASE WHEN crc % 5 = 0 THEN sha256({_FIELDS} || {_TEXT.format(_LOW)}) ELSE sha256({_FIELDS} || {_TEXT.format("text")}) END AS shown
+                     FROM (SELECT *, {_CRC.format("coalesce(doc_id::VARCHAR, '')")} AS crc FROM documents)),
+o AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM f),
+t AS (SELECT coalesce('1' || source, '0') AS src, 0 AS level, pos AS i, leaf AS node, n FROM o
+      UNION ALL SELECT src, level + 1, i // 16, sha256(string_agg(node, '' ORDER BY i)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY src, level, i // 16, n),
+s AS (SELECT src, node AS subroot, row_number() OVER (ORDER BY src) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, pos AS i, subroot AS node, n FROM s
+      UNION ALL SELECT level + 1, i // 16, sha256(string_agg(node, '' ORDER BY i)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY level, i // 16, n),
+w AS (SELECT r, level, (o.pos >> (4 * level)::BIGINT) % 16 AS place, run FROM o JOIN (SELECT src, level, i // 16 AS q, list(node ORDER BY i) AS run FROM t WHERE n > 1 GROUP BY ALL) x
+        ON x.src = coalesce('1' || source, '0') AND q = o.pos >> (4 * level + 4)::BIGINT
+      UNION ALL SELECT r, 100 + level, (s.pos >> (4 * level)::BIGINT) % 16, run FROM o JOIN s ON s.src = coalesce('1' || source, '0')
+        JOIN (SELECT level, i // 16 AS q, list(node ORDER BY i) AS run FROM u WHERE n > 1 GROUP BY ALL) x ON q = s.pos >> (4 * level + 4)::BIGINT),
+k AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY level) AS step, array_to_string(run[1:place], '') AS a, array_to_string(run[place + 2:], '') AS z FROM w),
+p AS (SELECT r, sha256(string_agg(a || z, '' ORDER BY step)) AS proof, max(step) AS steps FROM k GROUP BY r),
+g AS (SELECT r, 0 AS step, shown AS node FROM o UNION ALL SELECT g.r, g.step + 1, sha256(a || node || z) FROM g JOIN k ON k.r = g.r AND k.step = g.step + 1),
+e AS (SELECT node AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM o JOIN s ON s.src = coalesce('1' || source, '0') LEFT JOIN p USING (r) JOIN g ON g.r = o.r AND g.step = coalesce(steps, 0), e
+"""
+
 OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l FROM documents),
 r AS (SELECT doc_id, text, l, len(l)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(l) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(l) + 1) AS b, ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS e FROM d),
@@ -89,4 +116,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
        sha256(text) AS restored_sha256 FROM p
 """
 
-SQL: dict[str, str] = {"op5_perspective_rotation": OP5, "op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8, "op9_adaptive_quality_rules": OP9, "op13_split_fill_middle": OP13}
+SQL: dict[str, str] = {"op5_perspective_rotation": OP5, "op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8, "op9_adaptive_quality_rules": OP9, "op12_merkle_manifest": OP12, "op13_split_fill_middle": OP13}

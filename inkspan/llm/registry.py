@@ -13,6 +13,7 @@ from inkspan.llm.common import table
 from inkspan.llm.decontamination import overlaps
 from inkspan.llm.fill_middle import fill_middle, restored
 from inkspan.llm.hash_tree import shards
+from inkspan.llm.merkle import leaf, manifest
 from inkspan.llm.mixing import takes
 from inkspan.llm.ngram_jaccard import jaccard_classes
 from inkspan.llm.quality_rules import judge
@@ -73,6 +74,15 @@ def op10_automaton_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof; a fifth of the documents are shown with their text in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    shown = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    text = F.when(shown, F.translate("text", oracles.UPPER, oracles.LOWER)).otherwise(F.col("text"))
+    return manifest(docs, fields, leaf(*(F.col(c) for c in fields[:-1]), text)).drop("source", "pos")
+
+
 def op13_split_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as prefix, suffix and middle, and the digests of the output and of the text rebuilt from it."""
     made = fill_middle(table(spark, sf_dir, "documents"), percent=100, spm_percent=50)
@@ -91,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_adaptive_quality_rules": op9_adaptive_quality_rules,
     "op10_automaton_secret_scan": op10_automaton_secret_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_split_fill_middle": op13_split_fill_middle,
 }
 ORACLES: dict[str, str] = oracles.SQL
