@@ -79,6 +79,12 @@ SELECT conv_id, perspective, seq, turn, CASE WHEN mine THEN 'assistant' WHEN spe
        CASE WHEN mine THEN (first + length(head))::BIGINT END AS loss_start, CASE WHEN mine THEN (first + length(rendered) - 1)::BIGINT END AS loss_end, mine::INT AS mask FROM l
 """
 
+OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html)::BIGINT AS n, sha1(html) AS digest FROM p),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS last FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to, true AS intact FROM m
+"""
+
 _FIELDS = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
 #: The checksum of a string of ASCII characters, which DuckDB has no function for: eight shifts a byte.
 _CRC = "xor(list_reduce(list_transform(range(1, strlen({0}) + 1), lambda i: ascii({0}[i])::BIGINT), lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295)"
@@ -116,4 +122,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
        sha256(text) AS restored_sha256 FROM p
 """
 
-SQL: dict[str, str] = {"op5_perspective_rotation": OP5, "op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8, "op9_adaptive_quality_rules": OP9, "op12_merkle_manifest": OP12, "op13_split_fill_middle": OP13}
+SQL: dict[str, str] = {"op5_perspective_rotation": OP5, "op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8, "op9_adaptive_quality_rules": OP9, "op11_warc_revisits": OP11, "op12_merkle_manifest": OP12, "op13_split_fill_middle": OP13}

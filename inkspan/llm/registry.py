@@ -20,6 +20,7 @@ from inkspan.llm.quality_rules import judge
 from inkspan.llm.secret_scan import scan
 from inkspan.llm.substring_dedup import dedup
 from inkspan.llm.suffix_tree import score
+from inkspan.llm.warc import round_trip
 
 
 def op1_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,11 @@ def op10_automaton_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archives without repeated payloads of 1,000 bytes or more, read back."""
+    return round_trip(table(spark, sf_dir, "pages"), least=1000)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof; a fifth of the documents are shown with their text in lower case."""
     docs = table(spark, sf_dir, "documents")
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_adaptive_quality_rules": op9_adaptive_quality_rules,
     "op10_automaton_secret_scan": op10_automaton_secret_scan,
+    "op11_warc_revisits": op11_warc_revisits,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_split_fill_middle": op13_split_fill_middle,
 }

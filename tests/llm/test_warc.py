@@ -1,0 +1,124 @@
+import base64
+import collections
+import glob
+import gzip
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkspan.llm import warc
+from inkspan.llm.registry import op11_warc_revisits
+
+
+def sha1(text):
+    return hashlib.sha1((text or "").encode()).hexdigest()
+
+
+def brute(rows, least=1000):
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of rows (page_id, url, html)."""
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[(r[2] or "").encode()].append(r)
+    out = []
+    for payload, rs in groups.items():
+        rs.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+        for i, r in enumerate(rs):
+            old = len(payload) >= least and i < len(rs) - 1
+            out.append((r[0], len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if old else "response", rs[-1][0] if old else None))
+    return sorted(out, key=repr)
+
+
+def seen(df):
+    rows = df.collect()
+    assert all(r.intact for r in rows)
+    return sorted([tuple(r)[:5] for r in rows], key=repr)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("n", F.lit(1))
+
+
+#: Payloads that look like the format itself.
+NASTY = ["\r\n\r\nWARC/1.", "\r\n\r\nWARC/1.1\r\n", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "\r\n\r\n", "\r\n\r\n\r\n\r\nWARC/1.\r\n\r\nWARC/1.", "é漢𝄞", "\x00\x85"]
+
+
+def test_edges(spark):
+    pick = random.Random(2)
+    texts = [None, "", "short", "x" * 999, "x" * 1000, "é" * 500, *NASTY, *[n + "y" * 1000 for n in NASTY], "z" * 400_000 + NASTY[1] * 3000]
+    rows = [(pick.choice([None, *range(150)]), pick.choice([None, "http://a b/", "http://é/\r\nX: y", "u"]), pick.choice(texts)) for _ in range(700)]
+    rows += [rows[5]] * 20 + [(900, "u", "same" * 500)] * 9
+    assert seen(warc.round_trip(frame(spark, rows).repartition(6))) == brute(rows)
+    assert seen(warc.round_trip(frame(spark, rows).repartition(3), least=1)) == brute(rows, 1)
+    assert warc.round_trip(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_files(spark, tmp_path):
+    """What is written is an archive by the letter: lengths, names that exist, payloads that come back byte for byte."""
+    rows = [(i, f"http://h/{i}", t) for i, t in enumerate(["page one " * 200, "page one " * 200, "small", "small", *[n + "q" * 1200 for n in NASTY]])]
+    warc.write_archives(warc.responses(frame(spark, rows)), f"{tmp_path}/a", date="2020-01-02T03:04:05Z")
+    names, refers, kinds = [], [], collections.Counter()
+    for f in glob.glob(f"{tmp_path}/a/*.gz"):
+        data = gzip.open(f).read()
+        while data:
+            head, _, data = data.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            block, data = data[: int(fields["Content-Length"])], data[int(fields["Content-Length"]) :]
+            assert head.startswith(b"WARC/1.1\r\n") and data.startswith(b"\r\n\r\n") and fields["WARC-Date"] == "2020-01-02T03:04:05Z"
+            data = data[4:]
+            kinds[fields["WARC-Type"]] += 1
+            names.append(fields["WARC-Record-ID"])
+            refers += [fields[k] for k in ("WARC-Refers-To",) if k in fields]
+            if fields["WARC-Type"] == "response":
+                http, _, payload = block.partition(b"\r\n\r\n")
+                assert payload.decode() == rows[int(fields["X-Page-Id"])][2] and fields["WARC-Payload-Digest"] == "sha1:" + sha1(payload.decode())
+                assert f"Content-Length: {len(payload)}" in http.decode()
+            else:
+                assert block == b"" and fields["WARC-Refers-To-Target-URI"] == "http://h/1"
+    assert kinds == {"response": len(rows) - 1, "revisit": 1} and len(set(names)) == len(names)
+    assert set(refers) <= set(names) and all(re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", n) for n in names)
+    got = {int(r.page): (r.payload or b"").decode() for r in warc.read_archives(spark, f"{tmp_path}/a").where("kind = 'response'").collect()}
+    assert got == {r[0]: r[2] for r in rows if r[0] != 0}
+
+
+def test_others_archives(spark, tmp_path):
+    """Archives by other writers: another version, digests in base 32, members for each record, revisits in the input; written anew."""
+    def record(kind, page, payload, refers=None):
+        block = b"" if kind == "revisit" else b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + payload
+        b32 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{page}>\r\nwarc-payload-digest: sha1:{b32}\r\nX-Page-Id: {page}\r\n" + (f"WARC-Refers-To: {refers}\r\n" if refers else "")
+        return gzip.compress(head.encode() + f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    big, small = b"\xff\xfebytes" * 300, b"tiny"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.warc.gz").write_bytes(record("response", 1, big) + record("revisit", 7, big, "<urn:x:1>") + record("response", 2, small))
+    (tmp_path / "in" / "two.warc.gz").write_bytes(record("response", 3, big) + record("revisit", 8, small) + record("revisit", 9, b"nowhere"))
+    records = warc.read_archives(spark, f"{tmp_path}/in")
+    assert {(r.page, r.payload) for r in records.where("kind = 'response'").collect()} == {("1", big), ("2", small), ("3", big)}
+    found = {r.page: (r.kind, r.payload_bytes, r.refers_to, r.intact) for r in warc.resolved(warc.headers(records)).collect()}
+    assert found == {"1": ("response", 2100, None, True), "2": ("response", 4, None, True), "3": ("response", 2100, None, True), "7": ("revisit", 2100, "3", True), "8": ("revisit", 4, "2", True), "9": ("revisit", None, None, False)}
+    again = records.select(F.col("page").cast("long").alias("page"), "url", "digest", F.octet_length("payload").cast("long").alias("size"), F.col("payload").cast("string").alias("payload"))
+    warc.write_archives(again, f"{tmp_path}/out")
+    out = warc.read_archives(spark, f"{tmp_path}/out")
+    assert {r.page: r.payload for r in out.where("kind = 'response'").collect()} == {"3": big, "2": small}
+    found = {r.page: (r.kind, r.payload_bytes, r.refers_to) for r in warc.resolved(warc.headers(out)).collect()}
+    assert found == {"1": ("revisit", 2100, "3"), "2": ("response", 4, None), "3": ("response", 2100, None), "7": ("revisit", 2100, "3"), "8": ("revisit", 4, "2"), "9": ("revisit", None, None)}
+
+
+def test_broken():
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc"
+    assert [r[0] for r in warc.parsed([("f", good), ("g", good + b"\r\n\r\n")])] == ["response", "response"]
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.parsed([("f", good[:-1]), ("g", good)]))
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.parsed([("f", good[:-1])]))
+    with pytest.raises(ValueError, match="longer"):
+        list(warc.parsed([("f", good + b"d")]))
+
+
+def test_query(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    assert seen(op11_warc_revisits(spark, "/root/testdata/sf0.001").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")) == brute(rows)
