@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import geometry, text
 from inkspan.functions.render import seconds_text
-from inkspan.operators import compare, convert, layout, pointers, raster, sets, spatial, spelling
+from inkspan.operators import compare, convert, faults, layout, pointers, raster, sets, spatial, spelling
 from inkspan.plans import scenario
 from inkspan.plans.explore import explore
 from inkspan.plans.scenario import PROVIDERS, table
@@ -375,6 +375,33 @@ def payload_text(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
+_SPOILT = f"""WITH {WORDS}, pg AS (SELECT doc_id, {PAGE_OF} AS page, count(*) AS lines FROM l GROUP BY ALL),
+c AS (SELECT doc_id, {PAGE_OF} AS page, count(*) AS words, count(*) FILTER (line_ix % {scenario.LINES_A_PAGE} = 0) AS first FROM words GROUP BY ALL),
+a AS (SELECT provider, doc_id, page, coalesce(words, 0) AS words, coalesce(first, 0) > 0 AS word, (doc_id * 7 + page) % 10 AS k FROM pg LEFT JOIN c USING (doc_id, page), (SELECT unnest(['AWS', 'Azure', 'AzureRead', 'GCP']) AS provider)),
+f AS (SELECT *, CASE WHEN k = 5 THEN 'service=Other' WHEN k = 1 THEN 'unreadable=' WHEN k = 2 AND provider = 'AWS' THEN 'block type=CELL' WHEN k = 2 AND provider = 'Azure' THEN 'refused=Busy'
+      WHEN k = 2 AND provider = 'GCP' THEN 'vertices=5' WHEN k = 3 AND provider = 'AWS' THEN 'line missing=L0' WHEN k = 4 AND provider = 'AWS' AND word THEN 'word missing=W0_0' WHEN k = 6 AND provider = 'AWS' THEN 'relationship=ODD' ELSE '' END AS faults FROM a)"""
+
+
+def _spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scenario.documents(spark, sf_dir)
+    each = [scenario.answers(docs, s) for s in ("AWS", "Azure", "AzureRead", "GCP")]
+    return faults.to_detections(scenario.damaged(each[0].union(each[1]).union(each[2]).union(each[3])))
+
+
+@query(f"{_SPOILT} SELECT provider, doc_id, page, CASE WHEN faults = '' THEN words END AS words, faults FROM f")
+def convert_with_faults(spark, sf_dir):
+    """All answers, of which some are spoilt: the words of each tree, or what is wrong."""
+    listed = F.array_join(F.transform("faults", lambda f: F.concat(f["code"], F.lit("="), f["detail"])), ";")
+    words = F.when(F.col("blocks").isNotNull(), layout.counts(F.col("blocks"))["words"])
+    return _spoilt(spark, sf_dir).select("provider", "doc_id", "page", words.alias("words"), listed.alias("faults"))
+
+
+@query(f"{_SPOILT} SELECT provider, split_part(faults, '=', 1) AS code, count(*) AS pages, count(*) AS faults FROM f WHERE f.faults <> '' GROUP BY ALL")
+def fault_report(spark, sf_dir):
+    """How many answers of each provider have which faults."""
+    return faults.report(_spoilt(spark, sf_dir), "provider")
+
+
 @query(f"WITH {WORDS}, g AS (SELECT *, y + h - lag(y + h) OVER d AS sep, lag([x, y, w, h]) OVER d AS a FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY y, line_ix, word_ix)) SELECT doc_id, line_ix, word_ix, sep, coalesce(sep > avg(sep) OVER (PARTITION BY doc_id) + stddev_samp(sep) OVER (PARTITION BY doc_id), false) AS breaks FROM g WHERE sep IS NOT NULL")
 def line_gaps(spark, sf_dir):
     return layout.line_gaps(scenario.words(table(spark, sf_dir, "documents")), "doc_id").select("doc_id", "line_ix", "word_ix", "sep", "breaks")

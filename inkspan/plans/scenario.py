@@ -137,3 +137,20 @@ def answers(docs: DataFrame, service: str, misread=lambda w: w) -> DataFrame:
     words_ = lambda x: F.transform(x["words"], lambda w: w.withField("text", misread(w["text"])))
     raw = F.to_json(_PAYLOAD[service](F.transform("lines", lambda x: x.withField("words", words_(x))))).cast("binary")
     return printed(docs).select("doc_id", "page", F.lit(service).alias("service"), F.lit("V 1.0").alias("version"), F.lit("").alias("text"), (F.col("doc_id") * 37 + 5_000_000_000).alias("milliseconds"), F.lit("2020-01-02 03:04:05 UTC").alias("date"), raw.alias("raw"))
+
+
+def damaged(answers: DataFrame) -> DataFrame:
+    """Some answers spoilt, by document and page: cut off, refused, of an unknown service, or with blocks that don't fit."""
+    raw, k = F.col("raw").cast("string"), (F.col("doc_id") * 7 + F.col("page")) % 10
+    of = lambda service: F.col("service") == service
+    spoilt = (
+        F.when(k == 1, F.left(raw, F.length(raw) - 2))
+        .when((k == 2) & of("AWS"), F.replace(raw, F.lit('"BlockType":"PAGE"'), F.lit('"BlockType":"CELL"')))
+        .when((k == 2) & of("Azure"), F.replace(raw, F.lit('{"language"'), F.lit('{"code":"Busy","language"')))
+        .when((k == 2) & of("GCP"), F.replace(raw, F.lit('"vertices":[{'), F.lit('"vertices":[{},{')))
+        .when((k == 3) & of("AWS"), F.replace(raw, F.lit('"Id":"L0"'), F.lit('"Id":"LX"')))
+        .when((k == 4) & of("AWS"), F.replace(raw, F.lit('"Id":"W0_0"'), F.lit('"Id":"WX"')))
+        .when((k == 6) & of("AWS"), F.replace(raw, F.lit('"Type":"VALUE"'), F.lit('"Type":"ODD"')))
+        .otherwise(raw)
+    )
+    return answers.withColumns({"raw": spoilt.cast("binary"), "provider": F.col("service"), "service": F.when(k == 5, "Other").otherwise(F.col("service"))})
