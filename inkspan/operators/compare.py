@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import byte_levenshtein, cer, word_count
+from inkspan.functions.text import error_rate, word_count
+from inkspan.operators.distance import with_distances
 
 
 def chosen(pages: DataFrame, providers: list[str]) -> DataFrame:
@@ -62,10 +63,9 @@ def pair_distances(wide: DataFrame, providers: list[str], truth: str | None = No
     if truth:
         first = min(providers)
         pairs.append((f"{first.upper()} vs PDF", F.col(first)["txt"], F.col(truth)))
-    cells = [F.struct(F.lit(i).alias("pair_ix"), F.lit(name).alias("metric"), a.alias("a"), b.alias("b")) for i, (name, a, b) in enumerate(pairs)]
-    rows = wide.select("ptr", F.inline(F.array(*cells)))
-    rows = rows.withColumn("dist", byte_levenshtein(F.col("a"), F.col("b")))
-    return rows.select("ptr", "pair_ix", "metric", "dist", F.octet_length("b").alias("truth_bytes"), cer(F.col("dist"), F.col("b")).alias("cer"))
+    cells = [F.struct(F.lit(i).alias("pair_ix"), F.lit(name).alias("metric"), a.alias("a"), b.alias("b"), F.octet_length(b).alias("truth_bytes")) for i, (name, a, b) in enumerate(pairs)]
+    rows = with_distances(wide.select("ptr", F.inline(F.array(*cells))), ["ptr", "pair_ix"])
+    return rows.select("ptr", "pair_ix", "metric", "dist", "truth_bytes", error_rate(F.col("dist"), F.col("truth_bytes")).alias("cer"))
 
 
 def seconds(wide: DataFrame, providers: list[str]) -> DataFrame:
@@ -103,15 +103,17 @@ def summary(passed: DataFrame, col: str = "passed") -> DataFrame:
 def metric_matrix(wide: DataFrame, providers: list[str], truth: str) -> DataFrame:
     """(metric_ix, metric, ptr, value): distances, seconds and word counts of every page, as doubles.
 
-    One narrow pass over the wide rows.
+    One pass over the wide rows for all but the distances of long texts, which are dealt out by pair.
     """
-    pairs = [(f"{a.upper()} vs {b.upper()}", byte_levenshtein(F.col(a)["txt"], F.col(b)["txt"])) for a, b in ring(providers)]
+    pairs = [(f"{a.upper()} vs {b.upper()}", F.col(a)["txt"], F.col(b)["txt"]) for a, b in ring(providers)]
     first = min(providers)
-    pairs.append((f"{first.upper()} vs PDF", byte_levenshtein(F.col(first)["txt"], F.col(truth))))
+    pairs.append((f"{first.upper()} vs PDF", F.col(first)["txt"], F.col(truth)))
     times = [(f"{p.upper()} Seconds", F.col(p)["millis"] / F.lit(1000.0)) for p in sorted(providers)]
-    every = [*pairs, *times, ("PDF Word Count", word_count(F.col(truth)))]
-    cells = [F.struct(F.lit(i).alias("metric_ix"), F.lit(name).alias("metric"), value.cast("double").alias("value")) for i, (name, value) in enumerate(every)]
-    return wide.select("ptr", F.inline(F.array(*cells))).select("metric_ix", "metric", "ptr", "value")
+    none = F.lit(None).cast("string")
+    every = [(name, a, b, F.lit(None).cast("double")) for name, a, b in pairs] + [(name, none, none, value.cast("double")) for name, value in [*times, ("PDF Word Count", word_count(F.col(truth)))]]
+    cells = [F.struct(F.lit(i).alias("metric_ix"), F.lit(name).alias("metric"), a.alias("a"), b.alias("b"), value.alias("value")) for i, (name, a, b, value) in enumerate(every)]
+    rows = with_distances(wide.select("ptr", F.inline(F.array(*cells))), ["ptr", "metric_ix"])
+    return rows.select("metric_ix", "metric", "ptr", F.coalesce("value", F.col("dist").cast("double")).alias("value"))
 
 
 def metric_names(providers: list[str]) -> list[str]:

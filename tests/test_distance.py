@@ -1,0 +1,81 @@
+"""Distances of long pairs: exact, dealt out by pair."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkspan.operators import compare, distance
+
+
+def matrix(a: bytes, b: bytes) -> int:
+    """The whole edit matrix, row by row."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edits_random():
+    pick = random.Random(4)
+    for _ in range(1500):
+        a = bytes(pick.choice(b"abc\xff") for _ in range(pick.randrange(40)))
+        b = bytes(pick.choice(b"abd\x00") for _ in range(pick.randrange(40)))
+        if pick.random() < 0.5:
+            b = bytearray(a)
+            for _ in range(pick.randrange(6)):
+                b.insert(pick.randrange(len(b) + 1), 122)
+                if b and pick.random() < 0.7:
+                    b[pick.randrange(len(b))] = pick.choice(b"abz")
+                if b and pick.random() < 0.5:
+                    del b[pick.randrange(len(b))]
+            b = bytes(b)
+        assert distance.edits(a, b) == distance.edits(b, a) == matrix(a, b)
+
+
+@pytest.mark.parametrize("n", [63, 64, 65, 127, 128, 129, 600])
+def test_edits_sizes(n):
+    pick = random.Random(n)
+    a, b = (bytes(pick.choice(b"ab") for _ in range(n + k)) for k in (0, pick.randrange(5)))
+    assert distance.edits(a, b) == matrix(a, b)
+
+
+def test_apart():
+    assert distance.apart(b"xxAyy", b"xxBByy") == (b"A", b"BB")
+    assert distance.apart(b"aaa", b"aa") == (b"a", b"") and distance.apart(b"", b"q") == (b"", b"q")
+
+
+def test_with_distances(spark):
+    """Both ways give what the whole matrix gives, whatever is long; nulls and other columns stay."""
+    pick = random.Random(6)
+    text = lambda: pick.choice([None, "", "same", "".join(pick.choice("aé漢\n ") for _ in range(pick.randrange(60)))])
+    rows = [(i, "m", text(), text(), float(i)) for i in range(300)]
+    pairs = spark.createDataFrame(rows, "k long, metric string, a string, b string, value double")
+    expected = {r[0]: None if r[2] is None or r[3] is None else matrix(r[2].encode(), r[3].encode()) for r in rows}
+    for cells in (0, 400, 1 << 20):
+        got = distance.with_distances(pairs, ["k"], cells=cells)
+        assert got.columns == ["k", "metric", "value", "dist"]
+        assert {r.k: r.dist for r in got.collect()} == expected
+
+
+def test_long_lines_by_themselves(spark):
+    """A page with long lines: its pairs leave the page's task, the page's texts are shuffled once."""
+    pick = random.Random(8)
+    base = "".join(pick.choice("abcdefgh ") for _ in range(30_000))
+    read = lambda f: "".join(f if pick.random() < 0.1 else c for c in base)
+    texts = {"aws": base, "azu": read("1"), "gcp": read("2")}
+    rows = [("long", p, t, 5) for p, t in texts.items()] + [(f"p{i}", p, f"text {i} {p}", 5) for i in range(200) for p in texts]
+    pages = spark.createDataFrame(rows, "ptr string, provider string, txt string, millis long")
+    wide = compare.side_by_side(pages, list(texts))
+    out = compare.pair_distances(wide, list(texts))
+    where = distance.with_distances(wide.select("ptr", F.lit(0).alias("pair_ix"), F.col("aws")["txt"].alias("a"), F.col("azu")["txt"].alias("b")), ["ptr"])
+    assert where.where("ptr = 'long'").count() == 1
+    got = {(r.ptr, r.pair_ix): r.dist for r in out.collect()}
+    swap = sum(x != y for x, y in zip(texts["aws"], texts["azu"], strict=True))
+    assert 0.9 * swap <= got["long", 0] <= swap and got["p7", 0] == 2 and len(got) == 603
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 1 or plan.count("hashpartitioning(ptr") <= 3
