@@ -1,10 +1,13 @@
 """Benchmark decontamination by spaced seeds: masks over word windows that skip some positions.
 
 A mask hashes the words at its ones; words under its zeros may differ. Benchmark windows and training
-windows meet in a join on the hash. Around each hit the words are compared along its diagonal; of the runs with
-a positive score (1 for an equal word, -2 for another) the one with the most equal words counts if it has enough.
-Items of up to ``SHORT`` words have short masks besides, which find every overlap that has enough equal words,
-and an item of under eight words is found where it is a whole text; its words inside other texts are chance.
+windows meet in a join on the hash. Around each hit the words are compared along its diagonal, as far as the
+longest item reaches; of the runs with a positive score (1 for an equal word, -2 for another) the one with the most
+equal words counts if it has enough. The masks ask for five equal words within eight, so that hardly any run that
+counts has none of them, whatever the item's length (README: measured shares).
+
+Items of five to seven words are found where all their words stand in a row, by hashes of every five, six and seven
+words. Items of fewer words are found where they are a whole text: inside other texts they are chance.
 
 A filter of fixed size with the benchmark's hashes goes to every task, so that only windows that may
 match leave it, with the words around them; a full filter costs time, not results.
@@ -26,48 +29,44 @@ from pyspark.sql import functions as F
 from inkspan.llm.common import Scratch, row_key, without
 from inkspan.llm.words import flat, lists, mix, portions, words
 
-MASKS = ("111010010111", "110110110110", "111011101110", "11111111")
-#: For items of up to SHORT words: one of them fits into 8 to SHORT words wherever the words replaced stand.
-SHORT_MASKS, SHORT = ("110111", "11010011", "11100101"), 16
+MASKS = ("110111", "11010011", "11100101")
+#: Words of the shortest items that masks are for, and of the shortest ones that are looked for inside texts.
+MASKED, INSIDE = 8, 5
 #: Equal words that make an overlap; an item too short for that needs 80 per cent of its words.
 MIN_EQUAL = 13
-#: Words on each side of a hit within which an overlap is measured.
-REACH = 120
 #: Bits of the filter: 2 MB, whatever the benchmark's size.
 FILTER_BITS = 24
 
 
-def seeds(h: np.ndarray, at: np.ndarray, masks: tuple = MASKS) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, word index) of every window of every mask that stays inside its text."""
-    hashes, where = [], []
-    stop = np.repeat(at[1:], np.diff(at))
-    for mask in masks:
-        n = len(h) - len(mask) + 1
-        if n <= 0:
-            continue
-        ok = np.flatnonzero(np.arange(n) + len(mask) <= stop[:n])
-        x = np.full(n, np.uint64((MASKS + SHORT_MASKS).index(mask) + 1), dtype=np.uint64)
-        for o, bit in enumerate(mask):
-            if bit == "1":
-                x += h[o : o + n] * np.uint64(pow(0x9E3779B97F4A7C15, o + 1, 2**64))
-        hashes.append(mix(x[ok]))
-        where.append(ok)
-    if not hashes:
-        return h[:0], np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(where)
-
-
-def whole_texts(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word's index) of each text that is too short for a mask but not empty."""
-    hashes, where = [h[:0]], [at[:0]]
-    for n in range(1, 8):
-        first = at[:-1][np.diff(at) == n]
-        x = np.full(len(first), np.uint64(1000 + n), dtype=np.uint64)
-        for o in range(n):
-            x += h[first + o] * np.uint64(pow(0x9E3779B97F4A7C15, o + 1, 2**64))
-        hashes.append(mix(x))
-        where.append(first)
-    return np.concatenate(hashes), np.concatenate(where)
+_PRIME = 0x9E3779B97F4A7C15
+
+
+def _windows(h: np.ndarray, at: np.ndarray, mask: str, code: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word index) of every window of a mask that stays inside its text."""
+    n = max(0, len(h) - len(mask) + 1)
+    ok = np.flatnonzero(np.arange(n) + len(mask) <= np.repeat(at[1:], np.diff(at))[:n])
+    x = np.full(n, np.uint64(code), dtype=np.uint64)
+    for o, bit in enumerate(mask):
+        if bit == "1":
+            x += h[o : o + n] * np.uint64(pow(_PRIME, o + 1, 2**64))
+    return mix(x[ok]), ok
+
+
+def seeds(h: np.ndarray, at: np.ndarray, items: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word index) of every seed of texts, or of benchmark items: these have no masks if they are short, and
+    windows of five to seven words only if they are one."""
+    size = np.diff(at)
+    owner = lambda pos: np.searchsorted(at, pos, side="right") - 1
+    found = []
+    for i, mask in enumerate(MASKS):
+        x, pos = _windows(h, at, mask, i + 1)
+        ok = size[owner(pos)] >= MASKED if items else slice(None)
+        found.append((x[ok], pos[ok]))
+    for n in range(1, MASKED):
+        x, pos = _windows(h, at, "1" * n, 1000 + n)
+        ok = size[owner(pos)] == n if items or n < INSIDE else slice(None)
+        found.append((x[ok], pos[ok]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([pos for _, pos in found])
 
 
 def _slots(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +82,8 @@ def _items(batches):
 def _seeded(b: pa.RecordBatch) -> pa.RecordBatch:
     data, ends = flat(b.column(1))
     h, _, _, at = words(data, ends, lower=True)
-    owner = lambda pos: np.searchsorted(at, pos, side="right") - 1
-    short, where = seeds(h, at, SHORT_MASKS)
-    size = np.diff(at)[owner(where)]
-    ok = (size >= 8) & (size <= SHORT)
-    found = [seeds(h, at), (short[ok], where[ok]), whole_texts(h, at)]
-    x, pos = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-    doc = owner(pos)
+    x, pos = seeds(h, at, items=True)
+    doc = np.searchsorted(at, pos, side="right") - 1
     order = np.argsort(doc, kind="stable")
     cut = np.searchsorted(doc[order], np.arange(len(ends)))
     parts = [order[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
@@ -97,7 +91,7 @@ def _seeded(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column(0), lists(tokens), lists([x[p] for p in parts]), lists([pos[p] - at[i] for i, p in enumerate(parts)])], names=["item", "words", "hash", "pos"])
 
 
-def _regions(filter_bytes: bytes):
+def _regions(filter_bytes: bytes, reach: int):
     """Windows that the filter lets through, with the words around them; overlapping surroundings merge."""
     bits = np.frombuffer(filter_bytes, np.uint8)
 
@@ -108,8 +102,7 @@ def _regions(filter_bytes: bytes):
         for b in portions(batches, 1):
             data, ends = flat(b.column(1))
             h, _, _, at = words(data, ends, lower=True)
-            found = seeds(h, at, MASKS + SHORT_MASKS), whole_texts(h, at)
-            x, pos = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            x, pos = seeds(h, at, items=False)
             one, two = _slots(x)
             keep = has(one)
             keep[keep] = has(two[keep])
@@ -117,7 +110,7 @@ def _regions(filter_bytes: bytes):
             order = np.argsort(pos, kind="stable")
             x, pos = x[order], pos[order]
             doc = np.searchsorted(at, pos, side="right") - 1
-            lo, hi = np.maximum(pos - REACH, at[doc]), np.minimum(pos + REACH + 12, at[doc + 1])
+            lo, hi = np.maximum(pos - reach, at[doc]), np.minimum(pos + reach, at[doc + 1])
             fresh = np.ones(len(pos), dtype=bool)
             fresh[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1])
             first = np.flatnonzero(fresh)
@@ -191,8 +184,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         bits[part["byte"]] = part["bits"]
     shared = bits.tobytes()
 
+    # what a hit is part of has the item's words at most on each side
+    reach = items.agg(F.max(F.size("words"))).first()[0] or 0
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_regions(shared), "doc long, start long, words array<long>, hash array<long>, pos array<long>")
+    found = rows.mapInArrow(_regions(shared, reach), "doc long, start long, words array<long>, hash array<long>, pos array<long>")
     found = scratch.save(found.withColumn("region", F.xxhash64("words")), "regions")
     regions = found.dropDuplicates(["region"])
     hits = regions.select("region", each).withColumnRenamed("pos", "at").join(stand, "hash")

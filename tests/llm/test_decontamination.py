@@ -11,16 +11,19 @@ def tokens(text):
 
 
 def brute(docs, items):
-    """Every mask at every position of every pair, and the best run on each diagonal that one hits; short masks
-    for short items, and equal texts for those under eight words."""
+    """Every mask at every position of every pair, and the best run on each diagonal that one hits; all words in a row
+    for items of five to seven words, and equal texts for shorter ones."""
     out = {}
     split = [(i, tokens(t)) for i, t in items]
     for doc, text in docs:
         x = tokens(text)
         for item, y in split:
-            if x == y and 0 < len(y) < 8:
-                out[doc, item] = max(out.get((doc, item), (0,)), (len(y), 0, 0, len(y)))
-            for m in dc.MASKS + (dc.SHORT_MASKS if 8 <= len(y) <= dc.SHORT else ()):
+            if 0 < len(y) < 8:
+                for i in range(len(x) - len(y) + 1) if len(y) > 4 else [0]:
+                    if x[i : i + len(y)] == y and (len(y) > 4 or len(x) == len(y)):
+                        new = (len(y), -i, 0, len(y))
+                        out[doc, item] = max(out.get((doc, item), new), new)
+            for m in dc.MASKS if len(y) >= 8 else ():
                 ones = [o for o, c in enumerate(m) if c == "1"]
                 where = {}
                 for j in range(len(y) - len(m) + 1):
@@ -34,6 +37,11 @@ def brute(docs, items):
     return sorted((d, i, e, n, -s, -t) for (d, i), (e, s, t, n) in out.items())
 
 
+def rule(x, y):
+    """Whether two texts overlap by the rule alone: some stretch of some diagonal with over two thirds equal words that are enough."""
+    return any(most_equal(x, y, shift) >= min(13, -(-8 * len(y) // 10)) for shift in range(-len(y) + 1, len(x)))
+
+
 def run(spark, docs, items):
     d = spark.createDataFrame([(*r, 0, "x") for r in docs], "doc_id long, text string, item long, words string")
     b = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, doc long")
@@ -128,11 +136,49 @@ def test_short_and_split_overlaps(spark):
 def test_whole_short_texts(spark):
     items = [(1, "Yes"), (2, "one two three"), (3, None), (4, ""), (5, "one two three four five six seven"), (6, "a b c d e f g h")]
     docs = [(1, "yes"), (2, "\none  TWO three"), (3, "one two three four five six seven"), (4, "one two three four"), (None, "yes"), (5, ""), (6, None), (7, "x a b c d e f g h y"), (8, "yes yes")]
+    docs += [(9, "so one two three four five six seven is said"), (10, "one two three four five six eight"), (11, "one two three")]
     got = found(spark, docs, items)
-    assert {r[:3] for r in got} == {(1, 1, 1), (2, 2, 3), (3, 5, 7), (None, 1, 1), (7, 6, 8)}
+    assert {r[:3] for r in got} == {(1, 1, 1), (2, 2, 3), (3, 5, 7), (None, 1, 1), (7, 6, 8), (9, 5, 7), (11, 2, 3)}
     assert sorted(map(str, got)) == sorted(map(str, brute(docs[:4] + docs[5:], items) + [(None, 1, 1, 1, 0, 0)]))
 
 
+def test_recall_of_the_rule(spark):
+    """Against the rule itself, which knows no masks: of the overlaps of each length and share of replaced words nine
+    tenths at least are found, and nothing else is."""
+    rng = random.Random(9)
+    items, docs, should = [], [], {}
+    for n in [8, 10, 13, 16, 17, 18, 20, 24, 30, 40, 60]:
+        for percent in (10, 20, 30):
+            kind = n, percent
+            should[kind] = set()
+            while len(should[kind]) < 40:
+                item = [f"i{len(items)}w{j}" for j in range(n)]
+                part = ["x" if rng.random() * 100 < percent else w for w in item]
+                text = ["a", "b", "c"] * 4 + part + ["d", "e"] * 6
+                if rule(text, item):
+                    should[kind].add(len(items))
+                items.append((len(items), " ".join(item)))
+                docs.append((len(docs), " ".join(text)))
+    got = {r[:2] for r in found(spark, docs, items)}
+    every = set().union(*should.values())
+    assert all(d == i for d, i in got) and {d for d, _ in got} <= every
+    shares = {kind: len([d for d in ids if (d, d) in got]) / len(ids) for kind, ids in should.items()}
+    assert min(shares.values()) >= 0.9, shares
+
+
+def test_long_overlaps_are_measured_whole(spark):
+    """An overlap goes on far beyond its last seed."""
+    item = [f"w{j}" for j in range(1200)]
+    text = [w if j < 300 or j % 3 < 2 and j % 6 != 3 or j > 1100 else f"x{j}" for j, w in enumerate(item)]
+    text = ["before"] * 50 + text[:300] + item[300:700] + ["after"] * 50
+    assert found(spark, [(1, " ".join(text))], [(1, " ".join(item))]) == [(1, 1, 700, 700, 50, 0)]
+    # replaced so that no mask fits into what follows: two of three words, then one of two
+    text = [w if j < 60 or (j - 60) % 4 in (0, 1, 2) and j % 8 != 1 else "x" for j, w in enumerate(item[:400])]
+    (row,) = found(spark, [(1, " ".join(text))], [(1, " ".join(item))])
+    equal, i, z = dc.best_run(np.array(text), np.array(item), 0)
+    assert row[2:] == (equal, z - i, i, i)
+
+
 def test_clean_by_row(spark):
     item = " ".join(f"v{i}" for i in range(20))
     rows = [(1, item), (1, "other words of the same id"), (None, "x " + item), (None, "clean"), (None, None), (2, "clean"), (2, "clean")]
