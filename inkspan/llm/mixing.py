@@ -1,17 +1,18 @@
 """Mixing sources to target weights by hash-random order, distributed prefix sums and exact cuts.
 
-Documents get a hash-random key and fall into key ranges of their source; sums of the ranges give each
-range's first position, and a running sum inside the range the document's. A source whose target is q times
-its size and r words more takes every document q times, and in key order the first r words once more; the
-document at the cut gives the words that are missing.
+A row's hash-random key comes from its id, text and source, and rows fall into key ranges of their source; sums
+of the ranges give each range's first position, and a running sum inside the range the row's. A source whose
+target is q times its size and r words more takes every document q times, and in key order the first r words
+once more; the document at the cut gives the words that are missing. The order is that of the keys, whatever
+the ranges are, so their number decides how work is dealt out and nothing else.
+
+Rows that agree in id, text and source are put together with their number before anything is dealt out, and count
+that many times their size; so no id, however often it occurs, and no copies fill a range.
 
 Targets: weights share the whole size, no target is above ``max_epochs`` times its source's size, and what
 is above goes to the others by weight. That is min(cap, weight * level) with one level for all, found from
 the sources sorted by cap / weight.
 
-Rows whose ids repeat or are null share a hash-random key, as the key is the id's; a range with far more rows than
-others is cut by a hash of id, text and source, so that such rows fill no task.
-
 Defined cases: a null source is a source of its own, sorted last; a null text has size 0; documents of size
 0 are taken 0 words; rows that repeat are documents of their own; an empty table gives an empty result.
 """
@@ -50,36 +51,34 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs
     return s.select("src", "source_size", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
 
 
-def _taken(docs: DataFrame, weights: tuple[float, ...], max_epochs: float, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    """What ``takes`` returns, with the id as _id and the row's key as k0 and k1."""
+def _placed(docs: DataFrame, weights: tuple[float, ...], max_epochs: float, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """(_id, k0, k1, n, size, source_size, target, epochs, left): a row for each kind of row, of which there are ``n``.
+
+    left: the words that the cut leaves to these rows together.
+    """
     scratch = Scratch(docs.sparkSession)
-    key = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, BITS // 4), 16, 10).cast("long")
     source = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
+    text = F.coalesce(F.md5(F.col(text_col).cast("string").cast("binary")), F.lit("-"))
+    name = F.concat_ws("/", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text, source)
+    key = F.conv(F.substring(F.md5(name.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
     k0, k1 = row_key(*(F.col(c) for c in (id_col, text_col, source_col)))
     sized = docs.select(F.col(id_col).alias("_id"), source.alias("src"), key.alias("key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), k0.alias("k0"), k1.alias("k1"))
-    sized = scratch.save(sized, "sized")
+    sized = scratch.save(sized.groupBy(*sized.columns).agg(F.count("*").alias("n")), "sized")
     ranges = max(64, math.ceil(sized.count() / RANGE_ROWS))
-    sized = sized.withColumn("range", F.floor(F.col("key").cast("double") * float(ranges) / float(2**BITS)).cast("int"))
-
-    full = sized.groupBy("src", "range").agg(F.count("*").alias("rows")).where(F.col("rows") > 8 * RANGE_ROWS)
-    full = scratch.save(full.select("src", "range", F.ceil(F.col("rows") / (8 * RANGE_ROWS)).alias("parts")), "full")
-    part = F.coalesce(F.pmod("k0", "parts"), F.lit(0)).cast("int")
-    sized = sized.join(F.broadcast(full) if small_enough(full, BROADCAST_ROWS) else full, ["src", "range"], "left").withColumn("part", part).drop("parts")
+    sized = sized.withColumn("range", F.floor(F.col("key").cast("double") * float(ranges) / float(2**BITS)).cast("int")).withColumn("words", F.col("n") * F.col("size"))
 
-    sums = scratch.save(sized.groupBy("src", "range", "part").agg(F.sum("size").alias("words")), "sums")
+    sums = scratch.save(sized.groupBy("src", "range").agg(F.sum("words").alias("words")), "sums")
     goal = targets(sums.groupBy("src").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     goal = goal.withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
-    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
+    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long"))
     goal = scratch.save(goal.withColumn("more", F.col("budget") - F.col("epochs") * F.col("source_size")), "goal")
-    first = F.sum("words").over(Window.partitionBy("src").orderBy("range", "part")) - F.col("words")
-    starts = sums.select("src", "range", "part", first.alias("first")).join(goal, "src")
-    starts = scratch.save(starts, "starts")
+    first = F.sum("words").over(Window.partitionBy("src").orderBy("range")) - F.col("words")
+    starts = scratch.save(sums.select("src", "range", first.alias("first")).join(goal, "src"), "starts")
 
-    line = Window.partitionBy("src", "range", "part").orderBy("key", "_id", "size", "k0", "k1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("inside", F.sum("size").over(line) - F.col("size")).join(starts, ["src", "range", "part"])
-    cut = F.greatest(F.lit(0), F.least("size", F.col("more") - F.col("first") - F.col("inside")))
-    placed = placed.withColumn("cut", cut.cast("long"))
-    return placed.select("_id", "k0", "k1", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("cut")).cast("long").alias("taken"), F.col("epochs").cast("long").alias("epochs"), "cut")
+    line = Window.partitionBy("src", "range").orderBy("key", "_id", "k0", "k1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sized.withColumn("inside", F.sum("words").over(line) - F.col("words")).join(starts, ["src", "range"])
+    left = F.greatest(F.lit(0), F.least("words", F.col("more") - F.col("first") - F.col("inside"))).cast("long")
+    return placed.select("_id", "k0", "k1", "n", "size", "source_size", "target", "epochs", left.alias("left"))
 
 
 def takes(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
@@ -87,7 +86,10 @@ def takes(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: f
 
     epochs: how often the whole document is taken; cut: the words taken once more from its start.
     """
-    return _taken(docs, weights, max_epochs, id_col, text_col, source_col, seed).withColumnRenamed("_id", id_col).drop("k0", "k1")
+    rows = _placed(docs, weights, max_epochs, id_col, text_col, source_col, seed)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cut = F.greatest(F.lit(0), F.least("size", F.col("left") - F.col("copy") * F.col("size"))).cast("long")
+    return rows.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).alias("taken"), "epochs", cut.alias("cut"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
@@ -98,8 +100,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: flo
     taken, with the other columns of one of them.
     """
     scratch = Scratch(docs.sparkSession)
-    n = F.col("epochs") + F.when(F.col("cut") > 0, 1).otherwise(0)
-    often = _taken(docs, weights, max_epochs, id_col, text_col, source_col, seed).groupBy("k0", "k1").agg(F.sum(n).alias("n"), F.count("*").alias("rows"))
+    once_more = F.when(F.col("left") > 0, F.ceil(F.col("left") / F.col("size"))).otherwise(0)
+    often = _placed(docs, weights, max_epochs, id_col, text_col, source_col, seed).select("k0", "k1", (F.col("n") * F.col("epochs") + once_more).cast("long").alias("n"), F.col("n").alias("rows"))
     often = scratch.save(often.where("n > 0"), "often")
     key = row_key(*(docs[c] for c in (id_col, text_col, source_col)))
     copies = scratch.save(often.where("rows > 1").select("k0", "k1"), "copies")

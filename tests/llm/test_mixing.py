@@ -92,3 +92,19 @@ def test_many_ranges_and_repeated_ids(spark, monkeypatch):
         for r in mixed.collect():
             words[r.source] += len(r.text.split())
         assert all(0 <= words[s] - goal < 5 for s, goal in goals(sizes, (1, 2, 3), 3).items())
+
+
+def test_ranges_change_nothing(spark, monkeypatch):
+    """However many ranges there are, each row is taken as often: one id with many texts, no ids, and many equal rows."""
+    rows = [(5, " ".join(["w"] * (i % 17)) + f" t{i}", "a") for i in range(300)] + [(None, f"n{i} o p", "b") for i in range(300)] + [(8, "same old text", "b")] * 200 + [(i, "u v", None) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen, mixes = [], []
+    for size in (0.5, 20, 100_000):
+        monkeypatch.setattr(mixing, "RANGE_ROWS", size)
+        seen.append(sorted((tuple(r) for r in mixing.takes(docs).collect()), key=repr))
+        mixes.append(collections.Counter(tuple(r) for r in mixing.mix(docs).collect()))
+    assert seen[0] == seen[1] == seen[2] and mixes[0] == mixes[1] == mixes[2]
+    # the order is that of the hashes, not of the lengths
+    taken = [(r.size, r.taken) for r in mixing.takes(docs, weights=(1, 9), max_epochs=3.0).collect() if r.doc_id == 5 and r.size]
+    short = [t / n for n, t in taken if n < 6]
+    assert 0.1 < sum(short) / len(short) < 0.9
