@@ -21,7 +21,7 @@ LEFT JOIN (SELECT doc_id, count(*) OVER (PARTITION BY fp) AS n_copies FROM (SELE
 """
 
 OP8 = r"""
-WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS src, ('0x' || substr(md5('mix/' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS key,
+WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS src, ('0x' || substr(md5('mix/' || coalesce(doc_id::VARCHAR, 'null') || '/' || coalesce(md5(text), '-') || '/' || coalesce('0' || source, '1')), 1, 12))::BIGINT AS key,
                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT src, source_size, (row_number() OVER (ORDER BY src) - 1) % 3 + 1.0::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap
       FROM (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src)),
@@ -54,10 +54,13 @@ v AS (SELECT lang, src, ratio, (((x >> shift) + 1) << shift) - 1 AS x, count(*)
 k AS (SELECT lang, ratio, x, sum(n) AS n FROM v GROUP BY ALL), z AS (SELECT lang, ratio, sum(n) AS total FROM k GROUP BY ALL),
 g AS (SELECT lang, src, ratio, x, sum(w) AS w FROM (SELECT lang, src, ratio, x, 1000 * n AS w FROM v
       UNION ALL SELECT a.lang, a.src, ratio, x, n * 50000 // total FROM (SELECT DISTINCT lang, src FROM v) a JOIN k USING (lang) JOIN z USING (lang, ratio)) GROUP BY ALL),
+i AS (SELECT lang, src, ratio, sum(w * x)::HUGEINT // sum(w)::HUGEINT AS mean FROM g GROUP BY ALL),
 u AS (SELECT *, sum(w) OVER (PARTITION BY lang, src, ratio ORDER BY x) AS upto, sum(w) OVER (PARTITION BY lang, src, ratio) AS total FROM g),
-o AS (SELECT lang, src, min(CASE WHEN ratio = 'word_length' AND 100 * upto >= 95 * total THEN x END) * 115 // 100 AS wh, min(CASE WHEN ratio = 'word_length' AND 100 * upto >= 5 * total THEN x END) * 85 // 100 AS wl,
+q AS (SELECT lang, src, min(CASE WHEN ratio = 'word_length' AND 100 * upto >= 95 * total THEN x END) * 115 // 100 AS wh, min(CASE WHEN ratio = 'word_length' AND 100 * upto >= 5 * total THEN x END) * 85 // 100 AS wl,
              min(CASE WHEN ratio = 'symbols' AND 100 * upto >= 75 * total THEN x END) * 2 AS sh, min(CASE WHEN ratio = 'dup_lines' AND 100 * upto >= 95 * total THEN x END) * 2 AS dh,
              min(CASE WHEN ratio = 'repeats' AND 100 * upto >= 95 * total THEN x END) * 2 AS rh FROM u GROUP BY ALL),
+o AS (SELECT lang, src, wh, wl, greatest(sh, s.mean) + 1 AS sh, greatest(dh, d.mean) + 1 AS dh, greatest(rh, r.mean) + 1 AS rh FROM q JOIN i s USING (lang, src) JOIN i d USING (lang, src) JOIN i r USING (lang, src)
+      WHERE s.ratio = 'symbols' AND d.ratio = 'dup_lines' AND r.ratio = 'repeats'),
 e AS (SELECT m.*, wh, wl, (sh * n_words)::DOUBLE / 1000::DOUBLE AS se, (dh * n_lines)::DOUBLE / 1000::DOUBLE AS de, (rh * n_words)::DOUBLE / 1000::DOUBLE AS re FROM m LEFT JOIN o USING (lang, src)),
 j AS (SELECT *, concat_ws(',', CASE WHEN word_length > wh OR word_length < wl THEN 'word_length' END, CASE WHEN n_symbols > se + 3::DOUBLE * sqrt(se + 1::DOUBLE) THEN 'symbols' END,
              CASE WHEN n_dup_lines > de + 3::DOUBLE * sqrt(de + 1::DOUBLE) THEN 'dup_lines' END, CASE WHEN n_repeat_words > re + 3::DOUBLE * sqrt(re + 1::DOUBLE) THEN 'repeats' END) AS outside FROM e)

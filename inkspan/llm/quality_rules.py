@@ -4,9 +4,11 @@ One Arrow pass counts what the rules need. Four ratios, as whole numbers, go int
 (32 buckets to a doubling, so a value is known to about 3 per cent). Histograms merge by adding counts:
 each group of language and source is joined with its language's histogram, scaled to ``prior_docs`` documents,
 so a small group leans on its language and a large one speaks for itself. A group's bound is a quantile of that
-histogram, widened by a part of itself. A count is outside when it is above what the bound allows for the
+histogram, widened by a part of itself; for counts it is the histogram's mean at least, which speaks where most
+documents have none and the quantile is 0. A count is outside when it is above what the bound allows for the
 text's length by more than ``NOISE`` of its own standard deviations (Poisson), so short texts aren't
-rejected for a single event; a mean length of words is outside when it is beyond a bound.
+rejected for a single event. Ratios are whole numbers, so a bound stands for all rates below the next number: what is
+allowed grows with the text in every group. A mean length of words is outside when it is beyond a bound.
 
 Defined cases: null and empty texts have zero counts and fail the base; null languages and sources are
 groups of their own; rows that repeat count each time; an empty table gives an empty result. Ids are cast to long.
@@ -27,7 +29,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 #: Ratio: (numerator, factor, denominator, per cent below the lower bound's quantile or None, the same for
 #: the upper bound, per cent by which bounds are widened). The quantile must lie inside the good part of a
-#: group; symbols mark a kind of junk that may make up a fifth of a group, so theirs is the lowest.
+#: group; symbols mark a kind of junk that may make up a fifth of a group, so theirs is the lowest. Where it is 0,
+#: the mean decides, which that fifth pulls up to a fifth of its own rates.
 RATIOS = {
     "word_length": ("word_chars", 100, "n_words", 5, 95, 15),
     "symbols": ("n_symbols", 1000, "n_words", None, 75, 100),
@@ -113,9 +116,12 @@ def fences(hist: DataFrame) -> DataFrame:
     line = hist.withColumn("upto", F.sum("weight").over(group.orderBy("bucket"))).withColumn("all", F.sum("weight").over(group))
     at = lambda m, percent: F.min(F.when((F.col("ratio") == m) & (100 * F.col("upto") >= percent * F.col("all")), value(F.col("bucket"))))
     wide = lambda q, percent: F.floor(q * percent / 100).cast("long")
+    mine = lambda m, x: F.when(F.col("ratio") == m, x)
+    mean = lambda m: F.call_function("div", F.sum(mine(m, F.col("weight") * value(F.col("bucket")))), F.max(mine(m, F.col("all"))))
     cols = []
     for m, (*_, low, high, margin) in RATIOS.items():
-        cols.append(wide(at(m, high), 100 + margin).alias(f"{m}_hi"))
+        upper = wide(at(m, high), 100 + margin)
+        cols.append((upper if low is not None else F.greatest(upper, mean(m))).alias(f"{m}_hi"))
         if low is not None:
             cols.append(wide(at(m, low), 100 - margin).alias(f"{m}_lo"))
     return line.groupBy("lang", "src").agg(*cols)
@@ -127,7 +133,7 @@ def _outside(m: str) -> Column:
     if low is not None:
         beyond = (F.col(m) > F.col(f"{m}_hi")) | (F.col(m) < F.col(f"{m}_lo"))
     else:
-        allowed = (F.col(f"{m}_hi") * F.col(below)).cast("double") / F.lit(float(times))
+        allowed = ((F.col(f"{m}_hi") + 1) * F.col(below)).cast("double") / F.lit(float(times))
         beyond = F.col(above) > allowed + NOISE * F.sqrt(allowed + 1.0)
     return F.coalesce(beyond, F.lit(False))
 

@@ -87,6 +87,29 @@ def test_bounds_follow_the_group(spark):
     assert "symbols" in got[9000] and got[9001] == got[9002] == ""
 
 
+def test_bounds_of_rare_counts(spark):
+    """On the documents no bound is the same in all groups, though most documents have no symbol and no repeated line."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    bounds = qr.fences(qr.blended(qr.sketch(qr.counts(docs, "doc_id", "text", "lang", "source")), 50)).collect()
+    assert len(bounds) == 80
+    for m in qr.RATIOS:
+        assert len({r[f"{m}_hi"] for r in bounds}) > 10, m
+    assert min(r.symbols_hi for r in bounds) > 0
+
+
+def test_what_is_allowed_grows_with_the_text(spark):
+    """Four marks are nothing in 15,000 words and too many in 60, also where no other text has any."""
+    text = lambda n, marks: " ".join(f"w{j:05d}" for j in range(n - marks)) + "".join(f" v{j:04d}%" for j in range(marks))
+    rows = [(i, " ".join(f"w{i * 97 + j:05d}" for j in range(200)), "en", "none") for i in range(300)]
+    rows += [(1000, text(15_000, 4), "en", "none"), (1001, text(60, 4), "en", "none"), (1002, text(60, 1), "en", "none")]
+    got = {r.doc_id: r.outside for r in qr.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("doc_id >= 1000").collect()}
+    assert got == {1000: "", 1001: "symbols", 1002: ""}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    source = docs.first().source
+    long = spark.createDataFrame([(-1, rows[-3][1], "en", source)], docs.schema)
+    assert qr.judge(docs.union(long)).where("doc_id = -1").first().kept
+
+
 def test_each_row_by_itself(spark):
     good = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(5)]
     rows = [(None, good[0]), (None, "x y"), (7, good[1]), (7, "short"), (8, good[2]), (8, good[2]), (9, None), (None, "x y")]
