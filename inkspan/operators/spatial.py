@@ -1,9 +1,7 @@
 """Sets of points and boxes: membership, region search, joins of points with boxes and of rectangles.
 
-What a tree of points does in memory is done here by keys: regions are grid cells. A box belongs to the level whose
-cells are at least as large as it, so it touches four cells at most; levels are powers of two, so there are
-few, and a point has one key for each level that some box is on. Joins are equi-joins on cells with the exact
-test behind it, and need no distinct.
+What a tree of points does in memory is done here by keys: space is divided into cells (``cells``), which are
+split where points and boxes crowd. Joins are equi-joins on cells with the exact test behind it, and need no distinct.
 """
 
 from __future__ import annotations
@@ -11,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.geometry import box_contains
+from inkspan.functions.geometry import box_contains, l1_distance
+from inkspan.operators.cells import CELL, LEAF, Cells, shifted, stored
 
 
 def insert(points: DataFrame, new: DataFrame) -> DataFrame:
@@ -45,63 +44,81 @@ def extremes(points: DataFrame) -> DataFrame:
     return points.agg(one(F.min_by, "d0", "d1").alias("min0"), one(F.max_by, "d0", "d1").alias("max0"), one(F.min_by, "d1", "d0").alias("min1"), one(F.max_by, "d1", "d0").alias("max1"))
 
 
-def _shift(x: Column, level: Column) -> Column:
-    return F.call_function("shiftright", x.cast("long"), level)
-
-
-def _level(extent: Column) -> Column:
-    """The smallest level whose cells are at least that long."""
-    return F.when(extent <= 1, 0).otherwise(F.length(F.bin(extent - 1))).cast("int")
-
-
-def _levels(df: DataFrame) -> list[int]:
-    """The levels in use: 64 at most."""
-    return sorted(r[0] for r in df.select("_level").distinct().collect())
-
-
-def _cells(level: Column, lo0: str, lo1: str, hi0: str, hi1: str) -> Column:
-    span = lambda a, b: F.sequence(_shift(F.col(a), level), _shift(F.col(b), level))
-    return F.flatten(F.transform(span(lo0, hi0), lambda i: F.transform(span(lo1, hi1), lambda j: F.struct(level.alias("_l"), i.alias("_i"), j.alias("_j")))))
-
-
-def region_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
+def region_join(points: DataFrame, boxes: DataFrame, leaf: int = LEAF) -> DataFrame:
     """Each pair of a point (d0, d1) and a closed box (lo0, lo1, hi0, hi1) that holds it, with both sides' columns.
 
     Boxes whose corners are exchanged hold nothing.
     """
-    boxes = boxes.where("lo0 <= hi0 and lo1 <= hi1").withColumn("_level", _level(F.greatest(F.expr("hi0 - lo0"), F.expr("hi1 - lo1"))))
-    levels = _levels(boxes)
-    if not levels:
-        return points.crossJoin(boxes.drop("_level").where(F.lit(False)))
-    keyed = boxes.withColumn("_c", F.explode(_cells(F.col("_level"), "lo0", "lo1", "hi0", "hi1"))).select("*", "_c._l", "_c._i", "_c._j").drop("_c", "_level")
-    at = F.explode(F.array(*[F.struct(F.lit(x).alias("_l"), _shift(F.col("d0"), F.lit(x)).alias("_i"), _shift(F.col("d1"), F.lit(x)).alias("_j")) for x in levels]))
-    asked = points.withColumn("_c", at).select("*", "_c._l", "_c._i", "_c._j").drop("_c")
+    corner = lambda df, x, y: df.select(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).where("x is not null and y is not null")
+    good = boxes.where("lo0 <= hi0 and lo1 <= hi1")
+    cells = Cells(corner(points, "d0", "d1").union(corner(good, "lo0", "lo1")), corner(good, "hi0", "hi1"), leaf)
+    pairs = cells.of_points(points, "d0", "d1").join(cells.of_boxes(good, "lo0", "lo1", "hi0", "hi1"), CELL)
     inside = box_contains(F.col("d0"), F.col("d1"), F.col("lo0"), F.col("lo1"), F.col("hi0"), F.col("hi1"))
-    return asked.join(keyed, ["_l", "_i", "_j"]).where(inside).drop("_l", "_i", "_j")
+    return pairs.where(inside).drop(*CELL)
 
 
-def overlap_join(a: DataFrame, b: DataFrame) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, leaf: int = LEAF) -> DataFrame:
     """Each pair of rectangles (x, y, w, h) of two tables that share a point, columns as a_... and b_....
 
-    A pair meets on the coarser level of its two, in the cell of the shared area's first corner and no other.
+    A pair counts in the leaf of the shared area's first corner and in no other.
     """
     def sided(df: DataFrame, side: str) -> DataFrame:
         df = df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
         x, y, w, h = (F.col(f"{side}_{c}") for c in "xywh")
-        return df.where((w >= 0) & (h >= 0)).withColumns({"_level": _level(F.greatest(w, h)), "_x1": x + w, "_y1": y + h})
+        return df.where((w >= 0) & (h >= 0)).withColumns({f"_{side}_x1": x + w, f"_{side}_y1": y + h})
 
     left, right = sided(a, "a"), sided(b, "b")
-    levels = sorted({*_levels(left), *_levels(right)})
-    if not levels:
-        return left.drop("_level", "_x1", "_y1").crossJoin(right.drop("_level", "_x1", "_y1")).where(F.lit(False))
-
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        each = [F.when(F.col("_level") <= x, _cells(F.lit(x), f"{side}_x", f"{side}_y", "_x1", "_y1")) for x in levels]
-        every = F.flatten(F.filter(F.array(*each), lambda c: c.isNotNull()))
-        out = df.withColumn("_c", F.explode(every)).select("*", "_c._l", "_c._i", "_c._j").drop("_c")
-        return out.withColumnsRenamed({"_level": f"_{side}_level", "_x1": f"_{side}_x1", "_y1": f"_{side}_y1"})
-
-    pairs = keyed(left, "a").join(keyed(right, "b"), ["_l", "_i", "_j"])
-    first = (F.col("_l") == F.greatest("_a_level", "_b_level")) & (F.col("_i") == _shift(F.greatest("a_x", "b_x"), F.col("_l"))) & (F.col("_j") == _shift(F.greatest("a_y", "b_y"), F.col("_l")))
+    corner = lambda df, x, y: df.select(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).where("x is not null and y is not null")
+    cells = Cells(corner(left, "a_x", "a_y").union(corner(right, "b_x", "b_y")), corner(left, "_a_x1", "_a_y1").union(corner(right, "_b_x1", "_b_y1")), leaf)
+    pairs = cells.of_boxes(left, "a_x", "a_y", "_a_x1", "_a_y1").join(cells.of_boxes(right, "b_x", "b_y", "_b_x1", "_b_y1"), CELL)
+    shift = cells.shift(F.col("_depth"))
+    first = (F.col("_i") == shifted(F.greatest("a_x", "b_x"), shift)) & (F.col("_j") == shifted(F.greatest("a_y", "b_y"), shift))
     meets = F.expr("a_x <= _b_x1 and b_x <= _a_x1 and a_y <= _b_y1 and b_y <= _a_y1")
     return pairs.where(first & meets).select([c for c in pairs.columns if not c.startswith("_")])
+
+
+def nearest(points: DataFrame, asked: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(d0, d1, near0, near1, distance): of each distinct asked point the nearest one of the set by the sum of absolute
+    differences; of equally near ones the one with the least coordinates.
+
+    Goes down the tree of cells: of an asked point's cells those stay that may be nearer than the farthest that some
+    other one's nearest point can be. Sides of a cell's bounds touch a point each, which gives that limit. What is left
+    are a few leaves, whose points are compared.
+    """
+    corners = points.select(F.col("d0").cast("long").alias("x"), F.col("d1").cast("long").alias("y")).where("x is not null and y is not null")
+    cells = Cells(corners, leaf=leaf)
+    placed = cells.of_points(corners.withColumnsRenamed({"x": "near0", "y": "near1"}), "near0", "near1")
+    bounds = F.min("near0").alias("x0"), F.max("near0").alias("x1"), F.min("near1").alias("y0"), F.max("near1").alias("y1")
+    leaves = placed.groupBy(*CELL).agg(*bounds)
+    up = F.inline(F.transform(F.sequence(F.lit(0), F.col("_depth")), lambda k: F.struct(k.alias("k"), *[shifted(F.col(c), cells.shift(k) - cells.shift(F.col("_depth"))).alias(n) for c, n in (("_i", "i"), ("_j", "j"))])))
+    tree = leaves.select(up, "x0", "x1", "y0", "y1").groupBy("k", "i", "j").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    finer = cells.shift(F.col("k") - 1) - cells.shift(F.col("k"))
+    parent = [(F.col("k") - 1).alias("pk"), shifted(F.col("i"), F.when(F.col("k") > 0, finer).otherwise(F.lit(0))).alias("pi"), shifted(F.col("j"), F.when(F.col("k") > 0, finer).otherwise(F.lit(0))).alias("pj")]
+    tree = stored(tree.select(*parent, F.struct("k", "i", "j", "x0", "x1", "y0", "y1").alias("cell")))
+    roots = [r.cell for r in tree.where("pk = -1").select("cell").collect()]  # four at most
+    kids = tree.where("pk >= 0").groupBy("pk", "pi", "pj").agg(F.collect_list("cell").alias("kids"))  # 64 at most each
+    kind = "struct<k:int,i:bigint,j:bigint,x0:bigint,x1:bigint,y0:bigint,y1:bigint>"
+
+    def limits(c: Column) -> tuple[Column, Column]:
+        """The least distance that a cell's points can have, and one that some point of it doesn't exceed."""
+        q = {"x": F.col("d0").cast("long"), "y": F.col("d1").cast("long")}
+        near = {a: F.greatest(c[f"{a}0"] - q[a], q[a] - c[f"{a}1"], F.lit(0).cast("long")) for a in "xy"}
+        side = {a: F.least(F.abs(q[a] - c[f"{a}0"]), F.abs(q[a] - c[f"{a}1"])) for a in "xy"}
+        far = {a: F.greatest(F.abs(q[a] - c[f"{a}0"]), F.abs(q[a] - c[f"{a}1"])) for a in "xy"}
+        return near["x"] + near["y"], F.least(side["x"] + far["y"], far["x"] + side["y"])
+
+    def pruned(c: Column) -> Column:
+        limit = F.array_min(F.transform(c, lambda x: limits(x)[1]))
+        return F.transform(F.filter(F.transform(c, lambda x: F.struct(x.alias("c"), (limits(x)[0] <= limit).alias("on"))), lambda x: x["on"]), lambda x: x["c"])
+
+    first = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]).cast(kind) for r in roots]).cast(f"array<{kind}>")
+    rows = asked.select("d0", "d1").where("d0 is not null and d1 is not null").distinct().withColumn("cells", pruned(first))
+    for k in range(len(cells.shifts) - 1):
+        rows = rows.select("d0", "d1", F.explode("cells").alias("c"))
+        rows = rows.join(kids.where(F.col("pk") == k), (F.col("c.k") == k) & (F.col("c.i") == F.col("pi")) & (F.col("c.j") == F.col("pj")), "left")
+        rows = rows.groupBy("d0", "d1").agg(F.flatten(F.collect_list(F.coalesce("kids", F.array("c")))).alias("cells"))
+        rows = rows.withColumn("cells", pruned(F.col("cells")))
+    rows = rows.select("d0", "d1", F.explode("cells").alias("c")).select("d0", "d1", F.col("c.k").alias("_depth"), F.col("c.i").alias("_i"), F.col("c.j").alias("_j"))
+    found = rows.join(placed, CELL).withColumn("distance", l1_distance(F.col("d0"), F.col("d1"), F.col("near0"), F.col("near1")))
+    best = found.groupBy("d0", "d1").agg(F.min(F.struct("distance", "near0", "near1")).alias("b"))
+    return best.select("d0", "d1", "b.near0", "b.near1", "b.distance")

@@ -496,6 +496,13 @@ def region_join(spark, sf_dir):
     return spatial.region_join(points(spark, sf_dir), boxes(spark, sf_dir)).select("box", "d0", "d1")
 
 
+@query(f"WITH {_POINTS}, a AS (SELECT DISTINCT c_custkey * 13 % 2600 - 300 AS d0, c_nationkey * 7 % 150 - 20 AS d1 FROM customer) SELECT a.d0, a.d1, min((abs(a.d0 - pt.d0) + abs(a.d1 - pt.d1), pt.d0, pt.d1))[2] AS near0, min((abs(a.d0 - pt.d0) + abs(a.d1 - pt.d1), pt.d0, pt.d1))[3] AS near1, min(abs(a.d0 - pt.d0) + abs(a.d1 - pt.d1)) AS distance FROM a, pt GROUP BY a.d0, a.d1")
+def l1_nearest(spark, sf_dir):
+    """The nearest point of the set for places inside and outside of it."""
+    asked = table(spark, sf_dir, "customer").selectExpr("c_custkey * 13 % 2600 - 300 AS d0", "c_nationkey * 7 % 150 - 20 AS d1")
+    return spatial.nearest(points(spark, sf_dir), asked)
+
+
 @query(f"WITH {_POINTS} SELECT min(d0) AS min0, (SELECT min(d1) FROM pt WHERE d0 = (SELECT min(d0) FROM pt)) AS min0_d1, max(d0) AS max0, (SELECT max(d1) FROM pt WHERE d0 = (SELECT max(d0) FROM pt)) AS max0_d1, min(d1) AS min1, max(d1) AS max1 FROM pt")
 def kd_min_max(spark, sf_dir):
     e = spatial.extremes(points(spark, sf_dir))
