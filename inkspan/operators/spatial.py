@@ -28,14 +28,68 @@ def delete(points: DataFrame, gone: DataFrame, dims: tuple[str, ...] = ("d0", "d
     return points.join(gone, list(dims), "left_anti")
 
 
-def region_search(points: DataFrame, lo: tuple[int, int], hi: tuple[int, int]) -> DataFrame:
-    """Points in a closed box: a range filter, which Parquet files sorted by ``optimised`` answer from few row groups."""
-    return points.where(box_contains(F.col("d0"), F.col("d1"), *[F.lit(x) for x in (*lo, *hi)]))
-
-
-def optimised(points: DataFrame, files: int) -> DataFrame:
-    """Points dealt into ranges and sorted, to be written so that statistics prune region searches."""
-    return points.repartitionByRange(files, "d0", "d1").sortWithinPartitions("d0", "d1")
+#: Bits of a coordinate in a key, and what is added to it: keys cover -2**30 to 2**30 - 1, beyond which they stay the same.
+Z_BITS, Z_SHIFT = 31, 1 << 30
+
+
+def _inside(x: int) -> int:
+    return min(max(x + Z_SHIFT, 0), 2**Z_BITS - 1)
+
+
+def z_key(d0: Column, d1: Column) -> Column:
+    """The coordinates' bits in turn, so that places with near keys are near in both dimensions."""
+    def spread(x: Column) -> Column:
+        x = F.greatest(F.least(x.cast("long") + Z_SHIFT, F.lit(2**Z_BITS - 1).cast("long")), F.lit(0).cast("long"))
+        for by, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, by)).bitwiseAND(F.lit(mask))
+        return x
+
+    return spread(d0).bitwiseOR(F.shiftleft(spread(d1), 1))
+
+
+def key_ranges(lo: tuple[int, int], hi: tuple[int, int], most: int = 64) -> list[tuple[int, int]]:
+    """Ranges of keys, both ends included, that cover a closed box: ``most`` at most, the largest cells divided first."""
+    lo, hi = tuple(map(_inside, lo)), tuple(map(_inside, hi))
+    if lo[0] > hi[0] or lo[1] > hi[1]:
+        return []
+    first = lambda k, i, j: sum(((i << k >> b & 1) << 2 * b) | ((j << k >> b & 1) << 2 * b + 1) for b in range(Z_BITS))
+    meets = lambda k, c, d: c << k <= hi[d] and ((c + 1) << k) - 1 >= lo[d]
+    within = lambda k, c, d: c << k >= lo[d] and ((c + 1) << k) - 1 <= hi[d]
+    done, level = [], [(0, 0)]
+    for k in range(Z_BITS, -1, -1):
+        whole = [c for c in level if within(k, c[0], 0) and within(k, c[1], 1)]
+        done += [(k, *c) for c in whole]
+        part = [c for c in level if c not in whole]
+        below = [(2 * i + a, 2 * j + b) for i, j in part for a in (0, 1) for b in (0, 1)]
+        below = [c for c in below if k and meets(k - 1, c[0], 0) and meets(k - 1, c[1], 1)]
+        if not k or len(done) + len(below) > most:
+            done += [(k, *c) for c in part]
+            break
+        level = below
+    out: list[tuple[int, int]] = []
+    for a, z in sorted((first(*c), first(*c) + 4 ** c[0] - 1) for c in done):
+        if out and a == out[-1][1] + 1:
+            out[-1] = (out[-1][0], z)
+        else:
+            out.append((a, z))
+    return out
+
+
+def region_search(points: DataFrame, lo: tuple[int, int], hi: tuple[int, int], key: str | None = None) -> DataFrame:
+    """Points in a closed box. Of files that ``optimised`` has laid out, with their column ``key``, the row groups
+    whose keys or coordinates can't be in the box aren't read, whichever dimension it is narrow in."""
+    inside = box_contains(F.col("d0"), F.col("d1"), *[F.lit(x) for x in (*lo, *hi)])
+    if key:
+        near = F.lit(False)
+        for a, z in key_ranges(lo, hi):
+            near = near | F.col(key).between(a, z)
+        inside = near & inside
+    return points.where(inside)
+
+
+def optimised(points: DataFrame, files: int, key: str = "z") -> DataFrame:
+    """Points with their ``key``, dealt into ranges of it and sorted by it, to be written so that statistics prune region searches."""
+    return points.withColumn(key, z_key(F.col("d0"), F.col("d1"))).repartitionByRange(files, key).sortWithinPartitions(key, "d0", "d1")
 
 
 def extremes(points: DataFrame) -> DataFrame:

@@ -80,3 +80,56 @@ def test_empty(spark, points):
     assert spatial.overlap_join(rects, rects).collect() == []
     one = spark.createDataFrame([(0, 0)], PLACES)
     assert [tuple(r) for r in spatial.nearest(one, p.limit(1)).select("near0", "near1").collect()] == [(0, 0)]
+
+
+def interleaved(x, y):
+    x, y = ((min(max(v + 2**30, 0), 2**31 - 1)) for v in (x, y))
+    return sum((x >> b & 1) << 2 * b | (y >> b & 1) << 2 * b + 1 for b in range(31))
+
+
+def test_keys_and_ranges(spark, points):
+    some = [*points[:200], (2**30 - 1, -(2**30)), (2**40, -(2**40)), (0, 0), (-1, -1)]
+    rows = spark.createDataFrame(some, PLACES).select("d0", "d1", spatial.z_key(F.col("d0"), F.col("d1")).alias("z")).collect()
+    assert all(r.z == interleaved(r.d0, r.d1) for r in rows)
+    pick = random.Random(5)
+    for most in (1, 4, 64, 1000):
+        for _ in range(40):
+            lo = pick.randrange(-50, 50), pick.randrange(-50, 50)
+            hi = lo[0] + pick.choice([0, 1, 7, 60]), lo[1] + pick.choice([0, 3, 40])
+            ranges = spatial.key_ranges(lo, hi, most)
+            assert 0 < len(ranges) <= most and all(a <= z for a, z in ranges) and all(x[1] + 1 < y[0] for x, y in zip(ranges, ranges[1:]))
+            covered = lambda p: any(a <= interleaved(*p) <= z for a, z in ranges)  # noqa: B023, E731
+            assert all(covered((x, y)) for x in range(lo[0], hi[0] + 1) for y in range(lo[1], hi[1] + 1))
+            if most == 1000:  # then nothing else is covered
+                assert sum(z - a + 1 for a, z in ranges) == (hi[0] - lo[0] + 1) * (hi[1] - lo[1] + 1)
+    assert spatial.key_ranges((1, 1), (0, 5)) == []
+
+
+def rows_read(df):
+    """Rows that the scan hands on, which are those of the row groups and pages that statistics don't rule out."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    node = plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if n.nodeName().startswith("Scan parquet"):
+            return n.metrics().apply("numOutputRows").value()
+        todo += [n.children().apply(i) for i in range(n.children().size())]
+    raise AssertionError("no scan")
+
+
+def test_both_dimensions_prune(spark, tmp_path):
+    """A box that is narrow in one dimension, whichever, reads a small part of the rows; sorted by d0 it reads all for d1."""
+    grid = spark.range(0, 400 * 400, numPartitions=4).selectExpr("id div 400 AS d0", "id % 400 AS d1")
+    small = {"parquet.block.size": 4096, "parquet.block.row.count.limit": 500, "parquet.page.row.count.limit": 500}
+    spatial.optimised(grid, 4).write.options(**small).parquet(f"{tmp_path}/z")
+    grid.repartitionByRange(4, "d0", "d1").sortWithinPartitions("d0", "d1").write.options(**small).parquet(f"{tmp_path}/sorted")
+    laid, plain = spark.read.parquet(f"{tmp_path}/z"), spark.read.parquet(f"{tmp_path}/sorted")
+    for lo, hi in (((0, 200), (399, 202)), ((200, 0), (202, 399)), ((100, 100), (120, 120))):
+        found = spatial.region_search(laid, lo, hi, "z")
+        n = (hi[0] - lo[0] + 1) * (hi[1] - lo[1] + 1)
+        assert found.count() == n
+        assert rows_read(found) < 0.2 * 160_000, (lo, hi)
+    assert rows_read(spatial.region_search(plain, (0, 200), (399, 202))) > 0.9 * 160_000
