@@ -8,31 +8,17 @@ leaf that it meets, so joins on leaves are equi-joins whose groups stay small wh
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.functions.tables import stored
+
 #: Things in a leaf, about; bits by which a cell's sides are divided; and split cells at each depth: 1 MB of rows.
 LEAF, STEP, MOST = 1_000, 3, 1 << 16
 #: The columns that name a cell.
 CELL = ["_depth", "_i", "_j"]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A small table that is used many times, written to the folder that spark.checkpoint.dir names."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="inkspan-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def shifted(x: Column, bits: Column | int) -> Column:
     return F.call_function("shiftright", x.cast("long"), F.lit(bits) if isinstance(bits, int) else bits)
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspan.functions.tables import stored
 from inkspan.functions.text import error_rate, word_count
 from inkspan.operators.distance import with_distances
 
@@ -152,9 +153,11 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, at: tuple[float, ...
 
     Equal values are counted before the shuffle. A sketch of each group proposes ``cells`` cuts; cells' sums
     tell in which cells the wanted ranks lie, and only these cells' values are ordered, each cell by itself.
-    The cuts decide how the work is dealt out, not the result. Nulls are left out.
+    The cuts decide how the work is dealt out, not the result. Nulls are left out. Counts are stored, so ``rows`` are
+    worked out once.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counted = stored(counted)
     share = [i / cells for i in range(1, cells)]
     cuts = counted.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", share, 10_000)).alias("cuts"))
     # groups and their cuts are few, but a broadcast of them has no bound, so AQE decides

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspan.functions.tables import join_same, stored
+
 
 def common_with_copies(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of both, as often as the side that has them less often."""
@@ -60,10 +62,20 @@ def in_first_order(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def middle(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row at the middle of each group, the later one of two."""
-    line = Window.partitionBy(*keys).orderBy(*order)
-    out = rows.withColumns({"_at": F.row_number().over(line), "_n": F.count("*").over(Window.partitionBy(*keys))})
-    return out.where("_at = _n div 2 + 1").drop("_at", "_n")
+    """The row at the middle of each group, the later one of two.
+
+    Rows are dealt into ranges of keys and order; the ranges' sizes tell which one has a group's middle, and only
+    that one's rows of the group are counted off. So a group may be all rows there are.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(4 * n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    line = Window.partitionBy(*keys)
+    sizes = sizes.withColumns({"_first": F.sum("_n").over(line.orderBy("_part")) - F.col("_n"), "_rank": F.call_function("div", F.sum("_n").over(line), F.lit(2))})
+    hit = sizes.where("_rank >= _first and _rank < _first + _n").select(*keys, "_part", (F.col("_rank") - F.col("_first") + 1).alias("_nth"))
+    near = join_same(dealt, hit, [*keys, "_part"])
+    near = near.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return near.where("_at = _nth").select(*rows.columns)
 
 
 def download_report(wanted: DataFrame, got: DataFrame, key: str) -> DataFrame:

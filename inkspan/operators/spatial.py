@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions.geometry import box_contains, l1_distance
-from inkspan.operators.cells import CELL, LEAF, Cells, shifted, stored
+from inkspan.functions.tables import stored
+from inkspan.operators.cells import CELL, LEAF, Cells, shifted
 
 
 def insert(points: DataFrame, new: DataFrame) -> DataFrame:

@@ -22,11 +22,13 @@ def misspelled(words: DataFrame, dictionary: DataFrame, stop: DataFrame | None =
 def spelling_error_rate(pages: DataFrame, keys: list[str], dictionary: DataFrame, stop: DataFrame | None = None, text: str = "txt") -> DataFrame:
     """(keys, n_words, n_wrong, ser) of every page, also of one without words (rate 0).
 
-    Words of all pages are counted against the lists once for each distinct word.
+    Pages are split into words once: pages without words send one row without a word, so that all are counted. The lists
+    are put together to one table of known words; a word is looked up once for each page that has it.
     """
-    pages = pages.select(*keys, F.col(text).alias("_text"))
-    words = pages.select(*keys, F.explode(spelling_words(F.col("_text"))).alias("word"))
-    wrong = misspelled(words, dictionary, stop).groupBy(*keys).agg(F.count("*").alias("n_wrong"))
-    out = pages.select(*keys, F.size(spelling_words(F.coalesce("_text", F.lit("")))).cast("long").alias("n_words")).join(wrong, keys, "left")
-    out = out.withColumn("n_wrong", F.coalesce("n_wrong", F.lit(0)))
+    lists = dictionary.select("word") if stop is None else dictionary.select("word").union(stop.select("word"))
+    known = lists.distinct().withColumn("_known", F.lit(True))
+    words = pages.select(*keys, F.explode_outer(spelling_words(F.coalesce(text, F.lit("")))).alias("word"))
+    rows = words.join(known, "word", "left")
+    wrong = F.col("word").isNotNull() & F.col("_known").isNull()
+    out = rows.groupBy(*keys).agg(F.count("word").alias("n_words"), F.count_if(wrong).alias("n_wrong"))
     return out.withColumn("ser", error_rate(F.col("n_wrong"), F.col("n_words")))

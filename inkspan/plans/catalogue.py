@@ -50,7 +50,7 @@ FIELDS = r"len(regexp_extract_all({}, '[^\x09-\x0D\x20\x{{85}}\x{{A0}}\x{{1680}}
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages that all providers have, with their texts and the files' own."""
     cells = scenario.page_text(table(spark, sf_dir, "documents"), with_truth=True)
-    own = F.max("truth").alias("truth")
+    own = F.max(F.when(F.col("provider") == "", F.col("txt"))).alias("truth")
     both = [F.max(F.when(F.col("provider") == p, F.struct("millis", "txt"))).alias(p) for p in PROVIDERS]
     out = compare.dealt(cells).groupBy("ptr").agg(own, *both)
     for p in PROVIDERS:

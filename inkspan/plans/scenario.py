@@ -37,18 +37,19 @@ def truth(docs: DataFrame) -> DataFrame:
 
 
 def page_text(docs: DataFrame, with_truth: bool = False) -> DataFrame:
-    """(ptr, provider, txt, millis): what each provider read. Narrow."""
+    """(ptr, provider, txt, millis): what each provider read; with_truth: the file's own text too, as provider "". Narrow."""
     t, t0 = truth(docs), F.col("truth")
     millis = lambda f: (F.col("doc_id") * f + F.col("page") * 101 + F.length(t0)) % 12000
     cell = lambda p, txt, f, works: F.struct(F.lit(p).alias("provider"), txt.alias("txt"), millis(f).alias("millis"), works.alias("works"))
+    own = [F.struct(F.lit("").alias("provider"), t0.alias("txt"), F.lit(0).cast("long").alias("millis"), F.lit(True).alias("works"))] if with_truth else []
     every = F.array(
+        *own,
         cell("aws", F.replace(t0, F.lit("rn"), F.lit("m")), 37, ~F.contains(t0, F.lit("@"))),
         cell("azu", F.translate(t0, "lo", "10"), 53, ~F.contains(t0, F.lit("#"))),
         cell("azuR", F.replace(t0, F.lit(" the "), F.lit(" tbe ")), 71, ~F.contains(t0, F.lit("$"))),
         cell("gcp", F.replace(t0, F.lit("ee"), F.lit("e")), 97, t0 != ""),
     )
-    extra = ["truth"] if with_truth else []
-    return t.select("ptr", *extra, F.inline(every)).where("works").drop("works")
+    return t.select("ptr", F.inline(every)).where("works").drop("works")
 
 
 def words(docs: DataFrame) -> DataFrame:

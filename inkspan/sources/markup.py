@@ -157,11 +157,22 @@ def tag_balance(files: DataFrame, key: str = "name", text: str = "html", tag: st
 
 
 def html_errors(files: DataFrame, key: str = "name", text: str = "html", tag: str = "div", prefix: str | None = "tab-opinion-") -> DataFrame:
-    """(key, error): tags in records that are neither known nor passed over, and tags that must be closed and aren't."""
+    """(key, error): tags in records that are neither known nor passed over, tags that must be closed and aren't, and
+    paragraphs that end, inside more open ones than there are open anchors, while a page number is still awaited."""
     rows = _in_records(html_events(files, key, text), tag, prefix)
     known = F.col("tag").isin(*COUNTED, *PASSED) | F.startswith("tag", F.lit(SLIP)) | ((F.col("kind") == "start") & F.col("tag").isin(*LITERAL))
     strange = rows.where((F.col("kind") != "text") & ~known).select(F.col("_file").alias(key), F.concat(F.lit("a tag that is not known: "), "tag").alias("error")).distinct()
     left = tag_balance(files, key, text, tag, prefix).where(~F.col("tag").isin(*SLOPPY))
+    line = Window.partitionBy("_file").orderBy("at")
+    is_start, is_end = (F.col("kind") == k for k in ("start", "end"))
+    count = lambda t: F.sum(F.when(F.col("tag") != t, 0).when(is_start, 1).when(is_end, -1).otherwise(0)).over(line)
+    asks = is_start & (F.col("tag") == "a") & F.coalesce(F.col("class") == PAGE_ANCHOR, F.lit(False)) & F.col("name").isNull()
+    bare = F.replace("text", F.lit(" "), F.lit(""))
+    answers = (F.col("kind") == "text") & (F.contains(bare, F.lit(NUMBER_MARKS[0])) | F.contains(bare, F.lit(NUMBER_MARKS[1])))
+    rows = rows.withColumns({"open_p": count("p"), "open_a": count("a"), "waits": F.last(F.when(asks, True).when(answers, False), ignorenulls=True).over(line)})
+    rows = rows.withColumn("level", F.last(F.when(asks, F.col("open_a")), ignorenulls=True).over(line))
+    late = rows.where(is_end & (F.col("tag") == "p") & F.col("waits") & (F.col("level") < F.col("open_p")))
+    strange = strange.union(late.select(F.col("_file").alias(key), F.lit("a page number was expected").alias("error")).distinct())
     return strange.union(left.select(key, F.concat_ws(" ", F.lit("a tag that is not balanced:"), "tag", F.col("open").cast("string")).alias("error")))
 
 
