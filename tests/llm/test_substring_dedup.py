@@ -2,9 +2,12 @@ import collections
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from inkspan.llm import substring_dedup as sd
+from inkspan.llm.registry import op1_sentence_span_dedup
+from inkspan.llm.words import mix, words
 
 SENTENCE = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -28,6 +31,57 @@ def split(text):
     return out
 
 
+_order = {}
+
+
+def order(word):
+    """By what long sentences are cut: a number that spreads words evenly, as the operator has it."""
+    if word not in _order:
+        raw = np.frombuffer(word.encode(), np.uint8)
+        _order[word] = int(mix(words(raw, np.array([0, len(raw)]), lower=True)[0])[0])
+    return _order[word]
+
+
+def pieces(text):
+    """[(words, start)] of each sentence, those of more than 12 words cut after the least word of every 8 in a row."""
+    out = []
+    for mine, start in split(text):
+        at = [start + m.start() for m in list(SENTENCE.finditer(text[start:]))[: len(mine)]] if len(mine) > 12 else []
+        cuts = {max(range(i, i + 8), key=lambda j: (-order(mine[j]), j)) for i in range(len(mine) - 7)} if len(mine) > 12 else set()
+        first = 0
+        for j in sorted(cuts | {len(mine) - 1}):
+            out.append((mine[first : j + 1], at[first] if at else start))
+            first = j + 1
+    return out
+
+
+def brute_whole(rows, run=3, min_words=20):
+    """The registered form: runs grow until they have enough words. Rows with one id and one text are one document."""
+    parts = [pieces(t or "") for _, t in rows]
+    keys = [(sd.LAST if d is None else d, (xxhash.xxh64_intdigest((t or "").encode(), 42) + 2**63) % 2**64) for d, t in rows]
+
+    def runs(p):
+        for i in range(len(p)):
+            n = run
+            while i + n <= len(p) and sum(len(w) for w, _ in p[i : i + n]) < min_words:
+                n += 1
+            if i + n <= len(p):
+                yield i, n, tuple(w for w, _ in p[i : i + n])
+
+    firsts = {}
+    for key, p in zip(keys, parts, strict=True):
+        for i, _, r in runs(p):
+            firsts[r] = min(firsts.get(r, (key, i)), (key, i))
+    out = []
+    for (doc, text), key, p in zip(rows, keys, parts, strict=True):
+        gone = {j for i, n, r in runs(p) if firsts[r] != (key, i) for j in range(i, i + n)}
+        if gone:
+            edge = [s for _, s in p] + [len(text)]
+            text = "".join(text[edge[i] : edge[i + 1]] for i in range(len(p)) if i not in gone)
+        out.append((doc, text, len(p), len(gone), sum(len(p[j][0]) for j in gone), bool(gone)))
+    return out
+
+
 def brute(rows, run, min_words):
     firsts = {}
     parts = [split(t or "") for _, t in rows]
@@ -120,3 +174,24 @@ def test_no_fifty_words_twice(spark):
         again += [r.doc_id] * bool(now & seen)
         seen |= windows(before[r.doc_id])
     assert again == []
+
+
+def test_query_against_brute_force(spark):
+    """The registered form over all documents: which sentences go, to the byte, none too many and none too few."""
+    d = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    got = [tuple(r) for r in op1_sentence_span_dedup(spark, d).collect()]
+    want = brute_whole(rows)
+    same(got, want)
+    assert sum(r[3] for r in want) > 100 and sum(not r[5] for r in want) > 100
+
+
+def test_whole_edges(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 2_000)
+    rng = random.Random(12)
+    word = lambda: rng.choice(["a", "é", "漢", "B", "x.", "y!", "c\n", "\n"]) if rng.random() < 0.3 else f"w{rng.randrange(300)}"
+    part = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(12)]
+    rows = [(rng.choice([None, *range(20)]), " ".join(rng.choice(part) for _ in range(rng.randrange(0, 6)))) for _ in range(80)]
+    rows += [(3, None), (4, ""), (5, part[0] * 3), (5, part[0] * 3), (7, "same " * 400), (8, " \n lead. " + part[1] + part[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same([tuple(r) for r in sd.dedup(docs, 3, 20, True).collect()], brute_whole(rows))
