@@ -17,10 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import fresh
+from inkspan.llm.common import Scratch, fresh
 
-#: Rows in a numbering bucket, about.
-BUCKET_ROWS = 2_000
+#: Rows in a range that is numbered at once, about.
+RANGE_ROWS = 2_000
 #: Bits of a hash draw.
 BITS = 48
 
@@ -77,28 +77,34 @@ def with_shard(df: DataFrame, key: Column, leaves: list[Leaf], name: str) -> Dat
     return df.withColumn(name, leaf.cast("int")).drop(r, k)
 
 
-def with_slot(df: DataFrame, shard: str, tie: list[str], n_rows: int) -> DataFrame:
-    """``df`` with a gapless number from 0 within each shard.
+def with_slot(rows: DataFrame, shard: str, tie: list[str]) -> DataFrame:
+    """Stored rows that stand for ``n`` equal rows each, as so many rows with a gapless number from 0 within each shard, in
+    the order of a hash of ``tie``, which must tell all rows apart.
 
-    Rows are numbered within hash buckets of a shard, whose counts give each bucket's first number; no
-    task holds a shard. ``tie`` must tell apart all rows that differ, as copies are interchangeable.
+    Rows are numbered within ranges of the hash, whose sizes give each range's first number; no task holds a shard.
     """
-    buckets = max(64, math.ceil(n_rows / BUCKET_ROWS))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in tie], F.lit(7)), F.lit(buckets)))
-    sizes = df.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    first = sizes.select(shard, "_bucket", (F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket")) - F.col("_n")).alias("_first"))
-    number = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*tie)) - 1
-    return df.withColumn("_number", number).join(first, [shard, "_bucket"]).withColumn("slot", (F.col("_first") + F.col("_number")).cast("long")).drop("_bucket", "_number", "_first")
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in tie]
+    bits = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit("slot"), *known).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+    ranges = max(64, math.ceil(rows.count() / RANGE_ROWS))
+    rows = rows.withColumn("_bits", bits).withColumn("_range", F.floor(F.col("_bits").cast("double") * float(ranges) / float(2**BITS)).cast("int"))
+    sizes = rows.groupBy(shard, "_range").agg(F.sum("n").alias("_size"))
+    first = sizes.select(shard, "_range", (F.sum("_size").over(Window.partitionBy(shard).orderBy("_range")) - F.col("_size")).alias("_first"))
+    line = Window.partitionBy(shard, "_range").orderBy("_bits", *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_number", F.sum("n").over(line) - F.col("n")).join(first, [shard, "_range"])
+    start = F.col("_first") + F.col("_number")
+    return rows.withColumn("slot", F.explode(F.sequence(start, start + F.col("n") - 1))).drop("_bits", "_range", "_number", "_first", "n")
 
 
 def shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, size, text_crc32, law, shard, slot and grown_shard.
 
-    The id and the number of shards decide (law ``key``); one more shard takes rows only into itself.
+    The id and the number of shards decide (law ``key``); one more shard takes rows only into itself. Rows that agree
+    in id, size and checksum are put together with their number before any is numbered.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.groupBy("_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     rows = with_shard(rows, F.col("_id"), topology(n_shards), "shard")
     rows = with_shard(rows, F.col("_id"), topology(n_shards + 1, full=n_shards), "grown_shard")
-    rows = with_slot(rows, "shard", ["_id", "text_crc32", "size"], docs.count())
-    return rows.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    rows = with_slot(Scratch(docs.sparkSession).save(rows, "rows"), "shard", ["_id", "text_crc32", "size"])
+    return rows.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -82,6 +82,24 @@ SELECT conv_id, perspective, seq, turn, CASE WHEN mine THEN 'assistant' WHEN spe
        CASE WHEN mine THEN (first + length(head))::BIGINT END AS loss_start, CASE WHEN mine THEN (first + length(rendered) - 1)::BIGINT END AS loss_end, mine::INT AS mask FROM l
 """
 
+#: Of 48 bits of a digest, the draw of a child of weight w: the least wins.
+_DRAW = "(-ln((('0x' || substr(md5(k || '/' || {path}), 1, 12))::BIGINT + 0.5) / 281474976710656) / {w})"
+_LEVELS = f"""g AS (SELECT *, CASE WHEN {_DRAW.format(path="'0'", w=4.0)} <= {_DRAW.format(path="'1'", w=4.0)} THEN 0 ELSE 1 END AS region,
+                 {_DRAW.format(path="'2'", w=1.0)} < least({_DRAW.format(path="'0'", w=4.0)}, {_DRAW.format(path="'1'", w=4.0)}) AS moves FROM d),
+h AS (SELECT *, CASE WHEN {_DRAW.format(path="region || '/0'", w=2.0)} <= {_DRAW.format(path="region || '/1'", w=2.0)} THEN 0 ELSE 1 END AS rack FROM g),
+f AS (SELECT *, 4 * region + 2 * rack + CASE WHEN {_DRAW.format(path="region || '/' || rack || '/' || (4 * region + 2 * rack)", w=1.0)} <= {_DRAW.format(path="region || '/' || rack || '/' || (4 * region + 2 * rack + 1)", w=1.0)} THEN 0 ELSE 1 END AS shard FROM h)"""
+#: The checksum of a text, a byte at a time: of each byte its eight shifts come from a table of 256 numbers.
+_BYTES = "list_transform(range(256), lambda n: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, n::BIGINT))"
+OP6 = f"""
+WITH t AS MATERIALIZED (SELECT {_BYTES} AS t),
+x AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS b FROM documents),
+c AS (SELECT doc_id, strlen(text)::BIGINT + 1 AS size,
+             xor(list_reduce(list_transform(regexp_extract_all(b, '..'), lambda h: ('0x' || h)::BIGINT), lambda a, v: xor(a >> 8, t[xor(a, v) % 256 + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM x, t),
+d AS (SELECT *, coalesce('k' || doc_id, 'null') AS k FROM c), {_LEVELS},
+s AS (SELECT *, ('0x' || substr(md5('slot/' || coalesce(doc_id::VARCHAR, 'null') || '/' || text_crc32 || '/' || size), 1, 12))::BIGINT AS bits FROM f)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY bits, doc_id, text_crc32, size) - 1 AS slot, CASE WHEN moves THEN 8 ELSE shard END::INT AS grown_shard FROM s
+"""
+
 OP11 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html)::BIGINT AS n, sha1(html) AS digest FROM p),
 m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS last FROM d)
@@ -125,4 +143,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
        sha256(text) AS restored_sha256 FROM p
 """
 
-SQL: dict[str, str] = {"op5_perspective_rotation": OP5, "op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8, "op9_adaptive_quality_rules": OP9, "op11_warc_revisits": OP11, "op12_merkle_manifest": OP12, "op13_split_fill_middle": OP13}
+SQL: dict[str, str] = {"op5_perspective_rotation": OP5, "op6_hash_tree_shards": OP6, "op7_ngram_jaccard_join": OP7, "op8_source_mix": OP8, "op9_adaptive_quality_rules": OP9, "op11_warc_revisits": OP11, "op12_merkle_manifest": OP12, "op13_split_fill_middle": OP13}

@@ -49,6 +49,21 @@ def test_edges(spark):
     assert ht.shards(docs.limit(0)).collect() == []
 
 
+def test_many_equal_rows(spark, monkeypatch):
+    """A third of all rows are one row, another third one text: slots stay gapless and the same whatever the ranges are."""
+    rows = [(5, "same")] * 400 + [(i, "copy") for i in range(400)] + [(i, f"t{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    for size in (3, 100_000):
+        monkeypatch.setattr(ht, "RANGE_ROWS", size)
+        seen.append(sorted(map(tuple, ht.shards(docs.repartition(4)).collect())))
+    assert seen[0] == seen[1] and len(seen[0]) == 1200
+    slots = collections.defaultdict(list)
+    for r in seen[0]:
+        slots[r[4]].append(r[5])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_no_column_is_lost(spark):
     docs = spark.createDataFrame([(i, "r", "k") for i in range(20)], "doc_id long, _shard_region string, _shard_rack string")
     out = ht.with_shard(docs, F.col("doc_id"), ht.topology(8), "shard")
