@@ -28,7 +28,8 @@ def page_texts(pages: DataFrame, path: str, mode: str = "append") -> None:
 
 def page_files(pages: DataFrame, uri: str) -> None:
     """One file, <name>.txt, for each row of (name, text), written by the tasks under a URI that pyarrow's file systems
-    know (file, hdfs, s3, gs); a task that is run again writes the same files."""
+    know (file, hdfs, s3, gs); a task that is run again writes the same files. All in one folder, so a job that fails leaves
+    what it has written; ``sources.page_files`` writes all or nothing."""
 
     def write(rows):
         from pyarrow import fs
