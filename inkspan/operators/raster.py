@@ -9,9 +9,13 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.functions.tables import join_same
+from inkspan.functions.text import base_name
+
 _PIXELS = "array<struct<x:bigint,y:bigint>>"
 
 
@@ -62,18 +66,60 @@ def annotate(rectangles: DataFrame, keys: list[str], width: int, height: int) ->
     return drawn(rectangles, keys, rect(box["x"], box["y"], box["w"], box["h"]), width, height, F.lit(1)).distinct()
 
 
-def png(pixels: DataFrame, keys: list[str], width: int, height: int, colour: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
-    """(keys, png): each group's pixels on white as a PNG picture; a group is one page, bounded by its canvas."""
+def _png(picture: np.ndarray) -> bytes:
+    """A PNG of an array of rows, columns and 3 or 4 channels (red, green, blue and, with 4, opacity)."""
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
+    height, width, channels = picture.shape
+    rows = np.zeros((height, 1 + width * channels), dtype=np.uint8)
+    rows[:, 1:] = picture.reshape(height, -1)
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 6, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def _bars(box: Column, weight: int) -> Column:
+    """The four filled bars that make a rectangle's outline."""
+    x0, x1 = F.least(box["x"], box["x"] + box["w"]), F.greatest(box["x"], box["x"] + box["w"])
+    y0, y1 = F.least(box["y"], box["y"] + box["h"]), F.greatest(box["y"], box["y"] + box["h"])
+    bar = lambda a, b, c, d: F.struct((a - weight).alias("x0"), (b - weight).alias("y0"), (c + weight).alias("x1"), (d + weight).alias("y1"))
+    return F.array(bar(x0, y0, x1, y0), bar(x0, y1, x1, y1), bar(x0, y0, x0, y1), bar(x1, y0, x1, y1))
+
+
+def annotated(pictures: DataFrame, rectangles: DataFrame, keys: list[str], colour: tuple[int, int, int] = (0, 0, 0), weight: int = 1) -> DataFrame:
+    """(keys, png): pages' own pictures with the outlines of ``layout.rectangles`` (keys, box) drawn on them.
+
+    ``pictures`` has keys and ``image`` as Spark's image source decodes it. An outline is four bars, cut off at the edges, which are
+    laid over the picture's rows; all other pixels are the picture's. A page's bars are gathered, its pixels are not
+    exploded. Pages without rectangles keep their picture; pictures that couldn't be decoded drop out.
+    """
+    bars = rectangles.select(*keys, F.explode(_bars(F.col("box"), weight)).alias("bar"))
+    bars = bars.groupBy(*keys).agg(*[F.collect_list(F.col("bar")[c].cast("long")).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    rows = join_same(pictures.where("image.width > 0").select(*keys, "image"), bars, keys, "left")
+
+    @F.udf("binary", useArrow=True)
+    def draw(width, height, channels, data, x0, y0, x1, y1):
+        page = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+        page = np.repeat(page, 3, axis=2) if channels == 1 else page[:, :, [2, 1, 0, 3][:channels]].copy()
+        for a, b, c, d in zip(x0 or [], y0 or [], x1 or [], y1 or [], strict=True):
+            page[max(b, 0) : max(d + 1, 0), max(a, 0) : max(c + 1, 0)] = [*colour, 255][: page.shape[2]]
+        return _png(page)
+
+    return rows.select(*keys, draw("image.width", "image.height", "image.nChannels", "image.data", "x0", "y0", "x1", "y1").alias("png"))
+
+
+def annotated_name(picture: Column, algo: Column, blocks: bool, lines: bool, words: bool) -> Column:
+    """The file name of an annotated picture: the picture's without its ending, the levels drawn, the algorithm."""
+    levels = "".join(c for c, on in zip("blw", (blocks, lines, words), strict=True) if on)
+    return F.concat_ws(".", F.regexp_replace(base_name(picture), r"\.[^.]*$", ""), F.lit(levels), F.lower(algo), F.lit("png"))
+
+
+def png(pixels: DataFrame, keys: list[str], width: int, height: int, colour: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """(keys, png): each group's pixels on white as a PNG picture; a group is one page, bounded by its canvas."""
     def encode(at: list[int]) -> bytes:
-        rows = [bytearray(b"\xff" * (3 * width)) for _ in range(height)]
-        for i in at:
-            y, x = divmod(i, width)
-            rows[y][3 * x : 3 * x + 3] = bytes(colour)
-        data = zlib.compress(b"".join(b"\0" + r for r in rows))
-        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", data) + chunk(b"IEND", b"")
+        picture = np.full((height, width, 3), 255, dtype=np.uint8)
+        picture.reshape(-1, 3)[np.asarray(at, dtype=np.int64)] = colour
+        return _png(picture)
 
     make = F.udf(lambda at: encode(at), "binary", useArrow=True)
     gathered = pixels.groupBy(*keys).agg(F.collect_set(F.col("y") * width + F.col("x")).alias("at"))

@@ -458,6 +458,23 @@ def ser(spark, sf_dir):
     return spelling.spelling_error_rate(table(spark, sf_dir, "documents"), ["doc_id"], dictionary, stop, text="text")
 
 
+_TEXTWORDS = "SELECT unnest(regexp_split_to_array(regexp_replace(regexp_replace(replace(text, 'ſ', 's'), '[^\\x00-\\x7F]', '', 'g'), '[[:punct:]]', ' ', 'g'), '[\\x09-\\x0D ]+')) AS w"
+_AFFIXES = [("s", "", False), ("es", "", False), ("ed", "", False), ("ed", "e", False), ("ies", "y", False), ("ing", "", False), ("a", "o", False), ("un", "", True), ("re", "", True)]
+
+
+@query("WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{s}', {str(p).lower()})" for a, s, p in _AFFIXES) + f") t(affix, strip, prefix)), d AS (SELECT DISTINCT w FROM ({_TEXTWORDS} FROM benchmark) WHERE NOT regexp_full_match(w, '[0-9]*')), "
+       f"u AS (SELECT DISTINCT doc_id, w FROM ({_TEXTWORDS}, doc_id FROM documents) WHERE NOT regexp_full_match(w, '[0-9]*')), "
+       "k AS (SELECT DISTINCT w FROM (SELECT DISTINCT w FROM u) JOIN r ON length(w) > length(affix) AND CASE WHEN prefix THEN starts_with(w, affix) ELSE ends_with(w, affix) END WHERE CASE WHEN prefix THEN strip || w[length(affix) + 1:] ELSE w[:length(w) - length(affix)] || strip END IN (SELECT w FROM d)), "
+       "c AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (w NOT IN (SELECT w FROM d) AND w NOT IN (SELECT w FROM k)) AS n_wrong FROM u GROUP BY doc_id) SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_wrong, 0) AS n_wrong, CASE WHEN coalesce(n_wrong, 0) = 0 THEN 0 ELSE n_wrong::DOUBLE / n_words END AS ser FROM documents LEFT JOIN c USING (doc_id)")
+def ser_affixes(spark, sf_dir):
+    """Spelling error rate with rules of endings and beginnings over the benchmark's words."""
+    docs = table(spark, sf_dir, "documents")
+    dictionary = spelling.unique_words(table(spark, sf_dir, "benchmark"), ["item_id"], "text").select("word").distinct()
+    rules = spark.createDataFrame(_AFFIXES, "affix string, strip string, prefix boolean")
+    known = spelling.with_derived(spelling.unique_words(docs, ["doc_id"], "text"), dictionary, rules)
+    return spelling.spelling_error_rate(docs, ["doc_id"], known, text="text")
+
+
 @query()
 def html_pages(spark, sf_dir):
     """The paragraphs of each page's article; no SQL reads HTML."""

@@ -1,0 +1,71 @@
+"""Outlines on pages' own pictures, and words by rules of their endings."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from inkspan.functions.geometry import BOUNDS
+from inkspan.operators import raster, spelling
+
+
+def decoded(spark, path):
+    """Pictures as Spark's own source decodes them: blue, green and red first."""
+    rows = spark.read.format("image").load(path).select("image.*").collect()
+    return {r.origin.rpartition("/")[2].split(".")[0]: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels) for r in rows}
+
+
+@pytest.mark.parametrize("channels", [3, 4])
+def test_outlines_alone_change(spark, tmp_path, channels):
+    rng = np.random.default_rng(1)
+    (tmp_path / "in").mkdir()
+    pages = {f"p{i}": rng.integers(0, 256, (20 + i, 31, channels), dtype=np.uint8) for i in range(3)}
+    for name, page in pages.items():
+        if channels == 4:
+            page[:, :, 3] = np.maximum(page[:, :, 3], 1)
+        (tmp_path / "in" / f"{name}.png").write_bytes(raster._png(page))
+    boxes = [("p0", (4, 5, 9, 6)), ("p0", (-3, -2, 10, 5)), ("p0", (28, 18, 40, 40)), ("p0", (10, 3, -6, 4)), ("p1", (0, 0, 0, 0)), ("gone", (1, 1, 1, 1))]
+    rectangles = spark.createDataFrame(boxes, f"ptr string, box {BOUNDS}")
+    pictures = spark.read.format("image").load(f"{tmp_path}/in").select(F.regexp_extract("image.origin", r"([^/]*)\.png$", 1).alias("ptr"), "image")
+    (tmp_path / "out").mkdir()
+    for r in raster.annotated(pictures, rectangles, ["ptr"], (200, 100, 50)).collect():
+        (tmp_path / "out" / f"{r.ptr}.png").write_bytes(r.png)
+    before, after = decoded(spark, f"{tmp_path}/in"), decoded(spark, f"{tmp_path}/out")
+    assert after.keys() == pages.keys() and np.array_equal(before["p2"], after["p2"])
+    pixels = {(r.ptr, r.x, r.y) for r in raster.annotate(rectangles, ["ptr"], 31, 20).collect()}
+    for name in ("p0", "p1"):
+        mask = np.zeros(pages[name].shape[:2], dtype=bool)
+        for p, x, y in pixels:
+            if p == name:
+                mask[y, x] = True
+        assert mask.any() and np.array_equal(before[name][:20][~mask[:20]], after[name][:20][~mask[:20]])
+        assert (after[name][mask] == [50, 100, 200, 255][:channels]).all()
+
+
+def test_grey_and_names(spark, tmp_path):
+    grey = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    image = spark.createDataFrame([("p", ("o", 3, 4, 1, 0, grey.tobytes()))], "ptr string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    none = spark.createDataFrame([], f"ptr string, box {BOUNDS}")
+    (tmp_path / "g.png").write_bytes(raster.annotated(image, none, ["ptr"]).first().png)
+    assert np.array_equal(decoded(spark, f"{tmp_path}/g.png")["g"], np.repeat(grey[:, :, None], 3, axis=2))
+    assert spark.range(1).select(raster.annotated_name(F.lit("/a/b-1.png"), F.lit("AWS-1"), True, False, True)).first()[0] == "b-1.bw.aws-1.png"
+
+
+def test_affix_rules(spark):
+    pick = random.Random(7)
+    word = lambda n: "".join(pick.choice("abé") for _ in range(pick.randrange(1, n)))
+    words, dictionary = {word(7) for _ in range(400)}, {word(5) for _ in range(40)}
+    rules = [(word(4), word(3) if i % 2 else "", i % 3 == 0) for i in range(30)] + [("", "x", False), ("ab", None, True)]
+    def come_from(w):  # noqa: E306
+        for affix, strip, prefix in rules:
+            if affix and len(w) > len(affix) and (w.startswith(affix) if prefix else w.endswith(affix)):
+                yield (strip or "") + w[len(affix) :] if prefix else w[: len(w) - len(affix)] + (strip or "")
+
+    one = lambda ws: spark.createDataFrame([(w,) for w in ws], "word string")
+    table = spark.createDataFrame(rules, "affix string, strip string, prefix boolean")
+    got = {(r.word, r.stem) for r in spelling.stems(one([*words, *words]), table).collect()}
+    assert got == {(w, s) for w in words for s in come_from(w)}
+    known = {r.word for r in spelling.with_derived(one(words), one(dictionary), table).collect()}
+    assert known == dictionary | {w for w in words if set(come_from(w)) & dictionary}
+    assert spelling.with_derived(one(words), one(dictionary), table.limit(0)).count() == len(dictionary)
