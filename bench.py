@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from inkspan.plans import catalogue  # noqa: E402
 
-HEADLINE = ["azure_convert", "azure_read_convert", "gcp_convert", "aws_convert", "aws_convert_by_join", "blw_plaintext", "lev_pdf", "lev_ring", "metric_matrix_long", "quartiles", "line_breaks", "region_join", "rect_overlap_join", "ser"]
+HEADLINE = ["azure_convert", "azure_read_convert", "gcp_convert", "aws_convert", "aws_convert_by_join", "blw_plaintext", "lev_pdf", "lev_ring", "metric_matrix_long", "quartiles", "line_breaks", "region_join", "rect_overlap_join", "ser", "explore_all"]
 
 
 def main() -> None:
