@@ -2,8 +2,7 @@
 
 Tokens are a text's words and one end; a text is read as if an end stood before it. The root gives the
 smoothed frequency of a token. A context of d words is a candidate if it, with one more token, is seen at least
-``min_count`` times in the training texts (``p_min`` asks for that share of all tokens besides; 0 asks for
-none). A context is kept if its next-token distribution diverges from that of its longest kept suffix by
+``min_count`` times in the training texts. A context is kept if its next-token distribution diverges from that of its longest kept suffix by
 ``divergence`` nats or more (tokens without a frequent gram count as one symbol, so the estimate is a lower
 bound).
 
@@ -19,7 +18,7 @@ nearly every block would ask for, go to every task instead, as do filters of bou
 the tree lacks; a full filter costs time, not results.
 
 Defined cases: null and empty texts are one end; a null id is held out or not by the checksum of the empty
-text; rows that repeat are counted and scored each; without training rows every token has the same
+text; ids keep their type and are read as text for that; rows that repeat are counted and scored each; without training rows every token has the same
 probability; an empty table gives an empty result.
 """
 
@@ -68,30 +67,6 @@ def look(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[i] == keys, i, -1)
 
 
-def contexts(names: np.ndarray, levels: list[np.ndarray], token: np.ndarray, at: np.ndarray):
-    """For each depth: (context's number, key of the context and the token) at each token, -1 where unknown.
-
-    ``names``: sorted hashes of frequent tokens; a gram's key is its context's number times their number plus
-    its last token's number; ``levels[d]``: the sorted keys of grams of d + 2 tokens.
-    """
-    name = look(names, token)
-    before = np.empty_like(name)
-    before[1:] = name[:-1]
-    before[at[:-1]] = look(names, np.array([END]))[0] if len(names) else -1
-    place = np.arange(len(token)) - np.repeat(at[:-1], np.diff(at))
-    context, out = before, []
-    for depth in range(len(levels) + 1):
-        key = np.where((context >= 0) & (name >= 0), context * len(names) + name, -1)
-        out.append((context, key))
-        if depth < len(levels):
-            gram = look(levels[depth], key)
-            context = np.empty_like(gram)
-            context[1:] = gram[:-1]
-            context[:1] = -1
-            context[place <= depth] = -1  # the end before a text is one token
-    return out
-
-
 def gram_key(context: np.ndarray, tail: np.ndarray) -> np.ndarray:
     """The key of a gram from those of all its tokens but the last and of all but the first; a token is its own key."""
     return mix(mix(context + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F) + tail)
@@ -268,57 +243,6 @@ def _outside(batches):
         yield pa.RecordBatch.from_arrays([pa.array(outside_key(b.column(0).to_numpy().view(np.uint64)).view(np.int64)), b.column(1), b.column(2)], names=["key", "value", "weight"])
 
 
-class Tree:
-    """The kept contexts and their distributions as sorted arrays, for texts that fit into memory."""
-
-    def __init__(self, total: int, vocabulary: int, names: np.ndarray, name_counts: np.ndarray, smooth: float, divergence: float):
-        self.total, self.vocabulary, self.names, self.smooth, self.divergence = total, vocabulary, names, smooth, divergence
-        self.levels: list[np.ndarray] = []
-        self.inside: list[np.ndarray] = []  # log10 probability of each gram's last token in its context
-        self.outside: list[np.ndarray] = []  # what a kept context adds to the suffix's log10 for other tokens; NaN: not kept
-        self.ends: int = 0
-        self._counts = name_counts
-        self._chain = self.root(name_counts)  # of each gram (or name): probability by the longest kept context of it
-        self._tail = np.full(len(names), -1, dtype=np.int64)
-
-    def root(self, n):
-        return (n + 0.5) / (self.total + 0.5 * (self.vocabulary + 1))
-
-    def grow(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Adds the frequent grams of the next level."""
-        width = max(1, len(self.names))
-        context, last = keys // width, keys % width
-        if self.levels:
-            tail = look(self.levels[-1], self._tail[context] * width + last)
-        else:
-            tail = last
-        q, n = self._chain[tail], self._counts[context].astype(float)
-        p = (counts + self.smooth * q) / (n + self.smooth)
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-        seen = counts / n
-        rest, rest_q = np.maximum(1 - add(seen), 0.0), np.maximum(1 - add(q), 1e-12)
-        gain = add(seen * np.log(seen / q)) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / rest_q), 0.0)
-        kept = gain >= self.divergence
-        outside = np.full(len(self._counts), np.nan)
-        outside[context[first[kept]]] = np.log10(np.maximum(1 - add(p), 1e-12)[kept] / rest_q[kept])
-        known = ~np.isnan(outside[context])
-        self.levels.append(keys)
-        self.inside.append(np.where(known, np.log10(p), np.nan))
-        self.outside.append(outside)
-        self._chain, self._tail, self._counts = np.where(known, p, q), tail, counts
-
-    def score(self, token: np.ndarray, at: np.ndarray, log_root: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability in the longest kept context."""
-        out = log_root
-        for (context, key), keys, inside, outside in zip(contexts(self.names, self.levels[:-1], token, at), self.levels, self.inside, self.outside, strict=True):
-            shift = np.where(context >= 0, outside[context], np.nan) if len(outside) else np.full(len(token), np.nan)
-            gram = look(keys, key)
-            value = np.where(gram >= 0, inside[gram], shift + out) if len(inside) else shift + out
-            out = np.where(np.isnan(shift), out, value)
-        return out
-
-
 def asked(block: pa.Table, depth: int, shared, hot: np.ndarray) -> list[np.ndarray]:
     """The sorted keys that a block's scores need and that aren't hot: of words, and of grams and contexts that the tree may have."""
     words_, others = [], []
@@ -388,7 +312,7 @@ def _scores(depth: int, broadcast, total: int, vocabulary: int):
     return make
 
 
-def train(texts: DataFrame, scratch: Scratch, depth: int, p_min: float, min_count: int, smooth: float, divergence: float, size: int) -> tuple[DataFrame, DataFrame, int, int, int]:
+def train(texts: DataFrame, scratch: Scratch, depth: int, min_count: int, smooth: float, divergence: float, size: int) -> tuple[DataFrame, DataFrame, int, int, int]:
     """The tree of the texts (one column, about ``size`` bytes) and the counts of all their tokens as tables (key, value, weight); tokens, distinct tokens and kept contexts.
 
     weight: how often the training texts ask for a key.
@@ -396,7 +320,7 @@ def train(texts: DataFrame, scratch: Scratch, depth: int, p_min: float, min_coun
     bits = part_bits(size)
     width = min(7, max(4, -(-(size.bit_length() + 2) // 8)))  # bytes of a shortened key: at least 16 values for each token
     shared = counts = below = tree = None
-    total = vocabulary = n_kept = least = 0
+    total = vocabulary = n_kept = 0
     for order in range(1, depth + 2):
         merged = texts.mapInArrow(_tally(order, shared, bits, width, order <= depth), PACKED).groupBy("part").applyInArrow(_merge(order, width, min_count), MERGED)
         merged = scratch.save(merged, f"counts-{order}")
@@ -408,11 +332,10 @@ def train(texts: DataFrame, scratch: Scratch, depth: int, p_min: float, min_coun
         if order == 1:
             counts = grams.select("key", F.col("n").cast("double").alias("value"), F.col("n").alias("weight"))
             total, vocabulary = grams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-            least = max(min_count, int(np.ceil(p_min * total)))
-            below = grams.where(F.col("n") >= least).select(F.col("key").alias("gram"), "n", ((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).alias("chain"))
+            below = grams.where(F.col("n") >= min_count).select(F.col("key").alias("gram"), "n", ((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).alias("chain"))
             continue
         # a frequent gram's context and its last tokens are frequent, so neither join loses a row
-        grams = grams.where(F.col("n") >= least).select(F.col("key").alias("gram"), "context", "tail", "n")
+        grams = grams.select(F.col("key").alias("gram"), "context", "tail", "n")
         grams = grams.join(below.select(F.col("gram").alias("context"), F.col("n").alias("whole")), "context")
         grams = grams.join(below.select(F.col("gram").alias("tail"), F.col("chain").alias("q")), "tail")
         p = (F.col("n") + smooth * F.col("q")) / (F.col("whole") + smooth)
@@ -454,7 +377,7 @@ def hottest(values: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return key[by], got.column("value").to_numpy()[by]
 
 
-def score(docs: DataFrame, depth: int = 2, p_min: float = 0.0, min_count: int = 5, smooth: float = 2.0, divergence: float = 0.01, folds: int = 5, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, depth: int = 3, min_count: int = 5, smooth: float = 2.0, divergence: float = 0.01, folds: int = 5, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_contexts.
 
     Held out: the rows whose crc32 of the id, as text, leaves ``held_fold`` on division by ``folds``; the rest train.
@@ -462,9 +385,9 @@ def score(docs: DataFrame, depth: int = 2, p_min: float = 0.0, min_count: int =
     spark = docs.sparkSession
     scratch = Scratch(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold == held_fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), (fold == held_fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     size = text_bytes(rows, "text")
-    tree, counts, total, vocabulary, contexts_kept = train(rows.where("not held_out").select("text"), scratch, depth, p_min, min_count, smooth, divergence, size)
+    tree, counts, total, vocabulary, contexts_kept = train(rows.where("not held_out").select("text"), scratch, depth, min_count, smooth, divergence, size)
     shared, bits, values = make_filter(tree.select("key"), scratch), part_bits(size), counts.withColumn("kind", F.lit(0)).union(tree.withColumn("kind", F.lit(1)))
     common = spark.sparkContext.broadcast((shared, *hottest(values, HOT)))
     # copies of one text go to one block, but no group by id does
@@ -472,5 +395,5 @@ def score(docs: DataFrame, depth: int = 2, p_min: float = 0.0, min_count: int =
     asks = rows.groupBy("block").applyInArrow(_block_keys(depth, common, bits), "block int, part int, kind int, keys binary")
     known = values.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("part"), "kind", "key", "value")
     found = asks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_answers, "block int, part int, kind int, values binary")
-    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scores(depth, common, total, vocabulary), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scores(depth, common, total, vocabulary), f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(contexts_kept).alias("n_contexts"))

@@ -5,10 +5,10 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from inkspan.llm import suffix_tree as pst
+from inkspan.llm.registry import op3_suffix_tree_scores
 
 DOCS = "/root/testdata/sf0.01/documents.parquet"
 
@@ -21,12 +21,12 @@ def held(doc):
     return zlib.crc32(b"" if doc is None else str(doc).encode()) % 5 == 1
 
 
-def brute(rows, depth, p_min, min_count, smooth, divergence):
+def brute(rows, depth, min_count, smooth, divergence, ask=None):
     """The same tree from dictionaries, one text at a time."""
     train = [["</s>", *split(t)] for d, t in rows if not held(d)]
     one = collections.Counter(w for s in train for w in s[1:])
     total, v = sum(one.values()), len(one)
-    least = max(min_count, math.ceil(p_min * total))
+    least = min_count
     root = lambda w: (one[w] + 0.5) / (total + 0.5 * (v + 1))
     grams = [{(w,): n for w, n in one.items() if n >= least}]
     for d in range(1, depth + 1):
@@ -56,6 +56,8 @@ def brute(rows, depth, p_min, min_count, smooth, divergence):
                 p = {w: (c + smooth * q[w]) / (n + smooth) for w, c in nxt.items()}
                 new[s] = (p, 1 - sum(p.values()), rest_q)
         kept |= new
+    if ask:
+        ask(prob, one, kept)
     out = []
     for doc, text in rows:
         s = ["</s>", *split(text)]
@@ -74,43 +76,40 @@ def compare(got, want):
 
 
 def test_same_as_dictionaries(spark, monkeypatch):
+    """The query's own parameters."""
     monkeypatch.setattr(pst, "BLOCK_BYTES", 300_000)
-    docs = spark.read.parquet(DOCS).select("doc_id", "text")
-    rows = [tuple(r) for r in docs.collect()]
-    got = pst.score(docs, depth=3, p_min=2e-5, min_count=5).collect()
-    want, kept = brute(rows, 3, 2e-5, 5, 2.0, 0.01)
+    rows = [tuple(r) for r in spark.read.parquet(DOCS).select("doc_id", "text").collect()]
+    got = op3_suffix_tree_scores(spark, DOCS.rpartition("/")[0]).collect()
+    want, kept = brute(rows, 3, 5, 2.0, 0.01)
     compare([tuple(r)[:7] for r in got], want)
     assert got[0].n_contexts == kept > 20
     fresh = [r for r in got if r.held_out]
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
 
 
-def test_adds_up_to_one():
+def test_adds_up_to_one(spark):
+    """After any context the probabilities of all words, the end and an unknown word add up to 1; the tables give these probabilities."""
     rng = random.Random(1)
-    texts = [" ".join(rng.choice("abcde") if rng.random() < 0.5 else "ab"[i % 2] for i in range(30)) for _ in range(200)]
-    token, at = pst.tokens(pa.array(texts))
-    w, n = np.unique(token, return_counts=True)
-    tree = pst.Tree(len(token), len(w), w, n, 2.0, 0.001)
-    for _ in range(3):
-        key = pst.contexts(w, tree.levels, token, at)[-1][1]
-        tree.grow(*np.unique(key[key >= 0], return_counts=True))
-    unknown = np.uint64(12345)
-    for text in ("a b", "", "c", "e d a b a"):
-        head, start = pst.tokens(pa.array([text]))
-        total = 0.0
-        for x in [*w, unknown]:
-            line = np.append(head[:-1], x)
-            c = np.array([n[w == t][0] if (w == t).any() else 0 for t in line])
-            total += 10 ** tree.score(line, start, np.log10(tree.root(c)))[-1]
-        assert total == pytest.approx(1, abs=1e-9)
-    assert any((~np.isnan(x)).any() for x in tree.outside[1:])
+    rows = [(i, " ".join(rng.choice("abcde") if rng.random() < 0.5 else "ab"[j % 2] for j in range(30))) for i in range(200)]
+
+    def ask(prob, one, kept):
+        assert {len(s) for s in kept} == {1, 2, 3}
+        for context in [*list(kept)[::7], (), ("a", "zz", "b"), ("</s>",), ("</s>", "a", "b")]:
+            assert sum(prob(context, w) for w in [*one, "unknown"]) == pytest.approx(1, abs=1e-9)
+
+    want, kept = brute(rows, 3, 5, 2.0, 0.001, ask)
+    got = pst.score(spark.createDataFrame(rows, "doc_id long, text string"), divergence=0.001).collect()
+    compare([tuple(r)[:7] for r in got], want)
+    assert got[0].n_contexts == kept
 
 
 def test_edges(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "a b c"), (5, "a b " * 50_000), (7, "É é"), (8, "\n")]
     docs = spark.createDataFrame([(*r, True, 1) for r in rows], "doc_id long, text string, held_out boolean, block int")
-    want, _ = brute(rows, 2, 1e-5, 5, 2.0, 0.01)
+    want, _ = brute(rows, 3, 5, 2.0, 0.01)
     compare([tuple(r)[:7] for r in pst.score(docs).collect()], want)
+    named = docs.selectExpr("concat('n', doc_id) AS doc_id", "text")
+    assert {r.doc_id: r.held_out for r in pst.score(named).collect()} == {None if d is None else f"n{d}": held(None if d is None else f"n{d}") for d, _ in rows}
     only = docs.where("doc_id = 5")
     assert len(pst.score(only).collect()) == 1
     assert pst.score(docs.limit(0)).collect() == []
@@ -124,6 +123,6 @@ def test_grams_grow_with_the_corpus(spark):
     rare = [(1000 + i, " ".join(f"r{i} s{i} t{i}" for i in range(8))) for i in range(8)]
     got = pst.score(docs.union(spark.createDataFrame(rare, "doc_id long, text string"))).collect()
     assert got[0].train_tokens > 900_000  # 1e-5 of them is more than the rare words' counts
-    want, kept = brute(rows + rare, 2, 0, 5, 2.0, 0.01)
+    want, kept = brute(rows + rare, 3, 5, 2.0, 0.01)
     compare([tuple(r)[:7] for r in got], want)
     assert got[0].n_contexts == kept
