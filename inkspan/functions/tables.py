@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,16 @@ def join_same(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inne
     other = other.withColumnsRenamed(names)
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     return rows.join(other, reduce(lambda a, b: a & b, same), how).drop(*names.values())
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with a gapless number from 0 in the order of columns that tell them apart.
+
+    Rows are dealt into ranges and numbered within them; the ranges' sizes give each one's first number.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(4 * n, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    first = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_at", inside).join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")

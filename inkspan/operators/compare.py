@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.tables import stored
+from inkspan.functions.tables import numbered, stored
 from inkspan.functions.text import error_rate, word_count
 from inkspan.operators.distance import with_distances
 
@@ -138,6 +138,23 @@ def by_metric(matrix: DataFrame, doc: Column, place: Column) -> DataFrame:
     return head.unionByName(body)
 
 
+def tiles(matrix: DataFrame, columns: int = 1_000) -> DataFrame:
+    """(tile, place, line): the transposed matrix of a whole corpus, cut into tiles of so many pages, a line for each metric.
+
+    Side by side in order the tiles are the transposed matrix, whose rows no one task could hold. Pages go by ptr; line -1 names
+    them; a page without a metric has an empty cell.
+    """
+    pages = numbered(matrix.select("ptr").distinct(), ["ptr"], "at")
+    at = pages.select("ptr", F.expr(f"at div {columns}").alias("tile"), (F.col("at") % columns).cast("int").alias("column"))
+    rows = matrix.select("metric_ix", "metric", "ptr", F.format_string("%s", F.col("value")).alias("value")).where(F.col("value").isNotNull())
+    head = at.select("tile", "column", F.lit(-1).alias("metric_ix"), F.lit("ptr").alias("metric"), F.col("ptr").alias("value"))
+    cells = rows.join(at, "ptr").select("tile", "column", "metric_ix", "metric", "value").unionByName(head)
+    sizes = at.groupBy("tile").agg(F.max("column").alias("last"))
+    lines = cells.groupBy("tile", "metric_ix", "metric").agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("of")).join(sizes, "tile")
+    every = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("of", i), F.lit("")))
+    return lines.select("tile", F.col("metric_ix").alias("place"), F.concat_ws(",", "metric", F.array_join(every, ",")).alias("line"))
+
+
 def matrix_lines(transposed: DataFrame) -> DataFrame:
     """(doc, place, line) for ``sinks.matrix``."""
     return transposed.select("doc", F.col("metric_ix").alias("place"), F.concat_ws(",", "metric", "values").alias("line"))

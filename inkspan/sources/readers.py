@@ -67,6 +67,15 @@ def matrix(lines: DataFrame, col: str = "value") -> DataFrame:
     return rows.select("label", "place", "value")
 
 
+def matrix_tiles(spark: SparkSession, path: str, columns: int = 1_000) -> DataFrame:
+    """(label, place, value) of the matrix whose tiles ``sinks.matrix_tiles`` has written; places count over all tiles, empty
+    cells are left out."""
+    lines = spark.read.schema("value string, tile bigint").text(path)
+    cells = F.split("value", ",")
+    rows = lines.select("tile", F.get(cells, F.lit(0)).alias("label"), F.posexplode(F.slice(cells, F.lit(2), F.size(cells))).alias("column", "value"))
+    return rows.where("value <> ''").select("label", (F.col("tile") * columns + F.col("column")).alias("place"), "value")
+
+
 def edit_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(a, b, dist) from CSV; empty fields are empty texts."""
     rows = spark.read.schema("a string, b string, dist int").option("nullValue", "\u0000").option("emptyValue", "").csv(path)

@@ -47,6 +47,11 @@ def matrix(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.repartition("doc").sortWithinPartitions("doc", "place").select("doc", "line").write.mode(mode).partitionBy("doc").text(path)
 
 
+def matrix_tiles(tiles: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Tiles of a matrix (``compare.tiles``) as text, a folder for each tile, lines in order."""
+    tiles.repartition("tile").sortWithinPartitions("tile", "place").select("tile", "line").write.mode(mode).partitionBy("tile").text(path)
+
+
 def config_lines(title: str, formats: str, folders: list[str], limits: list[str]) -> list[str]:
     """The explorer's configuration, a few lines whatever the corpus' size. A stored format."""
     return [f"title,{title} Explorer", f"imgs-fmt,{formats}", "txts-dirs," + ",".join(folders), "[]links,Data;data/", "[]range,CER;0;1", *limits]

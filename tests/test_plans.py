@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkspan.functions import geometry, tables
 from inkspan.operators import compare, convert, layout, sets, spelling
 from inkspan.plans import catalogue
-from inkspan.sources import markup
+from inkspan.sources import markup, readers, sinks
 
 
 def test_middle_of_any_group(spark):
@@ -84,3 +84,30 @@ def test_merge_and_matches(spark):
 def test_page_number_expected(spark, html, late):
     files = spark.createDataFrame([("f", '<div id="tab-opinion-1">' + html)], "name string, html string")
     assert ("a page number was expected" in [r.error for r in markup.html_errors(files).collect()]) == late
+
+
+@pytest.mark.parametrize("columns", [7, 100, 10_000])
+def test_tiles_of_a_whole_matrix(spark, tmp_path, columns):
+    """The transposed matrix of all pages, there and back, with more pages than a tile holds."""
+    pick = random.Random(columns)
+    rows = [(m, f"M{m}", f"doc-{p:05d}", pick.random()) for m in range(3) for p in range(250) if m == 0 or pick.random() < 0.8]
+    pick.shuffle(rows)
+    matrix = spark.createDataFrame(rows, "metric_ix int, metric string, ptr string, value double")
+    made = compare.tiles(matrix, columns)
+    assert made.select("tile").distinct().count() == -(-250 // columns)
+    assert made.agg(F.max(F.size(F.split("line", ",")))).first()[0] == min(250, columns) + 1
+    sinks.matrix_tiles(made, f"{tmp_path}/m")
+    got = readers.matrix_tiles(spark, f"{tmp_path}/m", columns).collect()
+    names = {r.place: r.value for r in got if r.label == "ptr"}
+    assert names == {p: f"doc-{p:05d}" for p in range(250)}
+    assert sorted((r.label, names[r.place], float(r.value)) for r in got if r.label != "ptr") == sorted((n, p, v) for _, n, p, v in rows)
+    # pasted side by side in order, the tiles are the matrix's lines
+    lines = {}
+    for r in sorted(made.collect(), key=lambda r: r.tile):
+        lines.setdefault(r.place, []).append(r.line if not lines.get(r.place) else r.line.split(",", 1)[1])
+    assert ",".join(lines[-1]) == ",".join(["ptr", *(names[p] for p in range(250))])
+
+
+def test_numbered(spark):
+    got = tables.numbered(spark.createDataFrame([(i * 37 % 101, i % 3) for i in range(101)], "a long, b long"), ["a"], "n").collect()
+    assert sorted((r.a, r.n) for r in got) == [(i, i) for i in range(101)]
