@@ -1,19 +1,25 @@
 """Page texts out of marked-up opinions and proceedings.
 
-A parser of the standard library, which is all that runs in Python, turns each file into a flat list of events:
-tags opened and closed, and the text between them. What these mean is derived by DataFrame expressions: open
-elements, records, pages and footnotes are running sums and last values over a file's events in order, so a file's
-events are one window and no file is larger than what it was on disk.
+A parser of the standard library, which is all that runs in Python, turns each file into a flow of events, a row
+each: tags opened and closed, and the text between them. The parser is given a portion of the file at a time and its
+events leave it in batches, so that a file of any length takes the memory of its text. What the events mean is derived
+by DataFrame expressions: open elements, records, pages and footnotes are running sums and last values over a file's
+events in order, and Spark spills windows that are too large.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import islice
 from xml.etree.ElementTree import XMLPullParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Nesting that is followed, and the mark of a new page, in proceedings.
 DEPTH = 50
@@ -29,14 +35,16 @@ SLIP = "l=|"
 PAGE_ANCHOR = "page-number"
 NUMBER_MARKS = ("U.S.", ",")
 
-_HTML = "array<struct<kind:string,tag:string,id:string,class:string,name:string,text:string>>"
-_XML = "array<struct<kind:string,tag:string,type:string,doc:string,parent:string,depth:int,text:string>>"
+_HTML = "kind string, tag string, id string, class string, name string, text string"
+_XML = "kind string, tag string, type string, doc string, parent string, depth int, text string"
+#: Characters that a parser is given at once, about, and events in a batch of rows.
+PORTION, EVENTS = 1 << 16, 4096
 #: White space as Python's split() sees it.
 _BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 class _Tags(HTMLParser):
-    """The events of a file in order."""
+    """The events of a file in order; who feeds it takes them away."""
 
     def __init__(self):
         super().__init__()
@@ -54,43 +62,87 @@ class _Tags(HTMLParser):
         self.events.append(("text", None, None, None, None, data))
 
 
-def _html_events(html):
-    parser = _Tags()
-    parser.feed(html or "")
+def html_stream(html: str, portion: int = PORTION) -> Iterator[tuple]:
+    """The events of a file, of which the parser is given a portion at a time. Portions end before a ``<``, where texts end
+    too, so their size changes no event; a portion without an event (a long comment) is followed by twice as much."""
+    parser, at, step = _Tags(), 0, portion
+    while at < len(html):
+        cut = html.find("<", at + step)
+        cut = len(html) if cut < 0 else cut
+        parser.feed(html[at:cut])
+        at, step = cut, portion if parser.events else 2 * step
+        yield from parser.events
+        parser.events.clear()
     parser.close()
-    return parser.events
+    yield from parser.events
 
 
-def _xml_events(xml):
-    parser, open_tags, out = XMLPullParser(["start", "end"]), [], []
-    parser.feed(xml)
-    parser.close()
-    # an element's own text and what follows its end are known once all is read
-    for kind, e in list(parser.read_events()):
+def xml_stream(xml: str, portion: int = PORTION) -> Iterator[tuple]:
+    """The events of a file, of which the parser is given a portion at a time.
+
+    An element's own text and what follows its end are known when the next event is, so each event waits for the next;
+    elements that have ended are taken out of the tree.
+    """
+    above, held = [], None
+    for kind, e in _pulled(xml, portion):
+        if held:
+            yield _xml_event(*held)
+            if held[0] == "end" and above:
+                above[-1].remove(held[1])
+        if kind == "end":
+            above.pop()
+        held = (kind, e, above[-1].tag if above else None, len(above))
         if kind == "start":
-            out.append(("start", e.tag, e.get("type"), e.get("doc"), open_tags[-1] if open_tags else None, len(open_tags), e.text))
-            open_tags.append(e.tag)
-        else:
-            open_tags.pop()
-            out.append(("end", e.tag, None, None, open_tags[-1] if open_tags else None, len(open_tags), e.tail))
-    return out
+            above.append(e)
+    if held:
+        yield _xml_event(*held)
+
+
+def _pulled(xml: str, portion: int) -> Iterator[tuple]:
+    parser = XMLPullParser(["start", "end"])
+    for at in range(0, len(xml), portion):
+        parser.feed(xml[at : at + portion])
+        yield from parser.read_events()
+    if xml:
+        parser.close()
+    yield from parser.read_events()
+
+
+def _xml_event(kind, e, parent, depth) -> tuple:
+    if kind == "start":
+        return kind, e.tag, e.get("type"), e.get("doc"), parent, depth, e.text
+    return kind, e.tag, None, None, parent, depth, e.tail
+
+
+def _events(files: DataFrame, key: str, text: str, stream: Callable[[str], Iterator[tuple]], fields: str) -> DataFrame:
+    """(_file, at, event's fields) of each file; _file is the key. Rows leave the parser in batches of ``EVENTS``, so a
+    task holds the files it was handed and one batch, never a file's events."""
+    rows = files.select(F.col(key).alias("_file"), F.col(text).cast("string").alias("_text"))
+    schema = StructType([rows.schema["_file"], StructField("at", IntegerType()), *StructType.fromDDL(fields)])
+    types = to_arrow_schema(schema)
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                events, at = stream(b.column(1)[i].as_py() or ""), 0
+                while part := list(islice(events, EVENTS)):
+                    columns = [b.column(0).take(pa.array([i] * len(part))), pa.array(range(at, at + len(part)))]
+                    columns += [pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), list(types)[2:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+                    at += len(part)
 
-def _events(files: DataFrame, key: str, text: str, read, schema: str) -> DataFrame:
-    """(_file, at, event's fields) of each file; _file is the key."""
-    make = F.udf(lambda x: read(x) if x else [], schema, useArrow=True)
-    return files.select(F.col(key).alias("_file"), F.posexplode(make(F.col(text))).alias("at", "e")).select("_file", "at", "e.*")
+    return rows.mapInArrow(make, schema)
 
 
 def html_events(files: DataFrame, key: str = "name", text: str = "html") -> DataFrame:
     """(_file, at, kind, tag, id, class, name, text): tags opened (start) and closed (end) and text, in order."""
-    return _events(files, key, text, _html_events, _HTML)
+    return _events(files, key, text, html_stream, _HTML)
 
 
 def xml_events(files: DataFrame, key: str = "name", text: str = "text") -> DataFrame:
     """(_file, at, kind, tag, type, doc, parent, depth, text): at an element's start its first text, at its end what follows
     it; depth 0 is the root. XML that can't be read is an error."""
-    return _events(files, key, text, _xml_events, _XML)
+    return _events(files, key, text, xml_stream, _XML)
 
 
 def xml_pointers(files: DataFrame, key: str = "name", text: str = "text") -> DataFrame:
