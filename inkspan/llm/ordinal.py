@@ -7,9 +7,9 @@ Features: words (folded A-Z), word shapes (runs of upper case, lower case, digit
 they are), and words equal to the one before, hashed to ``DIMENSIONS``; a feature's value is the square root
 of its share of the text's words.
 
-Fitted on a bounded sample: the rated documents with the smallest hashes of their ids and texts, ``sample`` at most.
-The fit sees their sparse vectors, not their texts, in one task; its result is DIMENSIONS weights and the
-thresholds. All documents are scored by their whole texts.
+Fitted on a bounded sample: the rated documents with the smallest hashes of their ids and texts, ``sample`` at most and
+as many of them as have ``most_features`` features together. The fit sees their sparse vectors, not their texts, in
+one task; its result is DIMENSIONS weights and the thresholds. All documents are scored by their whole texts.
 
 Defined cases: null and empty texts have no features, so their grade follows from the thresholds; null
 ratings are left out; different ratings of a document count each; of rows that repeat one is learnt from, and all are
@@ -23,15 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import Scratch, once, row_key
-from inkspan.llm.words import SPACE, flat, lists, portions, words
+from inkspan.llm.words import SPACE, flat, portions, words
 
 DIMENSIONS = 1 << 16
 #: Rated documents that the fit may see.
 SAMPLE = 8_000
+#: Features that the fit may see, of all its texts together: 12 bytes each.
+FEATURES = 1 << 24
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("a") : ord("z") + 1] = ord("a")
 _SHAPE[ord("A") : ord("Z") + 1] = ord("A")
@@ -68,9 +70,9 @@ def _vectors(batches):
     for b in portions(batches, 1):
         owner, dim, value = features(b.column(1))
         cut = np.searchsorted(owner, np.arange(b.num_rows + 1))
-        parts = list(zip(cut[:-1], cut[1:], strict=True))
         values = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(value))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists([dim[i:j] for i, j in parts]), values], names=["grade", "key", "dims", "vals"])
+        dims = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(dim.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), dims, values], names=["grade", "key", "dims", "vals"])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -133,8 +135,8 @@ def _fit(grades: int):
     return make
 
 
-def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on at most ``sample`` ratings; ``grade``: a column of ``ratings`` from 0 to grades - 1."""
+def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, sample: int = SAMPLE, most_features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits on at most ``sample`` ratings of at most ``most_features`` features; ``grade``: a column of ``ratings`` from 0 to grades - 1."""
     scratch = Scratch(docs.sparkSession)
     rated = ratings.select(F.col(id_col).cast("long").alias("_rated"), grade.cast("int").alias("_grade")).where(f"_rated is not null and _grade between 0 and {grades - 1}")
     # as many ratings as the fit may see lead to as many texts at least, unless ids are missing; which of them is decided below
@@ -145,8 +147,12 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, sampl
     chosen = texts.select("_id", "k0", "k1", "_grade").distinct().orderBy(F.xxhash64("_id", F.lit(3)), "_id", "_grade", "k0").limit(sample)
     chosen = F.broadcast(scratch.save(chosen, "chosen"))
     picked = texts.join(chosen, ["_id", "k0", "k1", "_grade"], "left_semi").select(F.col("_grade").alias("grade"), "text", F.col("k0").alias("key"))
-    vectors = scratch.save(picked.mapInArrow(_vectors, "grade int, key long, dims array<long>, vals array<double>"), "vectors")
-    vectors = once(vectors, (F.col("key"), F.col("grade")))  # rows that repeat
+    vectors = scratch.save(picked.mapInArrow(_vectors, "grade int, key long, dims array<int>, vals array<double>"), "vectors")
+    # rows that repeat go; of the rest, which are ``sample`` at most, those that come first by their hashes and fit in
+    sizes = vectors.select("key", "grade", F.size("dims").cast("long").alias("n")).distinct().withColumn("all", F.lit(0))
+    sizes = sizes.withColumn("so_far", F.sum("n").over(Window.partitionBy("all").orderBy("key", "grade").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    fits = F.broadcast(sizes.where(F.col("so_far") <= most_features).select("key", "grade"))
+    vectors = once(vectors.join(fits, ["key", "grade"], "left_semi"), (F.col("key"), F.col("grade")))
     got = vectors.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit(grades), "weights array<double>, cuts array<double>").first()
     if got is None:
         share = np.arange(grades - 1, 0, -1) / grades

@@ -59,6 +59,27 @@ def test_edges(spark):
     assert o.score(docs.limit(0), none, 2).collect() == []
 
 
+def test_features_are_bounded(spark, monkeypatch):
+    """The fit's features stay within the bound, whole texts count, and a wider bound takes the same ones and more."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(10 + i))) for i in range(60)] + [(7, " ".join(f"w7x{j}" for j in range(17)))], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(60)], "doc_id long, grade int")
+
+    def seen(bound):
+        def look(grades):
+            def make(t):
+                return pa.table({"weights": pa.array([[float(k) for k in sorted(t.column("key").to_pylist())]], pa.list_(pa.float64())), "cuts": pa.array([[float(len(x)) for x in t.column("dims").to_pylist()]], pa.list_(pa.float64()))})
+
+            return make
+
+        monkeypatch.setattr(o, "_fit", look)
+        m = o.train(docs, ratings, F.col("grade"), 3, most_features=bound)
+        return set(m.weights.tolist()), int(m.cuts.sum())
+
+    (few, n), (more, m), (every, _) = seen(500), seen(1500), seen(1 << 20)
+    assert 300 < n <= 500 and 1300 < m <= 1500
+    assert few < more < every and len(every) == 60
+
+
 def one_hash(word):
     data, ends = o.flat(pa.array([word]))
     return int(o.words(data, ends, lower=False)[0][0])
