@@ -23,6 +23,10 @@ BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Equal rows that may be dealt to one task, and that one row stands for where there are more.
+COPIES, PIECE = 16, 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -131,6 +135,28 @@ def once(docs: DataFrame, key: tuple[Column, Column]) -> DataFrame:
     return docs.withColumns({k0: key[0], k1: key[1]}).dropDuplicates([k0, k1]).drop(k0, k1)
 
 
+def dealt(rows: DataFrame, key: list[str], scratch: Scratch, most: int = COPIES, piece: int = PIECE) -> DataFrame:
+    """``rows`` with columns piece and copies: rows of which more than ``most`` agree in ``key``, which all their columns follow
+    from, are put together as rows that stand for up to ``piece`` of them each and differ in ``piece``; others stand for
+    themselves. So no deal by key and piece brings a group of equal rows into one task; ``undealt`` is the way back.
+    """
+    k0, k1 = row_key(*[F.col(c) for c in key])
+    many = rows.groupBy(k0.alias("k0"), k1.alias("k1")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    many = scratch.save(many, "many")
+    if not many.limit(1).count():
+        return rows.withColumns({"piece": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+    alone = without(rows, (k0, k1), many.select("k0", "k1")).withColumns({"piece": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+    heads = once(without(rows, (k0, k1), many.select("k0", "k1"), how="left_semi"), (k0, k1))
+    heads = heads.withColumns({"k0": k0, "k1": k1}).join(many, ["k0", "k1"]).drop("k0", "k1")
+    heads = heads.withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {piece})")))
+    return alone.unionByName(heads.withColumn("copies", F.least(F.lit(piece), F.col("n") - F.col("piece") * piece).cast("long")).drop("n"))
+
+
+def undealt(rows: DataFrame) -> DataFrame:
+    """Each row as often as its column copies says, without that column."""
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b") -> DataFrame:
     """(v, root): the smallest vertex reachable from each vertex that has an edge.
 

@@ -10,7 +10,7 @@ longer runs, and sentences above ``LONG`` words are cut after the word with the
 words, so that a long one makes several spans that count as sentences. Spans have ``LONG`` words at most, so 50
 words that two documents share, with equal line ends, hold a whole run of ``run`` = 3 and ``min_words`` = 20.
 
-Documents are dealt into blocks by a hash of id and text. A block gives each of its runs once, with the first
+Documents are dealt into blocks by a hash of id and text; many equal rows are a few that stand for them. A block gives each of its runs once, with the first
 place and how often, so a run in a third of all documents is a few rows; firsts are found by an aggregation that
 adds up before the shuffle, and what repeats goes back to the blocks that have it by a join that Spark can split.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Scratch, block_of, n_blocks
+from inkspan.llm.common import Scratch, block_of, dealt, n_blocks, undealt
 from inkspan.llm.words import flat, mix, words
 
 #: Text in a block, about.
@@ -138,7 +138,7 @@ def _cut(run: int, min_words: int, whole: bool):
                 texts.append(b"".join(data[edge[s] : edge[s + 1]].tobytes() for s in np.flatnonzero(~g)).decode())
             else:
                 texts.append(docs.column("text")[d].as_py())
-        return pa.table({"id": docs.column("id"), "text": pa.array(texts, pa.string()), "n_sentences": total.astype(np.int64), "n_removed": pa.array(removed, pa.int64()), "words_removed": pa.array(lost, pa.int64())})
+        return pa.table({"id": docs.column("id"), "text": pa.array(texts, pa.string()), "n_sentences": total.astype(np.int64), "n_removed": pa.array(removed, pa.int64()), "words_removed": pa.array(lost, pa.int64()), "copies": docs.column("copies")})
 
     return make
 
@@ -148,14 +148,15 @@ def dedup(docs: DataFrame, run: int = 2, min_words: int = 10, whole: bool = Fals
     blocks = n_blocks(docs, text_col, BLOCK_BYTES)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("order"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    # rows with one id and one text must meet in one block
-    rows = rows.withColumn("block", block_of(F.xxhash64("order", "tie"), blocks))
-    keys = rows.groupBy("block").applyInArrow(_keys(run, min_words, whole), "block int, code long, owner long, tie long, place long, n long")
+    # rows with one id and one text may lie in several blocks: what covers a place of theirs is never that place itself
     scratch = Scratch(docs.sparkSession)
+    rows = dealt(rows, ["id", "text"], scratch)
+    rows = rows.withColumn("block", block_of(F.xxhash64("order", "tie", "piece"), blocks))
+    keys = rows.groupBy("block").applyInArrow(_keys(run, min_words, whole), "block int, code long, owner long, tie long, place long, n long")
     keys = scratch.save(keys, "keys")
     firsts = keys.groupBy("code").agg(F.min(F.struct("owner", "tie", "place")).alias("first"), F.sum("n").alias("n")).where("n > 1")
     firsts = scratch.save(firsts.select("code", "first.*"), "firsts")
     found = scratch.save(keys.select("block", "code").join(firsts, "code"), "found")
     scratch.drop("keys", "firsts")
-    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(run, min_words, whole), "id long, text string, n_sentences long, n_removed long, words_removed long")
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_sentences", "n_removed", "words_removed", (F.col("n_removed") > 0).alias("changed"))
+    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(run, min_words, whole), "id long, text string, n_sentences long, n_removed long, words_removed long, copies long")
+    return undealt(out).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_sentences", "n_removed", "words_removed", (F.col("n_removed") > 0).alias("changed"))

@@ -1,4 +1,5 @@
 import collections
+import functools
 import random
 import re
 
@@ -195,3 +196,12 @@ def test_whole_edges(spark, monkeypatch):
     rows += [(3, None), (4, ""), (5, part[0] * 3), (5, part[0] * 3), (7, "same " * 400), (8, " \n lead. " + part[1] + part[1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     same([tuple(r) for r in sd.dedup(docs, 3, 20, True).collect()], brute_whole(rows))
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """Rows that stand for many equal ones lie in several blocks and come back as often as they were there."""
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(sd, "dealt", functools.partial(sd.dealt, most=3, piece=4))
+    a, b = "One two three four five six. ", "Seven eight nine ten eleven twelve!\n"
+    rows = [(None, None)] * 50 + [(3, a + b)] * 41 + [(3, a + b + "x")] * 2 + [(1, "first. " + a + b)] * 5 + [(8, "new. " + a + b + a + b)] * 9 + [(9, "alone here")] * 3
+    same(run(spark, rows), brute(rows, 2, 10))
