@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Scratch, block_of, text_bytes
+from inkspan.llm.common import Scratch, block_of, dealt, text_bytes, undealt
 from inkspan.llm.words import distinct, flat, gathered, mix, slices, words
 
 #: Text in a block, in a portion that is counted at once, and for each part of the keys, about.
@@ -298,7 +298,7 @@ def _scores(depth: int, broadcast, total: int, vocabulary: int):
             i = np.flatnonzero(ok & ~np.isnan(shift))
             inside = value(gram[i])
             best[i] = np.where(np.isnan(inside), shift[i] + best[i], inside)
-        return pa.table({"id": part.column("id"), "held_out": part.column("held_out"), "n_tokens": np.diff(at).astype(np.int64), "n_known": known, "base_score": base, "score": add(best)})
+        return pa.table({"id": part.column("id"), "held_out": part.column("held_out"), "n_tokens": np.diff(at).astype(np.int64), "n_known": known, "base_score": base, "score": add(best), "copies": part.column("copies")})
 
     def make(docs: pa.Table, found: pa.Table) -> pa.Table:
         shared, hot, hot_values = broadcast.value
@@ -390,10 +390,11 @@ def score(docs: DataFrame, depth: int = 3, min_count: int = 5, smooth: float = 2
     tree, counts, total, vocabulary, contexts_kept = train(rows.where("not held_out").select("text"), scratch, depth, min_count, smooth, divergence, size)
     shared, bits, values = make_filter(tree.select("key"), scratch), part_bits(size), counts.withColumn("kind", F.lit(0)).union(tree.withColumn("kind", F.lit(1)))
     common = spark.sparkContext.broadcast((shared, *hottest(values, HOT)))
-    # copies of one text go to one block, but no group by id does
-    rows = rows.withColumn("block", block_of(F.xxhash64("id", "text"), max(1, -(-size // BLOCK_BYTES))))
+    # no group by id or text goes to one block
+    rows = dealt(rows, ["id", "text"], scratch)
+    rows = rows.withColumn("block", block_of(F.xxhash64("id", "text", "piece"), max(1, -(-size // BLOCK_BYTES))))
     asks = rows.groupBy("block").applyInArrow(_block_keys(depth, common, bits), "block int, part int, kind int, keys binary")
     known = values.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("part"), "kind", "key", "value")
     found = asks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_answers, "block int, part int, kind int, values binary")
-    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scores(depth, common, total, vocabulary), f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(contexts_kept).alias("n_contexts"))
+    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scores(depth, common, total, vocabulary), f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, copies long")
+    return undealt(out).select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(contexts_kept).alias("n_contexts"))

@@ -1,4 +1,5 @@
 import collections
+import functools
 import math
 import random
 import re
@@ -126,3 +127,11 @@ def test_grams_grow_with_the_corpus(spark):
     want, kept = brute(rows + rare, 3, 5, 2.0, 0.01)
     compare([tuple(r)[:7] for r in got], want)
     assert got[0].n_contexts == kept
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(pst, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(pst, "dealt", functools.partial(pst.dealt, most=3, piece=4))
+    rows = [(None, None)] * 50 + [(3, "a b c a b c")] * 41 + [(3, "a b")] * 3 + [(6, "b c d")] * 5
+    want, _ = brute(rows, 3, 5, 2.0, 0.01)
+    compare([tuple(r)[:7] for r in pst.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()], want)
