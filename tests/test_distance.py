@@ -79,3 +79,28 @@ def test_long_lines_by_themselves(spark):
     out.write.format("noop").mode("overwrite").save()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ReusedExchange") >= 1 or plan.count("hashpartitioning(ptr") <= 3
+
+
+def test_readings_need_no_matrix(monkeypatch):
+    """Long readings of one text: bounds and diagonals settle them, and say what the whole matrix says."""
+    pick, whole, long = random.Random(9), distance._columns, []
+    monkeypatch.setattr(distance, "_columns", lambda a, b: (long.append(len(a)) if len(a) > 100 else None, whole(a, b))[1])
+    text = " ".join("".join(pick.choice("rnmeelothxyz") for _ in range(pick.randrange(1, 9))) for _ in range(800))
+    # two kinds of misreadings in few places, one kind in many
+    few = text[:2000] + text[2000:2600].replace("rn", "m") + text[2600:]
+    some = text[:2000] + text[2000:2600].replace("ee", "e") + text[2600:]
+    many = text.translate(str.maketrans("lo", "10"))
+    for a, b in ((text, many), (few, many), (few, some), (text, text), (few, text)):
+        a, b = a.encode(), b.encode()
+        low, high = distance.bounds(a, b)
+        assert low <= whole(a, b) <= high and distance.edits(a, b) == whole(a, b)
+    assert not long
+
+
+def test_diagonals_stop_at_the_bound():
+    pick = random.Random(10)
+    for _ in range(500):
+        a = bytes(pick.choice(b"ab ") for _ in range(pick.randrange(30)))
+        b = bytes(pick.choice(b"ab ") for _ in range(pick.randrange(30)))
+        d = matrix(a, b)
+        assert [distance._diagonals(a, b, most) for most in range(d + 3)] == [min(most, d) for most in range(d + 3)]
