@@ -41,9 +41,9 @@ def line(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def polygon(*corners: tuple[Column, Column]) -> Column:
-    """The closed outline through the corners."""
+    """The closed outline through the corners; where sides meet or cross, a pixel comes more than once."""
     sides = [line(*a, *b) for a, b in zip(corners, [*corners[1:], corners[0]], strict=True)]
-    return F.array_distinct(F.concat(*sides))
+    return F.concat(*sides)
 
 
 def rect(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -56,8 +56,12 @@ def drawn(shapes: DataFrame, keys: list[str], pixels: Column, width: Column | in
     if weight is not None:
         side = lambda: F.sequence(-weight.cast("long"), weight.cast("long"))
         pixels = F.flatten(F.transform(pixels, lambda p: F.flatten(F.transform(side(), lambda i: F.transform(side(), lambda j: _pixel(p["x"] + i, p["y"] + j))))))
-    rows = shapes.select(*keys, F.explode(F.array_distinct(pixels.cast(_PIXELS))).alias("p")).select(*keys, "p.x", "p.y")
-    return rows.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height))
+    width, height = (v.cast("long") if isinstance(v, Column) else F.lit(v).cast("long") for v in (width, height))
+    inside = F.filter(pixels.cast(_PIXELS), lambda p: (p["x"] >= 0) & (p["y"] >= 0) & (p["x"] < width) & (p["y"] < height))
+    # numbers are told apart by a hash set, structs each by all others
+    places = F.array_distinct(F.transform(inside, lambda p: p["y"] * width + p["x"]))
+    rows = shapes.select(*keys, width.alias("_width"), F.explode(places).alias("_at"))
+    return rows.select(*keys, (F.col("_at") % F.col("_width")).alias("x"), F.call_function("div", F.col("_at"), F.col("_width")).alias("y"))
 
 
 def annotate(rectangles: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:

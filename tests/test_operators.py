@@ -330,3 +330,14 @@ def test_credentials_and_cost(tmp_path):
     with pytest.raises(ValueError, match="endpoint and subscription_key"):
         recognisers.credentials(f"{tmp_path}/d.json")
     assert recognisers.cost(20, 4) == pytest.approx(0.12)
+
+
+def test_pixels_are_told_apart_by_numbers(spark):
+    """Outlines that meet and cross give each pixel once, and no struct is compared with all others."""
+    shape = spark.createDataFrame([(1, 0, 0, 9, 9)], "id int, a int, b int, c int, d int")
+    a, b, c, d = (F.col(x) for x in "abcd")
+    drawn = raster.drawn(shape, ["id"], raster.polygon((a, b), (c, d), (a, d), (c, b)), 8, 8)
+    got = [(r.x, r.y) for r in drawn.collect()]
+    assert len(got) == len(set(got)) and set(got) == {p for i in range(8) for p in ((i, i), (i, 0))} | {(9 - i, i) for i in range(2, 8)}
+    assert drawn.schema["x"].dataType.simpleString() == drawn.schema["y"].dataType.simpleString() == "bigint"
+    assert "array_distinct(transform(" in drawn._jdf.queryExecution().optimizedPlan().toString()
