@@ -61,6 +61,11 @@ def in_first_order(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(order).alias("seen"))
 
 
+def first_and_last(rows: DataFrame, key: str, order: str, first: str, last: str) -> DataFrame:
+    """(key, last, first): where each key comes last and first, in one shuffle."""
+    return rows.groupBy(key).agg(F.max(order).alias(last), F.min(order).alias(first))
+
+
 def middle(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row at the middle of each group, the later one of two.
 

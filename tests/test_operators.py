@@ -332,6 +332,13 @@ def test_credentials_and_cost(tmp_path):
     assert recognisers.cost(20, 4) == pytest.approx(0.12)
 
 
+def test_first_and_last_in_one_shuffle(spark):
+    rows = spark.createDataFrame([("a", "3"), ("a", "1"), ("b", "2"), ("a", "2")], "txt string, ptr string")
+    both = sets.first_and_last(rows, "txt", "ptr", "seen", "ptr")
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, both.collect())) == [("a", "3", "1"), ("b", "2", "2")] and both.columns == ["txt", "ptr", "seen"]
+
+
 def test_pixels_are_told_apart_by_numbers(spark):
     """Outlines that meet and cross give each pixel once, and no struct is compared with all others."""
     shape = spark.createDataFrame([(1, 0, 0, 9, 9)], "id int, a int, b int, c int, d int")
