@@ -33,6 +33,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that one task sorts or groups, about.
+ROWS = 1 << 19
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """How many tasks share so many rows: what one holds doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -107,7 +107,7 @@ def region_join(points: DataFrame, boxes: DataFrame, leaf: int = LEAF) -> DataFr
     corner = lambda df, x, y: df.select(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).where("x is not null and y is not null")
     good = boxes.where("lo0 <= hi0 and lo1 <= hi1")
     cells = Cells(corner(points, "d0", "d1").union(corner(good, "lo0", "lo1")), corner(good, "hi0", "hi1"), leaf)
-    pairs = cells.of_points(points, "d0", "d1").join(cells.of_boxes(good, "lo0", "lo1", "hi0", "hi1"), CELL)
+    pairs = cells.dealt(cells.of_points(points, "d0", "d1")).join(cells.of_boxes(good, "lo0", "lo1", "hi0", "hi1"), CELL)
     inside = box_contains(F.col("d0"), F.col("d1"), F.col("lo0"), F.col("lo1"), F.col("hi0"), F.col("hi1"))
     return pairs.where(inside).drop(*CELL)
 
@@ -125,7 +125,7 @@ def overlap_join(a: DataFrame, b: DataFrame, leaf: int = LEAF) -> DataFrame:
     left, right = sided(a, "a"), sided(b, "b")
     corner = lambda df, x, y: df.select(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).where("x is not null and y is not null")
     cells = Cells(corner(left, "a_x", "a_y").union(corner(right, "b_x", "b_y")), corner(left, "_a_x1", "_a_y1").union(corner(right, "_b_x1", "_b_y1")), leaf)
-    pairs = cells.of_boxes(left, "a_x", "a_y", "_a_x1", "_a_y1").join(cells.of_boxes(right, "b_x", "b_y", "_b_x1", "_b_y1"), CELL)
+    pairs = cells.dealt(cells.of_boxes(left, "a_x", "a_y", "_a_x1", "_a_y1")).join(cells.of_boxes(right, "b_x", "b_y", "_b_x1", "_b_y1"), CELL)
     shift = cells.shift(F.col("_depth"))
     first = (F.col("_i") == shifted(F.greatest("a_x", "b_x"), shift)) & (F.col("_j") == shifted(F.greatest("a_y", "b_y"), shift))
     meets = F.expr("a_x <= _b_x1 and b_x <= _a_x1 and a_y <= _b_y1 and b_y <= _a_y1")
@@ -142,7 +142,7 @@ def nearest(points: DataFrame, asked: DataFrame, leaf: int = LEAF) -> DataFrame:
     """
     corners = points.select(F.col("d0").cast("long").alias("x"), F.col("d1").cast("long").alias("y")).where("x is not null and y is not null")
     cells = Cells(corners, leaf=leaf)
-    placed = cells.of_points(corners.withColumnsRenamed({"x": "near0", "y": "near1"}), "near0", "near1")
+    placed = cells.dealt(cells.of_points(corners.withColumnsRenamed({"x": "near0", "y": "near1"}), "near0", "near1"))
     bounds = F.min("near0").alias("x0"), F.max("near0").alias("x1"), F.min("near1").alias("y0"), F.max("near1").alias("y1")
     leaves = placed.groupBy(*CELL).agg(*bounds)
     up = F.inline(F.transform(F.sequence(F.lit(0), F.col("_depth")), lambda k: F.struct(k.alias("k"), *[shifted(F.col(c), cells.shift(k) - cells.shift(F.col("_depth"))).alias(n) for c, n in (("_i", "i"), ("_j", "j"))])))

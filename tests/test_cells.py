@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkspan.functions import tables
 from inkspan.operators import spatial
 from inkspan.operators.cells import CELL, Cells
 
@@ -71,6 +72,22 @@ def test_nearest_pairs_nothing_with_everything(spark, points):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_tasks_grow_with_the_things(spark, points, monkeypatch):
+    """More things are dealt out to more tasks, and only depths at which something is split are counted."""
+    p = spark.createDataFrame(points, PLACES)
+    corners = p.select(F.col("d0").alias("x"), F.col("d1").alias("y"))
+    assert Cells(corners, leaf=100_000).shifts == [17]
+    monkeypatch.setattr(tables, "ROWS", 50)
+    cells = Cells(corners, leaf=100)
+    dealt = cells.dealt(cells.of_points(p, "d0", "d1"))
+    assert cells.parts == -(-len(points) // 50) == dealt.rdd.getNumPartitions() > 8
+    assert len(cells.splits) == len(cells.shifts) - 1 > 1
+    boxes = p.selectExpr("d0 AS lo0", "d1 AS lo1", "d0 AS hi0", "d1 AS hi1")
+    joined = spatial.region_join(p, boxes, 100)
+    assert joined.count() == len(points)
+    assert "REPARTITION_BY_NUM" in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty(spark, points):
     p, none = spark.createDataFrame(points[:9], PLACES), spark.createDataFrame([], PLACES)
     boxes = spark.createDataFrame([(0, 0, 1, 1)], "lo0 long, lo1 long, hi0 long, hi1 long")
