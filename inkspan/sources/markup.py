@@ -39,6 +39,8 @@ _HTML = "kind string, tag string, id string, class string, name string, text str
 _XML = "kind string, tag string, type string, doc string, parent string, depth int, text string"
 #: Characters that a parser is given at once, about, and events in a batch of rows.
 PORTION, EVENTS = 1 << 16, 4096
+#: Bytes of files whose events one task sorts, about.
+SHARE = 1 << 22
 #: White space as Python's split() sees it.
 _BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -139,6 +141,12 @@ def html_events(files: DataFrame, key: str = "name", text: str = "html") -> Data
     return _events(files, key, text, html_stream, _HTML)
 
 
+def _dealt(files: DataFrame, text: str, events: DataFrame) -> DataFrame:
+    """Events dealt out by file, to as many tasks as there are bytes for."""
+    size = files.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first().n or 0
+    return events.repartition(max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE)), "_file")
+
+
 def xml_events(files: DataFrame, key: str = "name", text: str = "text") -> DataFrame:
     """(_file, at, kind, tag, type, doc, parent, depth, text): at an element's start its first text, at its end what follows
     it; depth 0 is the root. XML that can't be read is an error."""
@@ -238,7 +246,7 @@ def html_pages(files: DataFrame, key: str = "name", text: str = "html", tag: str
     begins with a bracket counts from the closing one. Tags of ``LITERAL`` were meant as text.
     """
     page_of = files.select(F.col(key).alias("_key"), (F.lit("1") if first_page is None else first_page).cast("string").alias("_first"))
-    rows = _in_records(html_events(files, key, text), tag, prefix)
+    rows = _in_records(_dealt(files, text, html_events(files, key, text)), tag, prefix)
     record = Window.partitionBy("_file", "record_ix")
     line = record.orderBy("at")
     is_start, is_end, is_text = (F.col("kind") == k for k in ("start", "end", "text"))

@@ -93,3 +93,12 @@ def test_bad_xml_is_an_error(spark):
         markup.xml_events(files).collect()
     empty = spark.createDataFrame([("e", ""), ("n", None)], "name string, text string")
     assert markup.xml_events(empty).count() == 0
+
+
+def test_tasks_grow_with_the_files(spark, monkeypatch):
+    """Events of more bytes are dealt out to more tasks, a file's to one."""
+    files = spark.createDataFrame([(i, "<p>word</p>") for i in range(60)], "name int, html string")
+    monkeypatch.setattr(markup, "SHARE", 33)
+    events = markup._dealt(files, "html", markup.html_events(files))
+    assert events.rdd.getNumPartitions() == 20
+    assert events.groupBy("_file").count().where("count <> 3").count() == 0
