@@ -29,7 +29,7 @@ class Cells:
 
     def __init__(self, corners: DataFrame, ends: DataFrame | None = None, leaf: int = LEAF):
         edge = lambda df: df.agg(F.count("*").alias("n"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("far")).first()
-        corners = stored(corners.select("x", "y"))
+        self.corners = corners = stored(corners.select("x", "y"))
         n, far = edge(corners)
         far = max(far or 0, (edge(ends)["far"] or 0) if ends is not None else 0)
         self.shifts = [*range(far.bit_length(), 0, -STEP), 0]

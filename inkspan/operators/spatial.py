@@ -6,12 +6,12 @@ split where points and boxes crowd. Joins are equi-joins on cells with the exact
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.geometry import box_contains, l1_distance
-from inkspan.functions.tables import stored
-from inkspan.operators.cells import CELL, LEAF, Cells, shifted
+from inkspan.functions.tables import parts, stored
+from inkspan.operators.cells import CELL, LEAF, MOST, Cells, shifted
 
 
 def insert(points: DataFrame, new: DataFrame) -> DataFrame:
@@ -132,48 +132,63 @@ def overlap_join(a: DataFrame, b: DataFrame, leaf: int = LEAF) -> DataFrame:
     return pairs.where(first & meets).select([c for c in pairs.columns if not c.startswith("_")])
 
 
+#: Cells that an asked point is compared with at one depth, about.
+FAN = 64
+
+
+def _beside(df: DataFrame, rows: int) -> DataFrame:
+    """One side of an equi-join: it goes to every task while it is small, and is sorted, which spills, where it isn't."""
+    return F.broadcast(df) if rows <= MOST else df.hint("merge")
+
+
 def nearest(points: DataFrame, asked: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(d0, d1, near0, near1, distance): of each distinct asked point the nearest one of the set by the sum of absolute
     differences; of equally near ones the one with the least coordinates.
 
     Goes down the tree of cells: of an asked point's cells those stay that may be nearer than the farthest that some
     other one's nearest point can be. Sides of a cell's bounds touch a point each, which gives that limit. What is left
-    are a few leaves, whose points are compared.
+    are a few leaves, whose points are compared. These pairs are many: they pass through and only least numbers are kept,
+    first the distance's, then the coordinates' at that distance.
     """
     corners = points.select(F.col("d0").cast("long").alias("x"), F.col("d1").cast("long").alias("y")).where("x is not null and y is not null")
     cells = Cells(corners, leaf=leaf)
-    placed = cells.dealt(cells.of_points(corners.withColumnsRenamed({"x": "near0", "y": "near1"}), "near0", "near1"))
+    placed = stored(cells.dealt(cells.of_points(cells.corners.withColumnsRenamed({"x": "near0", "y": "near1"}), "near0", "near1")))
     bounds = F.min("near0").alias("x0"), F.max("near0").alias("x1"), F.min("near1").alias("y0"), F.max("near1").alias("y1")
     leaves = placed.groupBy(*CELL).agg(*bounds)
     up = F.inline(F.transform(F.sequence(F.lit(0), F.col("_depth")), lambda k: F.struct(k.alias("k"), *[shifted(F.col(c), cells.shift(k) - cells.shift(F.col("_depth"))).alias(n) for c, n in (("_i", "i"), ("_j", "j"))])))
     tree = leaves.select(up, "x0", "x1", "y0", "y1").groupBy("k", "i", "j").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     finer = cells.shift(F.col("k") - 1) - cells.shift(F.col("k"))
-    parent = [(F.col("k") - 1).alias("pk"), shifted(F.col("i"), F.when(F.col("k") > 0, finer).otherwise(F.lit(0))).alias("pi"), shifted(F.col("j"), F.when(F.col("k") > 0, finer).otherwise(F.lit(0))).alias("pj")]
-    tree = stored(tree.select(*parent, F.struct("k", "i", "j", "x0", "x1", "y0", "y1").alias("cell")))
-    roots = [r.cell for r in tree.where("pk = -1").select("cell").collect()]  # four at most
-    kids = tree.where("pk >= 0").groupBy("pk", "pi", "pj").agg(F.collect_list("cell").alias("kids"))  # 64 at most each
-    kind = "struct<k:int,i:bigint,j:bigint,x0:bigint,x1:bigint,y0:bigint,y1:bigint>"
-
-    def limits(c: Column) -> tuple[Column, Column]:
-        """The least distance that a cell's points can have, and one that some point of it doesn't exceed."""
-        q = {"x": F.col("d0").cast("long"), "y": F.col("d1").cast("long")}
-        near = {a: F.greatest(c[f"{a}0"] - q[a], q[a] - c[f"{a}1"], F.lit(0).cast("long")) for a in "xy"}
-        side = {a: F.least(F.abs(q[a] - c[f"{a}0"]), F.abs(q[a] - c[f"{a}1"])) for a in "xy"}
-        far = {a: F.greatest(F.abs(q[a] - c[f"{a}0"]), F.abs(q[a] - c[f"{a}1"])) for a in "xy"}
-        return near["x"] + near["y"], F.least(side["x"] + far["y"], far["x"] + side["y"])
-
-    def pruned(c: Column) -> Column:
-        limit = F.array_min(F.transform(c, lambda x: limits(x)[1]))
-        return F.transform(F.filter(F.transform(c, lambda x: F.struct(x.alias("c"), (limits(x)[0] <= limit).alias("on"))), lambda x: x["on"]), lambda x: x["c"])
-
-    first = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]).cast(kind) for r in roots]).cast(f"array<{kind}>")
-    rows = asked.select("d0", "d1").where("d0 is not null and d1 is not null").distinct().withColumn("cells", pruned(first))
-    for k in range(len(cells.shifts) - 1):
-        rows = rows.select("d0", "d1", F.explode("cells").alias("c"))
-        rows = rows.join(kids.where(F.col("pk") == k), (F.col("c.k") == k) & (F.col("c.i") == F.col("pi")) & (F.col("c.j") == F.col("pj")), "left")
-        rows = rows.groupBy("d0", "d1").agg(F.flatten(F.collect_list(F.coalesce("kids", F.array("c")))).alias("cells"))
-        rows = rows.withColumn("cells", pruned(F.col("cells")))
-    rows = rows.select("d0", "d1", F.explode("cells").alias("c")).select("d0", "d1", F.col("c.k").alias("_depth"), F.col("c.i").alias("_i"), F.col("c.j").alias("_j"))
-    found = rows.join(placed, CELL).withColumn("distance", l1_distance(F.col("d0"), F.col("d1"), F.col("near0"), F.col("near1")))
-    best = found.groupBy("d0", "d1").agg(F.min(F.struct("distance", "near0", "near1")).alias("b"))
-    return best.select("d0", "d1", "b.near0", "b.near1", "b.distance")
+    # four at most have no parent: theirs is (-1, 0, 0)
+    parent = [(F.col("k") - 1).alias("pk"), *[F.when(F.col("k") > 0, shifted(F.col(c), finer)).otherwise(F.lit(0).cast("long")).alias(f"p{c}") for c in "ij"]]
+    tree = stored(tree.select(*parent, *[F.col(c).alias(f"_{c}") for c in ("k", "i", "j")], "x0", "x1", "y0", "y1"))
+    kids = {r.pk: r["count"] for r in tree.groupBy("pk").count().collect()}  # a row for each depth
+
+    q = {"x": F.col("d0").cast("long"), "y": F.col("d1").cast("long")}
+    outside = {a: F.greatest(F.col(f"{a}0") - q[a], q[a] - F.col(f"{a}1"), F.lit(0).cast("long")) for a in "xy"}
+    ends = {a: (F.abs(q[a] - F.col(f"{a}0")), F.abs(q[a] - F.col(f"{a}1"))) for a in "xy"}
+    # the least distance that a cell's points can have, and one that some point of it doesn't exceed
+    near, limit = outside["x"] + outside["y"], F.least(F.least(*ends["x"]) + F.greatest(*ends["y"]), F.greatest(*ends["x"]) + F.least(*ends["y"]))
+
+    asked = stored(asked.select("d0", "d1").where("d0 is not null and d1 is not null").distinct())
+    tasks = parts(asked.sparkSession, FAN * asked.count())
+    none = F.lit(0).cast("long")
+    rows = asked.withColumns({"k": F.lit(-1), "i": none, "j": none, "near": none, "least": F.lit(2**63 - 1)})
+    for k in range(-1, len(cells.shifts) - 1):
+        rows = rows.join(_beside(tree.where(F.col("pk") == k), kids.get(k, 0)), F.expr("k = pk and i = pi and j = pj"), "left")
+        split = F.col("_k").isNotNull()
+        rows = rows.select("d0", "d1", *[F.coalesce(f"_{c}", c).alias(c) for c in ("k", "i", "j")], F.when(split, near).otherwise(F.col("near")).alias("near"), F.when(split, F.least(limit, "least")).otherwise(F.col("least")).alias("limit"), "least")
+        rows = rows.where("near <= least").repartition(tasks, "d0", "d1").withColumn("least", F.min("limit").over(Window.partitionBy("d0", "d1")))
+        # put down at each depth, so that a task holds what one takes and not that of all
+        rows = stored(rows.where("near <= least").drop("limit"))
+    rows = rows.select("d0", "d1", F.col("k").alias("_depth"), F.col("i").alias("_i"), F.col("j").alias("_j"), "near")
+    n = rows.count()
+    far = l1_distance(F.col("d0"), F.col("d1"), F.col("near0"), F.col("near1"))
+    best = _beside(rows, n).join(placed, CELL).groupBy("d0", "d1").agg(F.min(far).alias("distance"))
+    rows = rows.join(best, ["d0", "d1"]).where("near <= distance")
+    found = _beside(rows, n).join(placed, CELL).where(far == F.col("distance"))
+    # at one distance and near0 there are two places at most, one on each side of d1
+    sides = {s: F.min(F.when(F.expr(f"near1 {s} d1"), F.col("near0"))) for s in ("<=", ">")}
+    found = found.groupBy("d0", "d1", "distance").agg(sides["<="].alias("low"), sides[">"].alias("high"))
+    rest = F.col("distance") - F.abs(q["x"] - F.col("near0"))
+    found = found.select("d0", "d1", "distance", F.least("low", "high").alias("near0"), F.expr("low <= high or high is null").alias("is_low"))
+    return found.select("d0", "d1", "near0", F.when(F.col("is_low"), q["y"] - rest).otherwise(q["y"] + rest).alias("near1"), "distance")

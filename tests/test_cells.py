@@ -72,6 +72,45 @@ def test_nearest_pairs_nothing_with_everything(spark, points):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def task_peaks(spark):
+    """Bytes of execution memory that each task so far has had at most."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    for i in range(stages.size()):
+        s = stages.apply(i)
+        tasks = store.taskList(s.stageId(), s.attemptId(), 1000)
+        for t in (tasks.apply(k) for k in range(tasks.size())):
+            if t.taskMetrics().isDefined():
+                yield (s.stageId(), t.taskId()), t.taskMetrics().get().peakExecutionMemory()
+
+
+def test_pairs_of_nearest_are_not_kept(spark):
+    """A task's memory doesn't grow with the pairs of asked points and a leaf's points that it compares."""
+    p = spark.range(3000).selectExpr("id * 37 % 3001 AS d0", "id * 101 % 2003 AS d1")
+    asked = spark.range(1500).selectExpr("id * 61 % 3011 AS d0", "id * 17 % 2011 AS d1")
+    before = {k for k, _ in task_peaks(spark)}
+    assert len(spatial.nearest(p, asked, 100_000).collect()) == 1500
+    assert max(b for k, b in task_peaks(spark) if k not in before) < 150e6
+
+
+def test_nearest_without_broadcasts(spark, points, monkeypatch):
+    """Trees and candidates that are too large for every task are sorted instead, with the same result."""
+    monkeypatch.setattr(spatial, "MOST", 3, raising=False)
+    pick = random.Random(6)
+    asked = crowd(pick, 60) + [(0, 0), (10**6, -(10**6)), points[0]]
+    out = spatial.nearest(spark.createDataFrame(points, PLACES), spark.createDataFrame(asked, PLACES), 20)
+    assert "SortMergeJoin" in out._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == sorted((a, b, x, y, d) for a, b in set(asked) for d, x, y in [min((abs(a - x) + abs(b - y), x, y) for x, y in points)])
+
+
+def test_ties_of_nearest(spark):
+    """Of many equally near points the one with the least coordinates, on either side."""
+    ring = [(x, y) for x in range(-40, 41) for y in {40 - abs(x), abs(x) - 40}]
+    for some in (ring, [(x, y) for x, y in ring if y > 0], [(x, y) for x, y in ring if x > 0], [(3, 37), (4, -36)], [(3, -37), (3, 37)]):
+        got = spatial.nearest(spark.createDataFrame(some, PLACES), spark.createDataFrame([(0, 0)], PLACES), 8).collect()
+        assert [tuple(r) for r in got] == [(0, 0, *min(some), 40)]
+
+
 def test_tasks_grow_with_the_things(spark, points, monkeypatch):
     """More things are dealt out to more tasks, and only depths at which something is split are counted."""
     p = spark.createDataFrame(points, PLACES)
