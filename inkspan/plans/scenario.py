@@ -7,11 +7,13 @@ written as each provider's payload.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 from json.encoder import encode_basestring as quoted
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ PROVIDERS = ["aws", "azu", "azuR", "gcp"]
 LINES_A_PAGE = 5
 #: Pixels of a printed page, both ways.
 SIZE = 100_000
-#: Characters of payloads that make a batch.
-BATCH = 4_000_000
+#: Bytes of text whose payloads are written at once and make a batch, about; they have up to some 31 times as many.
+TEXT = 1 << 16
+#: Bytes of text that a task has at most, about.
+DEALT = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` dealt out by id: what follows costs far more time than bytes, and files are cut by bytes."""
+    """``documents`` dealt out by id: what follows costs far more time than bytes, and files are cut by bytes. Tasks grow in number with
+    the texts: a batch of 10,000 answers, as Spark hands them to Python, has hundreds of megabytes."""
     docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return docs.repartition(max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.repartition(max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // DEALT)), "doc_id")
 
 
 def truth(docs: DataFrame) -> DataFrame:
@@ -83,79 +89,144 @@ def printed(docs: DataFrame) -> DataFrame:
     return pages.select("doc_id", F.expr(f"first div {LINES_A_PAGE}").cast("int").alias("page"), made.alias("lines"))
 
 
-def _texts(text: str, read: str) -> Iterator[list[list[tuple]]]:
-    """For each printed page its lines, as lists of (x, y, w, h, text) with a word's place and size in ``text`` and its text in ``read``."""
-    lines, readings = text.split("\n"), read.split("\n")
-    for first in range(0, len(lines), LINES_A_PAGE):
-        page = []
-        for i in range(first, min(first + LINES_A_PAGE, len(lines))):
-            every = [(len(w), r) for w, r in zip(lines[i].split(" "), readings[i].split(" "), strict=True) if w]
-            page.append([(60 * j, 24 * i + n % 5, 9 * n, n % 7 + 10, r) for j, (n, r) in enumerate(every)])
-        yield page
+def _cat(*parts: str | np.ndarray | pa.Array) -> pa.Array:
+    """Numbers and texts of each row put together."""
+    return pc.binary_join_element_wise(*[pa.array(p).cast(pa.string()) if isinstance(p, np.ndarray) else p for p in parts], "")
 
 
-def _line_text(words: list[tuple]) -> str:
-    return " ".join([w[4] for w in words])
+def _lists(at: np.ndarray, items: pa.Array, between: str) -> pa.Array:
+    """Texts of each list put together; ``at`` is where lists begin and the last ends."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), items), between)
 
 
-def _azure(first: int, lines: list) -> str:
-    word = lambda w: f'{{"boundingBox":"{w[0]},{w[1]},{w[2]},{w[3]}","text":{quoted(w[4])}}}'
-    line = lambda i, x: f'{{"boundingBox":"0,{24 * (first + i)},{60 * len(x)},24","words":[{",".join([word(w) for w in x])}]}}'
-    return f'{{"language":"unk","regions":[{{"boundingBox":"0,0,{SIZE},{SIZE}","lines":[{",".join([line(i, x) for i, x in enumerate(lines)])}]}}]}}'
+def _made(keys: pa.Array, make: Callable) -> pa.Array:
+    """``make`` of each key, worked out once for equal ones."""
+    each = keys.dictionary_encode()
+    return pa.array([make(k) for k in each.dictionary.to_pylist()], pa.string()).take(each.indices)
 
 
-def _azure_read(first: int, lines: list) -> str:
-    box = lambda x, y, w, h: f'"boundingBox":[{x},{y},{x + w},{y},{x + w},{y + h},{x},{y + h}]'
-    word = lambda w: f'{{{box(*w[:4])},"text":{quoted(w[4])},"confidence":0.5}}'
-    line = lambda i, x: f'{{{box(0, 24 * (first + i), 60 * len(x), 24)},"text":{quoted(_line_text(x))},"words":[{",".join([word(w) for w in x])}]}}'
-    page = f'{{"page":1,"width":{SIZE},"height":{SIZE},"lines":[{",".join([line(i, x) for i, x in enumerate(lines)])}]}}'
-    return f'{{"status":"succeeded","analyzeResult":{{"version":"3.1","readResults":[{page}]}}}}'
+#: Which bytes JSON escapes.
+_ESCAPED = np.array([b < 32 or chr(b) in '"\\' for b in range(256)])
 
 
-def _corner(x: int, y: int) -> str:
-    """Zeros are left out."""
-    return f'{{"x":{x},"y":{y}}}' if x and y else f'{{"x":{x}}}' if x else f'{{"y":{y}}}' if y else "{}"
-
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins and the last ends, and the bytes of all."""
+    _, at, data = texts.buffers()
+    return np.frombuffer(at, np.int32)[texts.offset : texts.offset + len(texts) + 1] if at else np.zeros(1, np.int32), np.frombuffer(data or b"", np.uint8)
 
-def _gcp(first: int, lines: list) -> str:
-    box = lambda x, y, w, h: f'"bounding_box":{{"vertices":[{_corner(x, y)},{_corner(x + w, y)},{_corner(x + w, y + h)},{_corner(x, y + h)}]}}'
-    word = lambda w: f'{{{box(*w[:4])},"symbols":[{",".join([_symbol(c) for c in w[4]])}]}}'
-    line = lambda i, x: f'{{{box(0, 24 * (first + i), 60 * len(x), 24)},"words":[{",".join([word(w) for w in x])}]}}'
-    block = f'{{{box(0, 0, SIZE, SIZE)},"paragraphs":[{",".join([line(i, x) for i, x in enumerate(lines)])}]}}'
-    return f'{{"pages":[{{"blocks":[{block}]}}],"text":{quoted(chr(10).join([_line_text(x) for x in lines]))}}}'
 
+def _inner(texts: pa.Array) -> pa.Array:
+    """Texts as JSON, without quotes."""
+    at, data = _utf8(texts)
+    odd = at[0] + np.flatnonzero(_ESCAPED[data[at[0] : at[-1]]])
+    if not odd.size:
+        return texts
+    odd = np.unique(np.searchsorted(at, odd, "right") - 1)
+    mask = np.zeros(len(texts), bool)
+    mask[odd] = True
+    return pc.replace_with_mask(texts, pa.array(mask), pa.array([quoted(t)[1:-1] for t in texts.take(pa.array(odd)).to_pylist()], pa.string()))
 
-@lru_cache(1 << 14)
-def _symbol(c: str) -> str:
-    return f'{{"text":{quoted(c)}}}'
 
+class _Printed:
+    """Printed pages as columns: ``of_lines`` and ``of_words`` say where each page's lines and each line's words begin; ``line`` and
+    ``word`` are their boxes (x, y, w, h), ``texts`` the words' readings, ``inner`` the same as JSON without quotes."""
 
-@lru_cache(1 << 14)
-def _part(v: int) -> str:
-    return repr(v / SIZE)
+    def __init__(self, of_lines: np.ndarray, line_ix: np.ndarray, of_words: np.ndarray, size: np.ndarray, texts: pa.Array):
+        n = np.diff(of_words)
+        self.of_lines, self.of_words, self.texts, self.inner = of_lines, of_words, texts, _inner(texts)
+        self.line_at, self.at = line_ix % LINES_A_PAGE, np.arange(len(size)) - np.repeat(of_words[:-1], n)
+        self.word_line = np.repeat(self.line_at, n)
+        self.line = 0 * n, 24 * line_ix, 60 * n, 0 * n + 24
+        self.word = 60 * self.at, 24 * np.repeat(line_ix, n) + size % 5, 9 * size, size % 7 + 10
+        self.line_text = _lists(of_words, self.inner, " ")
 
 
-@lru_cache(1 << 14)
-def _left(x: int) -> str:
-    return f'"Geometry":{{"BoundingBox":{{"Left":{_part(x)},"Top":'
+def _azure(p: _Printed) -> pa.Array:
+    box = lambda x, y, w, h: ('{"boundingBox":"', x, ",", y, ",", w, ",", h)
+    words = _lists(p.of_words, _cat(*box(*p.word), '","text":"', p.inner, '"}'), ",")
+    lines = _lists(p.of_lines, _cat(*box(*p.line), '","words":[', words, "]}"), ",")
+    return _cat(f'{{"language":"unk","regions":[{{"boundingBox":"0,0,{SIZE},{SIZE}","lines":[', lines, "]}]}")
 
 
-@lru_cache(1 << 14)
-def _size(w: int, h: int) -> str:
-    return f',"Width":{_part(w)},"Height":{_part(h)}}}}}'
+def _azure_read(p: _Printed) -> pa.Array:
+    def box(x, y, w, h):
+        left, top, right, bottom = [_cat(v) for v in (x, y, x + w, y + h)]
+        return '{"boundingBox":[', left, ",", top, ",", right, ",", top, ",", right, ",", bottom, ",", left, ",", bottom, '],"text":"'
 
+    words = _lists(p.of_words, _cat(*box(*p.word), p.inner, '","confidence":0.5}'), ",")
+    lines = _lists(p.of_lines, _cat(*box(*p.line), p.line_text, '","words":[', words, "]}"), ",")
+    return _cat(f'{{"status":"succeeded","analyzeResult":{{"version":"3.1","readResults":[{{"page":1,"width":{SIZE},"height":{SIZE},"lines":[', lines, "]}]}}")
 
-def _aws(first: int, lines: list) -> str:
-    box = lambda x, y, w, h: f"{_left(x)}{_part(y)}{_size(w, h)}"
-    child = lambda ids: f'"Relationships":[{{"Type":"VALUE","Ids":["none"]}},{{"Type":"CHILD","Ids":[{",".join(ids)}]}}]'
-    ids = [[f'"W{i}_{j}"' for j in range(len(x))] for i, x in enumerate(lines)]
-    page = f'{{"BlockType":"PAGE","Id":"P",{box(0, 0, SIZE, SIZE)},{child([f"{chr(34)}L{i}{chr(34)}" for i in range(len(lines))])}}}'
-    of_lines = [f'{{"BlockType":"LINE","Id":"L{i}","Text":{quoted(_line_text(x))},{box(0, 24 * (first + i), 60 * len(x), 24)},{child(ids[i])}}}' for i, x in enumerate(lines)]
-    of_words = [f'{{"BlockType":"WORD","Id":{id},"Text":{quoted(t)},{_left(x)}{_part(y)}{_size(w, h)}}}' for i, line in enumerate(lines) for id, (x, y, w, h, t) in zip(ids[i], line)]
-    return f'{{"Blocks":[{",".join([page, *of_lines, *of_words])}]}}'
 
-
-_PAYLOAD = {"AWS": _aws, "Azure": _azure, "AzureRead": _azure_read, "GCP": _gcp}
+def _poly(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple:
+    """Zeros are left out."""
+    unless = lambda zero, text: pc.if_else(pa.array(zero), "", text) if zero.any() else text
+    side = lambda name, v: unless(v == 0, _cat(f'"{name}":', v))
+    comma = lambda x, y: unless((x == 0) | (y == 0), ",")
+    xs, ys = [(v, side("x", v)) for v in (x, x + w)], [(v, side("y", v)) for v in (y, y + h)]
+    corner = lambda i, j: (xs[i][1], comma(xs[i][0], ys[j][0]), ys[j][1])
+    return '{"bounding_box":{"vertices":[{', *corner(0, 0), "},{", *corner(1, 0), "},{", *corner(1, 1), "},{", *corner(0, 1), "}]},"
+
+
+def _symbols(texts: pa.Array) -> pa.Array:
+    """An object for each character, with commas between."""
+    at, data = _utf8(texts)
+    first = (data[: at[-1]] & 0xC0) != 0x80
+    starts = np.append(np.flatnonzero(first), at[-1]).astype(np.int32)
+    characters = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), texts.buffers()[2])
+    of_texts = np.concatenate([[0], np.cumsum(first)])[at]
+    made = _cat('{"text":"', _lists(of_texts, _inner(characters), '"},{"text":"'), '"}')
+    return pc.if_else(pa.array(np.diff(at) == 0), "", made)
+
+
+def _gcp(p: _Printed) -> pa.Array:
+    words = _lists(p.of_words, _cat(*_poly(*p.word), '"symbols":[', _symbols(p.texts), "]}"), ",")
+    lines = _lists(p.of_lines, _cat(*_poly(*p.line), '"words":[', words, "]}"), ",")
+    n = np.array([0])
+    block = _cat(*_poly(n, n, n + SIZE, n + SIZE))[0].as_py()
+    return _cat(f'{{"pages":[{{"blocks":[{block}"paragraphs":[', lines, ']}]}],"text":"', _lists(p.of_lines, p.line_text, "\\n"), '"}')
+
+
+def _aws(p: _Printed) -> pa.Array:
+    part = lambda v: _made(pa.array(v), lambda u: repr(u / SIZE))
+    box = lambda x, y, w, h: ('"Geometry":{"BoundingBox":{"Left":', x, ',"Top":', y, ',"Width":', w, ',"Height":', h, "}}")
+    child = lambda ids: (',"Relationships":[{"Type":"VALUE","Ids":["none"]},{"Type":"CHILD","Ids":[', ids, "]}]}")
+    ids = _cat('"W', p.word_line, "_", p.at, '"')
+    words = _cat('{"BlockType":"WORD","Id":', ids, ',"Text":"', p.inner, '",', *box(*[part(v) for v in p.word]), "}")
+    lines = _cat('{"BlockType":"LINE","Id":"L', p.line_at, '","Text":"', p.line_text, '",', *box(*[part(v) for v in p.line]), *child(_lists(p.of_words, ids, ",")))
+    page = '{"BlockType":"PAGE","Id":"P",', *box("0.0", "0.0", "1.0", "1.0"), *child(_lists(p.of_lines, _cat('"L', p.line_at, '"'), ","))
+    of_words = p.of_words[p.of_lines]
+    more = pc.if_else(pa.array(np.diff(of_words) > 0), ",", "")
+    return _cat('{"Blocks":[', *page, ",", _lists(p.of_lines, lines, ","), more, _lists(of_words, words, ","), "]}")
+
+
+_PAYLOAD: dict[str, Callable[[_Printed], pa.Array]] = {"AWS": _aws, "Azure": _azure, "AzureRead": _azure_read, "GCP": _gcp}
+
+
+def _split(texts: pa.Array, by: str) -> tuple[np.ndarray, pa.Array]:
+    found = pc.split_pattern(texts, by)
+    at = found.offsets.to_numpy()
+    return at - at[0], found.flatten()
+
+
+def _pages(texts: pa.Array, reads: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, _Printed]]:
+    """(row, page, what is printed) of the rows' pages, for so many that their texts have about ``most`` bytes."""
+    (of_rows, lines), (_, readings) = _split(texts, "\n"), _split(reads, "\n")
+    n = np.diff(of_rows)
+    row, line_ix = np.repeat(np.arange(len(n)), n), np.arange(len(lines)) - np.repeat(of_rows[:-1], n)
+    first = np.flatnonzero(line_ix % LINES_A_PAGE == 0)
+    end = np.append(first[1:], len(lines))
+    done = np.cumsum(pc.binary_length(lines).to_numpy())[end - 1] // most
+    cuts = [0, *(np.flatnonzero(np.diff(done)) + 1), len(first)]
+    for a, b in pairwise(cuts):
+        begin, stop = first[a], end[b - 1]
+        (at, words), (same, read) = [_split(x[begin:stop], " ") for x in (lines, readings)]
+        if not (at == same).all():
+            raise ValueError("a misreading changes where words begin")
+        there = pc.not_equal(words, "")
+        at = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[at]
+        size = pc.utf8_length(words.filter(there)).to_numpy().astype(int)
+        yield row[first[a:b]], line_ix[first[a:b]] // LINES_A_PAGE, _Printed(np.append(first[a:b], stop) - begin, line_ix[begin:stop], at, size, read.filter(there))
 
 
 #: How each provider misreads a word.
@@ -170,23 +241,20 @@ MISREAD = {
 def answers(docs: DataFrame, service: str, misread=lambda w: w) -> DataFrame:
     """(doc_id, page, envelope...) of every printed page, as one provider's JSON. Narrow.
 
-    Misreadings are of characters within words, so the whole text is misread at once. The JSON is written by a
-    formatter, a document at a time; a batch ends with the page that takes it above ``BATCH`` characters.
+    Misreadings are of characters within words, so the whole text is misread at once. The JSON is put together by Arrow, column by
+    column, of ``TEXT`` bytes of text at a time: of many documents, or of some of one's pages.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("raw", pa.binary())])
 
     def write(batches):
-        make, rows, size = _PAYLOAD[service], [], 0
         for b in batches:
-            for doc, text, read in zip(*b.columns, strict=True):
-                for page, lines in enumerate(_texts(text.as_py(), read.as_py())):
-                    rows.append((doc.as_py(), page, make(LINES_A_PAGE * page, lines).encode()))
-                    size += len(rows[-1][2])
-                    if size > BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                        rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            doc, text, read = b.columns
+            done = np.cumsum(pc.binary_length(text).to_numpy()) // TEXT
+            for start, stop in pairwise([0, *(np.flatnonzero(np.diff(done)) + 1), b.num_rows] if b.num_rows else []):
+                part = slice(start, stop)
+                for row, page, printed in _pages(text[part], read[part], TEXT):
+                    columns = doc[part].take(pa.array(row)), pa.array(page, pa.int32()), _PAYLOAD[service](printed).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays(list(columns), schema=schema)
 
     text = F.coalesce("text", F.lit(""))
     made = docs.select("doc_id", text.alias("text"), misread(text).alias("read")).mapInArrow(write, "doc_id bigint, page int, raw binary")

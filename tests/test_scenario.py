@@ -1,0 +1,52 @@
+"""Answers of the made-up providers: their JSON, and how documents are dealt out."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from inkspan.plans import scenario
+
+TEXTS = ["a \"quoted\" \\ b\x01 é\n\n x  y \U0001f600 rn\n", "", " ", "\n" * 7, "w" * 300 + " learner " + "w" * 300, None, "the rn\n" * 40]
+KIND = "doc_id long, text string"
+
+
+def words_of(service, p):
+    """The lines' words with their places, as (x, y, text) lists."""
+    if service == "Azure":
+        return [[(*map(int, w["boundingBox"].split(",")[:2]), w["text"]) for w in x["words"]] for x in p["regions"][0]["lines"]]
+    if service == "AzureRead":
+        return [[(*w["boundingBox"][:2], w["text"]) for w in x["words"]] for x in p["analyzeResult"]["readResults"][0]["lines"]]
+    if service == "GCP":
+        corner = lambda w: w["bounding_box"]["vertices"][0]
+        return [[(corner(w).get("x", 0), corner(w).get("y", 0), "".join(s["text"] for s in w["symbols"])) for w in x["words"]] for x in p["pages"][0]["blocks"][0]["paragraphs"]]
+    blocks = {b["Id"]: b for b in p["Blocks"]}
+    box = lambda b: b["Geometry"]["BoundingBox"]
+    below = lambda b: [blocks[i] for r in b["Relationships"] if r["Type"] == "CHILD" for i in r["Ids"]]
+    return [[(round(box(w)["Left"] * scenario.SIZE), round(box(w)["Top"] * scenario.SIZE), w["Text"]) for w in below(x)] for x in below(blocks["P"])]
+
+
+def test_answers(spark, monkeypatch):
+    """Every provider's answers say what the text says, however many documents or pages are written at once."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), KIND).coalesce(1)
+    for service, p in zip(("AWS", "Azure", "AzureRead", "GCP"), scenario.PROVIDERS):
+        of = lambda: {(r.doc_id, r.page): bytes(r.raw) for r in scenario.answers(docs, service, scenario.MISREAD[p]).collect()}
+        got = of()
+        for size in (1, 40):
+            monkeypatch.setattr(scenario, "TEXT", size)
+            assert of() == got
+            monkeypatch.undo()
+        misread = {"aws": lambda w: w.replace("rn", "m"), "azu": lambda w: w.translate(str.maketrans("lo", "10")), "azuR": lambda w: w.replace("the", "tbe"), "gcp": lambda w: w.replace("ee", "e")}[p]
+        want = {}
+        for doc, text in enumerate(TEXTS):
+            lines = [[(60 * j, 24 * i + len(w) % 5, misread(w)) for j, w in enumerate(x for x in line.split(" ") if x)] for i, line in enumerate((text or "").split("\n"))]
+            want |= {(doc, first // 5): lines[first : first + 5] for first in range(0, len(lines), 5)}
+        assert {k: words_of(service, json.loads(raw)) for k, raw in got.items()} == want
+
+
+def test_tasks_grow_with_texts(spark, tmp_path, monkeypatch):
+    """A task has no more text, and so no larger batch of answers, where there are more documents."""
+    spark.range(3_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(scenario, "DEALT", 20_000)
+    docs = scenario.documents(spark, str(tmp_path))
+    assert docs.rdd.getNumPartitions() == 150
+    assert docs.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] < 3 * 20_000
