@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from inkspan.plans import scenario
+from inkspan.plans import catalogue, scenario
 
 TEXTS = ["a \"quoted\" \\ b\x01 é\n\n x  y \U0001f600 rn\n", "", " ", "\n" * 7, "w" * 300 + " learner " + "w" * 300, None, "the rn\n" * 40]
 KIND = "doc_id long, text string"
@@ -49,4 +49,5 @@ def test_tasks_grow_with_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scenario, "DEALT", 20_000)
     docs = scenario.documents(spark, str(tmp_path))
     assert docs.rdd.getNumPartitions() == 150
+    assert catalogue.trees(spark, str(tmp_path)).rdd.getNumPartitions() == 150
     assert docs.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] < 3 * 20_000
