@@ -51,3 +51,13 @@ def test_tasks_grow_with_texts(spark, tmp_path, monkeypatch):
     assert docs.rdd.getNumPartitions() == 150
     assert catalogue.trees(spark, str(tmp_path)).rdd.getNumPartitions() == 150
     assert docs.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] < 3 * 20_000
+
+
+def test_printed_text(spark):
+    """The text of pages is that of their words, and no boxes are made for it."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), KIND)
+    of = lambda x: F.array_join(F.transform(x["words"], lambda w: w["text"]), " ")
+    want = scenario.printed(docs).select("doc_id", "page", F.array_join(F.transform("lines", of), "\n").alias("text"))
+    got = scenario.printed_text(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
+    assert "struct" in want._jdf.queryExecution().optimizedPlan().toString() and "struct" not in got._jdf.queryExecution().optimizedPlan().toString()
