@@ -61,3 +61,12 @@ def test_printed_text(spark):
     got = scenario.printed_text(docs)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
     assert "struct" in want._jdf.queryExecution().optimizedPlan().toString() and "struct" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_written_together():
+    """Short documents share a batch, and one that is longer than a batch is written in parts."""
+    import pyarrow as pa
+
+    written = lambda texts, most: [(row.tolist(), page.tolist()) for row, page, _ in scenario._pages(pa.array(texts), pa.array(texts), most)]
+    assert written(["a b", "", "c\n" * 6], 1 << 16) == [([0, 1, 2, 2], [0, 0, 0, 1])]
+    assert written(["word\n" * 39 + "word"], 40) == [([0], [0]), ([0, 0], [1, 2]), ([0, 0], [3, 4]), ([0, 0], [5, 6]), ([0], [7])]
